@@ -147,7 +147,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rank = F.row_number().over(W.partitionBy(*key).orderBy("hash", "id", "row"))
     ranked = part.join(quotas, match).withColumn("more", (rank <= F.col("quota")).cast("long"))
     whole = rows.where((F.col("extra") <= 0) | (F.col("extra") >= F.col("n"))).withColumn("more", (F.col("extra") > 0).cast("long"))
-    columns = ["row", "id", "source", "size", "source_size", "target", (F.col("epochs") + F.col("more")).alias("times")]
+    times = F.when(F.col("size") > 0, F.col("epochs") + F.col("more")).otherwise(0).alias("times")
+    columns = ["row", "id", "source", "size", "source_size", "target", times]
     out = whole.select(*columns).unionByName(ranked.select(*columns))
     return sized.select("row", "doc").join(out, "row") if keep_text else out
 

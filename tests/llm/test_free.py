@@ -4,6 +4,7 @@ import collections
 import hashlib
 import io
 import itertools
+import re
 import zlib
 
 import numpy as np
@@ -41,7 +42,7 @@ def test_warc_reader_refuses_damage():
     good = warc.record(1, "u", b"payload", None, False) + warc.record(2, "u", b"payload", 1, True)
     assert [p for *_, p in warc.read_records(io.BytesIO(good))] == [b"payload", b""]
     raw = zlib.decompress(warc.record(1, "u", b"payload", None, False), 31)
-    for bad in (raw.replace(b"payload", b"pay1oad"), raw.replace(b"Content-Length: 86", b"Content-Length: 85"), raw[:-3]):
+    for bad in (raw.replace(b"payload", b"pay1oad"), re.sub(rb"Content-Length: (\d+)\r\n\r\nHTTP", lambda m: b"Content-Length: %d\r\n\r\nHTTP" % (int(m[1]) - 1), raw), raw[:-3]):
         packer = zlib.compressobj(1, zlib.DEFLATED, 31)
         with pytest.raises(ValueError):
             list(warc.read_records(io.BytesIO(packer.compress(bad) + packer.flush())))
@@ -214,8 +215,8 @@ def test_packing_holds_every_id_once(spark, docs):
 
 
 def test_packing_takes_neighbours_first():
-    codes, offsets = np.array([0, 1, 2, 9, 3, 4, 5, 9, 0, 1, 2, 9, 6, 7, 9]), np.array([0, 4, 8, 12, 15])
-    order = [p[0] for p in packing.pack_shard(np.array([10, 10, 10, 10]), packing.Bm25(codes, offsets), 4096)]
+    codes, offsets = np.array([0, 1, 2, 9, 3, 4, 5, 9, 0, 1, 2, 9, 6, 7, 9, 9, 8]), np.array([0, 4, 8, 12, 15, 16, 17])
+    order = [p[0] for p in packing.pack_shard(np.full(6, 10), packing.Bm25(codes, offsets), 4096)]
     assert list(dict.fromkeys(order))[:2] == [0, 2]
 
 
