@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,5 +40,10 @@ def join_lookup(df: DataFrame, table: DataFrame, on: list[str], how: str = "left
     return df.join(F.broadcast(table) if small else table, on, how)
 
 
+def unsliced(texts: pa.Array) -> pa.Array:
+    """texts as large strings without nulls that begin at their buffers' start: some string kernels misread slices."""
+    return pa.concat_arrays([texts, texts.slice(0, 0)]).cast(pa.large_string()).fill_null("")
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -26,6 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import unsliced
+
 WINDOW, END_ID = 4096, 2
 SHARD_BYTES = 8 << 20
 _K1, _B = 1.2, 0.75
@@ -79,7 +81,7 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def tokenize(texts: pa.Array, encoder: WordEncoder) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(ids, ids' offsets by document, word codes, word codes' offsets); every document ends with END_ID."""
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    texts = unsliced(texts)
     odd = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
     plain = pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z])([.,])", r"\1 \2")
     if odd.any():

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_lookup, materialize
+from .common import join_lookup, materialize, unsliced
 
 WINDOW_WORDS = 8
 MIN_WORDS, MAX_REPEAT_PERCENT, MAX_HOST_RATE = 20, 30, 0.5
@@ -34,7 +34,7 @@ def _dense(keys: np.ndarray) -> tuple[np.ndarray, int]:
 
 def measure(texts: pa.Array) -> dict[str, np.ndarray]:
     """MEASURES of every text."""
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    texts = unsliced(texts)
     n = len(texts)
     split = pc.ascii_split_whitespace(texts)
     flat = split.flatten()

@@ -224,6 +224,15 @@ def test_packing_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA), packing.default_tokenizer()).count() == 0
 
 
+def test_slices_are_read_rightly(docs):
+    texts = pa.array([None if i % 7 == 0 else t for i, (_, t) in enumerate(docs)])
+    encoder = packing.WordEncoder(packing.default_tokenizer())
+    part = texts.slice(37, 50)
+    for a, b in zip(packing.tokenize(part, encoder), packing.tokenize(pa.array(part.to_pylist()), encoder), strict=True):
+        assert (a == b).all()
+    assert all((quality.measure(part)[m] == quality.measure(pa.array(part.to_pylist()))[m]).all() for m in quality.MEASURES)
+
+
 def brute_measure(text):
     words = (text or "").encode().split()
     grams = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
