@@ -1,0 +1 @@
+"""Analytics for ground-penetrating-radar surveys on Spark: one row for each trace, samples as an array."""
