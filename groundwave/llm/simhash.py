@@ -227,7 +227,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows without an id stay if nothing else of their class does."""
     found = classes(docs, id_col, text_col, **options)
     keep = materialize(found.select(F.col("component").alias(id_col)).where(F.col(id_col).isNotNull()).distinct(), "simhash-keep")
-    kept = join_lookup(docs, keep, [id_col], "left_semi")
+    # the ids kept grow with the corpus: always a shuffled join, at any size
+    kept = docs.join(keep.hint("merge"), id_col, "left_semi")
     if not found.where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         kept = kept.dropDuplicates([id_col])
     if not found.where("component is null").isEmpty():
