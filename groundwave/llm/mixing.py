@@ -31,7 +31,7 @@ from .common import WORD, join_lookup, materialize
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
-_RANK = 2048
+_RANK = 256
 #: The dynamic programme's budget is at most this or twice the longest document.
 _DP_BUDGET = 1 << 16
 
