@@ -361,14 +361,14 @@ def _fixes(spark, d):
     return tracks(spark, d).select("user_id", "nr", F.when(F.col("nr") % 3 == 0, F.col("x")).alias("v"))
 
 
-@query(E + _NEAR + " SELECT user_id, nr, round(coalesce(v, v0 + (v1 - v0) * ((nr - x0) / (x1 - x0)::DOUBLE)), 4) AS v FROM n")
+@query(E + _NEAR + " SELECT user_id, nr, round(coalesce(v, v0 + (v1 - v0) * ((nr - x0) / (x1 - x0)::DOUBLE)) + 1e-8, 6) AS v FROM n")
 def asof_interp(spark, d):
-    return track.interpolate(_fixes(spark, d), "user_id", "nr", "v").withColumn("v", F.round("v", 4))
+    return track.interpolate(_fixes(spark, d), "user_id", "nr", "v").withColumn("v", F.round(F.col("v") + 1e-8, 6))  # off the ties of rounding
 
 
-@query(E + _NEAR + " SELECT user_id, nr, round(CASE WHEN v IS NOT NULL THEN v WHEN least(nr - x0, x1 - nr) < 40 AND x0 IS NOT NULL AND x1 IS NOT NULL THEN v0 + (v1 - v0) * ((nr - x0) / (x1 - x0)::DOUBLE) END, 6) AS v FROM n")
+@query(E + _NEAR + " SELECT user_id, nr, round(CASE WHEN v IS NOT NULL THEN v WHEN least(nr - x0, x1 - nr) < 40 AND x0 IS NOT NULL AND x1 IS NOT NULL THEN v0 + (v1 - v0) * ((nr - x0) / (x1 - x0)::DOUBLE) END + 1e-8, 6) AS v FROM n")
 def gap_fill(spark, d):
-    return track.interpolate(_fixes(spark, d), "user_id", "nr", "v", gap=80).withColumn("v", F.round("v", 6))
+    return track.interpolate(_fixes(spark, d), "user_id", "nr", "v", gap=80).withColumn("v", F.round(F.col("v") + 1e-8, 6))
 
 
 @query(E + _NEAR + " SELECT user_id, nr, CASE WHEN x0 IS NOT NULL AND (x1 IS NULL OR nr - x0 <= x1 - nr) THEN v0 ELSE v1 END AS v FROM n")
