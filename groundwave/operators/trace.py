@@ -113,3 +113,13 @@ def stack(arrays: Column) -> Column:
 def blend(a: Column, b: Column, share: Column) -> Column:
     """a + (b - a) share, sample by sample."""
     return F.zip_with(F.arrays_zip(a.alias("a"), b.alias("b")), F.array_repeat(share, F.size(a)), lambda x, s: x["a"] + (x["b"] - x["a"]) * s)
+
+
+def padded(amp: Column, ns: int) -> Column:
+    """ns samples: longer traces are cut, shorter ones end in zeros."""
+    return F.concat(F.slice(amp, 1, ns), F.array_repeat(F.lit(0.0), F.greatest(ns - F.size(amp), F.lit(0))))
+
+
+def wiggle(amp: Column) -> Column:
+    """Divided by the largest sample; 0 where that is 0."""
+    return F.zip_with(amp, F.array_repeat(F.array_max(amp), F.size(amp)), lambda x, m: F.coalesce(F.try_divide(x, m), F.lit(0.0)))

@@ -1 +1,5 @@
+"""Recipes and the query catalogue; importing the package registers every survey query."""
 
+from . import catalogue, fieldwork
+
+__all__ = ["catalogue", "fieldwork"]
