@@ -4,38 +4,21 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def chamfer(mask: np.ndarray) -> np.ndarray:
-    """Distances to the nearest set cell: steps of 3 along the axes and 4 across, over 4."""
-    d = np.where(mask, 0.0, np.inf)
-    for image in (d, d[::-1, ::-1]):
-        for i in range(image.shape[0]):
-            if i:
-                up = image[i - 1]
-                image[i] = np.minimum(image[i], up + 3)
-                image[i, 1:] = np.minimum(image[i, 1:], up[:-1] + 4)
-                image[i, :-1] = np.minimum(image[i, :-1], up[1:] + 4)
-            along = np.arange(image.shape[1]) * 3
-            image[i] = np.minimum.accumulate(image[i] - along) + along
-    return d / 4
+def distance_map(cells: DataFrame, radius: float) -> DataFrame:
+    """(slice, ix, iy, d): every cell within radius of a set cell and its distance to the nearest one, steps of 3/4 along the axes and of 1 across.
 
-
-def distance_map(cells: DataFrame) -> DataFrame:
-    """(slice, ix, iy, d) of the whole rectangle around a slice's set cells. The mask of a slice must fit one task."""
-
-    def run(table: pa.Table) -> pa.Table:
-        ix, iy = table["ix"].to_numpy(), table["iy"].to_numpy()
-        mask = np.zeros((iy.max() - iy.min() + 1, ix.max() - ix.min() + 1), bool)
-        mask[iy - iy.min(), ix - ix.min()] = True
-        y, x = np.indices(mask.shape)
-        return pa.table({"slice": pa.array([table["slice"][0].as_py()] * mask.size), "ix": (x + ix.min()).ravel(), "iy": (y + iy.min()).ravel(), "d": chamfer(mask).ravel()})
-
-    return cells.select("slice", "ix", "iy").groupBy("slice").applyInArrow(run, "slice long, ix long, iy long, d double")
+    Set cells spread to the cells around and the least distance is kept, so no task holds an image;
+    a row for each cell of the neighbourhood is the cost, combined before the shuffle.
+    """
+    reach = math.floor(radius / 0.75)
+    near = [(i, j, (4 * min(abs(i), abs(j)) + 3 * abs(abs(i) - abs(j))) / 4) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)]
+    table = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(d).alias("d")) for i, j, d in near if d <= radius])
+    rows = cells.select("slice", "ix", "iy", F.explode(table).alias("o"))
+    return rows.groupBy("slice", (F.col("ix") + F.col("o.i")).alias("ix"), (F.col("iy") + F.col("o.j")).alias("iy")).agg(F.min("o.d").alias("d"))
 
 
 def migrate(cells: DataFrame, dx: float, dt: float, speed: float, aperture: float, dz: float, nz: int, amp: str = "amp") -> DataFrame:

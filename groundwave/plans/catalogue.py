@@ -560,28 +560,47 @@ def envelope(spark, d):
     return spectral.apply(raw(spark, d), spectral.envelope).select("vec_id", *sums())
 
 
-@query()
+def _ramp(f: str, f1: float, f2: float, f3: float, f4: float) -> str:
+    return f"(0.5 - 0.5 * cos(pi() * greatest(0, least(1, ({f} - {f1}) / {f2 - f1!r}::DOUBLE)))) * (0.5 + 0.5 * cos(pi() * greatest(0, least(1, ({f} - {f3}) / {f4 - f3!r}::DOUBLE))))"
+
+
+_BAND = f"""bf AS (SELECT vec_id, j, {_ramp("j * 15.625", 1, 100, 600, 725)} * CASE WHEN j IN (0, 64) THEN 1 ELSE 2 END / 128 AS h, list_sum(list_transform(range(0, 64), lambda k: amp[k + 1] * cos(pi() * j * k / 64))) AS re,
+  list_sum(list_transform(range(0, 64), lambda k: -amp[k + 1] * sin(pi() * j * k / 64))) AS im FROM src, range(0, 65) r(j)),
+bo AS (SELECT vec_id, k, sum(h * (re * cos(pi() * j * k / 64) - im * sin(pi() * j * k / 64))) AS v FROM bf, range(0, 64) r(k) GROUP BY ALL)"""
+
+
+@query(T + f", src AS (SELECT vec_id, amp FROM traces), {_BAND} SELECT vec_id, count(*) AS n, round(sum(v), 6) AS s, round(sum(v * (k + 1)), 6) AS w FROM bo GROUP BY vec_id")
 def bandpass(spark, d):
     from ..operators import spectral
 
     return spectral.apply(raw(spark, d), spectral.bandpass(DT, 100, 600)).select("vec_id", *sums())
 
 
-@query()
+@query(_DFT.replace("SELECT vec_id, j,", "SELECT vec_id, channel, j,") + f""", l AS (SELECT channel, j, coalesce(nullif(avg(sqrt(re * re + im * im)), 0), 1) AS l FROM f WHERE j <= 32 GROUP BY ALL),
+g AS (SELECT vec_id, k, sum(pow(l, -0.5) * CASE WHEN j IN (0, 32) THEN 1 ELSE 2 END / 64 * (re * cos(2 * pi() * j * k / 64) - im * sin(2 * pi() * j * k / 64))) / sqrt(0.5) AS v FROM f JOIN l USING (channel, j), range(0, 64) r(k) GROUP BY ALL),
+src AS (SELECT vec_id, list(v ORDER BY k) AS amp FROM g GROUP BY vec_id), {_BAND}
+SELECT channel, trace, count(*) AS n, round(sum(v), 6) AS s, round(sum(v * (k + 1)), 6) AS w FROM bo JOIN traces USING (vec_id) GROUP BY channel, trace""")
 def whiten(spark, d):
     from ..operators import spectral
 
     return spectral.apply_groups(traces(spark, d), "channel", "trace", spectral.whiten(DT, 100, 600, 0.5)).select("channel", "trace", *sums())
 
 
-@query()
+@query(T + f""", t AS (SELECT channel, trace - 1 AS t, count(*) OVER (PARTITION BY channel) AS c, amp FROM traces), a AS (SELECT channel, t, c, k, amp[k] AS a FROM t, range(1, 65) r(k)),
+f AS (SELECT channel, k, c, j, sum(a * cos(pi() * j * t / c)) AS re, -sum(a * sin(pi() * j * t / c)) AS im FROM a JOIN range(0, 5000) r(j) ON j <= c GROUP BY ALL),
+h AS (SELECT *, {_ramp("j / (2 * c * 0.02::DOUBLE)", 0.05, 0.1, 0.9999 / 0.04 - 0.55, 0.9999 / 0.04)} * CASE WHEN j IN (0, c) THEN 1 ELSE 2 END / (2 * c) AS h FROM f),
+o AS (SELECT a.channel, a.t, a.k, sum(h * (re * cos(pi() * j * a.t / a.c) - im * sin(pi() * j * a.t / a.c))) AS v FROM a JOIN h ON a.channel = h.channel AND a.k = h.k GROUP BY ALL)
+SELECT channel, t + 1 AS trace, count(*) AS n, round(sum(v), 6) AS s, round(sum(v * k), 6) AS w FROM o GROUP BY channel, t""")
 def k_highpass(spark, d):
     from ..operators import spectral
 
     return spectral.apply_groups(traces(spark, d), "channel", "trace", spectral.k_highpass(0.02, 0.1)).select("channel", "trace", *sums())
 
 
-@query()
+@query(T + f""", ref AS (SELECT amp AS b FROM traces ORDER BY vec_id LIMIT 1), c AS (SELECT vec_id, amp, list_transform(range(-63, 64), lambda l: list_sum(list_transform(range(greatest(1, 1 - l), least(64, 64 - l) + 1), lambda n: amp[n + l] * b[n]))) AS r FROM traces, ref),
+u AS (SELECT *, coalesce(list_filter(range(64, 127), lambda i: r[i] > r[i + 1])[1], 127) AS up, coalesce(list_filter(list_reverse(range(2, 65)), lambda i: r[i] > r[i - 1])[1], 1) AS down FROM c),
+g AS (SELECT vec_id, amp, CASE WHEN down <> 64 THEN down ELSE up END - 64 AS lag FROM u),
+x AS (SELECT vec_id, list_transform(range(1, 65), lambda i: CASE WHEN i + lag BETWEEN 1 AND 64 THEN amp[i + lag] ELSE 0 END) AS a FROM g) SELECT vec_id, {SUMS} FROM x""")
 def t0_xcorr(spark, d):
     from ..operators import spectral
 
@@ -590,7 +609,10 @@ def t0_xcorr(spark, d):
     return spectral.apply(raw(spark, d), spectral.align_to(reference)).select("vec_id", *sums())
 
 
-@query()
+@query(CELLS + _SLICES.format(agg="sum(abs(v))") + """, q AS (SELECT u, w, CASE WHEN u < 5 THEN u ELSE u - 10 END AS ky, CASE WHEN w < 5 THEN w ELSE w - 10 END AS kx FROM range(0, 10) a(u), range(0, 10) b(w)),
+a AS (SELECT *, abs((degrees(atan2(ky, kx)) - 30 + 90 + 360) % 180 - 90) AS away FROM q), h AS (SELECT u, w, CASE WHEN u = 0 AND w = 0 THEN 1 ELSE 0.5 - 0.5 * cos(pi() * greatest(0, least(1, (away - 10) / 10))) END AS h FROM a),
+f AS (SELECT slice, u, w, h, sum(v * cos(2 * pi() * (u * iy + w * ix) / 10)) AS re, -sum(v * sin(2 * pi() * (u * iy + w * ix) / 10)) AS im FROM v, h GROUP BY ALL)
+SELECT v.slice, v.ix, v.iy, round(sum(h * (re * cos(2 * pi() * (u * iy + w * ix) / 10) - im * sin(2 * pi() * (u * iy + w * ix) / 10))) / 100, 6) AS v FROM v JOIN f ON v.slice = f.slice GROUP BY v.slice, v.ix, v.iy""")
 def pieslice(spark, d):
     from ..operators import spectral
 
@@ -598,15 +620,20 @@ def pieslice(spark, d):
     return spectral.filter_slices(rows, spectral.pie_slice(30, 20)).select("slice", "ix", "iy", F.round("v", 6).alias("v"))
 
 
-@query()
+@query(_PART + """, f AS (SELECT ix, iy FROM g WHERE (ix * 7 + iy * 3) % 11 = 0), c AS (SELECT f.ix + i AS ix, f.iy + j AS iy, (4 * least(abs(i), abs(j)) + 3 * abs(abs(i) - abs(j))) / 4.0::DOUBLE AS d FROM f, range(-7, 8) a(i), range(-7, 8) b(j))
+SELECT 0::BIGINT AS slice, ix, iy, min(d) AS d FROM c WHERE d <= 5 GROUP BY ix, iy""")
 def chamfer(spark, d):
     from ..operators import kernels
 
     rows = _grid(spark, d).select(F.lit(0).cast("long").alias("slice"), "ix", "iy").where("(ix * 7 + iy * 3) % 11 = 0")
-    return kernels.distance_map(rows)
+    return kernels.distance_map(rows, 5.0)
 
 
-@query()
+@query(CELLS + """, a AS (SELECT ix, iy, list(v ORDER BY k) AS amp FROM cells GROUP BY ix, iy),
+p AS (SELECT i.ix, i.iy, a.amp, 0.5 * sqrt((i.ix - a.ix) ** 2 + (i.iy - a.iy) ** 2) AS d FROM a i, a), z AS (SELECT *, (k + 1) * 0.05::DOUBLE AS z FROM p, range(0, 20) r(k)),
+s AS (SELECT ix, iy, k, amp[round(2 * sqrt(d * d + z * z) / 0.1 / 0.5)::INT + 1] AS a, atan2(d, z) / radians(30) AS t FROM z WHERE atan2(d, z) < radians(30)),
+m AS (SELECT ix, iy, k, sum(a * (0.5 - 0.5 * cos(t * pi()))) / count(*) AS v FROM s WHERE a IS NOT NULL GROUP BY ALL)
+SELECT ix, iy, 20::BIGINT AS n, round(sum(v), 6) AS s, round(sum(v * (k + 1)), 6) AS w FROM m GROUP BY ix, iy""")
 def migrate3d(spark, d):
     from ..operators import kernels
 

@@ -69,11 +69,18 @@ def test_alignment_and_k_highpass():
     assert np.isnan(out[3, 1]) and np.abs(out[40:60, 2]).max() < 0.1
 
 
-def test_chamfer_steps():
-    mask = np.zeros((5, 5), bool)
-    mask[2, 2] = True
-    d = kernels.chamfer(mask)
-    assert d[2, 3] == d[1, 2] == 0.75 and d[1, 1] == d[3, 3] == 1 and d[2, 0] == 1.5 and d[0, 4] == 2
+def test_distance_map_equals_two_raster_passes(spark):
+    mask = np.random.default_rng(3).random((9, 12)) < 0.04
+    mask[4, 4] = True
+    d = np.where(mask, 0.0, np.inf)
+    for image in (d, d[::-1, ::-1]):
+        for i, j in np.ndindex(*image.shape):
+            for di, dj, w in ((-1, -1, 1), (-1, 0, 0.75), (-1, 1, 1), (0, -1, 0.75)):
+                if 0 <= i + di and 0 <= j + dj < image.shape[1]:
+                    image[i, j] = min(image[i, j], image[i + di, j + dj] + w)
+    cells = spark.createDataFrame([(0, int(x), int(y)) for y, x in zip(*np.nonzero(mask))], "slice long, ix long, iy long")
+    got = {(r["iy"], r["ix"]): r["d"] for r in kernels.distance_map(cells, 3.0).collect()}
+    assert {k: v for k, v in got.items() if 0 <= k[0] < 9 and 0 <= k[1] < 12} == {(i, j): d[i, j] for i, j in np.ndindex(*d.shape) if d[i, j] <= 3}
 
 
 def test_migration_of_one_trace_is_a_circle(spark):
