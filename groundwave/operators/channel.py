@@ -66,3 +66,10 @@ def valid_everywhere(traces: DataFrame, channel: str, order: str) -> DataFrame:
     """The trace numbers that every channel has."""
     n = traces.select(channel).distinct().agg(F.count("*").alias("_n"))
     return traces.groupBy(order).agg(F.count_distinct(channel).alias("_c")).join(F.broadcast(n), F.col("_c") == F.col("_n")).select(order)
+
+
+def shifted(traces: DataFrame, shifts: DataFrame, channel: str, amp: str = "amp") -> DataFrame:
+    """Traces moved by their channel's shift in samples, zeros shifted in; channels without one stay."""
+    rows = traces.join(shifts.select(channel, F.col("shift").alias("_s")), channel, "left").withColumn("_s", F.coalesce("_s", F.lit(0)))
+    move = F.transform(F.sequence(F.lit(0), F.size(amp) - 1), lambda i: F.coalesce(F.when(i >= F.col("_s"), F.get(amp, i - F.col("_s"))), F.lit(0.0)))
+    return rows.withColumn(amp, F.when(F.size(amp) > 0, move).otherwise(F.col(amp))).drop("_s")

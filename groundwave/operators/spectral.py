@@ -1,7 +1,7 @@
 """Frequency-domain operators. Kernels are numpy functions of a block (traces x samples).
 
-Trace-wise kernels run on Arrow batches without a shuffle; profile-wise ones on a channel at a time,
-which must fit one task, as a mean spectrum or a filter along traces needs all of it.
+Trace-wise kernels run on Arrow batches without a shuffle; a filter along traces needs a channel of a
+profile at a time, which must fit one task.
 """
 
 from __future__ import annotations
@@ -39,15 +39,15 @@ def apply(traces: DataFrame, kernel: Kernel, amp: str = "amp") -> DataFrame:
     return traces.mapInArrow(run, traces.schema)
 
 
-def apply_groups(traces: DataFrame, by: str, order: str, kernel: Kernel, amp: str = "amp") -> DataFrame:
-    """kernel on all traces of a group in order: by, order, amp."""
-    rows = traces.select(by, order, amp).where(F.col(amp).isNotNull())
+def apply_groups(traces: DataFrame, by: str | list[str], order: str, kernel: Kernel, amp: str = "amp") -> DataFrame:
+    """kernel on all traces of a group in order; other columns stay as they are."""
+    rows = traces.where(F.col(amp).isNotNull()).withColumn(amp, F.col(amp).cast("array<double>"))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by(order).combine_chunks()
-        return pa.table({by: table[by], order: table[order], amp: _lists(kernel(_block(table[amp].chunk(0))))})
+        return table.set_column(table.schema.get_field_index(amp), amp, _lists(kernel(_block(table[amp].chunk(0)))))
 
-    return rows.groupBy(by).applyInArrow(run, rows.schema)
+    return rows.groupBy(*([by] if isinstance(by, str) else by)).applyInArrow(run, rows.schema)
 
 
 def amplitude_spectrum(block: np.ndarray) -> np.ndarray:
@@ -86,17 +86,26 @@ def bandpass(dt: float, low: float, high: float) -> Kernel:
     return kernel
 
 
-def whiten(dt: float, low: float, high: float, alpha: float) -> Kernel:
-    """Spectra times A^(alpha-1), A being the mean amplitude spectrum, over sqrt(alpha); then the band-pass."""
-    band = bandpass(dt, low, high)
+def whitened(traces: DataFrame, by: list[str], dt: float, low: float, high: float, alpha: float, amp: str = "amp") -> DataFrame:
+    """Spectra times A^(alpha-1), A being the mean amplitude spectrum of the group, over sqrt(alpha); then the band-pass.
 
-    def kernel(block):
-        spectra = np.fft.rfft(block)
-        level = np.abs(spectra).mean(0)
-        level[level == 0] = 1
-        return band(np.fft.irfft(spectra * level ** (alpha - 1), block.shape[1]) / np.sqrt(alpha))
+    The mean spectrum is a grouped sum that joins back to the traces, so a group may be of any size.
+    """
+    from .channel import sample_stats
 
-    return kernel
+    traces = traces.where(F.col(amp).isNotNull()).withColumn(amp, F.col(amp).cast("array<double>"))
+    level = sample_stats(apply(traces.select(*by, amp), lambda block: np.abs(np.fft.rfft(block)), amp), by, amp).select(*by, F.col("mean").alias("_level"))
+    rows, band = traces.join(level, by), bandpass(dt, low, high)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                block, a = _block(batch.column(amp)), _block(batch.column("_level"))
+                out = np.fft.irfft(np.fft.rfft(block) * np.where(a == 0, 1, a) ** (alpha - 1), block.shape[1]) / np.sqrt(alpha)
+                yield pa.RecordBatch.from_arrays([_lists(band(out)) if n == amp else batch.column(n) for n in names], names=names)
+
+    names = rows.drop("_level").columns
+    return rows.mapInArrow(run, rows.drop("_level").schema)
 
 
 def k_highpass(dx: float, cut: float) -> Kernel:

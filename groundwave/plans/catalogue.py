@@ -583,7 +583,7 @@ SELECT channel, trace, count(*) AS n, round(sum(v), 6) AS s, round(sum(v * (k +
 def whiten(spark, d):
     from ..operators import spectral
 
-    return spectral.apply_groups(traces(spark, d), "channel", "trace", spectral.whiten(DT, 100, 600, 0.5)).select("channel", "trace", *sums())
+    return spectral.whitened(traces(spark, d), ["channel"], DT, 100, 600, 0.5).select("channel", "trace", *sums())
 
 
 @query(T + f""", t AS (SELECT channel, trace - 1 AS t, count(*) OVER (PARTITION BY channel) AS c, amp FROM traces), a AS (SELECT channel, t, c, k, amp[k] AS a FROM t, range(1, 65) r(k)),

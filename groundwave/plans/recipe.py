@@ -6,12 +6,14 @@ other keys are parameters. Places must be 1..n, each once.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import channel, spectral, trace, track
+from ..functions import geo
+from ..operators import channel, grid, kernels, position, spectral, trace, track
 
 #: name: function of (traces, parameters, dt, ns). Traces have profile, channel, trace and amp.
 STEPS: dict[str, Callable[[DataFrame, dict[str, float], float, int], DataFrame]] = {}
@@ -63,6 +65,94 @@ def bandpass(df, p, dt, ns):
     return spectral.apply(df, spectral.bandpass(dt, p["fstart"], p["fend"]))
 
 
+@step("do_medfilt_x")
+def median_of_traces(df, p, dt, ns):
+    return position.median_of_traces(df, ["profile", "channel"], "trace", int(p["numsamp_x"]) | 1, math.ceil(p.get("tstart_x", 0) / dt))
+
+
+@step("do_spectralWhitening")
+def whitening(df, p, dt, ns):
+    return spectral.whitened(df, ["profile", "channel"], dt, p["fmin"], p["fmax"], p["alpha"])
+
+
+@step("do_khighpass")
+def k_highpass(df, p, dt, ns):
+    return spectral.apply_groups(df, ["profile", "channel"], "trace", spectral.k_highpass(p["dx"], p["kcutoff"]))
+
+
+@step("do_constTraceDist")
+def constant_spacing(df, p, dt, ns):
+    """Mean traces of steps of dx along `inline`; the last, partly filled step of a profile goes."""
+    keys = ["profile", "channel"]
+    ends = df.groupBy(*keys).agg(F.floor(F.max("inline") / p["dx"]).alias("_n"))
+    rows = df.join(ends, keys).withColumn("trace", F.floor(F.col("inline") / p["dx"]) + 1).where("trace <= _n")
+    return grid.mean_trace_of_cells(rows, [*keys, "trace"]).withColumn("inline", (F.col("trace") - 1) * p["dx"])
+
+
+@step("do_channelshift")
+def channel_shift(df, p, dt, ns):
+    """Every channel moved to fit channel 1; the shift is found on the reference profile, if one is given."""
+    known = df.where(F.col("profile") == p["refprofile"]) if "refprofile" in p else df
+    return channel.shifted(df, channel.best_shift(channel.sample_stats(known, ["channel"]), "channel", 1, int(p["maxshift"])), "channel")
+
+
+@step("do_crossprofileshift")
+def profile_shift(df, p, dt, ns):
+    """Every profile moved to fit the first one, by the mean traces of channel 1."""
+    first = df.agg(F.min("profile").alias("p")).first()["p"]
+    means = channel.sample_stats(df.where("channel = 1"), ["profile"])
+    return channel.shifted(df, channel.best_shift(means, "profile", first, int(p["maxshift_cps"])), "profile")
+
+
+@step("do_t0CorrectionReferencetrace")
+def reference_trace(df, p, dt, ns):
+    """Every trace moved to fit one trace, then its time zero cut; the reference is one row, found when the plan is made."""
+    found = df.where((F.col("profile") == p["profile"]) & (F.col("channel") == p["channel"]) & (F.col("trace") == p["trace"])).select("amp").first()
+    if found is None:
+        raise ValueError("the reference trace is not in the survey")
+    moved = spectral.apply(df.withColumn("amp", F.col("amp").cast("array<double>")), spectral.align_to(found["amp"]))
+    return moved.withColumn("amp", trace.t0_shift(F.col("amp"), dt, p["t0"]))
+
+
+@step("do_turnProfiles")
+def turn(df, p, dt, ns):
+    return track.turn(df, ["profile", "channel"], "trace").drop("turned")
+
+
+@step("do_exchange_x_y")
+def exchange(df, p, dt, ns):
+    return df.withColumns({"x": F.col("y"), "y": F.col("x")})
+
+
+@step("do_helmertTransformation")
+def similarity(df, p, dt, ns):
+    """x and y under the similarity with parameters a, b, tx and ty (see functions.geo.similarity)."""
+    x, y = geo.transformed(F.col("x"), F.col("y"), (p["a"], p["b"], p["tx"], p["ty"]))
+    return df.withColumns({"x": x, "y": y})
+
+
+@step("do_makeAmpSpec")
+def spectrum(df, p, dt, ns):
+    return spectral.apply(df.withColumn("amp", F.col("amp").cast("array<double>")), spectral.amplitude_spectrum)
+
+
+@step("do_Envelope")
+def envelope(df, p, dt, ns):
+    return spectral.apply(df.withColumn("amp", F.col("amp").cast("array<double>")), spectral.envelope)
+
+
+@step("do_TopoMigration3D")
+def migration(df, p, dt, ns):
+    """Of grid cells (ix, iy, amp)."""
+    return kernels.migrate(df, p["dx"], dt, p["v"], p["aperture"], p["dz"], int(p["nz"]))
+
+
+@step("do_Coherence")
+def coherence(df, p, dt, ns):
+    """Of grid cells; v takes the place of the traces."""
+    return grid.coherence(df, int(p["first"]), int(p["samples"])).select("ix", "iy", F.array("v").alias("amp"))
+
+
 def parse(text: str) -> tuple[list[str], dict[str, float]]:
     """(steps in order, parameters)."""
     places, parameters = {}, {}

@@ -157,3 +157,17 @@ def test_streaming_windows_equal_batch(spark, tmp_path):
 
 def canonical_ts(df):
     return sorted(map(str, df.collect()))
+
+
+def test_recipe_aligns_channels_and_filters_profiles(spark):
+    pulse = np.exp(-((np.arange(32) - 12.0) ** 2) / 6)
+    rows = [(p, c, i, 0.1 * i, float(i), 1.0, np.roll(pulse, 2 * (c - 1) + 3 * (p - 1)).tolist()) for p in (1, 2) for c in (1, 2) for i in range(1, 9)]
+    df = spark.createDataFrame(rows, "profile int, channel int, trace int, inline double, x double, y double, amp array<double>")
+    out = recipe.run(df, "do_channelshift 1\nmaxshift 4\nrefprofile 1\ndo_crossprofileshift 2\nmaxshift_cps 5", 0.5, 32).collect()
+    assert len(out) == len(rows) and all(np.argmax(r["amp"]) == 12 for r in out)
+    out = recipe.run(df, "do_t0CorrectionReferencetrace 1\nprofile 1\nchannel 1\ntrace 1\nt0 1\ndo_exchange_x_y 2\ndo_turnProfiles 3", 0.5, 32).collect()
+    assert all(np.argmax(r["amp"]) == 11 and r["x"] == 1.0 for r in out) and {(r["trace"], r["y"]) for r in out} == {(i, float(i)) for i in range(1, 9)}
+    out = recipe.run(df, "do_constTraceDist 1\ndx 0.2\ndo_medfilt_x 2\nnumsamp_x 3\ndo_spectralWhitening 3\nfmin 50\nfmax 400\nalpha 0.8\ndo_khighpass 4\nkcutoff 0.1", 0.5, 32)
+    assert sorted({(r["profile"], r["channel"], r["trace"]) for r in out.collect()}) == [(p, c, t) for p in (1, 2) for c in (1, 2) for t in range(1, 5)]
+    out = recipe.run(df, "do_helmertTransformation 1\na 0\nb 1\ntx 5\nty 6\ndo_Envelope 2\ndo_makeAmpSpec 3", 0.5, 32).collect()
+    assert all(r["x"] == 4.0 and r["y"] == 6 + r["trace"] and len(r["amp"]) == 17 for r in out)
