@@ -57,10 +57,6 @@ def _slices(text: str):
         yield np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32), at + _SLICE < len(text)
 
 
-def _known(rows: DataFrame) -> DataFrame:
-    return rows.where(F.col("text").rlike(r"\p{L}"))
-
-
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_train_rows: int = 2_000_000, max_cells: int = 1 << 24, buckets: int = BUCKETS):
     """(languages, float32 matrix buckets x languages, log priors) of the rows that are not held out."""
     rows = docs.where(F.col(id_col).isNotNull() & ~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())

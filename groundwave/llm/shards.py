@@ -29,17 +29,20 @@ def _bits(text: Column, digits: int) -> Column:
     return F.lpad(F.conv(F.substring(F.md5(text), 1, digits), 16, 2), digits * 4, "0")
 
 
-def assign(df: DataFrame, key: str, text: str, limit: int) -> DataFrame:
-    """df's key and text size with shard (hash-prefix bits), depth, and the shard's bytes and rows."""
-    size = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long")
+def _hash(key: str, text: str) -> Column:
+    """The bits of a row: those of its key, then those of key and text."""
     name = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    rows = df.select(
-        F.col(key), size.alias("n_bytes"),
-        F.concat(_bits(name, KEY_BITS // 4), _bits(F.concat(name, F.lit("/"), F.coalesce(F.col(text), F.lit(""))), KEY_BITS // 4)).alias("hash"),
-    )
-    rows = materialize(rows, "shard-rows")
+    return F.concat(_bits(name, KEY_BITS // 4), _bits(F.concat(name, F.lit("/"), F.coalesce(F.col(text), F.lit(""))), KEY_BITS // 4))
+
+
+def _size(text: str) -> Column:
+    return F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long")
+
+
+def directory(rows: DataFrame, limit: int) -> DataFrame:
+    """(shard, depth, shard_bytes, shard_rows) of written rows (hash, n_bytes), as a written table."""
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
-    directory, fine, open_rows, start = None, min(ALL_BITS, max(4, math.ceil(math.log2(max(1, total) / limit + 1)) + _STEP)), rows, 0
+    found, fine, open_rows, start = None, min(ALL_BITS, max(4, math.ceil(math.log2(max(1, total) / limit + 1)) + _STEP)), rows, 0
     while True:
         histogram = open_rows.groupBy(F.substring("hash", 1, fine).alias("prefix")).agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("rows"))
         # every depth's bucket sums from the one histogram
@@ -52,7 +55,7 @@ def assign(df: DataFrame, key: str, text: str, limit: int) -> DataFrame:
         if start == 0:
             leaves = leaves.unionByName(fits.where("depth = 0").select("shard", "depth", "shard_bytes", "shard_rows"))
         leaves = materialize(leaves, "shard-directory")
-        directory = leaves if directory is None else directory.unionByName(leaves)
+        found = leaves if found is None else found.unionByName(leaves)
         if fine == ALL_BITS:
             break
         large = materialize(histogram.where((F.col("bytes") > limit) & (F.col("rows") > 1)).select("prefix"), "shard-large")
@@ -60,16 +63,28 @@ def assign(df: DataFrame, key: str, text: str, limit: int) -> DataFrame:
             break
         open_rows = join_lookup(open_rows.withColumn("prefix", F.substring("hash", 1, fine)), large, ["prefix"], "left_semi").select("hash", "n_bytes")
         start, fine = fine, min(ALL_BITS, fine + 2 * _STEP)
-    # rows meet their shard on the depths in use, of which there are few
-    used = [r["depth"] for r in directory.select("depth").distinct().collect()]
+    return materialize(found, "shard-all")
+
+
+def place(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """rows with the columns of the directory in place of hash; every row meets one shard, by one of the few depths in use."""
+    used = [r["depth"] for r in table.select("depth").distinct().collect()]
     candidates = rows.withColumn("shard", F.explode(F.array(*[F.substring("hash", 1, d) for d in sorted(used)]))) if used else rows.withColumn("shard", F.lit(""))
-    return join_lookup(candidates, materialize(directory, "shard-all"), ["shard"], "inner").drop("hash")
+    return join_lookup(candidates, table, ["shard"], "inner").drop("hash")
+
+
+def assign(df: DataFrame, key: str, text: str, limit: int) -> DataFrame:
+    """df's key and text size with shard (hash-prefix bits), depth, and the shard's bytes and rows."""
+    rows = materialize(df.select(F.col(key), _size(text).alias("n_bytes"), _hash(key, text).alias("hash")), "shard-rows")
+    return place(rows, directory(rows, limit))
 
 
 def write(df: DataFrame, key: str, text: str, limit: int, path: str) -> None:
-    """Write df to path, one folder for each shard."""
-    placed = assign(df, key, text, limit).select(key, "shard").dropDuplicates([key])
-    df.join(placed, key).write.partitionBy("shard").parquet(path)
+    """Write every row of df to path, one folder for each shard, named b and its bits. Columns of df are inside struct `row` if one of them is named shard."""
+    table = directory(materialize(df.select(_size(text).alias("n_bytes"), _hash(key, text).alias("hash")), "shard-rows"), limit)
+    placed = place(df.select(F.struct(*df.columns).alias("row"), _hash(key, text).alias("hash")), table)
+    clash = "shard" in [c.lower() for c in df.columns]
+    placed.select("row" if clash else "row.*", F.concat(F.lit("b"), "shard").alias("shard")).write.partitionBy("shard").parquet(path)
 
 
 #: The query's byte limit.

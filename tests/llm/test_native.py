@@ -108,3 +108,17 @@ def test_shards_fit_and_are_shallow(spark, limit):
 
 def test_shards_empty_table(spark):
     assert shards.assign(spark.createDataFrame([], SCHEMA), "doc_id", "text", 10).count() == 0
+
+
+def test_shards_are_written_whole(spark, tmp_path):
+    rows = [(i % 40, "x" * (i % 9)) for i in range(120)] + [(None, "y"), (None, "y"), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    shards.write(df, "doc_id", "text", 50, str(tmp_path / "a"))
+    back = spark.read.parquet(str(tmp_path / "a"))
+    assert sorted(map(repr, rows)) == sorted(repr((r["doc_id"], r["text"])) for r in back.collect())
+    sizes = {}
+    for r in back.collect():
+        sizes.setdefault(r["shard"], []).append(len(r["text"] or ""))
+    assert len(sizes) > 5 and all(s[0] == "b" for s in sizes)
+    shards.write(df.withColumn("shard", F.lit(3)), "doc_id", "text", 10**6, str(tmp_path / "b"))
+    assert spark.read.parquet(str(tmp_path / "b")).select("row.shard").distinct().collect() == [(3,)]
