@@ -37,9 +37,8 @@ def test_query_equals_sql(spark, duck, name):
     assert canonical(df.select(*columns).collect()) == canonical(want.select(", ".join(columns)).fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
-def test_kernel_queries_run(spark, name):
-    assert catalogue.QUERIES[name](spark, SMALL).count() > 0
+def test_every_query_has_its_sql():
+    assert set(catalogue.QUERIES) == set(catalogue.ORACLES)
 
 
 def test_entry(spark):
