@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import track
+
 
 def distance_map(cells: DataFrame, radius: float) -> DataFrame:
     """(slice, ix, iy, d): every cell within radius of a set cell and its distance to the nearest one, steps of 3/4 along the axes and of 1 across.
@@ -47,3 +49,25 @@ def migrate(cells: DataFrame, dx: float, dt: float, speed: float, aperture: floa
     sums = rows.groupBy("ix", "iy", "k").agg((F.sum("x.v") / F.sum("x.n")).alias("v"))
     hits = sums.groupBy("ix", "iy").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))
     return hits.select("ix", "iy", F.transform(F.sequence(F.lit(0), F.lit(nz - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0))).alias(amp))
+
+
+def migrate_profile(traces: DataFrame, by: str | list[str], order: str, dx: float, dt: float, speed: float, aperture: float, reach: int, amp: str = "amp") -> DataFrame:
+    """Time migration along a profile, traces dx apart: our own sum along diffraction hyperbolas.
+
+    The image at sample k takes from a trace d away its sample at round(sqrt(k^2 + (2 d / (v dt))^2)),
+    weighted by the cosine of the angle from the vertical, if the angle is at most aperture/2; the sum is
+    divided by the weights. At most `reach` traces to each side: a window, so every trace is shuffled once.
+    """
+    around = F.collect_list(F.struct(F.col(order).alias("o"), F.col(amp).alias("a"))).over(track.along(by, order).rangeBetween(-reach, reach))
+    half = math.cos(math.radians(aperture / 2))
+
+    def at(k):
+        def add(acc, t):
+            p = F.hypot(k.cast("double"), (t["o"] - F.col(order)) * (2 * dx / (speed * dt)))
+            lean = F.when(p == 0, 1.0).otherwise(k / p)
+            sample = F.get(t["a"], F.round(p).cast("int"))
+            return F.when((lean >= half) & sample.isNotNull(), F.struct((acc["s"] + lean * sample).alias("s"), (acc["w"] + lean).alias("w"))).otherwise(acc)
+
+        return F.aggregate("_w", F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w")), add, lambda acc: F.coalesce(F.try_divide(acc["s"], acc["w"]), F.lit(0.0)))
+
+    return traces.withColumn("_w", around).withColumn(amp, F.transform(F.sequence(F.lit(0), F.size(amp) - 1), at)).drop("_w")

@@ -143,3 +143,25 @@ def median_of_traces(traces: DataFrame, by: str | list[str], order: str, m: int,
     around = [F.coalesce(F.lag(amp, -k).over(w), (F.first(amp) if k < 0 else F.last(amp)).over(whole)) for k in range(-h, h + 1)]
     mid = F.transform(amp, lambda a, i: F.when(i < first, a).otherwise(F.get(F.array_sort(F.transform("_w", lambda t: F.get(t, i))), F.lit(h))))
     return traces.withColumn("_w", F.array(*around)).withColumn(amp, mid).drop("_w")
+
+
+def antenna_offset(df: DataFrame, by: str, order: str, n: int, across: float, ahead: float, height: float = 0.0, x: str = "x", y: str = "y", z: str = "z") -> DataFrame:
+    """x, y, z of the antenna, `across` to the right of the receiver and `ahead` of it, the receiver `height` above the ground.
+
+    The direction is that to the row n ahead, the slope that of a line through the heights of those rows.
+    On a slope the receiver leans: its foot lies height tan(slope) cos(slope) up the track and the ground
+    height / cos(slope) - height tan(slope) sin(slope) below it. The last n rows keep the last known direction and slope.
+    """
+    w = track.along(by, order)
+    rows = df.withColumns({"_x": F.lead(x, n).over(w) - F.col(x), "_y": F.lead(y, n).over(w) - F.col(y)})
+    rows = rows.withColumn("_r", F.hypot("_x", "_y")).withColumns({"_p": F.collect_list(F.struct(F.col(x).alias("x"), F.col(y).alias("y"), F.col(z).alias("z"))).over(w.rowsBetween(0, n))})
+    far = F.transform("_p", lambda q: F.struct(F.hypot(q["x"] - F.col(x), q["y"] - F.col(y)).alias("r"), q["z"].alias("z")))
+    mean = lambda f: F.aggregate(far, F.lit(0.0), lambda s, q: s + f(q)) / F.size("_p")
+    cov = mean(lambda q: q["r"] * q["z"]) - mean(lambda q: q["r"]) * mean(lambda q: q["z"])
+    var = mean(lambda q: q["r"] * q["r"]) - mean(lambda q: q["r"]) * mean(lambda q: q["r"])
+    known = F.when(F.col("_r") > 0, F.struct((F.col("_x") / F.col("_r")).alias("u"), (F.col("_y") / F.col("_r")).alias("v"), F.atan(F.coalesce(F.try_divide(cov, var), F.lit(0.0))).alias("a")))
+    rows = rows.withColumn("_d", known).withColumn("_d", F.last("_d", True).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    u, v, a = F.col("_d.u"), F.col("_d.v"), F.col("_d.a")
+    lean = height * F.tan(a) * F.cos(a)
+    moved = {x: F.col(x) + (lean + ahead) * u + across * v, y: F.col(y) + (lean + ahead) * v - across * u, z: F.col(z) - height / F.cos(a) + height * F.tan(a) * F.sin(a)}
+    return rows.withColumns({c: F.coalesce(e, F.col(c)) for c, e in moved.items()}).drop("_x", "_y", "_r", "_p", "_d")

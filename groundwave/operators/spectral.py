@@ -171,3 +171,28 @@ def filter_slices(slices: DataFrame, kernel: Kernel) -> DataFrame:
         return table.set_column(3, "v", pa.array(kernel(image)[iy, ix]))
 
     return rows.groupBy("slice").applyInArrow(run, rows.schema)
+
+
+def spline(ns: int, step: float) -> Kernel:
+    """Samples at 0, step, 2 step, ... of the cubic spline through ns samples whose third derivative is continuous at the second and the last but one.
+
+    Splines are linear in their samples, so the kernel is one matrix, made once.
+    """
+    at = np.arange(0, ns - 1 + 1e-9, step)
+    if ns < 4:  # the polynomial through all samples
+        x = np.arange(ns)
+        powers = x[:, None].astype(float) ** x
+        matrix = (at[:, None] ** x) @ np.linalg.inv(powers)
+    else:
+        # second derivatives m of unit samples: m[i-1] + 4 m[i] + m[i+1] = 6 (y[i-1] - 2 y[i] + y[i+1])
+        left, right = np.zeros((ns, ns)), np.zeros((ns, ns))
+        for i in range(1, ns - 1):
+            left[i, i - 1 : i + 2] = 1, 4, 1
+            right[i, i - 1 : i + 2] = 6, -12, 6
+        left[0, :3] = left[-1, -3:] = 1, -2, 1
+        m = np.linalg.solve(left, right)
+        i = np.minimum(at.astype(int), ns - 2)
+        u = (at - i)[:, None]
+        unit = np.eye(ns)
+        matrix = (1 - u) * unit[i] + u * unit[i + 1] + ((1 - u) ** 3 - (1 - u)) / 6 * m[i] + (u**3 - u) / 6 * m[i + 1]
+    return lambda block: block @ matrix.T

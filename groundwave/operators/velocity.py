@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -57,3 +59,48 @@ def hyperbola(df: DataFrame, by: str, x: str, t: str, apexes: list[float]) -> Da
     fit = rows.groupBy(by, "x0").agg(F.regr_slope("_y", q).alias("m"), F.regr_intercept("_y", q).alias("c"), F.round(F.regr_r2("_y", q), 9).alias("r2")).where("m > 0 and c > 0")
     best = fit.groupBy(by).agg(F.max_by(F.struct("x0", "m", "c", "r2"), F.struct("r2", -F.col("x0"))).alias("f"))
     return best.select(by, "f.x0", F.sqrt("f.c").alias("t0"), (2 / F.sqrt("f.m")).alias("v"), "f.r2")
+
+
+def exponential(df: DataFrame, by: str, x: str, y: str, rates: list[float]) -> DataFrame:
+    """(by, a, b, c, r2) of y = a e^(b x) + c: for every b of rates a line is fitted, and the best one wins; the first of equals."""
+    rows = df.select(by, F.col(x).alias("_x"), F.col(y).alias("_y"), F.explode(F.array(*map(F.lit, rates))).alias("b"))
+    e = F.exp(F.col("b") * F.col("_x"))
+    fit = rows.groupBy(by, "b").agg(F.regr_slope("_y", e).alias("a"), F.regr_intercept("_y", e).alias("c"), F.round(F.regr_r2("_y", e), 9).alias("r2")).where("r2 is not null")
+    return fit.groupBy(by).agg(F.max_by(F.struct("a", "b", "c", "r2"), F.struct("r2", -F.col("b"))).alias("f")).select(by, "f.*")
+
+
+def density_clusters(points: np.ndarray, eps: float, least: int) -> np.ndarray:
+    """DBSCAN: the cluster of each point from 0, or -1. Clusters are numbered by their first dense point; a point at the rim belongs to the first cluster that reaches it."""
+    near = ((points[:, None] - points[None]) ** 2).sum(2) <= eps * eps
+    dense, label, found = near.sum(1) >= least, np.full(len(points), -1), 0
+    for i in np.flatnonzero(dense):
+        if label[i] >= 0:
+            continue
+        member, front = np.zeros(len(points), bool), np.zeros(len(points), bool)
+        front[i] = True
+        while front.any():
+            member |= front
+            front = near[front & dense].any(0) & ~member
+        label[member & (label < 0)] = found
+        found += 1
+    return label
+
+
+def cluster_picks(picked: DataFrame, panel: DataFrame, gather: str, eps: float, least: int, dt: float = 1.0) -> DataFrame:
+    """(gather, cluster, n, k, v, s): picks (see picks()) are clustered by distance in (v, k dt), and each cluster's box gives its largest sample of the panel, the earliest and slowest of equals.
+
+    A gather has at most one pick for each sample of a trace, which bounds a task.
+    """
+
+    def boxes(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("k", ignore_index=True)
+        rows["cluster"] = density_clusters(rows[["v", "t"]].to_numpy(float), eps, least)
+        rows = rows[rows["cluster"] >= 0]
+        return rows.groupby(["_g", "cluster"], as_index=False).agg(n=("v", "size"), v0=("v", "min"), v1=("v", "max"), k0=("k", "min"), k1=("k", "max"))
+
+    slim = picked.select(F.col(gather).alias("_g"), F.col("k").cast("long").alias("k"), F.col("v").cast("double").alias("v"), (F.col("k") * dt).cast("double").alias("t"))
+    kind = slim.schema["_g"].dataType.simpleString()
+    box = slim.groupBy("_g").applyInPandas(boxes, f"_g {kind}, cluster long, n long, v0 double, v1 double, k0 long, k1 long")
+    inside = panel.select(F.col(gather).alias("_g"), "k", "v", "s").join(box, "_g").where("k between k0 and k1 and v between v0 and v1")
+    best = inside.groupBy("_g", "cluster", "n").agg(F.max_by(F.struct("k", "v", "s"), F.struct("s", -F.col("k"), -F.col("v"))).alias("p"))
+    return best.select(F.col("_g").alias(gather), "cluster", "n", "p.k", "p.v", "p.s")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import channel, position, trace, velocity
+from ..operators import channel, kernels, position, surface, trace, velocity
 from .catalogue import _PART, _STATIONS, CELLS, DT, NS, SUMS, E, T, _grid, cells, query, stations, sums, table, traces, tracks
 
 
@@ -172,3 +172,68 @@ def grid_profiles(spark, d):
 @query(T + f", x AS (SELECT vec_id, list_transform(amp, lambda v: coalesce(v / nullif(list_max(amp), 0), 0)) AS a FROM traces) SELECT vec_id, {SUMS} FROM x")
 def wiggle_scale(spark, d):
     return traces(spark, d).select("vec_id", trace.wiggle(F.col("amp")).alias("a")).select("vec_id", *sums("a"))
+
+
+_TRIANGLES = """WITH g AS (SELECT l_quantity::BIGINT AS ix, round(l_discount * 100)::BIGINT AS iy, avg(l_extendedprice) AS v FROM lineitem GROUP BY ALL),
+ok AS (SELECT * FROM g WHERE (ix * ix + iy * 7) % 5 > 1), no AS (SELECT * FROM g WHERE (ix * ix + iy * 7) % 5 <= 1), h AS (SELECT *, (((ix * 7919 + iy * 104729) % 1009)::BIGINT ** 3)::BIGINT % 1009 / 1009.0::DOUBLE * 0.00001 AS t FROM ok),
+c AS (SELECT no.ix, no.iy, h.ix - no.ix AS a, h.iy - no.iy AS b, (h.ix - no.ix) ** 2 + (h.iy - no.iy) ** 2 + h.t AS h, h.v FROM no JOIN h ON (h.ix - no.ix) ** 2 + (h.iy - no.iy) ** 2 <= 9),
+t AS (SELECT p.ix, p.iy, q.a * r.b - r.a * q.b AS wp, r.a * p.b - p.a * r.b AS wq, p.a * q.b - q.a * p.b AS wr, p.h AS hp, q.h AS hq, r.h AS hr, p.v AS vp, q.v AS vq, r.v AS vr
+  FROM c p JOIN c q ON p.ix = q.ix AND p.iy = q.iy AND (p.a, p.b) < (q.a, q.b) JOIN c r ON p.ix = r.ix AND p.iy = r.iy AND (q.a, q.b) < (r.a, r.b)),
+s AS (SELECT ix, iy, (wp * hp + wq * hq + wr * hr) / (wp + wq + wr) AS h, (wp * vp + wq * vq + wr * vr) / (wp + wq + wr) AS v FROM t WHERE wp + wq + wr <> 0 AND ((wp >= 0 AND wq >= 0 AND wr >= 0) OR (wp <= 0 AND wq <= 0 AND wr <= 0))
+  UNION ALL SELECT p.ix, p.iy, (n * p.h + m * q.h) / (m + n), (n * p.v + m * q.v) / (m + n) FROM (SELECT *, sqrt(a * a + b * b) AS m FROM c) p JOIN (SELECT *, sqrt(a * a + b * b) AS n FROM c) q ON p.ix = q.ix AND p.iy = q.iy AND p.a * q.b = q.a * p.b AND p.a * q.a + p.b * q.b < 0)"""
+
+
+@query(_TRIANGLES + " SELECT ix, iy, round(arg_min(v, h), 6) AS v FROM s GROUP BY ix, iy")
+def linear_fill(spark, d):
+    l = table(spark, d, "lineitem")
+    cells = l.groupBy(F.col("l_quantity").cast("long").alias("ix"), F.round(F.col("l_discount") * 100).cast("long").alias("iy")).agg(F.avg("l_extendedprice").alias("v"))
+    empty = (F.col("ix") * F.col("ix") + F.col("iy") * 7) % 5 <= 1
+    return surface.linear(cells.where(empty), cells.where(~empty), 3.0).select("ix", "iy", F.round("v", 6).alias("v"))
+
+
+@query(CELLS + f""", v AS (SELECT ix, iy, list(v ORDER BY k) AS amp FROM cells WHERE (ix + iy) % 3 > 0 GROUP BY ix, iy), o AS (SELECT DISTINCT ix + i AS ix, iy + j AS iy FROM v, range(-2, 3) a(i), range(-2, 3) b(j) WHERE i * i + j * j <= 4),
+n AS (SELECT * FROM o ANTI JOIN v USING (ix, iy)), p AS (SELECT n.ix, n.iy, k, sum(amp[k] / ((n.ix - v.ix) ** 2 + (n.iy - v.iy) ** 2)) / sum(1 / ((n.ix - v.ix) ** 2 + (n.iy - v.iy) ** 2)) AS a FROM n JOIN v ON (n.ix - v.ix) ** 2 + (n.iy - v.iy) ** 2 <= 4, range(1, 65) r(k) GROUP BY ALL)
+SELECT ix, iy, count(*) AS n, round(sum(a), 6) AS s, round(sum(a * k), 6) AS w FROM p GROUP BY ix, iy""")
+def idw_cube(spark, d):
+    valid = cells(spark, d).where((F.col("ix") + F.col("iy")) % 3 > 0)
+    return surface.idw_traces(surface.gaps(valid, 2.0), valid, 2.0, 2.0).select("ix", "iy", *sums())
+
+
+@query(E + """, b AS (SELECT e.user_id, b, x, y FROM (SELECT user_id, y AS x, x AS y FROM e) e, (VALUES (-0.5), (-0.2), (-0.1), (0.1)) r(b)),
+f AS (SELECT user_id, b::DOUBLE AS b, regr_slope(y, exp(b::DOUBLE * x)) AS a, regr_intercept(y, exp(b::DOUBLE * x)) AS c, round(regr_r2(y, exp(b::DOUBLE * x)), 9) AS r2 FROM b GROUP BY ALL)
+SELECT user_id, round(a, 5) AS a, b, round(c, 5) AS c FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY r2 DESC, b) AS n FROM f WHERE r2 IS NOT NULL) WHERE n = 1""")
+def velocity_exponential(spark, d):
+    rows = tracks(spark, d).select("user_id", F.col("y").alias("x"), F.col("x").alias("y"))
+    return velocity.exponential(rows, "user_id", "x", "y", [-0.5, -0.2, -0.1, 0.1]).select("user_id", F.round("a", 5).alias("a"), "b", F.round("c", 5).alias("c"))
+
+
+@query("""WITH RECURSIVE p AS (SELECT event_id // 500 AS g, event_id % 40 AS k, (event_id * 7 % 23)::DOUBLE AS v, max(round(value, 4)) AS s FROM events GROUP BY ALL),
+t AS (SELECT g, k, v, CASE WHEN s >= 20 THEN s ELSE 0 END AS s FROM p), n AS (SELECT *, lag(s) OVER w AS a, lead(s) OVER w AS b FROM t WINDOW w AS (PARTITION BY g, k ORDER BY v)),
+q AS (SELECT g, k, v FROM (SELECT *, row_number() OVER (PARTITION BY g, k ORDER BY s DESC, v) AS r FROM n WHERE s > 0 AND s >= a AND s >= b) WHERE r = 1),
+d AS (SELECT a.g, a.k, any_value(a.v) AS v FROM q a JOIN q b ON a.g = b.g AND (a.k - b.k) ** 2 + (a.v - b.v) ** 2 <= 16 GROUP BY a.g, a.k HAVING count(*) >= 3),
+r AS (SELECT g, k, k AS f FROM d UNION SELECT b.g, b.k, r.f FROM r JOIN d a ON a.g = r.g AND a.k = r.k JOIN d b ON b.g = r.g AND (a.k - b.k) ** 2 + (a.v - b.v) ** 2 <= 16),
+l AS (SELECT g, k, min(f) AS f FROM r GROUP BY g, k), m AS (SELECT q.g, q.k, q.v, min(l.f) AS f FROM q JOIN d ON q.g = d.g AND (q.k - d.k) ** 2 + (q.v - d.v) ** 2 <= 16 JOIN l ON l.g = d.g AND l.k = d.k GROUP BY ALL),
+x AS (SELECT g, f, dense_rank() OVER (PARTITION BY g ORDER BY f) - 1 AS cluster, count(*) AS n, min(k) AS k0, max(k) AS k1, min(v) AS v0, max(v) AS v1 FROM m GROUP BY g, f)
+SELECT g, cluster, n, k, v, s FROM (SELECT x.g, cluster, n, p.k, p.v, p.s, row_number() OVER (PARTITION BY x.g, cluster ORDER BY p.s DESC, p.k, p.v) AS i FROM x JOIN p ON p.g = x.g AND p.k BETWEEN k0 AND k1 AND p.v BETWEEN v0 AND v1) WHERE i = 1""")
+def velocity_clusters(spark, d):
+    e = table(spark, d, "events")
+    panel = e.groupBy(F.floor(F.col("event_id") / 500).alias("g"), (F.col("event_id") % 40).alias("k"), (F.col("event_id") * 7 % 23).cast("double").alias("v")).agg(F.max(F.round("value", 4)).alias("s"))
+    return velocity.cluster_picks(velocity.picks(panel, "g", 20.0), panel, "g", 4.0, 3)
+
+
+@query(T + """, c AS (SELECT a.vec_id, k, sqrt(k * k + ((a.trace - b.trace) * 8 / 10.0::DOUBLE) ** 2) AS p, b.amp FROM traces a JOIN traces b ON a.channel = b.channel AND abs(a.trace - b.trace) <= 3, range(0, 64) r(k)),
+l AS (SELECT vec_id, k, CASE WHEN p = 0 THEN 1 ELSE k / p END AS l, CASE WHEN p < 63.5 THEN amp[round(p)::INT + 1] END AS a FROM c)
+SELECT vec_id, count(*) AS n, round(sum(v), 6) AS s, round(sum(v * (k + 1)), 6) AS w FROM (SELECT vec_id, k, coalesce(sum(l * a) FILTER (l >= cos(radians(30)) AND a IS NOT NULL) / nullif(sum(l) FILTER (l >= cos(radians(30)) AND a IS NOT NULL), 0), 0) AS v FROM l GROUP BY ALL) GROUP BY vec_id""")
+def migrate2d(spark, d):
+    return kernels.migrate_profile(traces(spark, d), "channel", "trace", 0.02, DT, 0.1, 60.0, 3).select("vec_id", *sums())
+
+
+@query(E + """, n AS (SELECT *, (nr * 3 % 17) / 10.0::DOUBLE AS z FROM e), w AS (SELECT *, lead(x, 3) OVER o - x AS dx, lead(y, 3) OVER o - y AS dy, list({'x': x, 'y': y, 'z': z}) OVER (PARTITION BY user_id ORDER BY nr ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS p FROM n WINDOW o AS (PARTITION BY user_id ORDER BY nr)),
+f AS (SELECT user_id, nr, regr_slope(q.z, sqrt((q.x - x) ** 2 + (q.y - y) ** 2)) AS m FROM (SELECT user_id, nr, x, y, unnest(p) AS q FROM w) GROUP BY ALL),
+k AS (SELECT w.*, CASE WHEN sqrt(dx * dx + dy * dy) > 0 THEN {'u': dx / sqrt(dx * dx + dy * dy), 'v': dy / sqrt(dx * dx + dy * dy), 'a': atan(m)} END AS d FROM w JOIN f USING (user_id, nr)),
+l AS (SELECT user_id, nr, x, y, z, last_value(d IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY nr ROWS UNBOUNDED PRECEDING) AS d FROM k)
+SELECT user_id, nr, round(coalesce(x + (2 * sin(d.a) + 0.3) * d.u + 0.5 * d.v, x) + 1e-8, 5) AS x, round(coalesce(y + (2 * sin(d.a) + 0.3) * d.v - 0.5 * d.u, y) + 1e-8, 5) AS y, round(coalesce(z - 2 / cos(d.a) + 2 * tan(d.a) * sin(d.a), z) + 1e-8, 5) AS z FROM l""")
+def antenna_offset(spark, d):
+    rows = tracks(spark, d).withColumn("z", F.col("nr") * 3 % 17 / 10.0)
+    out = position.antenna_offset(rows, "user_id", "nr", 3, 0.5, 0.3, 2.0)
+    return out.select("user_id", "nr", *[F.round(F.col(c) + 1e-8, 5).alias(c) for c in ("x", "y", "z")])

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import channel, grid, kernels, position, spectral, trace, track
+from ..operators import channel, grid, kernels, position, spectral, surface, trace, track
 
 #: name: function of (traces, parameters, dt, ns). Traces have profile, channel, trace and amp.
 STEPS: dict[str, Callable[[DataFrame, dict[str, float], float, int], DataFrame]] = {}
@@ -39,10 +39,17 @@ on_amp("do_cutTWT", lambda a, p, dt, ns: trace.cut_time(a, dt, p["tmax"]))
 on_amp("do_normalization", lambda a, p, dt, ns: trace.normalize(a, p["qclip"]))
 on_amp("do_t0shift", lambda a, p, dt, ns: trace.t0_shift(a, dt, p["t0s"]))
 on_amp("do_t0CorrectionThreshold", lambda a, p, dt, ns: trace.t0_threshold(a, p["threshold"]))
-on_amp("do_reduceNumberOfSamples", lambda a, p, dt, ns: trace.decimate(a, int(p["n"])))
 on_amp("do_applygain", lambda a, p, dt, ns: trace.gain(a, trace.gain_curve([p[f"g{i}"] for i in range(1, 6)], ns)))
 
 
+@step("do_reduceNumberOfSamples")
+def samples(df, p, dt, ns):
+    """Every n-th sample; n under 1: samples at steps of n from a cubic spline."""
+    if p["n"] >= 1:
+        return df.withColumn("amp", trace.decimate(F.col("amp"), int(p["n"])))
+    return spectral.apply(df.withColumn("amp", F.col("amp").cast("array<double>")), spectral.spline(ns, p["n"]))
+
+
 @step("do_badTraceRemoval")
 def bad_traces(df, p, dt, ns):
     return channel.replace_bad(df, ["profile", "channel"], "trace", p["minfactor"], p["maxfactor"]).drop("bad")
@@ -147,6 +154,26 @@ def migration(df, p, dt, ns):
     return kernels.migrate(df, p["dx"], dt, p["v"], p["aperture"], p["dz"], int(p["nz"]))
 
 
+@step("do_migration2d_vz")
+def profile_migration(df, p, dt, ns):
+    """Our own sum along hyperbolas of one speed; traces dx apart."""
+    return kernels.migrate_profile(df, ["profile", "channel"], "trace", p["dx"], dt, p["v"], p["aperture"], int(p["reach"]))
+
+
+@step("do_linearInterpolation")
+def fill_linear(df, p, dt, ns):
+    """Of grid cells (ix, iy, amp): gaps within radius (in cells) of a trace."""
+    cells = df.select("ix", "iy", "amp")
+    return cells.unionByName(surface.linear_traces(surface.gaps(cells, p["radius"]), cells, p["radius"]))
+
+
+@step("do_IDW_Interpolation")
+def fill_idw(df, p, dt, ns):
+    """Of grid cells (ix, iy, amp): gaps within radius (in cells) of a trace."""
+    cells = df.select("ix", "iy", "amp")
+    return cells.unionByName(surface.idw_traces(surface.gaps(cells, p["radius"]), cells, p["radius"], p["power"]))
+
+
 @step("do_Coherence")
 def coherence(df, p, dt, ns):
     """Of grid cells; v takes the place of the traces."""
@@ -174,4 +201,7 @@ def run(traces: DataFrame, text: str, dt: float, ns: int) -> DataFrame:
         traces = STEPS[name](traces, parameters, dt, ns)
         if name == "do_cutTWT":
             ns = min(ns, int(parameters["tmax"] / dt + 1e-9) + 1)
+        if name == "do_reduceNumberOfSamples":
+            n = parameters["n"] if parameters["n"] < 1 else int(parameters["n"])
+            ns, dt = int((ns - 1) / n + 1e-9) + 1, dt * n
     return traces

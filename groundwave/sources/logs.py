@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -49,3 +51,42 @@ def read_cor(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.text(path).select(F.input_file_name().alias("path"), F.split(F.trim("value"), r"\s+").alias("f")).where(F.size("f") >= 8)
     rows = rows.select("path", at(0).try_cast("long").alias("trace"), (at(3).try_cast("double") * sign(4, "S")).alias("lat"), (at(5).try_cast("double") * sign(6, "W")).alias("lon"), at(7).try_cast("double").alias("z"), at(9).try_cast("int").alias("quality"))
     return rows.where("trace is not null and lat is not null and lon is not null")
+
+
+#: Records of the two binary logs, after 8 numbers of 16 bits. Bytes of a wheel record count from 0.
+_CPSS = np.dtype([("trace", "<i4"), ("place", "<f8", 3), ("h", "<u2"), ("m", "<u2"), ("s", "<u2"), ("ms", "<u2"), ("pc_h", "<u2"), ("pc_m", "<u2"), ("pc_s", "<u2"), ("status", "<u2")])
+_CPDT = np.dtype({"names": ["trace", "wheel", "cu", "pc_h", "pc_m", "pc_s"], "formats": [">i2", ">i2", ">i2", "<i4", "<i4", "i1"], "offsets": [0, 4, 16, 21, 25, 29], "itemsize": 32})
+_HEAD = 16
+
+
+def _records(spark: SparkSession, folder: str, pattern: str, layout: np.dtype, columns: dict, kinds: str) -> DataFrame:
+    """Whole records of every file; a part record at the end and trace numbers under 1 are left out."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "content")
+
+    def decode(batches):
+        for batch in batches:
+            for path, content in zip(*batch.columns, strict=True):
+                raw = content.as_buffer()
+                rows = np.frombuffer(raw, layout, max(0, len(raw) - _HEAD) // layout.itemsize, min(_HEAD, len(raw)))
+                rows = rows[rows["trace"] > 0]
+                yield pa.RecordBatch.from_arrays([pa.array([path.as_py()] * len(rows), pa.string()), *[pa.array(f(rows).astype(np.int64)) for f in columns.values()]], names=["path", *columns])
+
+    return files.mapInArrow(decode, "path string, " + kinds)
+
+
+def _clock(rows: np.ndarray, before: str) -> np.ndarray:
+    """Milliseconds of the day."""
+    h, m, s = (rows[before + part].astype(np.int64) for part in ("h", "m", "s"))
+    return ((h * 60 + m) * 60 + s) * 1000
+
+
+def read_cpss(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, trace, pos_ms, pc_ms, ms, status) of .cpss logs: positioning and computer time of a trace in ms of the day, the former's ms part, state of the receiver."""
+    columns = {"trace": lambda r: r["trace"], "pos_ms": lambda r: _clock(r, "") + r["ms"], "pc_ms": lambda r: _clock(r, "pc_"), "ms": lambda r: r["ms"], "status": lambda r: r["status"]}
+    return _records(spark, folder, "*.cpss", _CPSS, columns, "trace long, pos_ms long, pc_ms long, ms long, status long")
+
+
+def read_cpdt(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, trace, cu_ms, pc_ms, wheel) of .cpdt logs: time of the control unit (recorded in 1/1024 s) and of the computer in ms, wheel count."""
+    columns = {"trace": lambda r: r["trace"], "cu_ms": lambda r: np.floor(r["cu"].astype(float) / 1024 * 1000 + 0.5), "pc_ms": lambda r: _clock(r, "pc_"), "wheel": lambda r: r["wheel"]}
+    return _records(spark, folder, "*.cpdt", _CPDT, columns, "trace long, cu_ms long, pc_ms long, wheel long")
