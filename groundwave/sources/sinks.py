@@ -1,9 +1,12 @@
-"""Sinks: SEG-Y files of profiles or grid blocks, profile lines as GeoJSON, world files, position lists."""
+"""Sinks: SEG-Y files of profiles or grid blocks, profile lines as GeoJSON, images of slices with world files."""
 
 from __future__ import annotations
 
+import struct
 import uuid
+import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame
@@ -43,8 +46,6 @@ def write_segy_block(cells: DataFrame, folder: str, dt: float, lines: int = 64)
     """Grid cells (ix, iy, x, y, amp) as SEG-Y with inline iy + 1 and crossline ix + 1, a file for every `lines` inlines, so that no task holds the whole block. Null traces become zeros of the block's length."""
 
     def run(table: pa.Table) -> pa.Table:
-        import numpy as np
-
         table = table.sort_by([("iy", "ascending"), ("ix", "ascending")])
         ix, iy = table["ix"].to_numpy(), table["iy"].to_numpy()
         amp = table["amp"].to_pylist()
@@ -71,3 +72,37 @@ def world_file(x_min: Column, y_max: Column, dx: float, transform: tuple[float,
     a, b, tx, ty = transform
     numbers = [F.lit(a * dx), F.lit(b * dx), F.lit(b * dx), F.lit(-a * dx), a * x_min - b * y_max + tx, b * x_min + a * y_max + ty]
     return F.concat_ws("\n", *[n.cast("double").cast("string") for n in numbers])
+
+
+def png(grey: np.ndarray, alpha: np.ndarray) -> bytes:
+    """An image of 8-bit grey with alpha, row by row from the top."""
+
+    def chunk(kind: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    height, width = grey.shape
+    rows = np.zeros((height, 1 + 2 * width), np.uint8)
+    rows[:, 1::2], rows[:, 2::2] = grey, alpha
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">2I5B", width, height, 8, 4, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows.tobytes())) + chunk(b"IEND", b"")
+
+
+def write_images(slices: DataFrame, folder: str, low: float, high: float, dx: float, start: tuple[float, float] = (0.0, 0.0), transform: tuple[float, float, float, float] = (1.0, 0.0, 0.0, 0.0), tile: int = 1024) -> DataFrame:
+    """Slices (slice, ix, iy, v) as images of at most tile x tile cells, black at low and white at high, each with its world file; cells without a value are clear.
+
+    start is the centre of cell (0, 0) before transform (see world_file). A task holds one image.
+    """
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        n, tx, ty = (int(k.as_py()) for k in key)
+        x, y, v = (table[c].to_numpy() for c in ("ix", "iy", "v"))
+        grey, alpha = np.zeros((tile, tile), np.uint8), np.zeros((tile, tile), np.uint8)
+        at = (tile - 1 - (y - ty * tile), x - tx * tile)
+        grey[at], alpha[at] = np.clip(np.round((v - low) / (high - low) * 255), 0, 255).astype(np.uint8), 255
+        return pa.table({"name": [f"slice_{n:05d}_{tx}_{ty}"], "tx": pa.array([tx], pa.int64()), "ty": pa.array([ty], pa.int64()), "image": pa.array([png(grey, alpha)], pa.binary())})
+
+    cell = lambda c: F.floor(F.col(c) / tile).alias("t" + c[1])
+    rows = slices.where(F.col("v").isNotNull() & ~F.isnan("v")).select(F.col("slice").cast("long").alias("slice"), cell("ix"), cell("iy"), *[F.col(c).cast("long").alias(c) for c in ("ix", "iy")], F.col("v").cast("double").alias("v"))
+    images = rows.groupBy("slice", "tx", "ty").applyInArrow(run, "name string, tx long, ty long, image binary")
+    world = world_file(start[0] + F.col("tx") * tile * dx, start[1] + ((F.col("ty") + 1) * tile - 1) * dx, dx, transform)
+    files = F.array(F.struct(F.concat("name", F.lit(".png")).alias("name"), F.col("image").alias("content")), F.struct(F.concat("name", F.lit(".pgw")).alias("name"), F.encode(world, "utf-8").alias("content")))
+    return write_files(images.select(F.explode(files).alias("f")).select("f.*"), folder)

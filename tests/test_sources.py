@@ -1,6 +1,8 @@
 """Vendor files, lists and sinks: files made here, read back."""
 
 import json
+import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -99,3 +101,15 @@ def test_geojson_and_world_file(spark):
     assert feature["geometry"] == {"type": "LineString", "coordinates": [[1, 2], [3, 4]]} and feature["ids"] == 1 and feature["crs"]["properties"]["name"] == "EPSG:25832"
     text = spark.range(1).select(sinks.world_file(F.lit(10.0), F.lit(20.0), 0.5, (0.0, 1.0, 100.0, 200.0))).first()[0]
     assert list(map(float, text.split("\n"))) == [0, 0.5, 0.5, 0, 80, 210]
+
+
+def test_images_with_world_files(spark, tmp_path):
+    rows = [(1, ix, iy, float(ix + iy)) for ix in range(-2, 6) for iy in range(5) if (ix, iy) != (0, 0)] + [(2, 0, 0, None), (2, 1, 0, 99.0)]
+    out = sinks.write_images(spark.createDataFrame(rows, "slice int, ix int, iy int, v double"), str(tmp_path), 0.0, 10.0, 0.5, (100.0, 200.0), tile=4)
+    assert {r["name"] for r in out.collect()} == {f"slice_{s}.{k}" for s in ("00001_-1_0", "00001_-1_1", "00001_0_0", "00001_0_1", "00001_1_0", "00001_1_1", "00002_0_0") for k in ("png", "pgw")}
+    raw = (tmp_path / "slice_00001_0_0.png").read_bytes()
+    assert raw[:8] == b"\x89PNG\r\n\x1a\n" and struct.unpack(">2I", raw[16:24]) == (4, 4)
+    size = struct.unpack(">I", raw[33:37])[0]
+    image = np.frombuffer(zlib.decompress(raw[41 : 41 + size]), np.uint8).reshape(4, 9)
+    assert image[:, 0].max() == 0 and image[3].tolist() == [0, 0, 0, 26, 255, 51, 255, 76, 255]
+    assert list(map(float, (tmp_path / "slice_00001_1_0.pgw").read_text().split("\n"))) == [0.5, 0, 0, -0.5, 102.0, 201.5]
