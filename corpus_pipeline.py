@@ -20,10 +20,10 @@ MIN_LANGUAGE_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    columns = docs.columns
-    rest = tuple(c for c in columns if c not in ("doc_id",))
-    found = langid.predict(docs.withColumn("_copy", F.col("text")), langid.fit(docs), text_col="_copy", keep=rest)
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*columns)
+    # the columns stay in a struct, so none of their names can clash
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("doc"))
+    found = langid.predict(rows, langid.fit(docs), keep=("doc",))
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select("doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -195,11 +195,15 @@ def mask(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The same rows and columns with every span in text_col replaced by its kind, as [EMAIL]. Null texts stay null."""
     extra = _extra(extract(docs.select(F.lit(None).cast("long").alias("id"), F.col(text_col).alias("text")), "id", "text"), **options)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = F.transform(base_spans(text), lambda s: F.struct(s["start"].alias("start"), s["kind_no"].alias("kind_no"), s["end"].alias("end"), s["kind"].alias("kind")))
-    columns, rows, spans = docs.columns, docs, base
+    base = F.transform(base_spans(F.col("text")), lambda s: F.struct(s["start"].alias("start"), s["kind_no"].alias("kind_no"), s["end"].alias("end"), s["kind"].alias("kind")))
+    # docs' own columns stay in a struct, so none of their names can clash
+    columns, doc, spans = docs.columns, F.col("doc"), base
+    rows = docs.select(F.struct(*columns).alias("doc"), F.md5(text).alias("text_key"))
     if extra is not None:
-        rows = join_lookup(docs.withColumn("_pii_key", F.md5(text)), extra.toDF("_pii_key", "_pii_extra"), ["_pii_key"])
-        spans = F.array_sort(F.concat(base, F.coalesce("_pii_extra", F.array().cast(f"array<{SPAN}>"))))
+        rows = join_lookup(rows, extra, ["text_key"])
+        spans = F.array_sort(F.concat(base, F.coalesce("extra", F.array().cast(f"array<{SPAN}>"))))
+    text = F.col("text")
+    rows = rows.withColumn("text", F.coalesce(doc[text_col], F.lit(""))).withColumn("spans", spans)
 
     def step(acc: Column, s: Column) -> Column:
         put = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
@@ -209,9 +213,9 @@ def mask(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
         )
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate("_pii_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    rows = rows.withColumn("_pii_spans", spans)
-    return rows.withColumn(text_col, F.when(F.size("_pii_spans") > 0, masked).otherwise(F.col(text_col))).select(*columns)
+    masked = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    masked = F.when(F.size("spans") > 0, masked).otherwise(doc[text_col])
+    return rows.select(*[(masked if c == text_col else doc[c]).alias(c) for c in columns])
 
 
 def digest(spans: Column) -> Column:
