@@ -1,7 +1,7 @@
 """A corpus pipeline: each stage calls one training-data operator and hands its rows on as Parquet.
 
-Language ID drops documents without a language, SimHash keeps one document of each near-duplicate
-class, PII spans are masked, sources are mixed to their weights (documents may repeat), and what is
+Language ID drops documents without a language, one document of each class of near copies (five-word
+shingles, similarity 0.8 or more) stays, PII spans are masked, sources are mixed to their weights (documents may repeat), and what is
 left is packed to windows.
 """
 
@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwave.llm import langid, mixing, packing, pii, simhash
+from groundwave.llm import langid, mixing, packing, pii, similar
 from groundwave.llm.common import shared_folder
 
 #: A document is rejected if no language is at least this likely; with four languages a guess has 0.25.
@@ -27,7 +27,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.deduplicate(docs)
+    return similar.deduplicate(docs)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

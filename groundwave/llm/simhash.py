@@ -225,7 +225,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without all but one document of each class: the one with the class's smallest id, once if rows repeat.
     Rows without an id stay if nothing else of their class does."""
-    found = classes(docs, id_col, text_col, **options)
+    return keep_one(docs, classes(docs, id_col, text_col, **options), id_col, text_col)
+
+
+def keep_one(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs without all but one document of each class of found (id, component)."""
     keep = materialize(found.select(F.col("component").alias(id_col)).where(F.col(id_col).isNotNull()).distinct(), "simhash-keep")
     # the ids kept grow with the corpus: always a shuffled join, at any size
     kept = docs.join(keep.hint("merge"), id_col, "left_semi")
