@@ -1,11 +1,12 @@
 """Personal data: fixed base patterns plus bootstrapped contextual extraction, in Spark expressions only.
 
 Base patterns find e-mail addresses, IPv4 addresses, payment cards and phone numbers. They are the
-seeds: the words before a seed form a lexical pattern; every identifier-like token (one with a digit
-or an @) is an instance. The bipartite graph pattern - instance is scored in rounds: a pattern's
-confidence for a kind is the mass of its instances known to be of that kind over all its instances,
-an unseen instance's score is the noisy-or over its confident patterns. Tokens that stand behind a
-confident pattern, score high and have the kind's coarse shape become additional spans.
+seeds: the two words and the word before a seed and the word after it are lexical patterns; every
+identifier-like token (one with a digit or an @) is an instance. The bipartite graph pattern - instance
+is scored in rounds, until nothing changes: a pattern's confidence for a kind is the mass of its instances
+known to be of that kind over its instances of the kind or its coarse shape, an unseen instance's score is
+the noisy-or over its confident patterns. Tokens that stand at a confident pattern, score high and have the
+kind's coarse shape become additional spans.
 
 Defined results: a null or empty text has no spans; spans are code points, end exclusive; repeated
 rows get equal results; other columns of the input are kept aside and can't clash (only id and text
@@ -44,18 +45,21 @@ SPAN = "struct<start:int,kind_no:int,end:int,kind:string>"
 
 
 def _found(text: Column, pattern: str) -> Column:
-    """All matches as array<struct<start,end,value,before>>: the texts between matches give the positions."""
+    """All matches as array<struct<start,end,value,before,after>>: the texts between matches give the positions."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.split(text, pattern, -1)
     pieces = F.zip_with(
-        F.split(text, pattern, -1), matches,
-        lambda gap, m: F.struct(F.length(gap).alias("gap"), F.substring(gap, -_CONTEXT_CHARS, _CONTEXT_CHARS).alias("before"), m.alias("value")),
+        F.arrays_zip(gaps.alias("gap"), F.slice(gaps, 2, F.size(gaps)).alias("next")), matches,
+        lambda g, m: F.struct(
+            F.length(g["gap"]).alias("gap"), F.substring(g["gap"], -_CONTEXT_CHARS, _CONTEXT_CHARS).alias("before"), m.alias("value"), F.substring(g["next"], 1, _CONTEXT_CHARS).alias("after")
+        ),
     )
-    empty = F.array().cast("array<struct<start:int,end:int,value:string,before:string>>")
+    empty = F.array().cast("array<struct<start:int,end:int,value:string,before:string,after:string>>")
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
         end = start + F.length(x["value"])
-        row = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"), x["before"].alias("before"))
+        row = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"), x["before"].alias("before"), x["after"].alias("after"))
         return F.when(x["value"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["spans"], F.array(row)).alias("spans")))
 
     return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda acc: acc["spans"])
@@ -77,40 +81,45 @@ def _valid(kind: str, value: Column) -> Column:
 
 def _of_kind(no: int, kind: str, found: Column) -> Column:
     def row(m: Column) -> Column:
-        return F.struct(m["start"].alias("start"), F.lit(no).alias("kind_no"), m["end"].alias("end"), F.lit(kind).alias("kind"), m["value"].alias("value"), m["before"].alias("before"))
+        return F.struct(m["start"].alias("start"), F.lit(no).alias("kind_no"), m["end"].alias("end"), F.lit(kind).alias("kind"), m["value"].alias("value"), m["before"].alias("before"), m["after"].alias("after"))
 
     return F.transform(F.filter(found, lambda m: _valid(kind, m["value"])), row)
 
 
 def base_spans(text: Column) -> Column:
-    """array<struct<start,kind_no,end,kind,value,before>> of the base patterns, by start, then kind."""
+    """array<struct<start,kind_no,end,kind,value,before,after>> of the base patterns, by start, then kind."""
     parts = []
     for no, kind in enumerate(KINDS):
         gate = F.contains(text, F.lit(_GATES[kind])) if kind in _GATES else text.rlike(_GATE_REGEX[kind])
         rows = _of_kind(no, kind, _found(text, PATTERNS[kind]))
-        parts.append(F.when(gate, rows).otherwise(F.array().cast("array<struct<start:int,kind_no:int,end:int,kind:string,value:string,before:string>>")))
+        parts.append(F.when(gate, rows).otherwise(F.array().cast("array<struct<start:int,kind_no:int,end:int,kind:string,value:string,before:string,after:string>>")))
     return F.array_sort(F.concat(*parts))
 
 
-def _context(before: Column) -> Column:
-    """The lexical pattern: the last two words before the instance, lower case, figures as 0; null if there are none."""
-    words = F.filter(F.split(F.lower(F.regexp_replace(before, "[0-9]+", "0")), r"\s+"), lambda w: w != "")
-    return F.when(F.size(words) >= 1, F.array_join(F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), 2), " "))
+def _contexts(before: Column, after: Column) -> Column:
+    """The lexical patterns: the last two words and the last word before the instance, and behind a space the
+    word after it in the same sentence; lower case, figures as 0."""
+    plain = lambda text: F.lower(F.regexp_replace(text, "[0-9]+", "0"))
+    words = F.filter(F.split(plain(before), r"\s+"), lambda w: w != "")
+    last = lambda n: F.when(F.size(words) >= n, F.array_join(F.slice(words, -n, n), " "))
+    follows = F.regexp_extract(plain(after), r"^[,)\"'>\]}]*\s+([\p{L}\p{N}]+)", 1)
+    return F.array_compact(F.array(last(2), last(1), F.when(follows != "", F.concat(F.lit(" "), follows))))
 
 
 def _candidates(text: Column, base: Column) -> Column:
-    """array<struct<start,end,pattern,instance>> of identifier-like tokens that no base span touches."""
+    """array<struct<start,end,patterns,instance>> of identifier-like tokens that no base span touches."""
 
     def trimmed(m: Column) -> Column:
         value = m["value"]
         lead = F.length(value) - F.length(F.regexp_replace(value, r"^[\"'(<\[{]+", ""))
         body = F.regexp_replace(F.substring(value, lead + 1, F.length(value)), r"[.,;:!?)\"'>\]}]+$", "")
         start = m["start"] + lead
-        return F.struct(start.alias("start"), (start + F.length(body)).alias("end"), _context(m["before"]).alias("pattern"), F.lower(body).alias("instance"))
+        tail = F.substring(value, lead + F.length(body) + 1, F.length(value))
+        return F.struct(start.alias("start"), (start + F.length(body)).alias("end"), _contexts(m["before"], F.concat(tail, m["after"])).alias("patterns"), F.lower(body).alias("instance"))
 
     rows = F.transform(_found(text, CANDIDATE), trimmed)
-    free = F.filter(rows, lambda c: (c["end"] > c["start"]) & c["pattern"].isNotNull() & ~F.exists(base, lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"])))
-    return F.when(text.rlike("[0-9@]"), free).otherwise(F.array().cast("array<struct<start:int,end:int,pattern:string,instance:string>>"))
+    free = F.filter(rows, lambda c: (c["end"] > c["start"]) & (F.size(c["patterns"]) > 0) & ~F.exists(base, lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"])))
+    return F.when(text.rlike("[0-9@]"), free).otherwise(F.array().cast("array<struct<start:int,end:int,patterns:array<string>,instance:string>>"))
 
 
 def _shape(kind: Column, instance: Column) -> Column:
@@ -134,40 +143,42 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = rows.select(
         "id", "text_key",
         F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["kind_no"].alias("kind_no"), s["end"].alias("end"), s["kind"].alias("kind"))).alias("base"),
-        F.transform("found", lambda s: F.struct(_context(s["before"]).alias("pattern"), F.lower(s["value"]).alias("instance"), s["kind"].alias("kind"))).alias("seeds"),
+        F.transform("found", lambda s: F.struct(_contexts(s["before"], s["after"]).alias("patterns"), F.lower(s["value"]).alias("instance"), s["kind"].alias("kind"))).alias("seeds"),
         _candidates(F.col("text"), F.col("found")).alias("candidates"),
     )
     return materialize(rows, "pii-extract")
 
 
-def bootstrap(extracted: DataFrame, rounds: int = 3, min_mass: float = 3.0, min_confidence: float = 0.8, min_score: float = 0.75) -> DataFrame | None:
+def bootstrap(extracted: DataFrame, min_mass: float = 3.0, min_confidence: float = 0.8, min_score: float = 0.75) -> DataFrame | None:
     """Score the pattern-instance graph; (text_key, start, kind_no, end, kind) of the additional spans, or None if no pattern is confident.
 
     Every edge counts once however often it is seen, so copies of a text lend a pattern no support.
+    An instance that has not the coarse shape of a kind says nothing about a pattern for it.
     """
-    seeds = extracted.select(F.explode("seeds").alias("s")).select("s.*").where("pattern is not null")
-    mentions = extracted.select("text_key", F.explode("candidates").alias("c")).select("text_key", "c.*")
+    seeds = extracted.select(F.explode("seeds").alias("s")).select(F.explode("s.patterns").alias("pattern"), "s.instance", "s.kind")
+    mentions = extracted.select("text_key", F.explode("candidates").alias("c")).select("text_key", "c.start", "c.end", F.explode("c.patterns").alias("pattern"), "c.instance")
     edges = seeds.select("pattern", "instance", "kind").unionByName(mentions.select("pattern", "instance", F.lit(None).cast("string").alias("kind")))
     edges = materialize(edges.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "pii-edges")
-    sizes = edges.groupBy("pattern").agg(F.count("*").alias("n"))
+    shaped = F.filter(F.array(*map(F.lit, KINDS)), lambda k: (k == F.coalesce("kind", F.lit(""))) | _shape(k, F.col("instance")))
+    sizes = materialize(edges.select("pattern", F.explode(shaped).alias("kind")).groupBy("pattern", "kind").agg(F.count("*").alias("n")), "pii-sizes")
     # A pattern can only become confident with min_mass instances at least.
-    known = edges.where("kind is not null").groupBy("instance", "kind").agg(F.lit(1.0).alias("score"))
-    confident, unseen = None, None
-    for _ in range(rounds):
+    base = edges.where("kind is not null").groupBy("instance", "kind").agg(F.lit(1.0).alias("score"))
+    known, before = base, None
+    while True:
         mass = edges.select("pattern", "instance").join(known, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("mass")).where(F.col("mass") >= min_mass)
         confident = materialize(
-            mass.join(sizes, "pattern").select("pattern", "kind", (F.col("mass") / F.col("n")).alias("confidence")).where(F.col("confidence") >= min_confidence), "pii-patterns"
+            mass.join(sizes, ["pattern", "kind"]).select("pattern", "kind", (F.col("mass") / F.col("n")).alias("confidence")).where(F.col("confidence") >= min_confidence), "pii-patterns"
         )
         if confident.isEmpty():
             return None
         scored = edges.where("kind is null").select("pattern", "instance").join(confident, "pattern").where(_shape(F.col("kind"), F.col("instance")))
-        scored = scored.groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1.0 - 0.99 * F.col("confidence"))))).alias("score")).where(F.col("score") >= min_score)
-        grown = materialize(scored, "pii-instances")
-        same = unseen is not None and grown.count() == unseen.count()
-        unseen = grown
-        if same or unseen.isEmpty():
+        scored = scored.groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1.0 - 0.99 * F.least("confidence", F.lit(1.0)))))).alias("score")).where(F.col("score") >= min_score)
+        unseen = materialize(scored, "pii-instances")
+        # scores only grow, so this ends
+        state = (confident.count(), *unseen.agg(F.count("*"), F.round(F.sum("score"), 6)).first())
+        if state == before or not state[1]:
             break
-        known = edges.where("kind is not null").groupBy("instance", "kind").agg(F.lit(1.0).alias("score")).unionByName(unseen)
+        known, before = base.unionByName(unseen), state
     hits = mentions.join(confident.select("pattern", "kind"), "pattern").join(unseen.select("instance", "kind"), ["instance", "kind"])
     order = F.element_at(F.create_map(*[F.lit(x) for no, k in enumerate(KINDS) for x in (k, no)]), F.col("kind"))
     return hits.groupBy("text_key", "start", "end").agg(F.min(order).alias("kind_no")).select("text_key", "start", "kind_no", "end", F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind_no") + 1).alias("kind"))
