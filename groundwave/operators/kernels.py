@@ -51,13 +51,16 @@ def migrate(cells: DataFrame, dx: float, dt: float, speed: float, aperture: floa
     return hits.select("ix", "iy", F.transform(F.sequence(F.lit(0), F.lit(nz - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0))).alias(amp))
 
 
-def migrate_profile(traces: DataFrame, by: str | list[str], order: str, dx: float, dt: float, speed: float, aperture: float, reach: int, amp: str = "amp") -> DataFrame:
+def migrate_profile(traces: DataFrame, by: str | list[str], order: str, dx: float, dt: float, speed: float, aperture: float, ns: int, reach: int | None = None, amp: str = "amp") -> DataFrame:
     """Time migration along a profile, traces dx apart: our own sum along diffraction hyperbolas.
 
     The image at sample k takes from a trace d away its sample at round(sqrt(k^2 + (2 d / (v dt))^2)),
     weighted by the cosine of the angle from the vertical, if the angle is at most aperture/2; the sum is
-    divided by the weights. At most `reach` traces to each side: a window, so every trace is shuffled once.
+    divided by the weights. The traces to each side are those that the aperture meets within ns samples, or
+    `reach` if it is given: a window, so every trace is shuffled once.
     """
+    if reach is None:
+        reach = math.floor((ns - 0.5) * math.sin(math.radians(min(aperture, 180) / 2)) * speed * dt / (2 * dx) + 1e-9)
     around = F.collect_list(F.struct(F.col(order).alias("o"), F.col(amp).alias("a"))).over(track.along(by, order).rangeBetween(-reach, reach))
     half = math.cos(math.radians(aperture / 2))
 

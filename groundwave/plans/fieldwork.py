@@ -225,7 +225,15 @@ def velocity_clusters(spark, d):
 l AS (SELECT vec_id, k, CASE WHEN p = 0 THEN 1 ELSE k / p END AS l, CASE WHEN p < 63.5 THEN amp[round(p)::INT + 1] END AS a FROM c)
 SELECT vec_id, count(*) AS n, round(sum(v), 6) AS s, round(sum(v * (k + 1)), 6) AS w FROM (SELECT vec_id, k, coalesce(sum(l * a) FILTER (l >= cos(radians(30)) AND a IS NOT NULL) / nullif(sum(l) FILTER (l >= cos(radians(30)) AND a IS NOT NULL), 0), 0) AS v FROM l GROUP BY ALL) GROUP BY vec_id""")
 def migrate2d(spark, d):
-    return kernels.migrate_profile(traces(spark, d), "channel", "trace", 0.02, DT, 0.1, 60.0, 3).select("vec_id", *sums())
+    return kernels.migrate_profile(traces(spark, d), "channel", "trace", 0.02, DT, 0.1, 60.0, NS, 3).select("vec_id", *sums())
+
+
+@query(T + """, c AS (SELECT a.vec_id, k, sqrt(k * k + ((a.trace - b.trace) * 8 / 10.0::DOUBLE) ** 2) AS p, b.amp FROM traces a JOIN traces b ON a.channel = b.channel, range(0, 64) r(k)),
+l AS (SELECT vec_id, k, CASE WHEN p = 0 THEN 1 ELSE k / p END AS l, CASE WHEN p < 63.5 THEN amp[round(p)::INT + 1] END AS a FROM c)
+SELECT vec_id, count(*) AS n, round(sum(v), 6) AS s, round(sum(v * (k + 1)), 6) AS w FROM (SELECT vec_id, k, coalesce(sum(l * a) FILTER (l >= cos(radians(30)) AND a IS NOT NULL) / nullif(sum(l) FILTER (l >= cos(radians(30)) AND a IS NOT NULL), 0), 0) AS v FROM l GROUP BY ALL) GROUP BY vec_id""")
+def migrate2d_whole(spark, d):
+    """migrate2d over the whole aperture."""
+    return kernels.migrate_profile(traces(spark, d), "channel", "trace", 0.02, DT, 0.1, 60.0, NS).select("vec_id", *sums())
 
 
 @query(E + """, n AS (SELECT *, (nr * 3 % 17) / 10.0::DOUBLE AS z FROM e), w AS (SELECT *, lead(x, 3) OVER o - x AS dx, lead(y, 3) OVER o - y AS dy, list({'x': x, 'y': y, 'z': z}) OVER (PARTITION BY user_id ORDER BY nr ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS p FROM n WINDOW o AS (PARTITION BY user_id ORDER BY nr)),

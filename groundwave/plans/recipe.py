@@ -157,7 +157,7 @@ def migration(df, p, dt, ns):
 @step("do_migration2d_vz")
 def profile_migration(df, p, dt, ns):
     """Our own sum along hyperbolas of one speed; traces dx apart."""
-    return kernels.migrate_profile(df, ["profile", "channel"], "trace", p["dx"], dt, p["v"], p["aperture"], int(p["reach"]))
+    return kernels.migrate_profile(df, ["profile", "channel"], "trace", p["dx"], dt, p["v"], p["aperture"], ns)
 
 
 @step("do_linearInterpolation")
