@@ -104,6 +104,15 @@ def section_cut(spark, d):
     return out.select("line", F.col("k").cast("long").alias("k"), *sums())
 
 
+@query(CELLS + _LINES.replace(" WHERE s_suppkey <= 40", "") + " SELECT line, k, count(*) AS n, round(sum(v), 6) AS s, round(sum(v * i), 6) AS w FROM m GROUP BY line, k")
+def section_cut_whole(spark, d):
+    """section_cut along the lines of all suppliers."""
+    s = F.col("s_suppkey")
+    lines = table(spark, d, "supplier").select(s.alias("line"), (s % 5).cast("double").alias("x0"), (s % 3).cast("double").alias("y0"), (s % 4 + 5.0).alias("x1"), (s % 5 + 4.0).alias("y1"))
+    out = position.section(position.stations(lines, "line", 0.7), "line", cells(spark, d), smooth=2)
+    return out.select("line", F.col("k").cast("long").alias("k"), *sums())
+
+
 @query(CELLS + f""", t AS (SELECT ix, iy, list(v ORDER BY k) AS amp, floor((2.0 - (ix * 3 + iy) % 7 * 0.1) / 0.05::DOUBLE + 0.5)::INT AS down FROM cells GROUP BY ix, iy),
 x AS (SELECT ix, iy, list_transform(range(10, 18), lambda k: amp[least(k + down, 63) + 1]) AS a FROM t) SELECT ix, iy, {SUMS} FROM x""")
 def topography_slice(spark, d):

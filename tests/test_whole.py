@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from groundwave.plans import recipe
+from groundwave.plans import catalogue, recipe
 
 
 def test_profile_migration_takes_the_whole_aperture(spark):
@@ -19,3 +19,9 @@ def test_profile_migration_takes_the_whole_aperture(spark):
                 if lean >= np.cos(np.radians(30)) and int(p + 0.5) < 40:
                     s, w = s + lean * amp[t, int(p + 0.5)], w + lean
             assert np.isclose(r["amp"][k], s / w if w else 0)
+
+
+def test_section_query_cuts_every_suppliers_line(spark):
+    folder = "/root/testdata/sf0.01"
+    got = {r["line"] for r in catalogue.QUERIES["section_cut_whole"](spark, folder).select("line").distinct().collect()}
+    assert got == {r["s_suppkey"] for r in spark.read.parquet(f"{folder}/supplier.parquet").collect()}
