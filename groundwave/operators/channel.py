@@ -22,6 +22,26 @@ def remove_background(traces: DataFrame, by: list[str], amp: str = "amp") -> Dat
     return traces.join(stats, by).withColumn(amp, F.zip_with(amp, "_mean", lambda a, m: a - m)).drop("_mean")
 
 
+def remove_median_background(traces: DataFrame, by: list[str], amp: str = "amp") -> DataFrame:
+    """Minus the median trace of the channel."""
+    rows = traces.select(*by, F.posexplode(amp).alias("k", "v")).groupBy(*by, "k").agg(F.percentile("v", 0.5).alias("m")).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("k", "m"))).alias("x"))
+    stats = rows.select(*by, F.transform("x", lambda r: r["m"]).alias("_median"))
+    return traces.join(stats, by).withColumn(amp, F.zip_with(amp, "_median", lambda a, m: a - m)).drop("_median")
+
+
+def remove_moving_median(traces: DataFrame, by: str, order: str, n: int, amp: str = "amp") -> DataFrame:
+    """Minus the median of the n traces around (n odd), fewer at the ends."""
+    h = n // 2
+    around = F.collect_list(amp).over(track.along(by, order).rowsBetween(-h, h))
+
+    def less(a, k):
+        v = F.array_sort(F.filter(F.transform("_around", lambda t: F.get(t, k)), lambda x: x.isNotNull()))
+        m = F.size(v)
+        return a - (F.get(v, F.floor((m - 1) / 2).cast("int")) + F.get(v, F.floor(m / 2).cast("int"))) / 2
+
+    return traces.withColumn("_around", around).withColumn(amp, F.transform(amp, less)).drop("_around")
+
+
 def remove_moving_background(traces: DataFrame, by: str, order: str, n: int, amp: str = "amp") -> DataFrame:
     """Minus the mean of the n traces around (n odd), fewer at the ends."""
     h = n // 2

@@ -62,6 +62,11 @@ def fill(df, p, dt, ns):
 
 @step("do_removeMeanMedianTrace")
 def background(df, p, dt, ns):
+    """meanmedian 1 (as if it is not given): the mean trace, else the median trace."""
+    if p.get("meanmedian", 1) != 1:
+        if p.get("numtraces", 0):
+            return channel.remove_moving_median(df, ["profile", "channel"], "trace", int(p["numtraces"]) | 1)
+        return channel.remove_median_background(df, ["profile", "channel"])
     if p.get("numtraces", 0):
         return channel.remove_moving_background(df, ["profile", "channel"], "trace", int(p["numtraces"]) | 1)
     return channel.remove_background(df, ["profile", "channel"])

@@ -25,3 +25,13 @@ def test_section_query_cuts_every_suppliers_line(spark):
     folder = "/root/testdata/sf0.01"
     got = {r["line"] for r in catalogue.QUERIES["section_cut_whole"](spark, folder).select("line").distinct().collect()}
     assert got == {r["s_suppkey"] for r in spark.read.parquet(f"{folder}/supplier.parquet").collect()}
+
+
+def test_background_is_the_median_if_asked_for(spark):
+    amp = np.random.default_rng(4).normal(size=(12, 6)) ** 3
+    df = spark.createDataFrame([(1, 1, i, a.tolist()) for i, a in enumerate(amp)], "profile int, channel int, trace int, amp array<double>")
+    step = "do_removeMeanMedianTrace 1\nmeanmedian 2\nnumtraces "
+    for n in (0, 5):
+        for r in recipe.run(df, f"{step}{n}", 0.5, 6).collect():
+            i = r["trace"]
+            assert np.allclose(r["amp"], amp[i] - np.median(amp[max(0, i - 2) : i + 3] if n else amp, axis=0))
