@@ -6,13 +6,13 @@ are joined to one string:
     <|im_start|>role\\ntext<|im_sep|>text<|im_end|>\\n
 
 Inside roles and texts a backslash is doubled and one is put after the first character of every
-control string, so no control string of this or the other usual templates is left; taking the
-backslashes out again restores the text. The loss mask holds the assistant texts as code point spans
+control string, so no control string of this or the other usual templates is left; a role's newlines
+get a backslash before them. Taking the backslashes out again restores role and text. The loss mask holds the assistant texts as code point spans
 of the formatted string, one for every turn.
 
 Defined results: a null text or role is empty; turns with equal numbers are ordered by role and text;
 repeated rows are turns of their own; rows with a null conversation form one conversation; an empty
-table gives an empty table. A conversation is one output row, so it must fit one row.
+table gives an empty table; only the named columns are read, so others can't clash. A conversation is one output row, so it must fit one row.
 """
 
 from __future__ import annotations
@@ -20,11 +20,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import running_sum
+
 #: The marks of the template.
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n"
 #: First character and rest of the control strings that texts may not hold as they are.
 CONTROL = r"(\\|<(?=\||/?s>|</?SYS>>)|\[(?=/?INST\]))"
 
+#: A role and the newline that ends it.
+_HEAD = r"(?s)\A([^\\\n]*+(?:\\.[^\\\n]*+)*+)\n"
+
 
 def escape(text: Column) -> Column:
     return F.regexp_replace(text, CONTROL, r"$1\\")
@@ -34,6 +39,11 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
+def escape_role(role: Column) -> Column:
+    """A role ends at the first newline without a backslash before it, so its own newlines get one."""
+    return F.regexp_replace(escape(role), "\n", "\\\\\n")
+
+
 def format_conversations(turns: DataFrame, conv: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text", learn: str = "assistant") -> DataFrame:
     """conv, formatted string, loss_spans array<struct<start,length>>."""
     none = F.lit("")
@@ -45,31 +55,24 @@ def format_conversations(turns: DataFrame, conv: str = "conv_id", order: str = "
         "first", "ends",
         lambda a, b: F.struct(F.element_at("turns", a)["role"].alias("role"), F.transform(F.slice("turns", a, b - a), lambda t: escape(t["text"])).alias("texts")),
     )
-    rows = rows.select("conv", F.transform(blocks, lambda b: F.struct(F.concat(F.lit(START), escape(b["role"]), F.lit("\n")).alias("head"), (b["role"] == learn).alias("learn"), b["texts"].alias("texts"))).alias("blocks"))
+    rows = rows.select("conv", F.transform(blocks, lambda b: F.struct(F.concat(F.lit(START), escape_role(b["role"]), F.lit("\n")).alias("head"), (b["role"] == learn).alias("learn"), b["texts"].alias("texts"))).alias("blocks"))
     formatted = F.array_join(F.transform("blocks", lambda b: F.concat(b["head"], F.array_join(b["texts"], SEP), F.lit(END))), "")
 
-    def spans(texts: Column, at: Column) -> Column:
-        step = lambda acc, t: F.struct((acc["at"] + F.length(t) + len(SEP)).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), F.length(t).alias("length")))).alias("out"))
-        return F.aggregate(texts, F.struct(at.alias("at"), _NO_SPANS().alias("out")), step, lambda acc: acc["out"])
-
-    def add(acc: Column, b: Column) -> Column:
-        inside = acc["at"] + F.length(b["head"])
-        length = F.length(F.array_join(b["texts"], SEP))
-        return F.struct((inside + length + len(END)).alias("at"), F.when(b["learn"], F.concat(acc["out"], spans(b["texts"], inside))).otherwise(acc["out"]).alias("out"))
-
-    loss = F.aggregate("blocks", F.struct(F.lit(0).alias("at"), _NO_SPANS().alias("out")), add, lambda acc: acc["out"])
-    return rows.select(F.col("conv").alias(conv), formatted.alias("formatted"), loss.alias("loss_spans"))
-
-
-def _NO_SPANS() -> Column:
-    return F.array().cast("array<struct<start:int,length:int>>")
+    # lengths of all pieces in order, then their places as running sums
+    pieces = F.flatten(F.transform("blocks", lambda b: F.transform(b["texts"], lambda t, i: F.struct(
+        F.when(i == 0, F.length(b["head"])).otherwise(len(SEP)).alias("before"), F.length(t).alias("length"), F.when(i == F.size(b["texts"]) - 1, len(END)).otherwise(0).alias("behind"), b["learn"].alias("learn")))))
+    rows = rows.withColumn("formatted", formatted).withColumn("pieces", pieces)
+    rows = rows.withColumn("sizes", F.transform("pieces", lambda p: p["before"] + p["length"] + p["behind"]))
+    spans = F.zip_with("pieces", running_sum(F.col("sizes")), lambda p, e: F.struct((e - p["behind"] - p["length"]).alias("start"), p["length"].alias("length"), p["learn"].alias("learn")))
+    loss = F.transform(F.filter(spans, lambda s: s["learn"]), lambda s: F.struct(s["start"], s["length"]))
+    return rows.select(F.col("conv").alias(conv), "formatted", loss.alias("loss_spans"))
 
 
 def parse(formatted: Column) -> Column:
     """The turns of a formatted string, read back: array<struct<role,text>>."""
     blocks = F.filter(F.split(formatted, r"<\|im_start\|>", -1), lambda b: b != "")
-    role = lambda b: unescape(F.regexp_extract(b, r"(?s)^(.*?)\n", 1))
-    body = lambda b: F.regexp_replace(F.regexp_replace(b, r"(?s)\A.*?\n", ""), r"<\|im_end\|>\n\z", "")
+    role = lambda b: unescape(F.regexp_extract(b, _HEAD, 1))
+    body = lambda b: F.regexp_replace(F.regexp_replace(b, _HEAD, ""), r"<\|im_end\|>\n\z", "")
     return F.flatten(F.transform(blocks, lambda b: F.transform(F.split(body(b), r"<\|im_sep\|>", -1), lambda t: F.struct(role(b).alias("role"), unescape(t).alias("text")))))
 
 

@@ -103,15 +103,20 @@ def score_batch(texts: list[str], logp: np.ndarray, prior: np.ndarray) -> tuple[
     """(index of the best language, score) of every text; gathers matrix rows and sums them document by document."""
     out, n_grams = np.zeros((len(texts), logp.shape[1])), np.zeros(len(texts))
 
+    # rows of the matrix that are gathered at a time: few if there are many languages
+    size = min(_SLICE, max(1 << 12, (1 << 24) // max(1, logp.shape[1])))
+
+    def total(h: np.ndarray) -> np.ndarray:
+        return sum(logp[h[at : at + size]].sum(0, dtype=np.float64) for at in range(0, len(h), size))
+
     def add(group: list[int], parts: list[np.ndarray]):
         codes, lengths = np.concatenate(parts), np.array([len(p) for p in parts])
         ends = np.cumsum(lengths)
         starts = ends - lengths
         for order, h in _grams(codes, len(logp)):
-            rows = logp[h]
             for i, a, b in zip(group, starts, ends - order + 1, strict=True):
                 if b > a:
-                    out[i] += rows[a:b].sum(0)
+                    out[i] += total(h[a:b])
                     n_grams[i] += b - a
 
     group, parts, held = [], [], 0
@@ -119,7 +124,7 @@ def score_batch(texts: list[str], logp: np.ndarray, prior: np.ndarray) -> tuple[
         for codes, more in _slices(text):
             if more:  # a slice in the middle of a text: its last n-grams of lower order belong to the next one
                 for order, h in _grams(codes, len(logp)):
-                    out[i] += logp[h[:_SLICE]].sum(0)
+                    out[i] += total(h[:_SLICE])
                     n_grams[i] += min(len(h), _SLICE)
                 continue
             group.append(i)

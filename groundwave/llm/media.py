@@ -7,7 +7,9 @@ grey image of 64 columns with 8-bit samples (binary PGM), one sample for each pa
 
 Defined results: a null text is an empty one; an empty payload has one row of zeros; a null page has
 an empty sequence; a reference that no payload answers keeps its position with null features; equal
-payloads may be stored more than once and resolve to one row; an empty table gives an empty table.
+payloads may be stored more than once and resolve to one row; an empty table gives an empty table. A
+caption stands before or behind the media of its figure, with texts between; no text of a page is lost
+where tags for its end, head or body are missing.
 Only the named columns are read, so others can't clash.
 """
 
@@ -23,54 +25,121 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_lookup, materialize
+from .common import materialize
 
 ROW = 64
 ITEM = "struct<position:int,kind:string,text:string,digest:string,caption:string>"
-_SKIP = {"script", "style", "head"}
+_MEDIA = {"img", "audio", "video"}
+_SKIP = {"script", "style", "title", "template"}
+#: What may stand in a head; anything else ends it.
+_HEAD = {"meta", "link", "base", "noscript"} | _SKIP
 _BREAKS = {"p", "div", "li", "br", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "td", "th", "section", "article", "figure", "ul", "ol", "table", "nav", "header", "footer", "blockquote"}
 
 
+def _spaced(parts: list[str]) -> str:
+    return " ".join("".join(parts).split())
+
+
+class _Figure:
+    """An open figure: its media, its caption so far as paragraphs (None: no figcaption), and whether that is still open."""
+
+    def __init__(self, at: int):
+        self.at, self.media, self.caption, self.open = at, [], None, False
+
+
 class _Reader(HTMLParser):
+    """Collects items. A figure's caption goes to all media of the figure, before or behind it; one without media is a text.
+    A figcaption that nothing closes ends with its first paragraph, or with its figure; one outside of figures is text."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.items, self.text, self.skip, self.caption = [], [], [], None
+        self.items, self.text, self.skip, self.head, self.figures = [], [], [], False, []
+
+    def add(self, kind: str, text=None, digest=None, caption=None) -> dict:
+        self.items.append({"kind": kind, "text": text, "digest": digest, "caption": caption})
+        return self.items[-1]
+
+    def figcaption(self) -> _Figure | None:
+        """The figure whose caption is being read."""
+        return self.figures[-1] if self.figures and self.figures[-1].open else None
 
     def flush(self):
-        text = " ".join("".join(self.text).split())
-        self.text = []
-        if text:
-            self.items.append({"kind": "text", "text": text, "digest": None, "caption": None})
+        text, self.text = _spaced(self.text), []
+        if text and (figure := self.figcaption()):
+            figure.caption.append(text)
+        elif text:
+            self.add("text", text)
+
+    def end_figure(self, closed: bool):
+        """The innermost figure ends: by its tag, or because another one or the page's end follows."""
+        self.flush()
+        figure = self.figures.pop()
+        said = figure.caption or []
+        rest = said[1:] if figure.open and not closed else []
+        caption = " ".join(said[: len(said) - len(rest)])
+        if caption and figure.media:
+            for item in figure.media:
+                item["caption"] = caption
+        elif caption:
+            self.items.insert(figure.at, {"kind": "text", "text": caption, "digest": None, "caption": None})
+        for text in rest:
+            self.add("text", text)
 
     def handle_starttag(self, tag, attrs):
-        if tag in _SKIP and tag != "body":
+        if tag == "head":
+            self.head = True
+        elif self.head and tag not in _HEAD:
+            self.head = False
+        if tag in _SKIP:
             self.skip.append(tag)
         elif tag == "body":
             self.skip = []
-        elif tag in ("img", "audio", "video"):
+        elif tag in _MEDIA:
             self.flush()
             given = dict(attrs)
             src = given.get("src") or ""
-            self.items.append({"kind": tag, "text": None, "digest": src.removeprefix("sha256:") if src.startswith("sha256:") else src or None, "caption": given.get("alt") or given.get("title")})
-        elif tag == "figcaption":
+            item = self.add(tag, None, src.removeprefix("sha256:") or None, given.get("alt") or given.get("title") or None)
+            if self.figures:
+                self.figures[-1].media.append(item)
+        elif tag == "figure":
             self.flush()
-            self.caption = []
-        elif tag in _BREAKS:
+            if self.figcaption():
+                self.end_figure(False)
+            self.figures.append(_Figure(len(self.items)))
+        elif tag == "figcaption" and self.figures:
+            self.flush()
+            figure = self.figures[-1]
+            figure.open = True
+            if figure.caption is None:
+                figure.caption, figure.at = [], len(self.items)
+        elif tag in _BREAKS or tag == "figcaption":
             self.flush()
 
     def handle_endtag(self, tag):
-        if self.skip and tag == self.skip[-1]:
+        if tag == "head":
+            self.head = False
+        elif self.skip and tag == self.skip[-1]:
             self.skip.pop()
-        elif tag == "figcaption" and self.caption is not None:
-            text, self.caption = " ".join("".join(self.caption).split()), None
-            if self.items and self.items[-1]["kind"] != "text":
-                self.items[-1]["caption"] = text
+        elif tag == "figcaption":
+            self.flush()
+            if self.figcaption():
+                self.figures[-1].open = False
+        elif tag == "figure" and self.figures:
+            self.end_figure(True)
         elif tag in _BREAKS:
             self.flush()
 
     def handle_data(self, data):
-        if not self.skip:
-            (self.text if self.caption is None else self.caption).append(data)
+        if self.skip or self.head and not data.strip():
+            return
+        self.head = False
+        self.text.append(data)
+
+    def close(self):
+        super().close()
+        self.flush()
+        while self.figures:
+            self.end_figure(False)
 
 
 def parse_page(html: str | None) -> list[dict]:
@@ -78,7 +147,6 @@ def parse_page(html: str | None) -> list[dict]:
     reader = _Reader()
     reader.feed(html or "")
     reader.close()
-    reader.flush()
     return [{"position": i} | x for i, x in enumerate(reader.items)]
 
 
@@ -154,7 +222,9 @@ def features(media: DataFrame) -> DataFrame:
 def resolve(sequences: DataFrame, found: DataFrame) -> DataFrame:
     """(id, position, kind, text, caption, digest, features) of every item, in no order; references meet payloads by digest."""
     items = sequences.select("id", F.explode("items").alias("item")).select("id", "item.*")
-    return join_lookup(items, found, ["digest"])
+    # only references are joined, so that texts are not shuffled; features grow with the corpus: no broadcast at any size
+    referred = items.where("digest is not null").join(found.hint("merge"), "digest", "left")
+    return referred.unionByName(items.where("digest is null"), allowMissingColumns=True)
 
 
 def pages_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

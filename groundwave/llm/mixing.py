@@ -5,13 +5,18 @@ what is cut is shared among the others by weight until nothing is above: the wat
 ends at is computed in one pass over the sources, sorted by the level at which each is full.
 
 A source takes all its documents q times, q being the whole part of target / size, and a part of them
-once more. That part is chosen by length: documents are counted by exact length, every length gives
-the same share of its count, and a bounded-knapsack dynamic programme over the counts that are left
-fits the remaining budget as closely as sums of lengths can. Which documents of a length are taken is
-decided by a seeded hash of their id, so reruns agree.
+once more. That part is chosen by length: documents are counted by exact length, and every length gives
+the same share of its count, rounded down. In a seeded order of the lengths, which knows nothing of how
+long they are, the fractions that rounding cut are summed, and a length at which they pass a whole number
+gives one document more, until the words that are missing fit the knapsack's room. A bounded-knapsack
+dynamic programme over the documents that are left, lengths again in the seeded order, fits these last
+words as closely as sums of lengths can. One rule holds at every size, and the memory of the programme is
+bounded by its room. Which documents of a length are taken is decided by a seeded hash of id and text, so
+reruns agree.
 
 Hot lengths: the documents of one source and length are dealt to buckets of about _RANK rows by hash;
-bucket counts decide all but one bucket, and only inside a bucket rows are ranked.
+bucket counts decide all but one bucket, and only inside a bucket rows are ranked. Rows without an id are
+told apart by their stored number; equal rows of one id share a bucket.
 
 Defined results: a null text has size 0 and is never taken; sources of size 0 have target 0; a null
 source is a source of its own, the last; equal rows are told apart by the order they are stored in;
@@ -26,14 +31,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, join_lookup, materialize
+from .common import WORD, materialize, whole_row
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
 _RANK = 256
-#: The dynamic programme's budget is at most this or twice the longest document.
-_DP_BUDGET = 1 << 16
+#: The knapsack's room: words that it fits at most.
+_ROOM = 1 << 16
 
 
 def word_count(text: Column) -> Column:
@@ -56,49 +61,75 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int =
     return rows.withColumn("water", water).select("source", "source_size", F.least("cap", F.coalesce(F.col("water") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
+def _seeded(lengths: np.ndarray) -> np.ndarray:
+    """The places of the lengths in an order that depends on their hashes only."""
+    mixed = (lengths.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed = (mixed ^ mixed >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return np.lexsort((lengths, mixed ^ mixed >> np.uint64(31)))
+
+
+def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """How many of each length to take so that the sum comes as near to budget as may be. Of every sum the piece that made it
+    first is held, so memory depends on the budget alone; lengths are used in their order, and no more of them once the budget is met."""
+    take = np.zeros(len(lengths), np.int64)
+    fits = (lengths < 2 * budget) & (counts > 0)  # a longer one alone is further off than nothing
+    limit = 2 * budget
+    reached, by = np.zeros(limit + 1, bool), np.full(limit + 1, -1, np.int32)
+    reached[0] = True
+    pieces: list[tuple[int, int, int]] = []
+    for i in np.flatnonzero(fits):
+        n, piece = int(min(counts[i], limit // lengths[i])), 1
+        while n > 0 and not reached[budget]:
+            piece = min(piece, n)
+            size = piece * int(lengths[i])
+            new = size + np.flatnonzero(reached[: limit + 1 - size] & ~reached[size:])
+            if len(new):
+                reached[new], by[new] = True, len(pieces)
+                pieces.append((int(i), piece, size))
+            n -= piece
+            piece *= 2
+        if reached[budget]:
+            break
+    sums = np.flatnonzero(reached)
+    at = int(sums[np.abs(sums - budget).argmin()])
+    while at:
+        i, piece, size = pieces[by[at]]
+        take[i] += piece
+        at -= size
+    return take
+
+
 def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length to take so that their words come as near to budget as may be."""
+    """How many documents of each length to take so that their words come near to budget, all lengths alike."""
     total = int((lengths * counts).sum())
     if budget <= 0 or total == 0:
         return np.zeros(len(lengths), np.int64)
     if budget >= total:
         return counts.copy()
-    # the same share of every length, but for a budget that the programme can fit exactly
-    room = min(budget, max(_DP_BUDGET, 2 * int(lengths.max())))
-    take = np.floor(counts * ((budget - room) / total)).astype(np.int64)
-    left = counts - take
+    even = counts * (budget / total)
+    take = np.floor(even).astype(np.int64)
+    order = _seeded(lengths)
     rest = budget - int((take * lengths).sum())
-    order = np.argsort(-lengths, kind="stable")
-    for i in order:  # large steps first, evenly, until the rest is within the programme's budget
-        if rest <= room:
-            break
-        n = min(int(left[i]), -(-(rest - room) // int(lengths[i])) if (rest - room) < lengths[i] * left[i] else int(left[i]))
-        take[i] += n
-        left[i] -= n
-        rest -= n * int(lengths[i])
-    if rest <= 0:
-        return take
-    # bounded knapsack: bit s of `reach` is set if sum s can be made; parts are binary pieces of a length's count
-    reach, parts, mask = 1, [], (1 << (rest + int(lengths.max()) + 1)) - 1
-    for i in order[::-1]:
-        n, piece = int(min(left[i], rest // lengths[i] + 1)), 1
-        while n > 0:
-            piece = min(piece, n)
-            parts.append((i, piece, reach))
-            reach |= reach << (piece * int(lengths[i])) & mask
-            n -= piece
-            piece *= 2
-        if reach >> rest & 1:
-            break
-    low = (reach & ((1 << (rest + 1)) - 1)).bit_length() - 1
-    high = reach >> (rest + 1)
-    high = rest + (high & -high).bit_length() if high else None
-    best = low if high is None or rest - low <= high - rest else high
-    for i, piece, old in reversed(parts):
-        if not old >> best & 1:
-            take[i] += piece
-            best -= piece * int(lengths[i])
-    return take
+    room = min(_ROOM, 8 * -(-total // int(counts.sum())))
+    owed = 0.0
+    for i in order[: len(order) if rest > room else 0]:
+        owed += even[i] - take[i]
+        if owed >= 1 and rest > room and take[i] < counts[i] and lengths[i] <= rest - room // 2:
+            take[i], rest, owed = take[i] + 1, rest - int(lengths[i]), owed - 1
+    for i in order:  # where fractions of short lengths could not make up for those of long ones
+        if rest > room and lengths[i] <= rest - room // 2:
+            n = min(int(counts[i] - take[i]), (rest - room // 2) // int(lengths[i]))
+            take[i], rest = take[i] + n, rest - n * int(lengths[i])
+    left = counts - take
+    if rest > 2 * _ROOM:  # then every length that is left is over three quarters of rest: none of them, the nearest one, or it in place of others
+        open_ = np.flatnonzero(left > 0)
+        one = np.zeros(len(lengths), np.int64)
+        one[open_[np.abs(lengths[open_] - rest).argmin()]] = 1
+        options = [take, take + one, one + fit_counts(lengths, counts - one, budget - int((one * lengths).sum()))]
+        return min(options, key=lambda t: abs(int((t * lengths).sum()) - budget))
+    more = np.zeros(len(lengths), np.int64)
+    more[order] = knapsack(lengths[order], left[order], rest) if rest else 0
+    return take + more
 
 
 def plan(sized: DataFrame, repeats: int = REPEATS, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -125,15 +156,14 @@ def plan(sized: DataFrame, repeats: int = REPEATS, weights: tuple[int, ...] = WE
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, keep_text: bool = False) -> DataFrame:
     """id, source, size, source_size, target, times: how often the mix takes each row; keep_text: and every other column of docs, as struct `doc`."""
-    payload = [F.struct(*docs.columns).alias("doc")] if keep_text else []
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *payload)
-    sized = materialize(sized.withColumn("row", F.monotonically_increasing_id()), "mix-sizes", "zstd")
+    payload = [whole_row(docs).alias("doc")] if keep_text else []
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("words"), *payload)
+    sized = sized.withColumn("row", F.monotonically_increasing_id())
+    sized = materialize(sized.withColumn("hash", F.xxhash64("id", "words", F.when(F.col("id").isNull(), F.col("row")), F.lit(seed))).drop("words"), "mix-sizes", "zstd")
     steps = plan(sized.select("source", "size"), repeats, weights).withColumnRenamed("source", "_source").withColumnRenamed("size", "_size")
     same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size"))
-    slim = sized.select("id", "source", "size", "row")
-    small = steps.count() <= 200_000
-    rows = slim.join(F.broadcast(steps) if small else steps, same).drop("_source", "_size")
-    rows = rows.withColumn("hash", F.xxhash64(F.col("id"), F.lit(seed)))
+    # steps and quotas grow with the corpus: always shuffled joins of rows without their texts
+    rows = sized.select("id", "source", "size", "row", "hash").join(steps.hint("merge"), same).drop("_source", "_size")
     rows = rows.withColumn("buckets", F.ceil(F.col("n") / _RANK)).withColumn("bucket", F.pmod("hash", "buckets"))
     key = ["source", "size", "bucket"]
     # only lengths of which a part is taken need ranks
@@ -143,9 +173,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     quota = F.greatest(F.lit(0), F.least(F.col("held"), F.col("extra") - F.coalesce(F.sum("held").over(until), F.lit(0))))
     quotas = materialize(held.withColumn("quota", quota).select(*[F.col(k).alias("_" + k) for k in key], "quota"), "mix-quotas")
     match = F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")) & (F.col("bucket") == F.col("_bucket"))
-    quotas = F.broadcast(quotas) if quotas.count() <= 200_000 else quotas
     rank = F.row_number().over(W.partitionBy(*key).orderBy("hash", "id", "row"))
-    ranked = part.join(quotas, match).withColumn("more", (rank <= F.col("quota")).cast("long"))
+    ranked = part.join(quotas.hint("merge"), match).withColumn("more", (rank <= F.col("quota")).cast("long"))
     whole = rows.where((F.col("extra") <= 0) | (F.col("extra") >= F.col("n"))).withColumn("more", (F.col("extra") > 0).cast("long"))
     times = F.when(F.col("size") > 0, F.col("epochs") + F.col("more")).otherwise(0).alias("times")
     columns = ["row", "id", "source", "size", "source_size", "target", times]

@@ -8,7 +8,7 @@ What is left at the shard's end goes to sequences whose lengths are powers of tw
 
 Tokens are those of the whole text: the tokenizer drops white space, so the ids of a text are those of
 its white-space words, which are encoded once for a shard. Texts with a special token's opening are
-encoded whole.
+encoded whole, and all texts are if the tokenizer's file has other rules.
 
 Defined results: a null text is empty and gives the end id alone; repeated rows are packed each;
 an empty table gives an empty table. Only the named columns are read, so others can't clash.
@@ -16,6 +16,7 @@ an empty table gives an empty table. Only the named columns are read, so others
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from collections.abc import Iterator
 
@@ -41,14 +42,30 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+#: The rules of a vocabulary that drops white space, so that no token reaches over a word's end.
+_WORD_RULES = [
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+]
+
+
 class WordEncoder:
-    """Ids of white-space words, with a bounded memory of words met before."""
+    """Ids of white-space words, with a bounded memory of words met before. A vocabulary of other rules than _WORD_RULES
+    encodes whole texts."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.letters, self.known = self.tokenizer.model, _byte_letters(), {}
+        rules = json.loads(self.tokenizer.to_str())
+        steps = [rules["normalizer"], rules["pre_tokenizer"]]
+        tokens = [t["content"] for t in rules["added_tokens"]]
+        #: Whether ids of a text are those of its words: only by these rules, and if added tokens have an opening that is looked for.
+        self.by_word = steps == _WORD_RULES and not rules["post_processor"] and all(t.startswith("<|") for t in tokens)
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -81,33 +98,34 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def tokenize(texts: pa.Array, encoder: WordEncoder) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(ids, ids' offsets by document, word codes, word codes' offsets); every document ends with END_ID."""
-    texts = unsliced(texts)
-    odd = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
+    texts, n = unsliced(texts), len(texts)
     plain = pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z])([.,])", r"\1 \2")
-    if odd.any():
-        plain = pc.if_else(pa.array(odd), "", plain)
     split = pc.ascii_split_whitespace(plain)
     flat = split.flatten()
     lengths = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
-    owner = np.repeat(np.arange(len(texts)), lengths)
     full = pc.not_equal(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
+    owner = np.repeat(np.arange(n), lengths)[full]
     coded = flat.filter(pa.array(full)).dictionary_encode()
-    codes, owner = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), owner[full]
-    ids_of = encoder.words(coded.dictionary.to_pylist())
-    for i in np.flatnonzero(odd):
-        at = np.searchsorted(owner, i)
-        codes, owner = np.insert(codes, at, len(ids_of)), np.insert(owner, at, i)
-        ids_of.append(encoder.whole(texts[int(i)].as_py()))
-    word_offsets = np.searchsorted(owner, np.arange(len(texts) + 1))
-    ids_of.append([END_ID])
+    codes, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(coded.dictionary)
+    # a text that has to be encoded whole stands as one word of its own
+    odd = pc.match_substring(texts, "<|" if encoder.by_word else "").to_numpy(zero_copy_only=False)
+    wholes, by_word = np.flatnonzero(odd), ~odd[owner]
+    used = np.unique(codes[by_word])
+    ids_of: list[list[int]] = [[]] * words
+    for code, ids in zip(used.tolist(), encoder.words(coded.dictionary.take(pa.array(used)).to_pylist()), strict=True):
+        ids_of[code] = ids
+    ids_of += [encoder.whole(texts[int(i)].as_py()) for i in wholes] + [[END_ID]]
+    at = np.searchsorted(owner[by_word], wholes)
+    parts, part_owner = np.insert(codes[by_word], at, words + np.arange(len(wholes))), np.insert(owner[by_word], at, wholes)
+    part_offsets = np.searchsorted(part_owner, np.arange(n + 1))
     sizes = np.fromiter(map(len, ids_of), np.int64, len(ids_of))
     table = np.fromiter((x for ids in ids_of for x in ids), np.uint32, int(sizes.sum()))
     # an end code after every document's words
-    ended = np.insert(codes, word_offsets[1:], len(ids_of) - 1)
+    ended = np.insert(parts, part_offsets[1:], len(ids_of) - 1)
     starts, lens = (np.cumsum(sizes) - sizes)[ended], sizes[ended]
     ids = table[_ranges(starts, lens)]
-    at = np.concatenate(([0], np.cumsum(lens)))
-    return ids, at[word_offsets + np.arange(len(texts) + 1)], codes, word_offsets
+    ends = np.concatenate(([0], np.cumsum(lens)))
+    return ids, ends[part_offsets + np.arange(n + 1)], codes, np.searchsorted(owner, np.arange(n + 1))
 
 
 class Bm25:

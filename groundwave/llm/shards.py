@@ -8,7 +8,8 @@ Only buckets that are still too large at the finest prefix are counted again wit
 Defined results: a null text has 0 bytes; a null key hashes like an empty one; rows with one key
 share a bucket until the key's 60 bits are used up, after which they are divided by a second hash of
 the key and the row's text; a bucket of one row is never split, even if that row is over the limit;
-identical rows (key and text) beyond the limit stay together; an empty table gives an empty table.
+identical rows (key and text) beyond the limit stay together; an empty table gives an empty table; of
+assign's input only key and text are read, and write keeps the other columns in a struct, so none can clash.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_lookup, materialize
+from .common import join_lookup, materialize, whole_row
 
 #: Bits of the first hash and of both.
 KEY_BITS, ALL_BITS, _STEP = 60, 120, 6
@@ -80,11 +81,15 @@ def assign(df: DataFrame, key: str, text: str, limit: int) -> DataFrame:
 
 
 def write(df: DataFrame, key: str, text: str, limit: int, path: str) -> None:
-    """Write every row of df to path, one folder for each shard, named b and its bits. Columns of df are inside struct `row` if one of them is named shard."""
-    table = directory(materialize(df.select(_size(text).alias("n_bytes"), _hash(key, text).alias("hash")), "shard-rows"), limit)
-    placed = place(df.select(F.struct(*df.columns).alias("row"), _hash(key, text).alias("hash")), table)
+    """Write every row of df to path, one folder for each shard, named b and its bits. Columns of df are inside struct `row` if one of them is named shard.
+    Shards are looked up by the hashes alone; the rows are shuffled to their hash's shard, and then to few files of it."""
+    hashes = materialize(df.select(_size(text).alias("n_bytes"), _hash(key, text).alias("hash")), "shard-rows")
+    distinct = hashes.select("hash").distinct()
+    shard_of = materialize(place(distinct.withColumn("full", F.col("hash")), directory(hashes, limit)).select(F.col("full").alias("hash"), "shard"), "shard-places")
+    placed = df.select(whole_row(df).alias("row"), _hash(key, text).alias("hash")).join(shard_of.hint("merge"), "hash")
     clash = "shard" in [c.lower() for c in df.columns]
-    placed.select("row" if clash else "row.*", F.concat(F.lit("b"), "shard").alias("shard")).write.partitionBy("shard").parquet(path)
+    placed = placed.select("row" if clash else "row.*", F.concat(F.lit("b"), "shard").alias("shard"))
+    placed.hint("rebalance", F.col("shard")).write.partitionBy("shard").parquet(path)
 
 
 #: The query's byte limit.

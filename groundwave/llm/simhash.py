@@ -17,6 +17,7 @@ named columns are read, so others can't clash.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations, repeat
 
 import numpy as np
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_lookup, materialize
+from .common import join_lookup, materialize, whole_row
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 _BLOCK = 1 << 16
@@ -203,7 +204,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialize(edges.where("a <> b").distinct(), "classes")
     before = state(edges)
     while before[0]:
-        edges = materialize(small(materialize(large(edges), "classes-large")), "classes")
+        edges = materialize(small(large(edges)), "classes")
         after = state(edges)
         if after == before:
             break
@@ -223,21 +224,20 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without all but one document of each class: the one with the class's smallest id, once if rows repeat.
-    Rows without an id stay if nothing else of their class does."""
-    return keep_one(docs, classes(docs, id_col, text_col, **options), id_col, text_col)
-
-
-def keep_one(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs without all but one document of each class of found (id, component)."""
-    keep = materialize(found.select(F.col("component").alias(id_col)).where(F.col(id_col).isNotNull()).distinct(), "simhash-keep")
-    # the ids kept grow with the corpus: always a shuffled join, at any size
-    kept = docs.join(keep.hint("merge"), id_col, "left_semi")
-    if not found.where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        kept = kept.dropDuplicates([id_col])
-    if not found.where("component is null").isEmpty():
-        kept = kept.unionByName(docs.where(F.col(id_col).isNull()).dropDuplicates([text_col]))
-    return kept.select(*docs.columns)
+    """docs without all but one document of each class: the row with the class's smallest id, null ids last; of rows
+    with that id the first as stored. Rows are told apart by a number, so one id may have several texts."""
+    return keep_one(docs, id_col, lambda rows: classes(rows.select("row", F.col("doc")[text_col].alias("text")), "row", "text", **options))
+
+
+def keep_one(docs: DataFrame, id_col: str, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """docs without all but one row of each class. find takes (row, doc struct) and gives (id, component), id being the row."""
+    rows = materialize(docs.select(whole_row(docs).alias("doc"), F.monotonically_increasing_id().alias("row")), "rows", "zstd")
+    name = F.col("doc")[id_col]
+    ids = rows.select("row", name.isNull().alias("nameless"), name.alias("name"))
+    met = ids.join(find(rows).select(F.col("id").alias("row"), "component").hint("merge"), "row")
+    keep = materialize(met.groupBy("component").agg(F.min(F.struct("nameless", "name", "row")).alias("least")).select("least.row"), "keep")
+    # the rows kept grow with the corpus: always a shuffled join, at any size
+    return rows.join(keep.hint("merge"), "row", "left_semi").select("doc.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

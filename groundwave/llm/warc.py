@@ -5,12 +5,14 @@ in bounded steps, takes header lines up to the blank line, then exactly Content-
 checks block and payload digests. Records of equal payloads are written once as a response; the
 others are revisits that name it.
 
-Archives are written by tasks straight to the shared folder through its file system: first under a
-name of the attempt, then renamed, so a repeated or lost task leaves no half archive behind.
+Archives are written by tasks straight to the shared folder through its file system. Their names carry
+the attempt, so no repeated or speculative task touches another's files, and only the archives that the
+list of the attempt that succeeded names are read: half archives of lost tasks count for nothing.
 
 Defined results: a null html is an empty payload, a null url an empty one; of rows with equal payload
 and page id one is the response; rows with a null page id are the last choice; payloads below
-min_bytes are responses all; an empty table gives no archive and an empty result. A record that
+min_bytes are responses all; only page_id, url and html are read, so other columns can't clash; an empty
+table gives no archive and an empty result. Payloads are equal if their SHA-256 is. A record that
 breaks its framing or a digest raises ValueError.
 """
 
@@ -130,7 +132,7 @@ def plan_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """pages (page_id, url, html) with revisit and refers_to: the largest page id of equal payloads is the response."""
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     # the tie of equal rows is broken by a number that is written before anything depends on it
-    rows = materialize(rows.select("*", F.sha1("html").alias("sha"), F.monotonically_increasing_id().alias("row")), "warc-pages")
+    rows = materialize(rows.select("*", F.sha2("html", 256).alias("sha"), F.monotonically_increasing_id().alias("row")), "warc-pages")
     groups = rows.where(F.octet_length("html") >= min_bytes).groupBy("sha").agg(F.max(F.struct("page_id", "row")).alias("best"), F.count("*").alias("copies"))
     shared = materialize(groups.where("copies > 1").select("sha", F.col("best.page_id").alias("response"), F.col("best.row").alias("best_row")), "warc-shared")
     revisit = F.coalesce((F.col("row") != F.col("best_row")) & (F.octet_length("html") >= min_bytes), F.lit(False))
@@ -152,14 +154,15 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, archive_by
         def close():
             nonlocal out
             out.close()
-            system.move(f"{root}/_{attempt}-{n}", f"{root}/part-{part:06d}-{n:04d}.warc.gz")
-            done.append((f"{root}/part-{part:06d}-{n:04d}.warc.gz", count, size))
+            done.append((path, count, size))
             out = None
 
         for batch in batches:
             for page_id, url, html, revisit, refers_to in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if out is None:
-                    out, n, count, size = system.open_output_stream(f"{root}/_{attempt}-{n + 1}", compression=None), n + 1, 0, 0
+                    n, count, size = n + 1, 0, 0
+                    path = f"{root}/part-{part:06d}-{attempt}-{n:04d}.warc.gz"
+                    out = system.open_output_stream(path, compression=None)
                 data = record(page_id, url or "", html.encode(), refers_to, revisit)
                 out.write(data)
                 count, size = count + 1, size + len(data)

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from groundwave.llm import langid, media, mixing, packing, quality, simhash, warc
+from groundwave.llm import common, langid, media, mixing, packing, quality, similar, simhash, warc
 from groundwave.llm.common import shared_folder
 
 SMALL = "/root/testdata/sf0.001"
@@ -130,6 +130,16 @@ def test_simhash_deduplicate_keeps_one(spark, docs):
     assert simhash.classes(df.limit(0)).count() == 0 and simhash.deduplicate(df.limit(0)).count() == 0
 
 
+def test_deduplicate_tells_rows_apart(spark):
+    schema = "doc_id long, text string"
+    many = spark.createDataFrame([(3, "alpha beta gamma delta"), (5, "alpha beta gamma delta"), (5, "unique text of id five which no other row has")], schema)
+    none = spark.createDataFrame([(5, "T is a text of some words"), (None, "T is a text of some words"), (None, "U is another text than that one"), (None, "U is  another text than that one")], schema)
+    for module in (simhash, similar):
+        assert sorted(module.deduplicate(many).collect()) == [(3, "alpha beta gamma delta"), (5, "unique text of id five which no other row has")]
+        kept = {tuple(r) for r in module.deduplicate(none).collect()}
+        assert len(kept) == 2 and (5, "T is a text of some words") in kept and any(i is None and t.startswith("U") for i, t in kept)
+
+
 def test_mixing_targets_are_the_fixed_point(spark):
     sizes = [("a", 10), ("b", 1000), ("c", 400), ("d", 0), ("e", 30), (None, 5000)]
     got = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(sizes, "source string, source_size long")).collect()}
@@ -149,13 +159,15 @@ def test_mixing_targets_are_the_fixed_point(spark):
 @pytest.mark.parametrize("seed", range(6))
 def test_subset_sums_are_as_near_as_brute_force(seed):
     rng = np.random.default_rng(seed)
-    lengths = np.sort(rng.choice(np.arange(3, 60), 6, replace=False))
+    lengths = rng.choice(np.arange(3, 60), 6, replace=False)
     counts = rng.integers(0, 5, 6)
     sums = {sum(int(a) * int(b) for a, b in zip(x, lengths, strict=True)) for x in itertools.product(*[range(c + 1) for c in counts])}
-    for budget in (0, 1, 17, 100, int((lengths * counts).sum())):
-        take = mixing.fit_counts(lengths, counts, budget)
+    for budget in (1, 17, 100, int((lengths * counts).sum())):
+        take = mixing.knapsack(lengths, counts, budget)
         assert (take >= 0).all() and (take <= counts).all()
         assert abs(int((take * lengths).sum()) - budget) == min(abs(s - budget) for s in sums)
+        take = mixing.fit_counts(lengths, counts, budget)
+        assert (take >= 0).all() and (take <= counts).all() and abs(int((take * lengths).sum()) - budget) <= 60
 
 
 def test_subset_sums_of_large_budgets():
@@ -164,6 +176,32 @@ def test_subset_sums_of_large_budgets():
     assert (take <= counts).all() and int((take * lengths).sum()) == 9_876_543_210
 
 
+@pytest.mark.parametrize("n, share", [(40, 0.4), (100, 0.3), (1000, 0.1), (1000, 0.7), (20000, 0.31)])
+def test_the_fit_does_not_prefer_a_length(n, share):
+    """One rule at every size: the mean length that is taken is that of all documents."""
+    means = []
+    for seed in range(12):
+        lengths, counts = np.unique(np.random.default_rng(seed).lognormal(5.5, 1, n).astype(int) + 1, return_counts=True)
+        budget = int(share * (lengths * counts).sum())
+        take = mixing.fit_counts(lengths, counts, budget)
+        assert abs(int((take * lengths).sum()) - budget) <= 3
+        means.append((take * lengths).sum() / take.sum() / ((counts * lengths).sum() / counts.sum()))
+    assert abs(np.mean(means) - 1) < (0.05 if n > 40 else 0.15), means
+
+
+def test_the_fit_of_a_huge_document_needs_little_memory():
+    import tracemalloc
+
+    lengths = np.append(np.arange(1, 2001), 40_000_000)
+    counts = np.ones(2001, np.int64)
+    tracemalloc.start()
+    for budget in (1_000_000, 20_000_000, 39_999_000, 41_000_000):
+        take = mixing.fit_counts(lengths, counts, budget)
+        assert abs(int((take * lengths).sum()) - budget) <= min(budget, abs(budget - 2_001_000), abs(budget - 40_000_000), 60 if budget in (1_000_000, 41_000_000) else 10**9)
+    assert tracemalloc.get_traced_memory()[1] < 20 << 20
+    tracemalloc.stop()
+
+
 def test_mixing_query(spark):
     rows = mixing.query(spark, SMALL).collect()
     assert len(rows) == spark.read.parquet(f"{SMALL}/documents.parquet").count()
@@ -220,6 +258,29 @@ def test_packing_takes_neighbours_first():
     assert list(dict.fromkeys(order))[:2] == [0, 2]
 
 
+def test_other_vocabularies_encode_whole_texts(docs):
+    import public_tokenizers
+
+    encoder = packing.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [t for _, t in docs[:40]] + ["two  spaces\n\nand lines", "", None]
+    ids, at, codes, words = packing.tokenize(pa.array(texts, pa.string()), encoder)
+    assert not encoder.by_word and packing.WordEncoder(packing.default_tokenizer()).by_word
+    for i, t in enumerate(texts):
+        assert ids[at[i] : at[i + 1]].tolist() == encoder.whole(t or "") + [2]
+        assert words[i + 1] - words[i] >= len((t or "").encode().split())
+
+
+def test_ranking_equals_the_formula(docs):
+    texts = [t for _, t in docs[:60]]
+    *_, codes, offsets = packing.tokenize(pa.array(texts), packing.WordEncoder(packing.default_tokenizer()))
+    index, bags = packing.Bm25(codes, offsets), [collections.Counter(codes[a:b].tolist()) for a, b in itertools.pairwise(offsets)]
+    n, mean = len(bags), len(codes) / len(bags)
+    df = collections.Counter(w for bag in bags for w in bag)
+    for query in (0, 7, 31):
+        want = [sum(max(0.0, np.log((n - df[w] + 0.5) / (df[w] + 0.5))) * bag[w] * 2.2 / (bag[w] + 1.2 * (0.25 + 0.75 * bag.total() / mean)) for w in bags[query] if df[w] > 1) for bag in bags]
+        assert index.scores(query) == pytest.approx(want)
+
+
 def test_packing_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA), packing.default_tokenizer()).count() == 0
 
@@ -279,6 +340,76 @@ def test_media_parsing_keeps_order_and_captions():
     assert media.parse_page(None) == media.parse_page("") == []
 
 
+def test_captions_stay_with_their_figures():
+    rows = {
+        "<figure><figcaption>A</figcaption><img src=a></figure>": [("img", None, "a", "A")],
+        "<figure><img src=a></figure><figure><figcaption>B</figcaption><img src=b></figure>": [("img", None, "a", None), ("img", None, "b", "B")],
+        "<figure><img src=a>between<figcaption>C</figcaption></figure>after": [("img", None, "a", "C"), ("text", "between", None, None), ("text", "after", None, None)],
+        "<p>x<figure><img src=a><figcaption>cap<p>more<p>rest": [("text", "x", None, None), ("img", None, "a", "cap"), ("text", "more", None, None), ("text", "rest", None, None)],
+        "<figure><img src=a><figcaption>one<p>two</figure>z": [("img", None, "a", "one two"), ("text", "z", None, None)],
+        "<figure><img src=a><img src=b alt=x><figcaption>both</figcaption></figure>": [("img", None, "a", "both"), ("img", None, "b", "both")],
+        "<head><title>t</title><meta charset=utf-8><p>hello": [("text", "hello", None, None)],
+        "<title>t</title>plain <b>bold</b> text": [("text", "plain bold text", None, None)],
+        "<head>text here": [("text", "text here", None, None)],
+        "<figure><figcaption>lone</figcaption></figure>z<figcaption>loose</figcaption>": [("text", "lone", None, None), ("text", "z", None, None), ("text", "loose", None, None)],
+    }
+    for page, want in rows.items():
+        assert [(x["kind"], x["text"], x["digest"], x["caption"]) for x in media.parse_page(page)] == want, page
+
+
+def brute_text(html):
+    """All words of a page, by patterns."""
+    import html as entities
+
+    html = re.sub(r"(?s)<!--.*?-->|<(script|style|title)\b.*?</\1>", " ", html or "")
+    inline = re.sub(r"</?(?:b|i|a|em|strong|span|u|code|small|sup|sub)\b[^>]*>", "", html)
+    return entities.unescape(re.sub(r"<[^>]*>", " ", inline)).split()
+
+
+def test_all_pages_are_parsed_whole(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "html")
+    html = {r["page_id"]: r["html"] for r in pages.collect()}
+    got = {r["id"]: r["items"] for r in media.parse(pages, "page_id", "html").collect()}
+    assert got.keys() == html.keys()
+    for i, items in got.items():
+        assert [x["position"] for x in items] == list(range(len(items)))
+        assert " ".join(x["text"] for x in items if x["kind"] == "text").split() == brute_text(html[i]), i
+
+
+def test_items_without_digest_need_no_join(spark):
+    page = "<p>one</p><img src=sha256:none><img alt=x><p>two</p>"
+    sequences = media.parse(spark.createDataFrame([(1, page)], "id long, html string"), "id", "html")
+    found = media.features(media.store(spark.createDataFrame([("a",)], "text string"), "text"))
+    rows = sorted(media.resolve(sequences, found).select("position", "kind", "text", "caption", "feature").collect())
+    assert rows == [(0, "text", "one", None, None), (1, "img", None, None, None), (2, "img", None, "x", None), (3, "text", "two", None, None)]
+
+
+def test_language_counts_equal_brute_force(spark, docs):
+    rows = [(i, t, "en" if i % 2 else "de", None, 0) for i, t in docs[:50]] + [(9000, "aé", None, None, 0), (9001, None, "en", None, 0), (None, "xyz", "de", None, 0)]
+    langs, logp, prior = langid.fit(spark.createDataFrame(rows, SCHEMA))
+    counts, n = {"de": np.zeros(langid.BUCKETS), "en": np.zeros(langid.BUCKETS)}, collections.Counter()
+    for i, text, lang, *_ in rows:
+        if i is not None and lang and text is not None and zlib.crc32(str(i).encode()) % 3 != 1:
+            n[lang] += 1
+            for order in langid.ORDERS:
+                for at in range(len(text.lower()) - order + 1):
+                    (_, h), = [x for x in langid._grams(np.array([ord(c) for c in text.lower()[at : at + order]], np.uint32), langid.BUCKETS) if x[0] == order]
+                    counts[lang][h[0]] += 1
+    assert langs == ["de", "en"] and prior == pytest.approx(np.log([n["de"] / n.total(), n["en"] / n.total()]))
+    for j, lang in enumerate(langs):
+        assert logp[:, j] == pytest.approx(np.log((counts[lang] + 0.5) / (counts[lang].sum() + 0.5 * langid.BUCKETS)), rel=1e-5)
+
+
+def test_tables_of_a_scope_are_deleted(spark):
+    from pyarrow import fs
+
+    with common.scratch():
+        table = common.materialize(spark.range(3), "scoped")
+        assert table.count() == 3
+    system, folder = fs.FileSystem.from_uri(shared_folder(spark))
+    assert not [x for x in system.get_file_info(fs.FileSelector(folder)) if "scoped-" in x.path]
+
+
 def test_pipeline_stages_hand_on_documents(spark):
     import corpus_pipeline
 

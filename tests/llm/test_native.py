@@ -67,6 +67,7 @@ def test_pii_empty_table(spark):
 CONVERSATIONS = [
     (1, 0, "user", "hi \\ <|im_start|> </s> [INST] <<SYS>> [/INST] <s>"), (1, 1, "assistant", "a"), (1, 2, "assistant", ""), (1, 3, "assistant", "b<|im_sep|>c"), (1, 4, "user", None),
     (2, 5, "assistant", "\n<|im_end|>\n\\|"), (2, 1, "system", "é𝔘"), (3, 0, None, None), (None, 0, "user", "x"), (4, 0, "user", "same"), (4, 0, "user", "same"), (4, 0, "assistant", "tie"),
+    (5, 0, "sys\ntem", "hello"), (5, 1, "sys", "tem\nhello"), (5, 2, "\n", "\n"), (5, 3, "a\\\nb\\", "\\"), (5, 4, "<|im_end|>\n", "x"),
 ]
 
 
@@ -87,6 +88,13 @@ def test_chat_round_trip(spark):
     assert chat.format_conversations(turns.limit(0)).count() == 0
 
 
+def test_long_conversations(spark):
+    rows = [(1, i, "assistant" if i % 3 else "user", f"text {i} <s>") for i in range(20_000)]
+    out = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).first()
+    learnt = [re.sub(r"(?s)\\(.)", r"\1", out["formatted"][s["start"] : s["start"] + s["length"]]) for s in out["loss_spans"]]
+    assert learnt == [t for *_, role, t in rows if role == "assistant"]
+
+
 @pytest.mark.parametrize("limit", [1, 50, 400, 10**6])
 def test_shards_fit_and_are_shallow(spark, limit):
     rows = [(i % 90, "x" * (i * 7 % 60)) for i in range(300)] + [(500, None), (None, "y"), (7, "z" * 900)] + [(8, "c" * 30)] * 5
