@@ -10,8 +10,8 @@ from . import trace, track
 
 
 def sample_stats(traces: DataFrame, by: list[str], amp: str = "amp") -> DataFrame:
-    """by, mean and std arrays, a number for each sample. Partial sums keep the shuffle at a row for each sample, key and task."""
-    rows = traces.select(*by, F.posexplode(amp).alias("k", "v")).groupBy(*by, "k").agg(F.avg("v").alias("m"), F.stddev_samp("v").alias("s"))
+    """by, mean and std arrays, a number for each sample; missing samples (null or NaN) do not count. Partial sums keep the shuffle at a row for each sample, key and task."""
+    rows = traces.select(*by, F.posexplode(amp).alias("k", "v")).withColumn("v", F.when(~F.isnan("v"), F.col("v"))).groupBy(*by, "k").agg(F.avg("v").alias("m"), F.stddev_samp("v").alias("s"))
     rows = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("k", "m", "s"))).alias("x"))
     return rows.select(*by, F.transform("x", lambda r: r["m"]).alias("mean"), F.transform("x", lambda r: r["s"]).alias("std"))
 
@@ -65,21 +65,38 @@ def balance(traces: DataFrame, by: list[str], amp: str = "amp") -> DataFrame:
     return rows.withColumn(amp, zipped).drop("mean", "std")
 
 
-def virtual_channels(traces: DataFrame, channel: str, order: str, amp: str = "amp") -> DataFrame:
-    """A channel half way between each two neighbours that are one apart."""
-    w = W.partitionBy(order).orderBy(channel)
-    rows = traces.withColumns({"_c": F.lead(channel).over(w), "_a": F.lead(amp).over(w)}).where(F.col("_c") == F.col(channel) + 1)
-    return rows.select((F.col(channel) + 0.5).alias(channel), order, F.zip_with(amp, "_a", lambda a, b: (a + b) / 2).alias(amp))
-
-
-def best_shift(means: DataFrame, channel: str, reference: int, max_shift: int, amp: str = "mean") -> DataFrame:
-    """(channel, shift, r): the shift of the mean trace, zeros shifted in, that correlates best with the reference channel's; the first of equals."""
-    ref = means.where(F.col(channel) == reference).select(F.col(amp).alias("_ref"))
-    rows = means.crossJoin(F.broadcast(ref.limit(1))).select(channel, F.explode(F.sequence(F.lit(-max_shift), F.lit(max_shift))).alias("shift"), amp, "_ref")
-    rows = rows.select(channel, "shift", amp, F.posexplode("_ref").alias("k", "b"))
-    a = F.coalesce(F.when(F.col("k") - F.col("shift") >= 0, F.get(amp, F.col("k") - F.col("shift"))), F.lit(0.0))
-    r = rows.groupBy(channel, "shift").agg(F.round(F.corr(a, "b"), 9).alias("r"))
-    return r.groupBy(channel).agg(F.max_by("shift", F.struct("r", -F.col("shift"))).alias("shift"), F.max("r").alias("r"))
+def virtual_channels(traces: DataFrame, channel: str, order: str, amp: str = "amp", more: int = 0, also: tuple[str, ...] = ()) -> DataFrame:
+    """(channel, order, amp, also): channels half way between all neighbours, and `more` beyond either end in steps of a half.
+
+    Ends are those of all channels. A trace number takes the line through the two channels that it has beside, across gaps and
+    beyond its ends; it needs two. Columns in `also` (coordinates) follow the same line. A trace number's channels make one row.
+    """
+    ends = traces.agg(F.min(channel).cast("double").alias("_a"), F.max(channel).cast("double").alias("_b"))
+    rows = traces.groupBy(order).agg(F.array_sort(F.collect_list(F.struct(F.col(channel).cast("double").alias("c"), F.col(amp).alias("v"), *also))).alias("_l"))
+    half = lambda n: F.transform(F.sequence(F.lit(1), n.cast("int")), lambda i: i * 0.5)
+    outer = half(F.lit(more)) if more else F.array().cast("array<double>")
+    inner = F.when(F.col("_b") > F.col("_a"), F.transform(F.sequence(F.lit(0), (F.col("_b") - F.col("_a") - 1).cast("int")), lambda i: F.col("_a") + i + 0.5)).otherwise(F.array().cast("array<double>"))
+    places = F.concat(F.transform(outer, lambda x: F.col("_a") - x), inner, F.transform(outer, lambda x: F.col("_b") + x))
+    rows = rows.where(F.size("_l") > 1).crossJoin(F.broadcast(ends)).withColumn("_v", F.explode(places))
+    at = F.greatest(F.lit(1), F.least(F.size(F.filter("_l", lambda x: x["c"] <= F.col("_v"))), F.size("_l") - 1))
+    rows = rows.withColumns({"_p": F.element_at("_l", at), "_q": F.element_at("_l", at + 1)}).drop("_l")
+    share = (F.col("_v") - F.col("_p.c")) / (F.col("_q.c") - F.col("_p.c"))
+    lines = [(F.col(f"_p.{c}") + (F.col(f"_q.{c}") - F.col(f"_p.{c}")) * share).alias(c) for c in also]
+    return rows.select(F.col("_v").alias(channel), order, trace.blend(F.col("_p.v"), F.col("_q.v"), share).alias(amp), *lines)
+
+
+def best_shift(means: DataFrame, channel: str, reference: int, max_shift: int, amp: str = "mean", by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, channel, shift, r): the shift of the mean trace that correlates best with the reference channel's; the first of equals.
+    Both lie among max_shift zeros on either side, so no sample is lost at any shift. With by, every group has its own reference."""
+    ref = means.where(F.col(channel) == reference).select(*by, F.col(amp).alias("_ref"))
+    rows = means.join(ref, list(by)) if by else means.crossJoin(F.broadcast(ref.limit(1)))
+    zeros = F.array_repeat(F.lit(0.0), max_shift)
+    rows = rows.select(*by, channel, F.explode(F.sequence(F.lit(-max_shift), F.lit(max_shift))).alias("shift"), amp, F.concat(zeros, "_ref", zeros).alias("_ref"))
+    rows = rows.select(*by, channel, "shift", amp, F.posexplode("_ref").alias("k", "b"))
+    at = F.col("k") - max_shift - F.col("shift")
+    a = F.coalesce(F.when(at >= 0, F.get(amp, at)), F.lit(0.0))
+    r = rows.groupBy(*by, channel, "shift").agg(F.round(F.corr(a, "b"), 9).alias("r"))
+    return r.groupBy(*by, channel).agg(F.max_by("shift", F.struct("r", -F.col("shift"))).alias("shift"), F.max("r").alias("r"))
 
 
 def valid_everywhere(traces: DataFrame, channel: str, order: str) -> DataFrame:
@@ -88,8 +105,9 @@ def valid_everywhere(traces: DataFrame, channel: str, order: str) -> DataFrame:
     return traces.groupBy(order).agg(F.count_distinct(channel).alias("_c")).join(F.broadcast(n), F.col("_c") == F.col("_n")).select(order)
 
 
-def shifted(traces: DataFrame, shifts: DataFrame, channel: str, amp: str = "amp") -> DataFrame:
+def shifted(traces: DataFrame, shifts: DataFrame, channel: str | list[str], amp: str = "amp") -> DataFrame:
     """Traces moved by their channel's shift in samples, zeros shifted in; channels without one stay."""
-    rows = traces.join(shifts.select(channel, F.col("shift").alias("_s")), channel, "left").withColumn("_s", F.coalesce("_s", F.lit(0)))
+    keys = [channel] if isinstance(channel, str) else channel
+    rows = traces.join(shifts.select(*keys, F.col("shift").alias("_s")), keys, "left").withColumn("_s", F.coalesce("_s", F.lit(0)))
     move = F.transform(F.sequence(F.lit(0), F.size(amp) - 1), lambda i: F.coalesce(F.when(i >= F.col("_s"), F.get(amp, i - F.col("_s"))), F.lit(0.0)))
     return rows.withColumn(amp, F.when(F.size(amp) > 0, move).otherwise(F.col(amp))).drop("_s")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -48,12 +50,15 @@ def slice_table(thick: float, overlap: float, tmax: float) -> list[tuple[float,
 
 
 def slices(cells: DataFrame, keys: list[str], dt: float, table: list[tuple[float, float]], kind: str, amp: str = "amp") -> DataFrame:
-    """keys, slice, v. The samples of each slice are cut from the array: no explosion to samples and no interval join."""
+    """keys, slice, v. The samples of each slice are cut from the array: no explosion to samples and no interval join.
+    kind: sumabs, rms, sqrt (of the sum of absolute samples), value or absolute (of the slice's first sample, for slices of one)."""
 
     def of(values: Column) -> Column:
         absolute = F.aggregate(values, F.lit(0.0), lambda a, x: a + F.abs(x))
         if kind == "sumabs":
             return absolute
+        if kind in ("value", "absolute"):
+            return F.get(values, 0) if kind == "value" else F.abs(F.get(values, 0))
         if kind == "rms":
             return F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + x * x) / F.size(values))
         return F.sqrt(absolute)
@@ -105,6 +110,59 @@ def coherence(cells: DataFrame, first: int, n: int, amp: str = "amp") -> DataFra
     return rows.join(shifted, ["ix", "iy"]).groupBy("ix", "iy").agg(F.avg(1 - correlation(F.col("a"), F.col("b"))).alias("v"), F.count("*").alias("n"))
 
 
+def coherence_cube(cells: DataFrame, dt: float, wavelengths: float = 1.0, length: float = 0.25, speed: float = 0.1, amp: str = "amp") -> DataFrame:
+    """(ix, iy, amp): at every sample the mean of 1 - r with the up to four neighbours that have a trace, over the samples
+    of a window that slides along the trace: round(wavelengths length / speed / dt) steps long, its middle (the later of two) is the
+    sample. Null where no window lies, and where nothing varies."""
+    from .spectral import _block, _lists
+
+    steps = math.floor(wavelengths * length / speed / dt + 0.5)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.lib.stride_tricks.sliding_window_view(_block(batch.column(c)), steps + 1, axis=1) for c in ("a", "b"))
+                a, b = a - a.mean(2, keepdims=True), b - b.mean(2, keepdims=True)
+                scale = np.sqrt((a * a).sum(2) * (b * b).sum(2))
+                out = np.full((batch.num_rows, a.shape[1] + steps), np.nan)
+                # a window from sample t (1-based) belongs to sample t + steps / 2, rounded up
+                first = math.floor(1 + steps / 2 + 0.5) - 1
+                r = np.divide((a * b).sum(2), scale, out=np.full(scale.shape, np.nan), where=scale > 1e-300)
+                out[:, first : first + r.shape[1]] = 1 - r
+                yield pa.RecordBatch.from_arrays([batch.column("ix"), batch.column("iy"), _lists(out)], names=["ix", "iy", "v"])
+
+    rows = cells.where(F.col(amp).isNotNull()).select("ix", "iy", F.col(amp).cast("array<double>").alias("a"))
+    shifted = near_cells(rows.withColumnRenamed("a", "b"), [(1, 0), (-1, 0), (0, 1), (0, -1)]).select("ix", "iy", "b")
+    pairs = rows.join(shifted, ["ix", "iy"])
+    found = pairs.mapInArrow(run, pairs.select("ix", "iy", F.col("a").alias("v")).schema).groupBy("ix", "iy").agg(F.collect_list("v").alias("v"))
+
+    def mean(k: Column) -> Column:
+        here = F.filter(F.transform("v", lambda t: F.get(t, k)), lambda x: x.isNotNull())
+        return F.try_divide(F.aggregate(here, F.lit(0.0), lambda acc, x: acc + x), F.size(here))
+
+    return found.select("ix", "iy", F.transform(F.sequence(F.lit(0), F.size(F.element_at("v", 1)) - 1), mean).alias(amp))
+
+
+def without_places(df: DataFrame, *columns: str) -> DataFrame:
+    """Without the rows where a coordinate is missing (null or NaN)."""
+    for c in columns:
+        df = df.where(F.col(c).isNotNull() & ~F.isnan(c))
+    return df
+
+
+def masked(cells: DataFrame, mask: str, *values: str) -> DataFrame:
+    """Values are null where the mask does not hold (false, 0 or null); the cells stay."""
+    return cells.withColumns({v: F.when(F.col(mask).cast("boolean"), F.col(v)) for v in values})
+
+
+def line_crossing(one: tuple[Column, ...], two: tuple[Column, ...]) -> tuple[Column, Column]:
+    """(x, y) where the lines through (x1, y1, x2, y2) cross, beyond their ends too; null if they are parallel. Lines may be upright."""
+    (x1, y1, x2, y2), (x3, y3, x4, y4) = one, two
+    cross = (x2 - x1) * (y4 - y3) - (y2 - y1) * (x4 - x3)
+    t = F.try_divide((x3 - x1) * (y4 - y3) - (y3 - y1) * (x4 - x3), cross)
+    return x1 + t * (x2 - x1), y1 + t * (y2 - y1)
+
+
 def in_polygon(x: Column, y: Column, corners: list[tuple[float, float]]) -> Column:
     """Even-odd rule; edges are half-open in y."""
     crossings = F.lit(0)

@@ -23,27 +23,55 @@ def distance_map(cells: DataFrame, radius: float) -> DataFrame:
     return rows.groupBy("slice", (F.col("ix") + F.col("o.i")).alias("ix"), (F.col("iy") + F.col("o.j")).alias("iy")).agg(F.min("o.d").alias("d"))
 
 
-def migrate(cells: DataFrame, dx: float, dt: float, speed: float, aperture: float, dz: float, nz: int, amp: str = "amp") -> DataFrame:
-    """(ix, iy, amp): semicircle migration onto nz depths below every occupied cell.
+def interpolation_mask(cells: DataFrame, radius: float) -> DataFrame:
+    """(slice, ix, iy): the cells that are to be filled, at most radius from a cell with data."""
+    return distance_map(cells, radius).select("slice", "ix", "iy")
 
-    A trace gives to an image cell at depth z its sample at round(2 r / v / dt), r being the distance,
-    if the angle from the vertical is under aperture/2; the weight is 0 in the middle of the beam and
-    1 at its edge, and sums are divided by the number of contributions. Traces reach only cells within
-    the deepest level's aperture, by offset arithmetic and an equi-join; sums of samples merge natively.
+
+def migrate(cells: DataFrame, dx: float, dt: float, speed: float, aperture: float, dz: float, nz: int, amp: str = "amp", height: str | None = None, image: DataFrame | None = None, ns: int | None = None) -> DataFrame:
+    """(ix, iy, amp): semicircle migration onto nz depths, from 0 on in steps of dz.
+
+    A trace gives to an image cell its sample at round(2 r / v / dt), r being the way to it, if the angle from the vertical
+    is under aperture/2; the weight is 0 in the middle of the beam and 1 at its edge, and sums are divided by the number of
+    contributions. The image has the cells with traces, or those of `image` (ix, iy and the height).
+
+    With a column of heights, depths count from the highest cell; a cell's first depth is at its surface; the angle
+    is a right angle less that between the way and the line to the surface above the image point, 0 straight below; ns, the
+    samples of a trace, then bounds how far a trace reaches. A null height is the highest.
+
+    Traces reach only cells within the aperture, by offset arithmetic and an equi-join; sums of samples merge natively.
     """
     half = math.radians(aperture / 2)
-    reach = math.floor(nz * dz * math.tan(half) / dx)
-    moves = [(i, j, dx * math.hypot(i, j)) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1) if dx * math.hypot(i, j) <= nz * dz * math.tan(half)]
+    far = nz * dz * math.tan(half)
+    if height:
+        if ns is None:
+            raise ValueError("heights need ns, the number of samples")
+        far = ns * dt * speed / 2
+    reach = math.floor(far / dx)
+    moves = [(i, j, dx * math.hypot(i, j)) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1) if dx * math.hypot(i, j) <= far]
     table = F.array(*[F.struct(F.lit(i).alias("di"), F.lit(j).alias("dj"), F.lit(d).alias("d")) for i, j, d in moves])
-    image = cells.select("ix", "iy")
-    spread = cells.select("ix", "iy", amp, F.explode(table).alias("o")).select((F.col("ix") + F.col("o.di")).alias("ix"), (F.col("iy") + F.col("o.dj")).alias("iy"), F.col("o.d").alias("d"), amp)
+    below = F.lit(0.0)
+    if height:
+        places = cells if image is None else image
+        tops = cells.select(height).unionByName(places.select(height)).agg(F.max(height)).first()[0]
+        below = F.coalesce(F.lit(float(tops or 0)) - F.col(height), F.lit(0.0))
+    image = (cells if image is None else image).select("ix", "iy", below.alias("_image"))
+    spread = cells.select("ix", "iy", amp, below.alias("_trace"), F.explode(table).alias("o"))
+    spread = spread.select((F.col("ix") + F.col("o.di")).alias("ix"), (F.col("iy") + F.col("o.dj")).alias("iy"), F.col("o.d").alias("d"), "_trace", amp)
 
     def depth(k):
-        z = (k + 1) * dz
-        angle = F.atan2(F.col("d"), z)
-        sample = F.get(amp, F.round(2 * F.hypot(F.col("d"), z) / speed / dt).cast("int"))
+        z = k * dz - F.col("_trace")
+        way = F.hypot(F.col("d"), z)
+        if height:
+            rise = F.col("_image") - F.col("_trace")
+            along = F.try_divide(F.col("d") * F.col("d") + z * rise, way * F.hypot(F.col("d"), rise))
+            angle = F.when(F.col("d") == 0, 0.0).otherwise(math.pi / 2 - F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), along))))
+        else:
+            angle = F.atan2(F.col("d"), z)
+        sample = F.get(amp, F.round(2 * way / speed / dt).cast("int"))
         weight = 0.5 - 0.5 * F.cos(angle / half * math.pi)
-        return F.when((angle < half) & sample.isNotNull(), F.struct((sample * weight).alias("v"), F.lit(1).alias("n")))
+        inside = (angle < half) & sample.isNotNull() & (k >= F.round(F.col("_image") / dz))
+        return F.when(inside, F.struct((sample * weight).alias("v"), F.lit(1).alias("n")))
 
     rows = spread.join(image, ["ix", "iy"]).select("ix", "iy", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(nz - 1)), depth)).alias("k", "x")).where("x is not null")
     sums = rows.groupBy("ix", "iy", "k").agg((F.sum("x.v") / F.sum("x.n")).alias("v"))

@@ -165,3 +165,14 @@ def antenna_offset(df: DataFrame, by: str, order: str, n: int, across: float, ah
     lean = height * F.tan(a) * F.cos(a)
     moved = {x: F.col(x) + (lean + ahead) * u + across * v, y: F.col(y) + (lean + ahead) * v - across * u, z: F.col(z) - height / F.cos(a) + height * F.tan(a) * F.sin(a)}
     return rows.withColumns({c: F.coalesce(e, F.col(c)) for c, e in moved.items()}).drop("_x", "_y", "_r", "_p", "_d")
+
+
+def moved_profiles(df: DataFrame, by: str, order: str, dx: float, dy: float, which: str = "all", x: str = "x", y: str = "y", rising: bool = False) -> DataFrame:
+    """x and y moved by dx and dy: of all profiles, or of those with odd or even numbers; rising: from nothing at a profile's first row to
+    the whole at its last, in equal steps."""
+    move = {"all": F.lit(True), "odd": F.col(by) % 2 == 1, "even": F.col(by) % 2 == 0}[which]
+    share = F.lit(1.0)
+    if rising:
+        share = F.coalesce(F.try_divide(F.row_number().over(W.partitionBy(by).orderBy(order)) - 1.0, F.count("*").over(W.partitionBy(by)) - 1.0), F.lit(0.0))
+    share = F.when(move, share).otherwise(0.0)
+    return df.withColumn("_share", share).withColumns({x: F.col(x) + dx * F.col("_share"), y: F.col(y) + dy * F.col("_share")}).drop("_share")

@@ -1,12 +1,14 @@
 """Frequency-domain operators. Kernels are numpy functions of a block (traces x samples).
 
 Trace-wise kernels run on Arrow batches without a shuffle; a filter along traces needs a channel of a
-profile at a time, which must fit one task.
+profile at a time, which must fit one task: its response is as long as the profile. A missing sample is
+null outside of kernels and NaN inside.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,7 @@ Kernel = Callable[[np.ndarray], np.ndarray]
 
 def _lists(block: np.ndarray) -> pa.Array:
     offsets = np.arange(len(block) + 1, dtype=np.int32) * block.shape[1]
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(block, np.float64).ravel()))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(block, np.float64).ravel(), from_pandas=True))
 
 
 def _block(column: pa.Array) -> np.ndarray:
@@ -40,12 +42,21 @@ def apply(traces: DataFrame, kernel: Kernel, amp: str = "amp") -> DataFrame:
 
 
 def apply_groups(traces: DataFrame, by: str | list[str], order: str, kernel: Kernel, amp: str = "amp") -> DataFrame:
-    """kernel on all traces of a group in order; other columns stay as they are."""
-    rows = traces.where(F.col(amp).isNotNull()).withColumn(amp, F.col(amp).cast("array<double>"))
+    """kernel on all traces of a group in order; a missing trace is NaN for the kernel and stays missing; other columns stay as they are."""
+    rows = traces.withColumn(amp, F.col(amp).cast("array<double>"))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by(order).combine_chunks()
-        return table.set_column(table.schema.get_field_index(amp), amp, _lists(kernel(_block(table[amp].chunk(0)))))
+        column = table[amp].combine_chunks() if table[amp].num_chunks != 1 else table[amp].chunk(0)
+        known = column.is_valid().to_numpy(zero_copy_only=False)
+        if not known.any():
+            return table
+        block = _block(column.filter(pa.array(known)))
+        every = np.full((len(known), block.shape[1]), np.nan)
+        every[known] = block
+        out = _lists(kernel(every))
+        places = pa.array(np.where(known, np.arange(len(known)), 0), mask=~known)
+        return table.set_column(table.schema.get_field_index(amp), amp, out.take(places))
 
     return rows.groupBy(*([by] if isinstance(by, str) else by)).applyInArrow(run, rows.schema)
 
@@ -66,84 +77,125 @@ def envelope(block: np.ndarray) -> np.ndarray:
     return np.abs(np.fft.ifft(np.fft.fft(block) * h))
 
 
-def _ramp(f: np.ndarray, f1: float, f2: float, f3: float, f4: float) -> np.ndarray:
-    """A pass band with cosine slopes."""
-    up = 0.5 - 0.5 * np.cos(np.pi * np.clip((f - f1) / max(f2 - f1, 1e-12), 0, 1))
-    down = 0.5 + 0.5 * np.cos(np.pi * np.clip((f - f3) / max(f4 - f3, 1e-12), 0, 1))
-    return up * down
+@lru_cache(64)
+def fir_magnitude(n: int, corners: tuple[float, ...]) -> np.ndarray:
+    """Magnitudes at the n/2+1 frequencies of a linear-phase filter of n taps (n even) that passes from corners[1] to corners[2].
+
+    Corners are shares of the highest frequency. The wished response, a line from corner to corner, is sampled on a
+    grid, transformed, cut to n taps around the middle, and smoothed by a Hamming window. A jump is spread over 0.05.
+    """
+    at = np.clip(corners, 0, 1)
+    if (np.diff(at) < 0).any():
+        raise ValueError(f"the corners of the pass band are not in order: {corners}")
+    jump = np.flatnonzero(np.diff(at) == 0)
+    at[jump], at[jump + 1] = at[jump] - 0.025, at[jump + 1] + 0.025
+    at = np.maximum.accumulate(np.clip(at, 0, 1))
+    grid = 512 if n <= 1024 else 1 << (n - 1).bit_length()
+    wish = np.interp(np.linspace(0, 1, grid + 1), at, (0, 1, 1, 0))
+    taps = np.roll(np.fft.irfft(wish, 2 * grid), n // 2)[:n] * np.hamming(n)
+    return np.abs(np.fft.rfft(taps))
 
 
 def bandpass(dt: float, low: float, high: float) -> Kernel:
-    """Zero-phase band-pass; dt in ns, corners in MHz; slopes are a quarter of the band wide, the lower one at least 1 MHz up. Traces are padded by their length."""
-    width = high - low
-    f1, f4 = max(1.0, low - width / 4), high + width / 4
+    """Zero-phase band-pass; dt in ns, corners in MHz. The lower slope is an eighth of the band wide and begins at 1 Hz at
+    least, the upper one is a quarter wide. Traces are padded by their length."""
+    width, top = high - low, 500 / dt
+    corners = tuple(f / top for f in (max(1e-6, low - width / 4, low - width / 8), low, high, high + width / 4))
 
     def kernel(block):
         n = block.shape[1]
-        f = np.fft.rfftfreq(2 * n, dt) * 1000
-        return np.fft.irfft(np.fft.rfft(block, 2 * n) * _ramp(f, min(f1, low), low, high, f4), 2 * n)[:, :n]
+        return np.fft.irfft(np.fft.rfft(block, 2 * n) * fir_magnitude(2 * n, corners), 2 * n)[:, :n]
 
     return kernel
 
 
+def autocorrelation_spectrum(block: np.ndarray) -> np.ndarray:
+    """|FFT| / L of each trace's autocorrelation, which is 1 at lag 0; L: samples, n: the next power of two. The transform takes
+    the first n of the 2 L - 1 lags, from -(L - 1) on. A trace of zeros gives zeros."""
+    samples = block.shape[1]
+    n = 1 << (samples - 1).bit_length()
+    r = np.fft.irfft(np.abs(np.fft.rfft(block, 2 * n)) ** 2, 2 * n)
+    energy = r[:, :1]
+    r = np.divide(r, energy, out=np.zeros_like(r), where=energy > 0)
+    lags = np.concatenate((r[:, samples - 1 : 0 : -1], r[:, :samples]), axis=1)
+    return np.abs(np.fft.rfft(lags[:, :n], n)) / samples
+
+
 def whitened(traces: DataFrame, by: list[str], dt: float, low: float, high: float, alpha: float, amp: str = "amp") -> DataFrame:
-    """Spectra times A^(alpha-1), A being the mean amplitude spectrum of the group, over sqrt(alpha); then the band-pass.
+    """Spectra over the number of samples, times A^(alpha-1) and over sqrt(alpha), A being the mean spectrum of the group's
+    autocorrelations; then the band-pass. Traces are padded to a power of two and cut again.
 
     The mean spectrum is a grouped sum that joins back to the traces, so a group may be of any size.
     """
     from .channel import sample_stats
 
     traces = traces.where(F.col(amp).isNotNull()).withColumn(amp, F.col(amp).cast("array<double>"))
-    level = sample_stats(apply(traces.select(*by, amp), lambda block: np.abs(np.fft.rfft(block)), amp), by, amp).select(*by, F.col("mean").alias("_level"))
+    level = sample_stats(apply(traces.select(*by, amp), autocorrelation_spectrum, amp), by, amp).select(*by, F.col("mean").alias("_level"))
     rows, band = traces.join(level, by), bandpass(dt, low, high)
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 block, a = _block(batch.column(amp)), _block(batch.column("_level"))
-                out = np.fft.irfft(np.fft.rfft(block) * np.where(a == 0, 1, a) ** (alpha - 1), block.shape[1]) / np.sqrt(alpha)
-                yield pa.RecordBatch.from_arrays([_lists(band(out)) if n == amp else batch.column(n) for n in names], names=names)
+                samples, n = block.shape[1], 2 * (a.shape[1] - 1)
+                out = np.fft.irfft(np.fft.rfft(block, n) / samples * np.where(a == 0, 1, a) ** (alpha - 1), n)[:, :samples] / np.sqrt(alpha)
+                yield pa.RecordBatch.from_arrays([_lists(band(out)) if c == amp else batch.column(c) for c in names], names=names)
 
     names = rows.drop("_level").columns
     return rows.mapInArrow(run, rows.drop("_level").schema)
 
 
 def k_highpass(dx: float, cut: float) -> Kernel:
-    """High-pass along traces; missing samples count as 0 and stay missing."""
+    """High-pass along traces: slopes from half the cut to the cut and over the last 0.55 below the highest wavenumber. Missing
+    samples count as 0 and stay missing. The trace line is a ring, as it is not padded (but to an even number)."""
+    top = 0.5 / dx * 0.9999
+    corners = tuple(2 * dx * k for k in (cut / 2, cut, top - 0.55, top))
 
     def kernel(block):
-        gone = np.isnan(block)
-        k = np.fft.rfftfreq(2 * len(block), dx)
-        top = 0.9999 / (2 * dx)
-        response = _ramp(k, cut / 2, cut, max(top - 0.55, cut), top)[:, None]
-        out = np.fft.irfft(np.fft.rfft(np.where(gone, 0, block), 2 * len(block), axis=0) * response, 2 * len(block), axis=0)[: len(block)]
+        gone, n = np.isnan(block), len(block) + len(block) % 2
+        response = fir_magnitude(n, corners)[:, None]
+        out = np.fft.irfft(np.fft.rfft(np.where(gone, 0, block), n, axis=0) * response, n, axis=0)[: len(block)]
         return np.where(gone, np.nan, out)
 
     return kernel
 
 
+def _aligned(a: np.ndarray, ref: np.ndarray) -> np.ndarray:
+    n = len(a)
+    r = np.correlate(a, ref[:n], "full")  # index n-1 is lag 0
+    at = n - 1
+    while at + 1 < len(r) and r[at] <= r[at + 1]:
+        at += 1
+    down = n - 1
+    while down > 0 and r[down] <= r[down - 1]:
+        down -= 1
+    lag = (down if down != n - 1 else at) - (n - 1)
+    out = np.zeros(n)
+    if lag >= 0:
+        out[: n - lag] = a[lag:]
+    else:
+        out[-lag:] = a[: n + lag]
+    return out
+
+
 def align_to(reference: list[float]) -> Kernel:
     """Each trace shifted by the lag at which it fits the reference best, climbing from lag 0 first to later, then to earlier lags; zeros are shifted in."""
     ref = np.asarray(reference)
+    return lambda block: np.array([_aligned(a, ref) for a in block]).reshape(block.shape)
 
-    def kernel(block):
-        n, out = block.shape[1], np.zeros_like(block)
-        for row, a in enumerate(block):
-            r = np.correlate(a, ref[:n], "full")  # index n-1 is lag 0
-            at = n - 1
-            while at + 1 < len(r) and r[at] <= r[at + 1]:
-                at += 1
-            down = n - 1
-            while down > 0 and r[down] <= r[down - 1]:
-                down -= 1
-            lag = (down if down != n - 1 else at) - (n - 1)
-            if lag >= 0:
-                out[row, : n - lag] = a[lag:]
-            else:
-                out[row, -lag:] = a[: n + lag]
-        return out
 
-    return kernel
+def align_to_column(traces: DataFrame, reference: str, amp: str = "amp") -> DataFrame:
+    """align_to for traces that carry their reference in a column, which goes."""
+    traces = traces.where(F.col(amp).isNotNull() & F.col(reference).isNotNull()).withColumn(reference, F.col(reference).cast("array<double>"))
+    names = [c for c in traces.columns if c != reference]
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                moved = np.array([_aligned(a, b) for a, b in zip(_block(batch.column(amp)), _block(batch.column(reference)), strict=True)])
+                yield pa.RecordBatch.from_arrays([_lists(moved) if c == amp else batch.column(c) for c in names], names=names)
+
+    return traces.mapInArrow(run, traces.drop(reference).schema)
 
 
 def pie_slice(angle: float, width: float, taper: float = 10.0) -> Kernel:

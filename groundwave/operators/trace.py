@@ -44,13 +44,13 @@ def order_statistic(values: Column, p: float) -> Column:
     """sorted[floor(n p + 1)], the largest for p of 0 or 1."""
     n = F.size(values)
     at = F.floor(n * p + 1).cast("int") if 0 < p < 1 else n
-    return F.element_at(F.array_sort(values), F.least(at, n))
+    return F.try_element_at(F.array_sort(values), F.least(at, n))
 
 
 def normalize(amp: Column, clip: float = 0.98) -> Column:
-    """Divided by the order statistic of absolute samples; 0 where that is 0."""
-    scale = order_statistic(F.transform(amp, F.abs), clip)
-    return F.zip_with(amp, F.array_repeat(scale, F.size(amp)), lambda x, s: F.coalesce(F.try_divide(x, s), F.lit(0.0)))
+    """Divided by the order statistic of absolute samples, of those that are there; 0 where that is 0 and for missing samples."""
+    scale = order_statistic(F.transform(F.filter(amp, lambda x: x.isNotNull() & ~F.isnan(x)), F.abs), clip)
+    return F.zip_with(amp, F.array_repeat(scale, F.size(amp)), lambda x, s: F.coalesce(F.nanvl(F.try_divide(x, s), F.lit(0.0)), F.lit(0.0)))
 
 
 def cut_time(amp: Column, dt: float, tmax: float) -> Column:

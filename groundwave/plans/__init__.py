@@ -1,5 +1,5 @@
 """Recipes and the query catalogue; importing the package registers every survey query."""
 
-from . import catalogue, fieldwork
+from . import catalogue, fieldwork, finishing
 
-__all__ = ["catalogue", "fieldwork"]
+__all__ = ["catalogue", "fieldwork", "finishing"]

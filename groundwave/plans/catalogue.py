@@ -153,15 +153,18 @@ def channel_balance(spark, d):
     return channel.balance(traces(spark, d), ["channel"]).select("vec_id", *sums())
 
 
-@query(T + f""", x AS (SELECT a.channel + 0.5::DOUBLE AS channel, a.trace, list_transform(range(1, 65), lambda k: (a.amp[k] + b.amp[k]) / 2) AS a FROM traces a JOIN traces b ON b.trace = a.trace AND b.channel = a.channel + 1)
-SELECT channel::DOUBLE AS channel, trace, {SUMS} FROM x""")
+@query(T + f""", v AS (SELECT unnest([min(channel) - 1.0, min(channel) - 0.5, max(channel) + 0.5, max(channel) + 1.0]) AS v FROM traces UNION ALL SELECT unnest(range(min(channel), max(channel))) + 0.5 FROM traces),
+l AS (SELECT trace, list(channel ORDER BY channel) AS c, list(amp ORDER BY channel) AS d FROM traces GROUP BY trace HAVING count(*) > 1),
+p AS (SELECT trace, v::DOUBLE AS channel, c, d, greatest(1, least(len(list_filter(c, lambda x: x <= v)), len(c) - 1)) AS i FROM l, v),
+x AS (SELECT channel, trace, list_transform(range(1, 65), lambda k: d[i][k] + (d[i + 1][k] - d[i][k]) * (channel - c[i]) / (c[i + 1] - c[i])) AS a FROM p)
+SELECT channel, trace, {SUMS} FROM x""")
 def virtual_channels(spark, d):
-    return channel.virtual_channels(traces(spark, d), "channel", "trace").select(F.col("channel").cast("double").alias("channel"), "trace", *sums())
+    return channel.virtual_channels(traces(spark, d), "channel", "trace", more=2).select("channel", "trace", *sums())
 
 
 @query(T + """, m AS (SELECT channel, k, avg(amp[k]) AS m FROM traces, range(1, 65) r(k) GROUP BY ALL),
-c AS (SELECT a.channel, s.s AS shift, round(corr(coalesce(b.m, 0), r.m), 9) AS r
-  FROM (SELECT DISTINCT channel FROM m) a, range(-5, 6) s(s) JOIN m r ON r.channel = 0 LEFT JOIN m b ON b.channel = a.channel AND b.k = r.k - s.s GROUP BY ALL)
+c AS (SELECT a.channel, s.s AS shift, round(corr(coalesce(b.m, 0), coalesce(r.m, 0)), 9) AS r
+  FROM (SELECT DISTINCT channel FROM m) a, range(-5, 6) s(s), range(-4, 70) p(p) LEFT JOIN m r ON r.channel = 0 AND r.k = p.p LEFT JOIN m b ON b.channel = a.channel AND b.k = p.p - s.s GROUP BY ALL)
 SELECT channel, shift::BIGINT AS shift, r FROM (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY r DESC, shift) AS n FROM c) WHERE n = 1""")
 def channel_shift(spark, d):
     means = channel.sample_stats(traces(spark, d), ["channel"])
@@ -254,9 +257,20 @@ def idw(spark, d):
     return grid.idw(missing, g.where((F.col("ix") + F.col("iy")) % 3 != 0), 2.5, 2).withColumn("v", F.round("v", 6))
 
 
+@query(CELLS + """, p AS (SELECT a.ix, a.iy, b.ix AS jx, b.iy AS jy, tt, corr(a.v, b.v) AS r FROM cells a JOIN cells b ON a.k = b.k AND abs(a.ix - b.ix) + abs(a.iy - b.iy) = 1 JOIN range(1, 60) t(tt) ON a.k BETWEEN tt AND tt + 5 GROUP BY ALL),
+c AS (SELECT ix, iy, tt + 3 AS k, avg(1 - r) AS v FROM p GROUP BY ALL) SELECT ix, iy, count(*) AS n, round(sum(v), 6) AS s, round(sum(v * k), 6) AS w FROM c GROUP BY ix, iy""")
+def coherence(spark, d):
+    cube = grid.coherence_cube(cells(spark, d), DT)
+    # positions without a window are null
+    known = F.filter(F.transform("amp", lambda v, i: F.struct(v.alias("v"), (i + 1).alias("k"))), lambda x: x["v"].isNotNull())
+    return cube.select("ix", "iy", known.alias("x")).select(
+        "ix", "iy", F.size("x").cast("long").alias("n"), F.round(trace.total(F.transform("x", lambda x: x["v"])), 6).alias("s"), F.round(trace.total(F.transform("x", lambda x: x["v"] * x["k"])), 6).alias("w")
+    )
+
+
 @query(CELLS + """, p AS (SELECT a.ix, a.iy, b.ix AS jx, b.iy AS jy, corr(a.v, b.v) AS r FROM cells a JOIN cells b ON a.k = b.k AND abs(a.ix - b.ix) + abs(a.iy - b.iy) = 1 WHERE a.k BETWEEN 20 AND 34 GROUP BY ALL)
 SELECT ix, iy, round(avg(1 - r), 6) AS v, count(*) AS n FROM p GROUP BY ALL""")
-def coherence(spark, d):
+def coherence_window(spark, d):
     return grid.coherence(cells(spark, d), 20, 15).select("ix", "iy", F.round("v", 6).alias("v"), "n")
 
 
@@ -389,10 +403,12 @@ def heading(spark, d):
     return track.heading(tracks(spark, d), "user_id", "nr", 3).select("user_id", "nr", F.round("heading", 6).alias("heading"))
 
 
-@query(E + """, t AS (SELECT user_id, nr, row_number() OVER (PARTITION BY user_id ORDER BY nr) AS n, count(*) OVER (PARTITION BY user_id) AS c, last_value(x) OVER w < first_value(x) OVER w AS turned FROM e
-WINDOW w AS (PARTITION BY user_id ORDER BY nr ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) SELECT user_id, nr, turned, CASE WHEN turned THEN c - n + 1 ELSE n END AS trace FROM t""")
+@query(E + """, i AS (SELECT *, sum(coalesce(d, 0)) OVER (PARTITION BY user_id ORDER BY nr ROWS UNBOUNDED PRECEDING) AS inline FROM (SELECT *, sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) AS d FROM e WINDOW w AS (PARTITION BY user_id ORDER BY nr))),
+t AS (SELECT user_id, nr, inline, row_number() OVER (PARTITION BY user_id ORDER BY nr) AS n, count(*) OVER (PARTITION BY user_id) AS c, last_value(x) OVER w < first_value(x) OVER w AS turned, max(inline) OVER w AS whole FROM i
+WINDOW w AS (PARTITION BY user_id ORDER BY nr ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) SELECT user_id, nr, turned, CASE WHEN turned THEN c - n + 1 ELSE n END AS trace, round(CASE WHEN turned THEN whole - inline ELSE inline END, 4) AS inline FROM t""")
 def turn_profiles(spark, d):
-    return track.turn(tracks(spark, d), "user_id", "nr").select("user_id", "nr", "turned", F.col("trace").cast("long").alias("trace"))
+    rows = track.turn(track.inline_distance(tracks(spark, d), "user_id", ["nr"]), "user_id", "nr", inline="inline")
+    return rows.select("user_id", "nr", "turned", F.col("trace").cast("long").alias("trace"), F.round("inline", 4).alias("inline"))
 
 
 _MEDIAN = """, m AS (SELECT user_id, nr, x, list_sort([{}])[3] AS med FROM e WINDOW w AS (PARTITION BY user_id ORDER BY nr), f AS (PARTITION BY user_id ORDER BY nr ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))""".format(
@@ -437,10 +453,21 @@ def marker_sessions(spark, d):
 
 
 @query(E + ", m AS (SELECT *, first_value(CASE WHEN nr % 5 = 0 THEN nr END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY nr ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS match FROM e) SELECT user_id, nr, match FROM m WHERE nr % 7 = 0")
-def pps_sync(spark, d):
+def next_match(spark, d):
     return track.next_match(tracks(spark, d), "user_id", "nr", F.col("nr") % 7 == 0, F.col("nr") % 5 == 0).select("user_id", "nr", "match")
 
 
+@query(E + """, p AS (SELECT user_id, nr, x, nr % 3 = 0 AS pulse, nr * 13 % 110 AS ms FROM e),
+m AS (SELECT *, first_value(CASE WHEN ms = 0 OR ms BETWEEN 98 AND 102 THEN nr END IGNORE NULLS) OVER f AS match, first_value(CASE WHEN ms = 0 OR ms BETWEEN 98 AND 102 THEN x END IGNORE NULLS) OVER f AS clock
+  FROM p WINDOW f AS (PARTITION BY user_id ORDER BY nr ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+o AS (SELECT user_id, nr, match, match - nr AS trace_offset, x - clock AS time_offset FROM m WHERE pulse AND match IS NOT NULL)
+SELECT user_id, nr, match, trace_offset, round(time_offset, 6) AS time_offset, round(median(CASE WHEN trace_offset < 500 THEN time_offset END) OVER (PARTITION BY user_id), 6) AS median_offset FROM o""")
+def pps_sync(spark, d):
+    rows = tracks(spark, d).select("user_id", "nr", "x", (F.col("nr") % 3 == 0).alias("pulse"), (F.col("nr") * 13 % 110).alias("ms"))
+    out = track.pps_sync(rows, "user_id", "nr", "pulse", "ms", "x", 500)
+    return out.select("user_id", "nr", "match", "trace_offset", F.round("time_offset", 6).alias("time_offset"), F.round("median_offset", 6).alias("median_offset"))
+
+
 @query(E + ", s AS (SELECT user_id, regr_slope(y, x) AS a, regr_intercept(y, x) AS b, min(x) AS m FROM e GROUP BY user_id) SELECT user_id, round(a * m + b, 6) AS key FROM s")
 def sort_profiles(spark, d):
     fit = tracks(spark, d).groupBy("user_id").agg(F.regr_slope("y", "x").alias("a"), F.regr_intercept("y", "x").alias("b"), F.min("x").alias("m"))
@@ -455,13 +482,24 @@ def clip_limits(spark, d):
 
 @query(E + """, m AS (SELECT min(x) AS a, max(x) AS b FROM e), h AS (SELECT least(floor((x - a) / ((b - a) / 10)), 9)::BIGINT AS bin, count(*) AS n FROM e, m GROUP BY 1),
 c AS (SELECT bin, n, sum(n) OVER (ORDER BY bin) AS cum FROM h) SELECT bin, n, cum::BIGINT AS cum FROM c""")
-def hist_elbow(spark, d):
+def hist_bins(spark, d):
     e = tracks(spark, d)
     m = e.agg(F.min("x").alias("a"), F.max("x").alias("b"))
     bins = e.crossJoin(F.broadcast(m)).groupBy(F.least(F.floor((F.col("x") - F.col("a")) / ((F.col("b") - F.col("a")) / 10)), F.lit(9)).alias("bin")).agg(F.count("*").alias("n"))
     return bins.withColumn("cum", F.sum("n").over(W.orderBy("bin")))
 
 
+@query(E + """, n AS (SELECT user_id, nr, x, y, row_number() OVER (PARTITION BY user_id ORDER BY nr) AS n, count(*) OVER (PARTITION BY user_id) AS c FROM e),
+r AS (SELECT a.user_id, a.nr, abs(any_value(a.x) - avg(b.x)) AS dx, abs(any_value(a.y) - avg(b.y)) AS dy FROM n a JOIN n b ON a.user_id = b.user_id AND abs(a.n - b.n) <= least(a.n - 1, a.c - a.n, 2) GROUP BY ALL),
+l AS (SELECT *, min(dx) OVER w AS ax, max(dx) OVER w AS bx, min(dy) OVER w AS ay, max(dy) OVER w AS by_ FROM r WINDOW w AS (PARTITION BY user_id)),
+h AS (SELECT *, coalesce(least(floor((dx - ax) * 10 / nullif(bx - ax, 0)), 9), 0)::INT AS ix, coalesce(least(floor((dy - ay) * 10 / nullif(by_ - ay, 0)), 9), 0)::INT AS iy FROM l),
+s AS (SELECT user_id, i, count(*) FILTER (ix = i) AS nx, count(*) FILTER (iy = i) AS ny FROM h, range(1, 10) r(i) GROUP BY ALL),
+t AS (SELECT user_id, coalesce(min(i) FILTER (nx = 0 OR ny = 0), 9) AS stop FROM s GROUP BY user_id)
+SELECT user_id, nr FROM h JOIN t USING (user_id) WHERE NOT (dx > ax + (stop + 0.5::DOUBLE) * (bx - ax) / 10 OR dy > ay + (stop + 0.5::DOUBLE) * (by_ - ay) / 10)""")
+def hist_elbow(spark, d):
+    return track.within_elbow(tracks(spark, d), "user_id", "nr", ("x", "y")).select("user_id", "nr")
+
+
 @query(E + """, f AS (SELECT user_id, count(*) AS n, sum(x) AS sx, sum(x * x) AS sxx, sum(y) AS sy, sum(x * y) AS sxy FROM e GROUP BY user_id) SELECT user_id, n, round((n * sxy - sx * sy) / nullif(n * sxx - sx * sx, 0), 6) AS slope FROM f""")
 def velocity_fit(spark, d):
     return tracks(spark, d).groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.regr_slope("y", "x"), 6).alias("slope"))
@@ -560,12 +598,17 @@ def envelope(spark, d):
     return spectral.apply(raw(spark, d), spectral.envelope).select("vec_id", *sums())
 
 
-def _ramp(f: str, f1: float, f2: float, f3: float, f4: float) -> str:
-    return f"(0.5 - 0.5 * cos(pi() * greatest(0, least(1, ({f} - {f1}) / {f2 - f1!r}::DOUBLE)))) * (0.5 + 0.5 * cos(pi() * greatest(0, least(1, ({f} - {f3}) / {f4 - f3!r}::DOUBLE))))"
+def _line(x: str, corners: tuple[float, ...]) -> str:
+    a, b, c, d = corners
+    return f"CASE WHEN {x} <= {a!r}::DOUBLE THEN 0 WHEN {x} < {b!r}::DOUBLE THEN ({x} - {a!r}::DOUBLE) / {b - a!r}::DOUBLE WHEN {x} <= {c!r}::DOUBLE THEN 1 WHEN {x} < {d!r}::DOUBLE THEN ({d!r}::DOUBLE - {x}) / {d - c!r}::DOUBLE ELSE 0 END"
 
 
-_BAND = f"""bf AS (SELECT vec_id, j, {_ramp("j * 15.625", 1, 100, 600, 725)} * CASE WHEN j IN (0, 64) THEN 1 ELSE 2 END / 128 AS h, list_sum(list_transform(range(0, 64), lambda k: amp[k + 1] * cos(pi() * j * k / 64))) AS re,
-  list_sum(list_transform(range(0, 64), lambda k: -amp[k + 1] * sin(pi() * j * k / 64))) AS im FROM src, range(0, 65) r(j)),
+# taps of the filter by the definition: grid response, its cosine transform, 128 taps under a Hamming window, their magnitude
+_BAND = f"""fg AS (SELECT i, {_line("(i / 512.0::DOUBLE)", (0.0375, 0.1, 0.6, 0.725))} AS g FROM range(0, 513) r(i)),
+  ft AS (SELECT t, sum(CASE WHEN i IN (0, 512) THEN 1 ELSE 2 END * g * cos(pi() * i * (t - 64) / 512)) / 1024 * (0.54 - 0.46 * cos(2 * pi() * t / 127)) AS b FROM fg, range(0, 128) r(t) GROUP BY t),
+  fh AS (SELECT j, sqrt(sum(b * cos(pi() * j * t / 64)) ** 2 + sum(b * sin(pi() * j * t / 64)) ** 2) * CASE WHEN j IN (0, 64) THEN 1 ELSE 2 END / 128 AS h FROM ft, range(0, 65) r(j) GROUP BY j),
+  bf AS (SELECT vec_id, j, h, list_sum(list_transform(range(0, 64), lambda k: amp[k + 1] * cos(pi() * j * k / 64))) AS re,
+  list_sum(list_transform(range(0, 64), lambda k: -amp[k + 1] * sin(pi() * j * k / 64))) AS im FROM src, fh),
 bo AS (SELECT vec_id, k, sum(h * (re * cos(pi() * j * k / 64) - im * sin(pi() * j * k / 64))) AS v FROM bf, range(0, 64) r(k) GROUP BY ALL)"""
 
 
@@ -576,8 +619,10 @@ def bandpass(spark, d):
     return spectral.apply(raw(spark, d), spectral.bandpass(DT, 100, 600)).select("vec_id", *sums())
 
 
-@query(_DFT.replace("SELECT vec_id, j,", "SELECT vec_id, channel, j,") + f""", l AS (SELECT channel, j, coalesce(nullif(avg(sqrt(re * re + im * im)), 0), 1) AS l FROM f WHERE j <= 32 GROUP BY ALL),
-g AS (SELECT vec_id, k, sum(pow(l, -0.5) * CASE WHEN j IN (0, 32) THEN 1 ELSE 2 END / 64 * (re * cos(2 * pi() * j * k / 64) - im * sin(2 * pi() * j * k / 64))) / sqrt(0.5) AS v FROM f JOIN l USING (channel, j), range(0, 64) r(k) GROUP BY ALL),
+@query(_DFT.replace("SELECT vec_id, j,", "SELECT vec_id, channel, j,") + f""", lag AS (SELECT vec_id, channel, m, list_sum(list_transform(range(1, m + 2), lambda i: amp[i] * amp[i + 63 - m])) / list_sum(list_transform(amp, lambda x: x * x)) AS r FROM traces, range(0, 64) q(m)),
+sp AS (SELECT vec_id, channel, j, sqrt(sum(r * cos(2 * pi() * j * m / 64)) ** 2 + sum(r * sin(2 * pi() * j * m / 64)) ** 2) / 64 AS a FROM lag, range(0, 33) q(j) GROUP BY ALL),
+l AS (SELECT channel, j, coalesce(nullif(avg(a), 0), 1) AS l FROM sp GROUP BY ALL),
+g AS (SELECT vec_id, k, sum(pow(l, 0.5 - 1) / 64 * CASE WHEN j IN (0, 32) THEN 1 ELSE 2 END / 64 * (re * cos(2 * pi() * j * k / 64) - im * sin(2 * pi() * j * k / 64))) / sqrt(0.5) AS v FROM f JOIN l USING (channel, j), range(0, 64) r(k) GROUP BY ALL),
 src AS (SELECT vec_id, list(v ORDER BY k) AS amp FROM g GROUP BY vec_id), {_BAND}
 SELECT channel, trace, count(*) AS n, round(sum(v), 6) AS s, round(sum(v * (k + 1)), 6) AS w FROM bo JOIN traces USING (vec_id) GROUP BY channel, trace""")
 def whiten(spark, d):
@@ -586,10 +631,17 @@ def whiten(spark, d):
     return spectral.whitened(traces(spark, d), ["channel"], DT, 100, 600, 0.5).select("channel", "trace", *sums())
 
 
-@query(T + f""", t AS (SELECT channel, trace - 1 AS t, count(*) OVER (PARTITION BY channel) AS c, amp FROM traces), a AS (SELECT channel, t, c, k, amp[k] AS a FROM t, range(1, 65) r(k)),
-f AS (SELECT channel, k, c, j, sum(a * cos(pi() * j * t / c)) AS re, -sum(a * sin(pi() * j * t / c)) AS im FROM a JOIN range(0, 5000) r(j) ON j <= c GROUP BY ALL),
-h AS (SELECT *, {_ramp("j / (2 * c * 0.02::DOUBLE)", 0.05, 0.1, 0.9999 / 0.04 - 0.55, 0.9999 / 0.04)} * CASE WHEN j IN (0, c) THEN 1 ELSE 2 END / (2 * c) AS h FROM f),
-o AS (SELECT a.channel, a.t, a.k, sum(h * (re * cos(pi() * j * a.t / a.c) - im * sin(pi() * j * a.t / a.c))) AS v FROM a JOIN h ON a.channel = h.channel AND a.k = h.k GROUP BY ALL)
+_K_CORNERS = tuple(0.04 * k for k in (0.05, 0.1, 25 * 0.9999 - 0.55, 25 * 0.9999))
+
+
+@query(T + f""", t AS (SELECT channel, trace - 1 AS t, amp FROM traces), a AS (SELECT channel, t, k, amp[k] AS a FROM t, range(1, 65) r(k)),
+c AS (SELECT channel, count(*) + count(*) % 2 AS n FROM t GROUP BY channel), z AS (SELECT *, CASE WHEN n > 1024 THEN pow(2, ceil(log2(n)))::BIGINT ELSE 512 END AS z FROM c),
+gi AS (SELECT *, unnest(range(0, z + 1)) AS i FROM z), fg AS (SELECT *, {_line("(i / z::DOUBLE)", _K_CORNERS)} AS g FROM gi), tt AS (SELECT *, unnest(range(0, n)) AS t FROM z),
+ft AS (SELECT tt.channel, tt.n, tt.t, sum(CASE WHEN i IN (0, fg.z) THEN 1 ELSE 2 END * g * cos(pi() * i * (tt.t - tt.n // 2) / fg.z)) / (2 * any_value(fg.z)) * (0.54 - 0.46 * cos(2 * pi() * tt.t / (tt.n - 1))) AS b FROM fg JOIN tt USING (channel) GROUP BY tt.channel, tt.n, tt.t),
+jj AS (SELECT channel, n, unnest(range(0, n // 2 + 1)) AS j FROM z),
+h AS (SELECT jj.channel, jj.n, j, sqrt(sum(b * cos(2 * pi() * j * t / jj.n)) ** 2 + sum(b * sin(2 * pi() * j * t / jj.n)) ** 2) * CASE WHEN j IN (0, jj.n // 2) THEN 1 ELSE 2 END / jj.n AS h FROM jj JOIN ft USING (channel) GROUP BY jj.channel, jj.n, j),
+f AS (SELECT h.channel, h.n, h.j, h.h, k, sum(a * cos(2 * pi() * j * t / n)) AS re, -sum(a * sin(2 * pi() * j * t / n)) AS im FROM a JOIN h USING (channel) GROUP BY ALL),
+o AS (SELECT a.channel, a.t, a.k, sum(h * (re * cos(2 * pi() * j * a.t / n) - im * sin(2 * pi() * j * a.t / n))) AS v FROM a JOIN f ON a.channel = f.channel AND a.k = f.k GROUP BY ALL)
 SELECT channel, t + 1 AS trace, count(*) AS n, round(sum(v), 6) AS s, round(sum(v * k), 6) AS w FROM o GROUP BY channel, t""")
 def k_highpass(spark, d):
     from ..operators import spectral
@@ -630,7 +682,7 @@ def chamfer(spark, d):
 
 
 @query(CELLS + """, a AS (SELECT ix, iy, list(v ORDER BY k) AS amp FROM cells GROUP BY ix, iy),
-p AS (SELECT i.ix, i.iy, a.amp, 0.5 * sqrt((i.ix - a.ix) ** 2 + (i.iy - a.iy) ** 2) AS d FROM a i, a), z AS (SELECT *, (k + 1) * 0.05::DOUBLE AS z FROM p, range(0, 20) r(k)),
+p AS (SELECT i.ix, i.iy, a.amp, 0.5 * sqrt((i.ix - a.ix) ** 2 + (i.iy - a.iy) ** 2) AS d FROM a i, a), z AS (SELECT *, k * 0.05::DOUBLE AS z FROM p, range(0, 20) r(k)),
 s AS (SELECT ix, iy, k, amp[round(2 * sqrt(d * d + z * z) / 0.1 / 0.5)::INT + 1] AS a, atan2(d, z) / radians(30) AS t FROM z WHERE atan2(d, z) < radians(30)),
 m AS (SELECT ix, iy, k, sum(a * (0.5 - 0.5 * cos(t * pi()))) / count(*) AS v FROM s WHERE a IS NOT NULL GROUP BY ALL)
 SELECT ix, iy, 20::BIGINT AS n, round(sum(v), 6) AS s, round(sum(v * (k + 1)), 6) AS w FROM m GROUP BY ix, iy""")
@@ -641,6 +693,20 @@ def migrate3d(spark, d):
     return kernels.migrate(placed, dx=0.5, dt=DT, speed=0.1, aperture=60.0, dz=0.05, nz=20).select("ix", "iy", *sums())
 
 
+@query(CELLS + """, a AS (SELECT ix, iy, list(v ORDER BY k) AS amp, 2.0::DOUBLE - (ix * 3 + iy) % 5 * 0.05::DOUBLE AS h FROM cells GROUP BY ix, iy), t AS (SELECT *, (SELECT max(h) FROM a) - h AS z FROM a),
+p AS (SELECT i.ix, i.iy, i.z AS zi, a.z AS za, a.amp, (0.5 * sqrt((i.ix - a.ix) ** 2 + (i.iy - a.iy) ** 2))::DOUBLE AS d FROM t i, t a WHERE sqrt((i.ix - a.ix) ** 2 + (i.iy - a.iy) ** 2) * 0.5 <= 1.6),
+q AS (SELECT *, k * 0.05::DOUBLE - za AS z, zi - za AS rise FROM p, range(0, 20) r(k) WHERE k >= round(zi / 0.05::DOUBLE)),
+g AS (SELECT *, sqrt(d * d + z * z) AS way, CASE WHEN d = 0 THEN 0 ELSE pi() / 2 - acos(greatest(-1, least(1, (d * d + z * rise) / (sqrt(d * d + z * z) * sqrt(d * d + rise * rise))))) END AS angle FROM q),
+s AS (SELECT ix, iy, k, amp[round(2 * way / 0.1::DOUBLE / 0.5)::INT + 1] AS a, angle / radians(30) AS t FROM g WHERE angle < radians(30)),
+m AS (SELECT ix, iy, k, sum(a * (0.5 - 0.5 * cos(t * pi()))) / count(*) AS v FROM s WHERE a IS NOT NULL GROUP BY ALL)
+SELECT ix, iy, 20::BIGINT AS n, round(sum(v), 6) AS s, round(sum(v * (k + 1)), 6) AS w FROM m GROUP BY ix, iy""")
+def migrate_topo(spark, d):
+    from ..operators import kernels
+
+    placed = cells(spark, d).withColumn("h", F.lit(2.0) - (F.col("ix") * 3 + F.col("iy")) % 5 * 0.05)
+    return kernels.migrate(placed, dx=0.5, dt=DT, speed=0.1, aperture=60.0, dz=0.05, nz=20, height="h", ns=NS).select("ix", "iy", *sums())
+
+
 def entry(spark, d: str) -> DataFrame:
     """The amplitude map of every slice: traces, offset removal, bins, overlapping slices, sums of absolute samples."""
     placed = raw(spark, d).select(trace.dc_removal(F.col("amp"), DT, 0, 10, NS).alias("amp"), (F.col("vec_id") % 10).alias("ix"), (F.floor(F.col("vec_id") / 10) % 10).alias("iy"))

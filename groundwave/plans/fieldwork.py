@@ -88,8 +88,8 @@ def robust_track(spark, d):
     return out.select("user_id", "nr", F.round(F.col("u") + 1e-8, 5).alias("u"), F.round(F.col("v") + 1e-8, 5).alias("v"))
 
 
-_LINES = """, s AS (SELECT s_suppkey AS line, (s_suppkey % 5)::DOUBLE AS x0, (s_suppkey % 3)::DOUBLE AS y0, 5.0 + s_suppkey % 4 AS x1, 4.0 + s_suppkey % 5 AS y1 FROM supplier WHERE s_suppkey <= 40),
-q AS (SELECT line, k, x0 + (x1 - x0) * (k * 0.7 / sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2)) AS x, y0 + (y1 - y0) * (k * 0.7 / sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2)) AS y FROM s, range(0, 30) r(k) WHERE k <= floor(sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) / 0.7)),
+_LINES = """, s AS (SELECT s_suppkey AS line, (s_suppkey % 5)::DOUBLE AS x0, (s_suppkey % 3)::DOUBLE AS y0, 5.0 + s_suppkey % 4 AS x1, 4.0 + s_suppkey % 5 AS y1 FROM supplier),
+q AS (SELECT line, k, x0 + (x1 - x0) * (k * 0.7 / sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2)) AS x, y0 + (y1 - y0) * (k * 0.7 / sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2)) AS y FROM (SELECT *, unnest(range(0, floor(sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) / 0.7)::BIGINT + 1)) AS k FROM s)),
 c AS (SELECT line, q.k, floor(x)::BIGINT + i AS ix, floor(y)::BIGINT + j AS iy, CASE WHEN i = 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END * CASE WHEN j = 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END AS w FROM q, range(0, 2) a(i), range(0, 2) b(j)),
 n AS (SELECT *, count(*) OVER (PARTITION BY line, k) AS n FROM c WHERE w > 0),
 v AS (SELECT line, n.k, cells.k AS i, sum(w * v) AS v FROM n JOIN cells USING (ix, iy) GROUP BY line, n.k, cells.k, n HAVING count(*) = n),
@@ -99,12 +99,12 @@ m AS (SELECT line, k, i, avg(v) OVER (PARTITION BY line, i ORDER BY k ROWS BETWE
 @query(CELLS + _LINES + " SELECT line, k, count(*) AS n, round(sum(v), 6) AS s, round(sum(v * i), 6) AS w FROM m GROUP BY line, k")
 def section_cut(spark, d):
     s = F.col("s_suppkey")
-    lines = table(spark, d, "supplier").where("s_suppkey <= 40").select(s.alias("line"), (s % 5).cast("double").alias("x0"), (s % 3).cast("double").alias("y0"), (s % 4 + 5.0).alias("x1"), (s % 5 + 4.0).alias("y1"))
+    lines = table(spark, d, "supplier").select(s.alias("line"), (s % 5).cast("double").alias("x0"), (s % 3).cast("double").alias("y0"), (s % 4 + 5.0).alias("x1"), (s % 5 + 4.0).alias("y1"))
     out = position.section(position.stations(lines, "line", 0.7), "line", cells(spark, d), smooth=2)
     return out.select("line", F.col("k").cast("long").alias("k"), *sums())
 
 
-@query(CELLS + _LINES.replace(" WHERE s_suppkey <= 40", "") + " SELECT line, k, count(*) AS n, round(sum(v), 6) AS s, round(sum(v * i), 6) AS w FROM m GROUP BY line, k")
+@query(CELLS + _LINES + " SELECT line, k, count(*) AS n, round(sum(v), 6) AS s, round(sum(v * i), 6) AS w FROM m GROUP BY line, k")
 def section_cut_whole(spark, d):
     """section_cut along the lines of all suppliers."""
     s = F.col("s_suppkey")
@@ -230,11 +230,11 @@ def velocity_clusters(spark, d):
     return velocity.cluster_picks(velocity.picks(panel, "g", 20.0), panel, "g", 4.0, 3)
 
 
-@query(T + """, c AS (SELECT a.vec_id, k, sqrt(k * k + ((a.trace - b.trace) * 8 / 10.0::DOUBLE) ** 2) AS p, b.amp FROM traces a JOIN traces b ON a.channel = b.channel AND abs(a.trace - b.trace) <= 3, range(0, 64) r(k)),
+@query(T + """, c AS (SELECT a.vec_id, k, sqrt(k * k + ((a.trace - b.trace) * 8 / 10.0::DOUBLE) ** 2) AS p, b.amp FROM traces a JOIN traces b ON a.channel = b.channel, range(0, 64) r(k)),
 l AS (SELECT vec_id, k, CASE WHEN p = 0 THEN 1 ELSE k / p END AS l, CASE WHEN p < 63.5 THEN amp[round(p)::INT + 1] END AS a FROM c)
 SELECT vec_id, count(*) AS n, round(sum(v), 6) AS s, round(sum(v * (k + 1)), 6) AS w FROM (SELECT vec_id, k, coalesce(sum(l * a) FILTER (l >= cos(radians(30)) AND a IS NOT NULL) / nullif(sum(l) FILTER (l >= cos(radians(30)) AND a IS NOT NULL), 0), 0) AS v FROM l GROUP BY ALL) GROUP BY vec_id""")
 def migrate2d(spark, d):
-    return kernels.migrate_profile(traces(spark, d), "channel", "trace", 0.02, DT, 0.1, 60.0, NS, 3).select("vec_id", *sums())
+    return kernels.migrate_profile(traces(spark, d), "channel", "trace", 0.02, DT, 0.1, 60.0, NS).select("vec_id", *sums())
 
 
 @query(T + """, c AS (SELECT a.vec_id, k, sqrt(k * k + ((a.trace - b.trace) * 8 / 10.0::DOUBLE) ** 2) AS p, b.amp FROM traces a JOIN traces b ON a.channel = b.channel, range(0, 64) r(k)),

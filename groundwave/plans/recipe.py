@@ -1,15 +1,20 @@
 """Processing recipes: settings text to an ordered list of steps, applied as lazy DataFrame transformations.
 
-A line is `key value`; a key that begins with do_ names a step, its value is the step's place (0: off),
-other keys are parameters. Places must be 1..n, each once.
+A line is `key value...`; a key that begins with do_ names a step, its value is the step's place (0: off), and the
+lines below it are its parameters. Keys may carry a unit, as tmax[ns], and are known by the usual names of profile and
+radargram settings; values are numbers, texts or several numbers. A step takes a parameter that it lacks from the other
+steps. Places must be 1..n, each once.
 """
 
 from __future__ import annotations
 
 import math
+import re
+from collections import ChainMap
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -57,7 +62,7 @@ def bad_traces(df, p, dt, ns):
 
 @step("do_traceInterpolation")
 def fill(df, p, dt, ns):
-    return track.interpolate(df, ["profile", "channel"], "trace", "amp", gap=p["gap"], arrays=True)
+    return track.interpolate(df, ["profile", "channel"], "trace", "amp", gap=p["gap"], arrays=True, edges="line")
 
 
 @step("do_removeMeanMedianTrace")
@@ -94,17 +99,41 @@ def k_highpass(df, p, dt, ns):
 
 @step("do_constTraceDist")
 def constant_spacing(df, p, dt, ns):
-    """Mean traces of steps of dx along `inline`; the last, partly filled step of a profile goes."""
-    keys = ["profile", "channel"]
-    ends = df.groupBy(*keys).agg(F.floor(F.max("inline") / p["dx"]).alias("_n"))
-    rows = df.join(ends, keys).withColumn("trace", F.floor(F.col("inline") / p["dx"]) + 1).where("trace <= _n")
-    return grid.mean_trace_of_cells(rows, [*keys, "trace"]).withColumn("inline", (F.col("trace") - 1) * p["dx"])
+    """Mean traces of steps of dx along the profile (column inline, or the way along x and y). Steps run from 0 to the last edge, which
+    belongs to the step before it; a step without a trace is a missing trace. Places are means, and follow a line through
+    the steps beside where there are none. All channels of a profile get the steps that every one of them has."""
+    keys, dx = ["profile", "channel"], p["dx"]
+    places = [c for c in ("x", "y", "z") if c in df.columns]
+    if "inline" not in df.columns:
+        df = track.inline_distance(df, keys, ["trace"])
+    edges = df.groupBy(*keys).agg(F.max("inline").alias("_max")).withColumn("_n", (F.floor(F.col("_max") / dx + 1e-9) + 1).cast("int"))
+    rows = df.join(edges.select(*keys, "_n"), keys)
+    at = F.floor(F.col("inline") / dx + 1e-9).cast("int") + 1
+    rows = rows.withColumn("trace", F.when((at == F.col("_n")) & (F.abs(F.col("inline") - (F.col("_n") - 1) * dx) <= 1e-9 * dx), at - 1).otherwise(at)).where("trace < _n")
+    means = grid.mean_trace_of_cells(rows, [*keys, "trace"])
+    if places:
+        means = means.join(rows.groupBy(*keys, "trace").agg(*[F.avg(c).alias(c) for c in places]), [*keys, "trace"])
+    steps = edges.withColumn("_n", F.min("_n").over(W.partitionBy("profile"))).select(*keys, F.explode(F.sequence(F.lit(1), "_n")).alias("trace"))
+    out = steps.join(means, [*keys, "trace"], "left")
+    for c in places:
+        out = track.interpolate(out, keys, "trace", c, edges="line")
+    return out.withColumn("inline", (F.col("trace") - 1) * dx)
 
 
 @step("do_channelshift")
 def channel_shift(df, p, dt, ns):
-    """Every channel moved to fit channel 1; the shift is found on the reference profile, if one is given."""
-    known = df.where(F.col("profile") == p["refprofile"]) if "refprofile" in p else df
+    """Channels moved to fit channel 1. OneOrAll 1: by the given shiftsamples (one for each channel), or by those found on the reference
+    profile; 2: by those found on each profile. Without OneOrAll: on the reference profile, if one is given (not 0), else on all together."""
+    given, one, profile = p.get("shiftsamples", []), p.get("OneOrAll"), p.get("refprofile", 0)
+    if one == 2:
+        means = channel.sample_stats(df, ["profile", "channel"])
+        return channel.shifted(df, channel.best_shift(means, "channel", 1, int(p["maxshift"]), by=("profile",)), ["profile", "channel"])
+    if given := given if isinstance(given, list) else [given]:
+        table = df.sparkSession.createDataFrame([(i + 1, int(n)) for i, n in enumerate(given)], "channel int, shift int")
+        return channel.shifted(df, F.broadcast(table), "channel")
+    if one == 1 and not profile:
+        raise ValueError("OneOrAll 1 needs shiftsamples or a refprofile")
+    known = df.where(F.col("profile") == profile) if profile else df
     return channel.shifted(df, channel.best_shift(channel.sample_stats(known, ["channel"]), "channel", 1, int(p["maxshift"])), "channel")
 
 
@@ -118,7 +147,8 @@ def profile_shift(df, p, dt, ns):
 
 @step("do_t0CorrectionReferencetrace")
 def reference_trace(df, p, dt, ns):
-    """Every trace moved to fit one trace, then its time zero cut; the reference is one row, found when the plan is made."""
+    """Every trace moved to fit one trace, then its time zero cut; the reference is one row, found when the plan is made. A profile that
+    is not in the survey (0, if it is not set) is an error."""
     found = df.where((F.col("profile") == p["profile"]) & (F.col("channel") == p["channel"]) & (F.col("trace") == p["trace"])).select("amp").first()
     if found is None:
         raise ValueError("the reference trace is not in the survey")
@@ -155,13 +185,17 @@ def envelope(df, p, dt, ns):
 
 @step("do_TopoMigration3D")
 def migration(df, p, dt, ns):
-    """Of grid cells (ix, iy, amp)."""
-    return kernels.migrate(df, p["dx"], dt, p["v"], p["aperture"], p["dz"], int(p["nz"]))
+    """Of grid cells (ix, iy, amp), and z, their heights, if there are any. Depths: as deep as the trace's time goes, and the relief; or nz."""
+    relief = df.agg(F.max("z") - F.min("z")).first()[0] or 0 if "z" in df.columns else 0
+    depths = int(p["nz"]) if "nz" in p else math.floor(ns * dt / 2 * p["v"] / p["dz"] + 0.5) + math.floor(relief / p["dz"] + 0.5)
+    return kernels.migrate(df, p["dx"], dt, p["v"], p["aperture"], p["dz"], depths, height="z" if "z" in df.columns else None, ns=ns)
 
 
 @step("do_migration2d_vz")
 def profile_migration(df, p, dt, ns):
     """Our own sum along hyperbolas of one speed; traces dx apart."""
+    if not isinstance(p["v"], float):
+        raise ValueError(f"the speed must be a number, not {p['v']}")
     return kernels.migrate_profile(df, ["profile", "channel"], "trace", p["dx"], dt, p["v"], p["aperture"], ns)
 
 
@@ -181,18 +215,57 @@ def fill_idw(df, p, dt, ns):
 
 @step("do_Coherence")
 def coherence(df, p, dt, ns):
-    """Of grid cells; v takes the place of the traces."""
-    return grid.coherence(df, int(p["first"]), int(p["samples"])).select("ix", "iy", F.array("v").alias("amp"))
+    """Of grid cells (ix, iy, amp), along the trace."""
+    return grid.coherence_cube(df, dt, p["nwavelength"])
 
 
-def parse(text: str) -> tuple[list[str], dict[str, float]]:
-    """(steps in order, parameters)."""
-    places, parameters = {}, {}
+@step("do_DCremoval")
+def whole_offset(df, p, dt, ns):
+    return df.withColumn("amp", trace.dc_removal(F.col("amp"), dt, 0, (ns - 1) * dt, ns))
+
+
+@step("do_t0correction")
+def first_trace(df, p, dt, ns):
+    """Every trace of a profile's channel moved to fit the first one, then its time zero cut."""
+    first = df.groupBy("profile", "channel").agg(F.min_by("amp", "trace").alias("_ref"))
+    moved = spectral.align_to_column(df.withColumn("amp", F.col("amp").cast("array<double>")).join(first, ["profile", "channel"]), "_ref")
+    return moved.withColumn("amp", trace.t0_shift(F.col("amp"), dt, p["t0"]))
+
+
+#: Other names of steps and parameters in settings files.
+STEP_NAMES = {
+    "do_t0Threshold": "do_t0CorrectionThreshold", "do_removeMeanTrace": "do_removeMeanMedianTrace", "do_kHighpass": "do_khighpass",
+    "do_applyGain": "do_applygain", "do_interpolation": "do_traceInterpolation", "do_migration": "do_migration2d_vz",
+}
+NAMES = {
+    "fmin_sw": "fmin", "fmax_sw": "fmax", "profilenumber": "profile", "channelnumber": "channel", "tracenumber": "trace", "aperture_m": "aperture", "aperture_t": "aperture",
+    "aperture_mig": "aperture", "aperture_topo": "aperture", "v_topo": "v", "v-file": "v", "vfile_mig": "v", "tv-file": "tv", "cutT": "tmax", "dist": "dx", "meanMedian": "meanmedian",
+    "numberOfTraces": "numtraces", "radLI": "radius",
+}
+
+
+def _value(words: list[str]) -> float | str | list:
+    values = [float(w) if re.fullmatch(r"[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?", w) else w for w in words]
+    return values[0] if len(values) == 1 else values
+
+
+def parse(text: str) -> tuple[list[str], dict[str, dict]]:
+    """(steps in order, parameters by step). Parameters above the first step are under the empty name."""
+    places, parameters, at = {}, {"": {}}, ""
     for line in text.splitlines():
         words = line.split()
-        if len(words) >= 2 and not words[0].startswith("#"):
-            (places if words[0].startswith("do_") else parameters)[words[0]] = float(words[1])
-    on = {k: int(v) for k, v in places.items() if v}
+        if not words or words[0].startswith("#"):
+            continue
+        key = re.sub(r"\[.*\]$", "", words[0])
+        if key.startswith("do_"):
+            at = STEP_NAMES.get(key, key)
+            places[at] = int(float(words[1])) if len(words) > 1 else 0
+            parameters.setdefault(at, {})
+        elif at == "do_applygain" and key == "g":
+            parameters[at] |= {f"g{i + 1}": float(w) for i, w in enumerate(words[1:])}
+        else:
+            parameters[at][NAMES.get(key, key)] = _value(words[1:])
+    on = {k: v for k, v in places.items() if v}
     if unknown := sorted(k for k in on if k not in STEPS):
         raise ValueError(f"unknown steps: {', '.join(unknown)}")
     if sorted(on.values()) != list(range(1, len(on) + 1)):
@@ -203,10 +276,11 @@ def parse(text: str) -> tuple[list[str], dict[str, float]]:
 def run(traces: DataFrame, text: str, dt: float, ns: int) -> DataFrame:
     steps, parameters = parse(text)
     for name in steps:
-        traces = STEPS[name](traces, parameters, dt, ns)
+        own = ChainMap(parameters[name], *[p for k, p in parameters.items() if k != name])
+        traces = STEPS[name](traces, own, dt, ns)
         if name == "do_cutTWT":
-            ns = min(ns, int(parameters["tmax"] / dt + 1e-9) + 1)
+            ns = min(ns, int(own["tmax"] / dt + 1e-9) + 1)
         if name == "do_reduceNumberOfSamples":
-            n = parameters["n"] if parameters["n"] < 1 else int(parameters["n"])
+            n = own["n"] if own["n"] < 1 else int(own["n"])
             ns, dt = int((ns - 1) / n + 1e-9) + 1, dt * n
     return traces

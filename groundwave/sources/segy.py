@@ -17,12 +17,16 @@ def _layout(ns: int) -> np.dtype:
 
 
 def encode(block: np.ndarray, x: np.ndarray, y: np.ndarray, dt: float, inline: np.ndarray | None = None, crossline: np.ndarray | None = None) -> bytes:
-    """A file of the traces of block (traces x samples), dt in ns, written as picoseconds. Missing samples become 0."""
+    """A file of the traces of block (traces x samples), dt in ns, written as picoseconds. Missing samples become 0.
+    The header's fields have 16 bits: longer traces or larger steps are an error; more traces than that leave the count of
+    traces at 0, which readers don't need."""
     n, ns = block.shape
+    if ns > 32767 or round(dt * 1000) > 32767:
+        raise ValueError(f"{ns} samples of {dt} ns do not fit the header of revision 1")
     head = bytearray(FILE_HEADER)
     head[:3200] = b"C 1 GROUND PENETRATING RADAR, COORDINATES TIMES 100".ljust(3200)
-    for at, value in ((3212, n), (3216, round(dt * 1000)), (3220, ns), (3224, FLOATS), (3500, 256)):
-        head[at : at + 2] = int(min(value, 32767)).to_bytes(2, "big")
+    for at, value in ((3212, n if n <= 32767 else 0), (3216, round(dt * 1000)), (3220, ns), (3224, FLOATS), (3500, 256)):
+        head[at : at + 2] = int(value).to_bytes(2, "big")
     rows = np.zeros(n, _layout(ns))
     rows["trace"] = rows["number"] = np.arange(1, n + 1)
     rows["scale"], rows["ns"], rows["dt"] = -SCALE, ns, round(dt * 1000)

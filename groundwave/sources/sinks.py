@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -22,6 +23,9 @@ def write_files(named: DataFrame, folder: str) -> DataFrame:
     it and a lost one leaves no half file. folder is a URI or path that all executors reach.
     """
 
+    if "://" not in folder and not re.match(r"local(\[|$)", named.sparkSession.sparkContext.master):
+        raise ValueError(f"{folder} has no scheme: executors would write to their own disks")
+
     def run(batches):
         target, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
         target.create_dir(base, recursive=True)

@@ -89,7 +89,7 @@ def test_migration_of_one_trace_is_a_circle(spark):
     for r in out:
         for k, v in enumerate(r["amp"]):
             if v:
-                radius = np.hypot(0.1 * np.hypot(r["ix"] - 5, r["iy"] - 5), (k + 1) * 0.05)
+                radius = np.hypot(0.1 * np.hypot(r["ix"] - 5, r["iy"] - 5), k * 0.05)
                 assert round(2 * radius / 0.1 / 0.5) == 20
     assert any(v for r in out for v in r["amp"])
 
@@ -116,7 +116,7 @@ def test_utm_meridian_and_similarity(spark):
 
 
 def test_recipe_order_is_checked(spark):
-    assert recipe.parse("do_cutTWT 2\ndo_medfilt 1\ntmax 5\ndo_t0shift 0") == (["do_medfilt", "do_cutTWT"], {"tmax": 5.0})
+    assert recipe.parse("do_cutTWT 2\ndo_medfilt 1\ntmax 5\ndo_t0shift 0") == (["do_medfilt", "do_cutTWT"], {"": {}, "do_cutTWT": {}, "do_medfilt": {"tmax": 5.0}, "do_t0shift": {}})
     for bad in ("do_cutTWT 1\ndo_medfilt 3", "do_cutTWT 1\ndo_medfilt 1", "do_nothing 1"):
         with pytest.raises(ValueError):
             recipe.parse(bad)
