@@ -57,3 +57,18 @@ def ddmm(value: Column) -> Column:
     """Degrees of ddmm.mmmm."""
     d = F.floor(value / 100)
     return d + (value - 100 * d) / 60
+
+
+def packed_time(bits: Column) -> Column:
+    """The time of a packed number of 32 bits: from the low end seconds/2 (5), minutes (6), hours (5), day (5), month (4), years since 1980 (7); null if it is no date."""
+    part = lambda shift, width: F.shiftrightunsigned(bits.cast("long"), shift).bitwiseAND(F.lit((1 << width) - 1))
+    text = F.format_string("%04d-%02d-%02d %02d:%02d:%02d", part(25, 7) + 1980, part(21, 4), part(16, 5), part(11, 5), part(5, 6), part(0, 5) * 2)
+    return F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss"))
+
+
+def gga_seconds(text: Column) -> Column:
+    """Seconds of the day of hhmmss.ss; null if it is no time."""
+    number = text.try_cast("double")
+    h, m = F.floor(number / 10000), F.floor(number / 100) % 100
+    s = number - h * 10000 - m * 100
+    return F.when((h < 24) & (m < 60) & (s < 61), h * 3600 + m * 60 + s)

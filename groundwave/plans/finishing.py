@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import grid, kernels, position, track
+from ..operators import grid, kernels, placing, position, track
 from . import recipe
 from .catalogue import _MEDIAN, _PART, _STATIONS, CELLS, DT, NS, SUMS, E, T, _grid, cells, query, stations, sums, table, traces, tracks
 
@@ -160,3 +160,55 @@ def line_beyond_ends(spark, d):
 
     rows = tracks(spark, d).select("user_id", F.row_number().over(W.partitionBy("user_id").orderBy("nr")).cast("long").alias("place"), F.when(F.col("nr") % 4 == 1, F.col("x")).alias("v"))
     return track.interpolate(rows, "user_id", "place", "v", edges="line").withColumn("v", F.round(F.col("v") + 1e-8, 5))
+
+
+_FIXES = T + """, f AS (SELECT event_id % 3 AS profile, event_id % 60 * 2 AS trace, avg(value) AS x, avg(event_id * 13 % 101 / 10.0) AS y, avg(event_id % 7) AS z FROM events WHERE event_id % 4 = 1 GROUP BY ALL),
+c AS (SELECT channel % 3 AS profile, channel, trace, vec_id FROM traces), k AS (SELECT *, lag(trace) OVER w AS lt, lag(x) OVER w AS lx, lag(y) OVER w AS ly, lag(z) OVER w AS lz, lead(trace) OVER w AS ht, lead(x) OVER w AS hx, lead(y) OVER w AS hy, lead(z) OVER w AS hz FROM f WINDOW w AS (PARTITION BY profile ORDER BY trace)),
+p AS (SELECT c.*, a.trace AS t0, a.x AS x0, a.y AS y0, a.z AS z0, b.trace AS t1, b.x AS x1, b.y AS y1, b.z AS z1 FROM c ASOF LEFT JOIN f a ON c.profile = a.profile AND c.trace >= a.trace ASOF LEFT JOIN f b ON c.profile = b.profile AND c.trace <= b.trace),
+q AS (SELECT vec_id, profile, channel, trace, x0 + (x1 - x0) * coalesce((trace - t0) / nullif(t1 - t0, 0)::DOUBLE, 0) AS x, y0 + (y1 - y0) * coalesce((trace - t0) / nullif(t1 - t0, 0)::DOUBLE, 0) AS y, z0 + (z1 - z0) * coalesce((trace - t0) / nullif(t1 - t0, 0)::DOUBLE, 0) AS z
+  FROM p WHERE t0 IS NOT NULL AND t1 IS NOT NULL)"""
+
+
+def _placed(spark, d):
+    e, n = table(spark, d, "events"), F.col("event_id")
+    fixes = e.where("event_id % 4 = 1").select((n % 3).alias("profile"), (n % 60 * 2).alias("trace"), F.col("value").alias("x"), (n * 13 % 101 / 10.0).alias("y"), (n % 7).cast("double").alias("z"))
+    return placing.place(traces(spark, d).withColumn("profile", F.col("channel") % 3), fixes)
+
+
+@query(_FIXES + " SELECT vec_id, profile, round(x + 1e-8, 5) AS x, round(y + 1e-8, 5) AS y, round(z + 1e-8, 5) AS z FROM q")
+def place_traces(spark, d):
+    return _placed(spark, d).select("vec_id", "profile", *[F.round(F.col(c) + 1e-8, 5).alias(c) for c in ("x", "y", "z")])
+
+
+@query(_FIXES + """, d AS (SELECT *, coalesce(lead(x, 15) OVER w, last_value(x) OVER f) - x AS dx, coalesce(lead(y, 15) OVER w, last_value(y) OVER f) - y AS dy, lead(x) OVER w IS NULL AS last, channel * 0.1 - 0.4 AS a, channel * 0.05 AS l FROM q
+  WINDOW w AS (PARTITION BY channel ORDER BY trace), f AS (PARTITION BY channel ORDER BY trace ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+o AS (SELECT *, coalesce(dx / nullif(sqrt(dx * dx + dy * dy), 0), 0) AS u, coalesce(dy / nullif(sqrt(dx * dx + dy * dy), 0), 0) AS v FROM d), m AS (SELECT *, x + l * u + a * v AS nx, y + l * v - a * u AS ny FROM o)
+SELECT vec_id, round(CASE WHEN last THEN coalesce(2 * lag(nx) OVER w - lag(nx, 2) OVER w, nx) ELSE nx END + 1e-8, 5) AS x, round(CASE WHEN last THEN coalesce(2 * lag(ny) OVER w - lag(ny, 2) OVER w, ny) ELSE ny END + 1e-8, 5) AS y FROM m WINDOW w AS (PARTITION BY channel ORDER BY trace)""")
+def offset_channels(spark, d):
+    c = F.col("channel")
+    offsets = traces(spark, d).select("channel").distinct().select("channel", (c * 0.1 - 0.4).alias("across"), (c * 0.05).alias("along"))
+    return placing.channel_offsets(_placed(spark, d), offsets).select("vec_id", *[F.round(F.col(k) + 1e-8, 5).alias(k) for k in ("x", "y")])
+
+
+@query(T + " SELECT vec_id FROM (SELECT vec_id, trace, min(n) OVER (PARTITION BY channel % 3) AS n FROM (SELECT *, count(*) OVER (PARTITION BY channel) AS n FROM traces)) WHERE trace <= n")
+def common_length(spark, d):
+    return placing.common_length(traces(spark, d).withColumn("profile", F.col("channel") % 3)).select("vec_id")
+
+
+@query(T + f""", m AS (SELECT channel, sum(list_sum(amp)) / sum(len(amp)) AS m FROM traces GROUP BY channel), x AS (SELECT vec_id, list_transform(amp, lambda v: v - m) AS a FROM traces JOIN m USING (channel)) SELECT vec_id, {SUMS} FROM x""")
+def overall_mean(spark, d):
+    return placing.minus_overall_mean(traces(spark, d), "channel").select("vec_id", *sums())
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, (o_orderkey * 2654435761) % 4294967296 AS b FROM orders), p AS (SELECT k, (b >> 25) & 127 AS y, (b >> 21) & 15 AS mo, (b >> 16) & 31 AS d, (b >> 11) & 31 AS h, (b >> 5) & 63 AS mi, (b & 31) * 2 AS s FROM o)
+SELECT k, CASE WHEN mo BETWEEN 1 AND 12 AND d BETWEEN 1 AND 31 AND h < 24 AND mi < 60 AND s < 60 THEN epoch(try_strptime(printf('%04d-%02d-%02d %02d:%02d:%02d', y + 1980, mo, d, h, mi, s), '%Y-%m-%d %H:%M:%S'))::BIGINT END AS t FROM p""")
+def packed_dates(spark, d):
+    k = F.col("o_orderkey")
+    return table(spark, d, "orders").select(k.alias("k"), geo.packed_time(k * 2654435761 % 4294967296).alias("t")).select("k", F.unix_timestamp(F.date_format("t", "yyyy-MM-dd HH:mm:ss")).alias("t"))
+
+
+@query("""WITH t AS (SELECT c_custkey AS k, c_custkey * 7919 % 260000 + 0.25::DOUBLE AS v FROM customer), p AS (SELECT k, floor(v / 10000) AS h, floor(v / 100) % 100 AS m, v - floor(v / 10000) * 10000 - floor(v / 100) % 100 * 100 AS s FROM t)
+SELECT k, CASE WHEN h < 24 AND m < 60 AND s < 61 THEN h * 3600 + m * 60 + s END::DOUBLE AS s FROM p""")
+def gga_times(spark, d):
+    k = F.col("c_custkey")
+    return table(spark, d, "customer").select(k.alias("k"), geo.gga_seconds((k * 7919 % 260000 + 0.25).cast("string")).alias("s"))

@@ -53,6 +53,22 @@ def read_cor(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("trace is not null and lat is not null and lon is not null")
 
 
+def read_geojson(spark: SparkSession, path: str) -> DataFrame:
+    """(path, feature, part, k, x, y, properties) of the corners of all lines and polygon rings; features, parts and corners count from 0. Files of one
+    FeatureCollection, or of one feature a file; other geometries are left out."""
+    ring = "array<array<double>>"
+    kinds = {"LineString": ring, "MultiLineString": f"array<{ring}>", "Polygon": f"array<{ring}>", "MultiPolygon": f"array<array<{ring}>>"}
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value"))
+    field = lambda source, name: F.get_json_object(source, f"$.{name}")
+    each = F.from_json(field("value", "features"), "array<string>")
+    rows = text.select("path", F.posexplode(F.coalesce(each, F.array("value"))).alias("feature", "f"))
+    rows = rows.select("path", "feature", field("f", "geometry.type").alias("type"), field("f", "geometry.coordinates").alias("c"), field("f", "properties").alias("properties"))
+    parts = F.when(F.col("type") == "LineString", F.array(F.from_json("c", kinds["LineString"])))
+    parts = parts.when(F.col("type").isin("MultiLineString", "Polygon"), F.from_json("c", kinds["Polygon"])).when(F.col("type") == "MultiPolygon", F.flatten(F.from_json("c", kinds["MultiPolygon"])))
+    rows = rows.select("path", "feature", "properties", F.posexplode(parts).alias("part", "corners")).select("path", "feature", "part", F.posexplode("corners").alias("k", "p"), "properties")
+    return rows.select("path", "feature", "part", "k", F.get("p", F.lit(0)).alias("x"), F.get("p", F.lit(1)).alias("y"), "properties")
+
+
 #: Records of the two binary logs, after 8 numbers of 16 bits. Bytes of a wheel record count from 0.
 _CPSS = np.dtype([("trace", "<i4"), ("place", "<f8", 3), ("h", "<u2"), ("m", "<u2"), ("s", "<u2"), ("ms", "<u2"), ("pc_h", "<u2"), ("pc_m", "<u2"), ("pc_s", "<u2"), ("status", "<u2")])
 _CPDT = np.dtype({"names": ["trace", "wheel", "cu", "pc_h", "pc_m", "pc_s"], "formats": [">i2", ">i2", ">i2", "<i4", "<i4", "i1"], "offsets": [0, 4, 16, 21, 25, 29], "itemsize": 32})

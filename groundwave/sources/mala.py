@@ -7,6 +7,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import placing
+from . import logs
+
 SCHEMA = "profile string, channel int, trace int, dt double, ns int, amp array<float>"
 
 
@@ -35,3 +38,27 @@ def read(spark: SparkSession, folder: str, batch: int = 4096) -> DataFrame:
                     )
 
     return data.join(head, "profile").select("profile", "ns", "window", "channels", "content").mapInArrow(decode, SCHEMA)
+
+
+def read_offsets(spark: SparkSession, folder: str, mirrored: bool = False, more_along: float = 0.0) -> DataFrame:
+    """(profile, channel, across, along) of the headers' channel offsets; mirrored changes the sign along, to which more_along is added then.
+    A header without offsets has none."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.rad").load(folder)
+    head = files.select(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("profile"), F.decode("content", "utf-8").alias("head"))
+    numbers = lambda key: F.transform(F.split(F.trim(F.regexp_extract("head", rf"(?m)^\s*{key}:[ \t]*(.*)$", 1)), r"\s+"), lambda x: x.try_cast("double"))
+    rows = head.select("profile", F.posexplode(F.arrays_zip(numbers("CH_X_OFFSETS").alias("a"), numbers("CH_Y_OFFSETS").alias("b"))).alias("i", "o"))
+    sign = -1.0 if mirrored else 1.0
+    return rows.select("profile", (F.col("i") + 1).alias("channel"), F.col("o.a").alias("across"), (F.col("o.b") * sign + more_along).alias("along")).where("across is not null and along is not null")
+
+
+def read_placed(spark: SparkSession, folder: str, least: int = 15, ahead: int = 15, **offsets) -> DataFrame:
+    """Traces with the coordinates of their channel's middle: positions of profile_G01.pos (trace, north, east, height), interpolated on trace numbers,
+    and the header's channel offsets. Profiles of less than `least` traces a channel and traces without a position go."""
+    fixes = logs.read_list(spark, f"{folder}/*.pos", "pos").select(F.regexp_extract("path", r"([^/]+?)(_G\d+)?\.pos$", 1).alias("profile"), F.col("trace").cast("int").alias("trace"), F.col("y").alias("x"), F.col("x").alias("y"), "z")
+    placed = placing.place(read(spark, folder), fixes, least=least)
+    table = read_offsets(spark, folder, **offsets)
+    # offsets belong to a profile and a channel: one key for the operator
+    key = lambda: F.concat_ws("/", "profile", F.col("channel").cast("string"))
+    rows = placed.withColumn("number", F.col("channel")).withColumn("channel", key())
+    out = placing.channel_offsets(rows, table.select(key().alias("channel"), "across", "along"), ahead=ahead)
+    return out.withColumn("channel", F.col("number")).drop("number")

@@ -110,3 +110,26 @@ def write_images(slices: DataFrame, folder: str, low: float, high: float, dx: fl
     world = world_file(start[0] + F.col("tx") * tile * dx, start[1] + ((F.col("ty") + 1) * tile - 1) * dx, dx, transform)
     files = F.array(F.struct(F.concat("name", F.lit(".png")).alias("name"), F.col("image").alias("content")), F.struct(F.concat("name", F.lit(".pgw")).alias("name"), F.encode(world, "utf-8").alias("content")))
     return write_files(images.select(F.explode(files).alias("f")).select("f.*"), folder)
+
+
+def write_lists(rows: DataFrame, folder: str, by: str, order: str, columns: list[str], head: str | None = None, suffix: str = ".pos", decimals: int = 4) -> DataFrame:
+    """A text file for each group: a line of tab-separated numbers for each row, in order, below `head`. Position logs, coordinates and the like; a group is one file, so it must fit one row."""
+    number = lambda c: F.format_string(f"%.{decimals}f", F.col(c).cast("double")) if dict(rows.dtypes)[c] in ("double", "float") else F.col(c).cast("string")
+    line = F.concat_ws("\t", *[F.when(F.col(c).isNull(), "NaN").otherwise(number(c)) for c in columns])
+    lines = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l")))).alias("x"))
+    text = F.concat(F.array_join(F.concat(F.array(F.lit(head)) if head else F.array().cast("array<string>"), F.transform("x", lambda r: r["l"])), "\n"), F.lit("\n"))
+    return write_files(lines.select(F.concat(F.col(by).cast("string"), F.lit(suffix)).alias("name"), F.encode(text, "utf-8").alias("content")), folder)
+
+
+def write_dzg(fixes: DataFrame, folder: str, by: str = "profile") -> DataFrame:
+    """A log for each group of fixes (by, trace, lat, lon, z, quality): pairs of a trace line and a GGA line, that `gps.read_dzg` reads."""
+
+    def angle(c: str, width: int, marks: str):
+        degrees = F.abs(F.col(c))
+        minutes = F.format_string("%09.6f", (degrees - F.floor(degrees)) * 60)
+        return F.concat(F.lpad(F.floor(degrees).cast("string"), width, "0"), minutes, F.lit(","), F.when(F.col(c) < 0, marks[1]).otherwise(marks[0]))
+
+    gga = F.concat(F.lit("$GPGGA,000000,"), angle("lat", 2, "NS"), F.lit(","), angle("lon", 3, "EW"), F.format_string(",%d,8,1,%.3f,M,0,M,,", F.col("quality").cast("int"), F.col("z").cast("double")))
+    pair = F.concat(F.lit("$GSSIS,"), F.col("trace").cast("string"), F.lit(",0\n"), gga, F.lit("\n"))
+    files = fixes.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("trace", pair.alias("l")))).alias("x"))
+    return write_files(files.select(F.concat(F.col(by).cast("string"), F.lit(".DZG")).alias("name"), F.encode(F.array_join(F.transform("x", lambda r: r["l"]), ""), "utf-8").alias("content")), folder)

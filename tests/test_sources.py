@@ -113,3 +113,54 @@ def test_images_with_world_files(spark, tmp_path):
     image = np.frombuffer(zlib.decompress(raw[41 : 41 + size]), np.uint8).reshape(4, 9)
     assert image[:, 0].max() == 0 and image[3].tolist() == [0, 0, 0, 26, 255, 51, 255, 76, 255]
     assert list(map(float, (tmp_path / "slice_00001_1_0.pgw").read_text().split("\n"))) == [0.5, 0, 0, -0.5, 102.0, 201.5]
+
+
+def test_profiles_with_positions_and_offsets(spark, tmp_path):
+    from groundwave.sources import mala
+
+    for name, n in (("a_001", 20), ("a_002", 9)):
+        (tmp_path / f"{name}.rad").write_text("SAMPLES:3\nTIMEWINDOW:6\nNUMBER_OF_CH:2\nCH_X_OFFSETS: -0.5 0.5 \nCH_Y_OFFSETS: 0.25 0 \n")
+        (tmp_path / f"{name}.rd3").write_bytes(np.arange(n * 2 * 3, dtype="<i2").tobytes())
+    # north and east change places; the way leads east; the log begins at trace 3
+    (tmp_path / "a_001_G01.pos").write_text("trace north east height\n3 100 10 5\n20 100 27 22\n")
+    (tmp_path / "a_002_G01.pos").write_text("trace north east height\n1 0 0 0\n9 0 8 0\n")
+    rows = mala.read_placed(spark, str(tmp_path)).orderBy("channel", "trace").collect()
+    assert {r["profile"] for r in rows} == {"a_001"} and [(r["channel"], r["trace"]) for r in rows] == [(c, t) for c in (1, 2) for t in range(3, 21)]
+    for r in rows:
+        across, along = ((-0.5, 0.25), (0.5, 0.0))[r["channel"] - 1]
+        assert (r["x"], r["y"], r["z"]) == pytest.approx((r["trace"] + 7 + along, 100 - across, r["trace"] + 2.0))
+        assert r["amp"][0] == ((r["trace"] - 1) * 2 + r["channel"] - 1) * 3
+
+
+def test_midpoints_and_places_beyond_the_fixes(spark):
+    from groundwave.operators import placing
+
+    poles = spark.createDataFrame([(1, 0.0, 0.0), (2, 1.0, 0.5)], "no int, across double, along double")
+    pairs = spark.createDataFrame([(1, 1, 1), (2, 1, 2)], "channel int, sender int, receiver int")
+    assert sorted(map(tuple, placing.midpoints(pairs, poles, poles).collect())) == [(1, 0.0, 0.0), (2, 0.5, 0.25)]
+    traces = spark.createDataFrame([(1, 1, t) for t in range(1, 7)], "profile int, channel int, trace int")
+    fixes = spark.createDataFrame([(1, 2, 10.0, 0.0, 1.0), (1, 4, 14.0, 2.0, 1.0)], "profile int, trace int, x double, y double, z double")
+    assert [r["x"] for r in placing.place(traces, fixes).orderBy("trace").collect()] == [10, 12, 14]
+    assert [r["x"] for r in placing.place(traces, fixes, beyond=True).orderBy("trace").collect()] == [8, 10, 12, 14, 16, 18]
+
+
+def test_text_sinks_are_read_back(spark, tmp_path):
+    from groundwave.sources import gps
+
+    rows = spark.createDataFrame([(7, 2, 1.5, 2.25, None), (7, 1, 0.5, 1.0, 3.0), (8, 1, 9.0, 9.0, 9.0)], "profile int, trace int, x double, y double, z double")
+    assert {r["name"] for r in sinks.write_lists(rows, str(tmp_path / "pos"), "profile", "trace", ["trace", "x", "y", "z"], "trace\tx\ty\tz").collect()} == {"7.pos", "8.pos"}
+    assert (tmp_path / "pos" / "7.pos").read_text() == "trace\tx\ty\tz\n1\t0.5000\t1.0000\t3.0000\n2\t1.5000\t2.2500\tNaN\n"
+    fixes = spark.createDataFrame([(1, 5, 48.5, -9.25, 300.5, 4), (1, 2, -0.125, 179.999, 1.25, 1)], "profile int, trace int, lat double, lon double, z double, quality int")
+    sinks.write_dzg(fixes, str(tmp_path / "dzg")).collect()
+    back = [tuple(r)[1:] for r in gps.read_dzg(spark, str(tmp_path / "dzg")).orderBy("trace").collect()]
+    assert back == [(2, pytest.approx(-0.125), pytest.approx(179.999), 1.25, 1), (5, pytest.approx(48.5), pytest.approx(-9.25), 300.5, 4)]
+
+
+def test_geojson_lines_are_read(spark, tmp_path):
+    line = {"type": "Feature", "properties": {"id": 4}, "geometry": {"type": "LineString", "coordinates": [[1, 2], [3.5, 4]]}}
+    area = {"type": "Feature", "properties": {}, "geometry": {"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [0, 0]], [[5, 5, 1]]]}}
+    point = {"type": "Feature", "properties": {}, "geometry": {"type": "Point", "coordinates": [1, 2]}}
+    (tmp_path / "a.json").write_text(json.dumps({"type": "FeatureCollection", "features": [line, point, area]}, indent=1))
+    (tmp_path / "b.json").write_text(json.dumps(line))
+    got = sorted((r["path"][-6:], r["feature"], r["part"], r["k"], r["x"], r["y"]) for r in logs.read_geojson(spark, str(tmp_path)).collect())
+    assert got == [("a.json", 0, 0, 0, 1, 2), ("a.json", 0, 0, 1, 3.5, 4), ("a.json", 2, 0, 0, 0, 0), ("a.json", 2, 0, 1, 1, 0), ("a.json", 2, 0, 2, 0, 0), ("a.json", 2, 1, 0, 5, 5), ("b.json", 0, 0, 0, 1, 2), ("b.json", 0, 0, 1, 3.5, 4)]
