@@ -1,10 +1,12 @@
 """Every stage and operator over awkward tables: nulls everywhere, repeated rows, one huge text, clashing columns, no rows."""
 
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from groundwave.llm import langid, media, mixing, packing, pii, quality, shards, simhash
+from groundwave.llm import chat, langid, media, mixing, packing, pii, pipeline, quality, shards, similar, simhash, warc
+from groundwave.llm.common import shared_folder
 
 #: Names the operators use inside themselves, and those of their results.
 CLASHES = """id row fp _id _text _copy text_key base spans extra component root node lang_pred score size source_size target times doc
@@ -27,7 +29,7 @@ def same_extras(out):
     return out.where(" or ".join(f"not ({c} <=> concat('{c}', cast(doc_id as string)))" for c in CLASHES)).count() == 0
 
 
-@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES[:-1])
+@pytest.mark.parametrize("name, stage", pipeline.STAGES[:-1])
 def test_stages_keep_columns_and_rows(spark, awkward, name, stage):
     out = stage(spark, awkward, "")
     assert out.columns == awkward.columns and same_extras(out)
@@ -47,9 +49,9 @@ def test_stages_keep_columns_and_rows(spark, awkward, name, stage):
 
 
 def test_last_stage_packs_every_row(spark, awkward):
-    out = corpus_pipeline.STAGES[-1][1](spark, awkward, "")
+    out = pipeline.STAGES[-1][1](spark, awkward, "")
     assert out.where("start = 0").count() == awkward.count()
-    assert corpus_pipeline.STAGES[-1][1](spark, awkward.limit(0), "").count() == 0
+    assert pipeline.STAGES[-1][1](spark, awkward.limit(0), "").count() == 0
 
 
 @pytest.mark.parametrize("operator", [
@@ -60,3 +62,35 @@ def test_last_stage_packs_every_row(spark, awkward):
 def test_operators_return_every_row(awkward, operator):
     assert operator(awkward).count() == awkward.count()
     assert operator(awkward.select([F.lit(None).cast(t).alias(c) for c, t in awkward.dtypes])).count() == awkward.count()
+
+
+def test_archives_and_chats_of_awkward_tables(spark, awkward):
+    nulls = awkward.select([F.lit(None).cast(t).alias(c) for c, t in awkward.dtypes])
+    for df in (awkward, nulls, awkward.limit(0)):
+        pages = df.select(F.col("doc_id").alias("page_id"), F.col("source").alias("url"), F.col("text").alias("html"), *[c for c in CLASHES if c not in ("html", "url", "page_id")])
+        folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+        out = warc.read_archives(warc.write_archives(pages, folder, archive_bytes=2000), folder)
+        assert out.count() == df.count()
+        texts = df.select(F.coalesce("text", F.lit(""))).distinct().count()
+        assert out.where("record_type = 'response'").count() == texts
+        turns = df.select(F.col("doc_id").alias("conv_id"), F.col("n_chars").alias("turn"), F.col("lang").alias("role"), "text", *[c for c in CLASHES if c not in ("conv_id", "turn", "role")])
+        said = chat.format_conversations(turns).withColumn("turns", chat.parse(F.col("formatted")))
+        assert said.select(F.coalesce(F.sum(F.size("turns")), F.lit(0))).first()[0] == df.count()
+        assert said.count() == df.select("doc_id").distinct().count()
+
+
+def test_copies_without_an_id_and_texts_under_one_id(spark, awkward):
+    for module in (simhash, similar):
+        out = module.deduplicate(awkward)
+        assert out.columns == awkward.columns and same_extras(out)
+        texts = [r["text"] for r in out.select("text").collect()]
+        assert len(texts) == len(set(texts)) and sum(not (t or "").split() for t in texts) == 1
+        every = {" ".join((r["text"] or "").lower().split()) for r in awkward.select("text").collect()}
+        assert {" ".join((t or "").lower().split()) for t in texts} <= every
+
+
+def test_long_texts_with_many_spans(spark):
+    text = "é " + "write to a.b@mail.example.org or +1 743 555 3824 or 10.0.0.1, " * 5000
+    row = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    found = pii.detect(row).select(F.size("base")).first()[0]
+    assert found == 15000 and pii.mask(row).first()["text"] == "é " + "write to [EMAIL] or [PHONE] or [IP], " * 5000

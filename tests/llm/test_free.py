@@ -411,14 +411,14 @@ def test_tables_of_a_scope_are_deleted(spark):
 
 
 def test_pipeline_stages_hand_on_documents(spark):
-    import corpus_pipeline
+    from groundwave.llm import pipeline
 
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     columns = docs.columns
-    for name, stage in corpus_pipeline.STAGES[:-1]:
+    for name, stage in pipeline.STAGES[:-1]:
         docs = stage(spark, docs, SMALL)
         assert docs.columns == columns, name
         docs = spark.createDataFrame(docs.collect(), SCHEMA)
         assert docs.count() > 0
-    last = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL)
+    last = pipeline.STAGES[-1][1](spark, docs, SMALL)
     assert last.agg(F.sum("length")).first()[0] == sum(r["doc_tokens"] for r in last.where("start = 0").collect())

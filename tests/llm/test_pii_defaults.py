@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-import corpus_pipeline
+from groundwave.llm import pipeline
 from groundwave.llm import pii
 
 SCHEMA = "doc_id long, text string"
@@ -17,7 +17,7 @@ def test_a_token_of_another_shape_is_no_evidence(spark):
     rows += [(100, "so call me at 743-555-3824, ok"), (101, "it was 743-555-3825 then"), (102, "call me at 7pm"), (103, None), (104, "")]
     df = spark.createDataFrame(rows, SCHEMA)
     assert found(df) == {100}
-    masked = {r["doc_id"]: r["text"] for r in corpus_pipeline.private_data(spark, df, "").collect()}
+    masked = {r["doc_id"]: r["text"] for r in pipeline.private_data(spark, df, "").collect()}
     assert masked[100] == "so call me at [PHONE], ok" and masked[101] == rows[7][1]
 
 
