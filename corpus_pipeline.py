@@ -1,58 +1,13 @@
-"""A corpus pipeline: each stage calls one training-data operator and hands its rows on as Parquet.
+"""The corpus pipeline: language ID, near-duplicates, personal data, mixing, packing; each stage calls one training-data operator.
 
-Language ID drops documents without a language, one document of each class of near copies (five-word
-shingles, similarity 0.8 or more) stays, PII spans are masked, sources are mixed to their weights (documents may repeat), and what is
-left is packed to windows.
+Language ID drops documents without a language, one document of each class of near copies (five-word shingles,
+similarity 0.8 or more) stays, personal data is masked, sources are mixed to their weights (documents may
+repeat), and what is left is packed to windows. The stages are in `groundwave.llm.pipeline`.
 """
 
-from __future__ import annotations
+from groundwave.llm.pipeline import STAGES, run
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from groundwave.llm import langid, mixing, packing, pii, similar
-from groundwave.llm.common import shared_folder
-
-#: A document is rejected if no language is at least this likely; with four languages a guess has 0.25.
-MIN_LANGUAGE_SCORE = 0.3
-
-
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # the columns stay in a struct, so none of their names can clash
-    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("doc"))
-    found = langid.predict(rows, langid.fit(docs), keep=("doc",))
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select("doc.*")
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return similar.deduplicate(docs)
-
-
-def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.mask(docs)
-
-
-def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.repeat(docs)
-
-
-def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.summary(packing.pack(docs, packing.default_tokenizer()))
-
-
-STAGES = [("language", language), ("near_duplicates", near_duplicates), ("private_data", private_data), ("mixture", mixture), ("packing", packed)]
-
-#: Language models, fingerprints, bootstrapping and retrieval are not expressible in SQL; tests hold the stages against brute force.
+#: Language models, fingerprints, bootstrapping and retrieval are not expressible in SQL; tests hold every stage against brute force.
 ORACLE_SQL = None
 
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        path = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}-{name}"
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(path)
-        docs = spark.read.schema(out.schema).parquet(path)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
