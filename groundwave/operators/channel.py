@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import warnings
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import trace, track
+from . import spectral, trace, track
 
 
 def sample_stats(traces: DataFrame, by: list[str], amp: str = "amp") -> DataFrame:
@@ -29,24 +34,67 @@ def remove_median_background(traces: DataFrame, by: list[str], amp: str = "amp")
     return traces.join(stats, by).withColumn(amp, F.zip_with(amp, "_median", lambda a, m: a - m)).drop("_median")
 
 
-def remove_moving_median(traces: DataFrame, by: str, order: str, n: int, amp: str = "amp") -> DataFrame:
-    """Minus the median of the n traces around (n odd), fewer at the ends."""
-    h = n // 2
-    around = F.collect_list(amp).over(track.along(by, order).rowsBetween(-h, h))
+def _around(block: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:
+    """First row of the rows within half of each row, and the row behind the last."""
+    i = np.arange(len(block))
+    return np.maximum(i - half, 0), np.minimum(i + half + 1, len(block))
+
+
+def moving_mean_kernel(half: int):
+    """Minus the mean of the rows within half, of those that are there: running sums, so the time does not depend on half."""
+
+    def kernel(block: np.ndarray) -> np.ndarray:
+        first, last = _around(block, half)
+        known = ~np.isnan(block)
+        zero = np.zeros((1, block.shape[1]))
+        total = np.concatenate((zero, np.where(known, block, 0).cumsum(0)))
+        count = np.concatenate((zero, known.cumsum(0)))
+        n = count[last] - count[first]
+        return block - np.divide(total[last] - total[first], n, out=np.full(block.shape, np.nan), where=n > 0)
+
+    return kernel
+
+
+def moving_median_kernel(half: int):
+    """Minus the median of the rows within half, of those that are there."""
 
-    def less(a, k):
-        v = F.array_sort(F.filter(F.transform("_around", lambda t: F.get(t, k)), lambda x: x.isNotNull()))
-        m = F.size(v)
-        return a - (F.get(v, F.floor((m - 1) / 2).cast("int")) + F.get(v, F.floor(m / 2).cast("int"))) / 2
+    def kernel(block: np.ndarray) -> np.ndarray:
+        out = np.empty_like(block)
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore", RuntimeWarning)  # rows of missing samples only
+            for i, (a, b) in enumerate(zip(*_around(block, half), strict=True)):
+                out[i] = block[i] - np.nanmedian(block[a:b], axis=0)
+        return out
 
-    return traces.withColumn("_around", around).withColumn(amp, F.transform(amp, less)).drop("_around")
+    return kernel
+
+
+def apply_blocks(traces: DataFrame, by: str | list[str], order: str, half: int, kernel, amp: str = "amp", rows: int = 1024) -> DataFrame:
+    """kernel on blocks of a channel's traces in order, each with `half` more on both sides, so that no task holds a channel. Missing
+    traces are NaN for the kernel and stay missing."""
+    keys = [by] if isinstance(by, str) else by
+    n = F.row_number().over(track.along(by, order)) - 1
+    placed = traces.withColumn(amp, F.col(amp).cast("array<double>")).withColumn("_n", n)
+    first, last = F.floor(F.greatest(F.col("_n") - half, F.lit(0)) / rows), F.floor((F.col("_n") + half) / rows)
+    placed = placed.withColumn("_block", F.explode(F.sequence(first, last)))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_n").combine_chunks()
+        own = pc.equal(pc.floor(pc.divide(pc.cast(table["_n"], pa.float64()), float(rows))), pc.cast(table["_block"], pa.float64()))
+        out = spectral.filled(table, amp, kernel)
+        return out.filter(own).drop_columns(["_n", "_block"])
+
+    return placed.groupBy(*keys, "_block").applyInArrow(run, placed.drop("_n", "_block").schema)
+
+
+def remove_moving_median(traces: DataFrame, by: str | list[str], order: str, n: int, amp: str = "amp") -> DataFrame:
+    """Minus the median of the n traces around (n odd), fewer at the ends."""
+    return apply_blocks(traces, by, order, n // 2, moving_median_kernel(n // 2), amp)
 
 
-def remove_moving_background(traces: DataFrame, by: str, order: str, n: int, amp: str = "amp") -> DataFrame:
+def remove_moving_background(traces: DataFrame, by: str | list[str], order: str, n: int, amp: str = "amp") -> DataFrame:
     """Minus the mean of the n traces around (n odd), fewer at the ends."""
-    h = n // 2
-    around = F.collect_list(amp).over(track.along(by, order).rowsBetween(-h, h))
-    return traces.withColumn("_mean", trace.stack(around)).withColumn(amp, F.zip_with(amp, "_mean", lambda a, m: a - m)).drop("_mean")
+    return apply_blocks(traces, by, order, n // 2, moving_mean_kernel(n // 2), amp)
 
 
 def replace_bad(traces: DataFrame, by: str, order: str, low: float, high: float, amp: str = "amp") -> DataFrame:

@@ -41,22 +41,25 @@ def apply(traces: DataFrame, kernel: Kernel, amp: str = "amp") -> DataFrame:
     return traces.mapInArrow(run, traces.schema)
 
 
+def filled(table: pa.Table, amp: str, kernel: Kernel) -> pa.Table:
+    """table with kernel on its traces in their order; a missing trace is NaN for the kernel and stays missing."""
+    column = table[amp].combine_chunks() if table[amp].num_chunks != 1 else table[amp].chunk(0)
+    known = column.is_valid().to_numpy(zero_copy_only=False)
+    if not known.any():
+        return table
+    block = _block(column.filter(pa.array(known)))
+    every = np.full((len(known), block.shape[1]), np.nan)
+    every[known] = block
+    places = pa.array(np.where(known, np.arange(len(known)), 0), mask=~known)
+    return table.set_column(table.schema.get_field_index(amp), amp, _lists(kernel(every)).take(places))
+
+
 def apply_groups(traces: DataFrame, by: str | list[str], order: str, kernel: Kernel, amp: str = "amp") -> DataFrame:
     """kernel on all traces of a group in order; a missing trace is NaN for the kernel and stays missing; other columns stay as they are."""
     rows = traces.withColumn(amp, F.col(amp).cast("array<double>"))
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by(order).combine_chunks()
-        column = table[amp].combine_chunks() if table[amp].num_chunks != 1 else table[amp].chunk(0)
-        known = column.is_valid().to_numpy(zero_copy_only=False)
-        if not known.any():
-            return table
-        block = _block(column.filter(pa.array(known)))
-        every = np.full((len(known), block.shape[1]), np.nan)
-        every[known] = block
-        out = _lists(kernel(every))
-        places = pa.array(np.where(known, np.arange(len(known)), 0), mask=~known)
-        return table.set_column(table.schema.get_field_index(amp), amp, out.take(places))
+        return filled(table.sort_by(order).combine_chunks(), amp, kernel)
 
     return rows.groupBy(*([by] if isinstance(by, str) else by)).applyInArrow(run, rows.schema)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import grid, kernels, placing, position, track
+from ..operators import channel, grid, kernels, placing, position, track
 from . import recipe
 from .catalogue import _MEDIAN, _PART, _STATIONS, CELLS, DT, NS, SUMS, E, T, _grid, cells, query, stations, sums, table, traces, tracks
 
@@ -212,3 +212,15 @@ SELECT k, CASE WHEN h < 24 AND m < 60 AND s < 61 THEN h * 3600 + m * 60 + s END:
 def gga_times(spark, d):
     k = F.col("c_custkey")
     return table(spark, d, "customer").select(k.alias("k"), geo.gga_seconds((k * 7919 % 260000 + 0.25).cast("string")).alias("s"))
+
+
+@query(T + """, m AS (SELECT channel, k, median(amp[k]) AS m FROM traces, range(1, 65) r(k) GROUP BY ALL)
+SELECT vec_id, count(*) AS n, round(sum(amp[k] - m), 6) AS s, round(sum((amp[k] - m) * k), 6) AS w FROM traces JOIN m USING (channel) GROUP BY vec_id""")
+def background_median_all(spark, d):
+    return channel.remove_median_background(traces(spark, d), ["channel"]).select("vec_id", *sums())
+
+
+@query(T + """, m AS (SELECT vec_id, k, amp[k] - median(amp[k]) OVER (PARTITION BY channel, k ORDER BY trace ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS v FROM traces, range(1, 65) r(k))
+SELECT vec_id, count(*) AS n, round(sum(v), 6) AS s, round(sum(v * k), 6) AS w FROM m GROUP BY vec_id""")
+def background_median_moving(spark, d):
+    return channel.remove_moving_median(traces(spark, d), "channel", "trace", 5).select("vec_id", *sums())

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .heads import joined
+
 SCHEMA = "path string, channel int, trace int, dt double, ns int, amp array<float>"
 
 
@@ -101,7 +103,7 @@ def _with_header(spark: SparkSession, folder: str, heads: str, data: str, kind:
     text = F.decode("content", "utf-8")
     field = lambda key: F.regexp_extract(text, rf"(?m)^\s*{key}:\s*([0-9.]+)", 1).try_cast("double")
     head = _files(spark, folder, heads).select(stem, field("SAMPLES").cast("int").alias("ns"), field("TIMEWINDOW").alias("window"))
-    rows = _files(spark, folder, data).select("path", stem, "content").join(head, "stem")
+    rows = joined(_files(spark, folder, data).select("path", stem, "content"), head, "stem")
     channel = F.coalesce(F.regexp_extract("stem", r"_A?(\d+)$", 1).try_cast("int"), F.lit(1))
 
     def decode(number, ns, window, raw):

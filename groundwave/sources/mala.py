@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import placing
 from . import logs
+from .heads import joined
 
 SCHEMA = "profile string, channel int, trace int, dt double, ns int, amp array<float>"
 
@@ -37,7 +38,7 @@ def read(spark: SparkSession, folder: str, batch: int = 4096) -> DataFrame:
                         names=["profile", "channel", "trace", "dt", "ns", "amp"],
                     )
 
-    return data.join(head, "profile").select("profile", "ns", "window", "channels", "content").mapInArrow(decode, SCHEMA)
+    return joined(data, head, "profile").select("profile", "ns", "window", "channels", "content").mapInArrow(decode, SCHEMA)
 
 
 def read_offsets(spark: SparkSession, folder: str, mirrored: bool = False, more_along: float = 0.0) -> DataFrame:

@@ -204,3 +204,21 @@ def test_headers_that_do_not_fit_are_refused():
         segy.encode(np.zeros((1, 40_000)), np.zeros(1), np.zeros(1), 0.5)
     many = segy.encode(np.zeros((40_000, 2)), np.zeros(40_000), np.zeros(40_000), 0.5)
     assert many[3212:3214] == b"\0\0" and many[3220:3222] == b"\0\2"
+
+
+def test_moving_backgrounds_by_brute_force(spark):
+    rng = np.random.default_rng(3)
+    rows, block = [], {}
+    for c in (1, 2):
+        block[c] = rng.normal(size=(50, 4))
+        block[c][7, 2] = np.nan
+        for i in range(50):
+            rows.append((c, i, None if i in (20, 21) else [None if np.isnan(v) else float(v) for v in block[c][i]]))
+        block[c][20:22] = np.nan
+    df = spark.createDataFrame(rows, "channel int, trace int, amp array<double>")
+    for kernel, middle in ((channel.moving_mean_kernel(3), np.nanmean), (channel.moving_median_kernel(3), np.nanmedian)):
+        out = {(r["channel"], r["trace"]): r["amp"] for r in channel.apply_blocks(df, "channel", "trace", 3, kernel, rows=8).collect()}
+        assert len(out) == 100
+        for (c, i), got in out.items():
+            want = block[c][i] - middle(block[c][max(0, i - 3) : i + 4], axis=0)
+            assert got is None if i in (20, 21) else [np.nan if v is None else v for v in got] == pytest.approx(list(want), nan_ok=True), (c, i)
