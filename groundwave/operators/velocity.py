@@ -104,3 +104,56 @@ def cluster_picks(picked: DataFrame, panel: DataFrame, gather: str, eps: float,
     inside = panel.select(F.col(gather).alias("_g"), "k", "v", "s").join(box, "_g").where("k between k0 and k1 and v between v0 and v1")
     best = inside.groupBy("_g", "cluster", "n").agg(F.max_by(F.struct("k", "v", "s"), F.struct("s", -F.col("k"), -F.col("v"))).alias("p"))
     return best.select(F.col("_g").alias(gather), "cluster", "n", "p.k", "p.v", "p.s")
+
+
+def column_clusters(box: np.ndarray, least: int) -> list[np.ndarray]:
+    """Clusters (column, sample) of a box (samples x columns): samples of at least half the box's largest value, in runs of `least` or more along a
+    column. A run goes on with the clusters of the column before that it shares `least` samples with and that no earlier run of its
+    column has taken."""
+    high = np.abs(box) >= 0.5 * box.max()
+    done, last = [], []
+    for i in range(box.shape[1]):
+        edge = np.flatnonzero(np.diff(np.concatenate(([0], high[:, i].astype(int), [0]))))
+        now = []
+        for a, b in zip(edge[::2], edge[1::2], strict=True):
+            if b - a >= least:
+                parts = [np.column_stack((np.full(b - a, i), np.arange(a, b)))]
+                for old in last:
+                    if old["points"] is not None and min(b, old["to"]) - max(a, old["from"]) >= least:
+                        parts.insert(0, old["points"])
+                        old["points"] = None
+                now.append({"from": a, "to": b, "points": np.concatenate(parts)})
+        done += [old["points"] for old in last if old["points"] is not None]
+        last = now
+    return done + [old["points"] for old in last if old["points"] is not None]
+
+
+def cluster_points(picks: DataFrame, traces: DataFrame, by: str, dt: float, half: float, before: float, behind: float, least: int = 3, amp: str = "amp") -> DataFrame:
+    """(pick, x, t) of the longest cluster (see column_clusters; the first of equals) around every pick (pick, by, x, t): a point for each of its columns,
+    at the mean of the column's samples. A box is the traces (by, x) within half of the pick and the samples from before to behind it, and one task's."""
+    first, count = F.ceil((F.col("_t") - before) / dt - 1e-9).cast("int"), int((before + behind) / dt + 1e-9) + 1
+    boxed = traces.select(by, "x", amp).join(picks.select("pick", by, F.col("x").alias("_x"), F.col("t").alias("_t")), by).where(F.abs(F.col("x") - F.col("_x")) <= half)
+    start = F.greatest(first, F.lit(0))
+    boxed = boxed.select("pick", "x", start.alias("start"), F.slice(F.col(amp).cast("array<double>"), start + 1, first - start + count).alias("a"))
+
+    def points(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("x", ignore_index=True)
+        box = np.array(rows["a"].tolist(), float).T
+        found = column_clusters(box, least) if box.size else []
+        best = max(found, key=lambda c: len(np.unique(c[:, 0])), default=np.zeros((0, 2), int))
+        columns = np.unique(best[:, 0])
+        middle = [np.floor(best[best[:, 0] == c, 1].mean() + 0.5) for c in columns]
+        return pd.DataFrame({"pick": rows["pick"].iloc[:1].repeat(len(columns)).to_numpy(), "x": rows["x"].to_numpy()[columns], "t": (rows["start"].iloc[0] + np.array(middle)) * dt})
+
+    kind = boxed.schema["pick"].dataType.simpleString()
+    return boxed.groupBy("pick").applyInPandas(points, f"pick {kind}, x double, t double")
+
+
+def picked_velocities(points: DataFrame) -> DataFrame:
+    """(pick, x0, t0, v, n): with each of its points (pick, x, t) as apex x0 a line (t/2)^2 = (t0/2)^2 + (x - x0)^2 / v^2 is fitted, and the one that is nearest to the points
+    wins, the smallest x0 of equals; only lines with a positive slope and intercept."""
+    rows = points.join(points.select("pick", F.col("x").alias("x0")), "pick")
+    q, y = (F.col("x") - F.col("x0")) * (F.col("x") - F.col("x0")), F.col("t") * F.col("t") / 4
+    fit = rows.groupBy("pick", "x0").agg(F.regr_slope(y, q).alias("m"), F.regr_intercept(y, q).alias("c"), F.round(F.regr_r2(y, q), 9).alias("r2"), F.count("*").alias("n")).where("m > 0 and c > 0")
+    best = fit.groupBy("pick").agg(F.max_by(F.struct("x0", "m", "c", "n"), F.struct("r2", -F.col("x0"))).alias("f"))
+    return best.select("pick", "f.x0", (2 * F.sqrt("f.c")).alias("t0"), (1 / F.sqrt("f.m")).alias("v"), "f.n")

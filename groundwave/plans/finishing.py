@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import channel, grid, kernels, placing, position, track
+from ..operators import channel, grid, kernels, placing, position, track, velocity
 from . import recipe
 from .catalogue import _MEDIAN, _PART, _STATIONS, CELLS, DT, NS, SUMS, E, T, _grid, cells, query, stations, sums, table, traces, tracks
 
@@ -224,3 +224,14 @@ def background_median_all(spark, d):
 SELECT vec_id, count(*) AS n, round(sum(v), 6) AS s, round(sum(v * k), 6) AS w FROM m GROUP BY vec_id""")
 def background_median_moving(spark, d):
     return channel.remove_moving_median(traces(spark, d), "channel", "trace", 5).select("vec_id", *sums())
+
+
+@query()
+def c3_velocity(spark, d):
+    """A pick on every tenth trace of a channel, at its largest sample between 5 and 25 ns; traces lie 0.02 m apart. Clustering is not SQL: a test holds it."""
+    rows = traces(spark, d).withColumn("x", F.col("trace") * 0.02)
+    inside = F.slice(F.transform("amp", F.abs), 11, 40)
+    at = F.array_position(inside, F.array_max(inside)) + 9
+    picks = rows.where("trace % 10 = 5").select(F.col("vec_id").alias("pick"), "channel", "x", (at * DT).cast("double").alias("t"))
+    points = velocity.cluster_points(picks, rows, "channel", DT, 0.2, 1.0, 10.0, least=2)
+    return velocity.picked_velocities(points).select("pick", *[F.round(c, 6).alias(c) for c in ("x0", "t0", "v")], "n")

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from groundwave.operators import channel, grid, kernels, spectral, trace, track
+from groundwave.operators import channel, grid, kernels, spectral, trace, track, velocity
 from groundwave.plans import recipe
 from groundwave.sources import segy
 
@@ -222,3 +222,27 @@ def test_moving_backgrounds_by_brute_force(spark):
         for (c, i), got in out.items():
             want = block[c][i] - middle(block[c][max(0, i - 3) : i + 4], axis=0)
             assert got is None if i in (20, 21) else [np.nan if v is None else v for v in got] == pytest.approx(list(want), nan_ok=True), (c, i)
+
+
+def test_columns_make_clusters():
+    box = np.zeros((12, 6))
+    box[2:6, 0] = box[3:7, 1] = box[3:8, 2] = 1.0  # one cluster of three columns
+    box[8:11, 1] = 0.9  # a run of its own
+    box[6:9, 3] = 1.0  # meets the third column in two samples only
+    box[0:4, 5] = -1.0  # far off
+    found = sorted((sorted(set(c[:, 0].tolist())), len(c)) for c in velocity.column_clusters(box, 3))
+    assert found == [([0, 1, 2], 13), ([1], 3), ([3], 3), ([5], 4)]
+
+
+def test_velocity_of_a_hyperbola(spark):
+    rows, picks = [], []
+    for g, (x0, t0, v) in enumerate([(1.0, 10.0, 0.1), (1.2, 14.0, 0.08)]):
+        for i in range(100):
+            t = 2 * np.sqrt((t0 / 2) ** 2 + ((i * 0.02 - x0) / v) ** 2)
+            rows.append((g, i * 0.02, np.exp(-((np.arange(600) * 0.1 - t) ** 2) / 0.1).tolist()))
+        picks.append((g, g, x0 + 0.05, t0 + 0.3))
+    df = spark.createDataFrame(rows, "channel int, x double, amp array<double>")
+    points = velocity.cluster_points(spark.createDataFrame(picks, "pick int, channel int, x double, t double"), df, "channel", 0.1, 0.4, 1.0, 11.0)
+    got = {r["pick"]: (r["x0"], r["t0"], r["v"]) for r in velocity.picked_velocities(points).collect()}
+    assert got[0] == (pytest.approx(1.0, abs=0.03), pytest.approx(10, abs=0.1), pytest.approx(0.1, abs=0.004))
+    assert got[1] == (pytest.approx(1.2, abs=0.03), pytest.approx(14, abs=0.1), pytest.approx(0.08, abs=0.004))
