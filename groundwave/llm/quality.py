@@ -123,9 +123,9 @@ def query(spark, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents),
 w AS (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d),
+x AS (SELECT r, list_transform(range(1, greatest(len(ws) - 6, 1)), lambda i: array_to_string(ws[i : i + 7], ' ')) AS grams FROM w),
 g AS (
-  SELECT r, i, count(*) OVER (PARTITION BY r, array_to_string(ws[i : i + 7], ' ')) AS n
-  FROM w, range(1, 200000) t(i) WHERE i <= len(ws) - 7
+  SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS n FROM (SELECT r, unnest(grams) AS gram, unnest(range(1, len(grams) + 1)) AS i FROM x)
 ), c AS (
   SELECT r, count(DISTINCT i + j) AS n_repeat_words FROM g, range(0, 8) t(j) WHERE n > 1 GROUP BY r
 ), l AS (
