@@ -157,7 +157,9 @@ def joined_axes(spark, d):
     return rows.where("vec_id % 2 = 0").unionByName(fine).withColumn("amp", trace.padded(F.col("amp"), 70)).select("vec_id", *sums())
 
 
-@query(T + f""", v AS (SELECT a.channel AS bin, a.trace, false AS real, list_transform(range(1, 65), lambda k: (a.amp[k] + b.amp[k]) / 2) AS amp FROM traces a JOIN traces b ON b.trace = a.trace AND b.channel = a.channel + 1),
+@query(T + f""", c AS (SELECT unnest(range(min(channel), max(channel))) AS bin FROM traces), l AS (SELECT trace, list(channel ORDER BY channel) AS c, list(amp ORDER BY channel) AS d FROM traces GROUP BY trace HAVING count(*) > 1),
+p AS (SELECT trace, bin, c.c, c.d, greatest(1, least(len(list_filter(c.c, lambda x: x <= bin + 0.5)), len(c.c) - 1)) AS i FROM l c, c b),
+v AS (SELECT bin, trace, false AS real, list_transform(range(1, 65), lambda k: d[i][k] + (d[i + 1][k] - d[i][k]) * (bin + 0.5::DOUBLE - c[i]) / (c[i + 1] - c[i])) AS amp FROM p),
 u AS (SELECT * FROM v UNION ALL SELECT channel, trace, true, amp FROM traces WHERE trace % 3 > 0), x AS (SELECT bin, trace, real, amp AS a FROM (SELECT *, row_number() OVER (PARTITION BY bin, trace ORDER BY real DESC) AS n FROM u) WHERE n = 1) SELECT bin, trace, real, {SUMS} FROM x""")
 def real_over_virtual(spark, d):
     t = traces(spark, d)
