@@ -42,7 +42,7 @@ def digest(data: bytes) -> str:
 
 def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
     """One record as a gzip member. A revisit's block ends after the HTTP header."""
-    name = "none" if page_id is None else str(page_id)
+    name, other = ("none" if i is None else str(i) for i in (page_id, refers_to))
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
     lines = [
@@ -51,7 +51,7 @@ def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None,
         "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{digest(payload)}", f"WARC-Block-Digest: sha1:{digest(block)}",
     ]
     if revisit:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{other}>"]
     head = "\r\n".join([*lines, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n"
     packer = zlib.compressobj(2, zlib.DEFLATED, 31)
     return packer.compress(head) + packer.compress(block) + packer.compress(b"\r\n\r\n") + packer.flush()
