@@ -108,15 +108,18 @@ def tokenize(texts: pa.Array, encoder: WordEncoder) -> tuple[np.ndarray, np.ndar
     coded = flat.filter(pa.array(full)).dictionary_encode()
     codes, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(coded.dictionary)
     # a text that has to be encoded whole stands as one word of its own
-    odd = pc.match_substring(texts, "<|" if encoder.by_word else "").to_numpy(zero_copy_only=False)
-    wholes, by_word = np.flatnonzero(odd), ~odd[owner]
-    used = np.unique(codes[by_word])
+    wholes = np.flatnonzero(pc.match_substring(texts, "<|" if encoder.by_word else "").to_numpy(zero_copy_only=False))
+    parts, part_owner, used = codes, owner, np.arange(words)
+    if len(wholes):
+        by_word = ~np.isin(owner, wholes)
+        parts, part_owner = codes[by_word], owner[by_word]
+        used = np.flatnonzero(np.bincount(parts, minlength=words))
+        at = np.searchsorted(part_owner, wholes)
+        parts, part_owner = np.insert(parts, at, words + np.arange(len(wholes))), np.insert(part_owner, at, wholes)
     ids_of: list[list[int]] = [[]] * words
     for code, ids in zip(used.tolist(), encoder.words(coded.dictionary.take(pa.array(used)).to_pylist()), strict=True):
         ids_of[code] = ids
     ids_of += [encoder.whole(texts[int(i)].as_py()) for i in wholes] + [[END_ID]]
-    at = np.searchsorted(owner[by_word], wholes)
-    parts, part_owner = np.insert(codes[by_word], at, words + np.arange(len(wholes))), np.insert(owner[by_word], at, wholes)
     part_offsets = np.searchsorted(part_owner, np.arange(n + 1))
     sizes = np.fromiter(map(len, ids_of), np.int64, len(ids_of))
     table = np.fromiter((x for ids in ids_of for x in ids), np.uint32, int(sizes.sum()))
