@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, langid, media, mixing, packing, pii, quality, shards, simhash, warc
+from . import chat, langid, media, mixing, packing, pii, quality, repair, shards, simhash, trie, warc
 
 
 def _pipeline(spark, sf_dir):
@@ -22,7 +22,9 @@ QUERIES = {
     "op8_shards": shards.query,
     "op9_media": media.query,
     "op10_chat": chat.query,
+    "op11_trie": trie.query,
+    "op12_repair": repair.query,
     "pipeline": _pipeline,
 }
 
-ORACLES = {"op2_warc": warc.ORACLE, "op7_quality": quality.ORACLE, "op8_shards": shards.ORACLE, "op10_chat": chat.ORACLE}
+ORACLES = {"op2_warc": warc.ORACLE, "op7_quality": quality.ORACLE, "op8_shards": shards.ORACLE, "op10_chat": chat.ORACLE, "op11_trie": trie.ORACLE, "op12_repair": repair.ORACLE}
