@@ -42,6 +42,18 @@ def materialize(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_buckets(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Like materialize(), dealt to buckets by key: joins on key shuffle only their other side, however often they are made."""
+    spark = df.sparkSession
+    table = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{table}"
+    if _scopes:
+        _scopes[-1].append(path)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("path", path).option("compression", "zstd").bucketBy(n, key).saveAsTable(table)
+    return spark.table(table)
+
+
 @contextmanager
 def scratch() -> Iterator[None]:
     """Tables that materialize() writes inside are deleted at the end, so what is to last must be written by then."""

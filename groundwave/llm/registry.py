@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, langid, media, mixing, packing, pii, quality, repair, shards, simhash, trie, warc
+from . import chat, langid, media, mixing, packing, pii, quality, repair, repeats, shards, simhash, trie, warc
 
 
 def _pipeline(spark, sf_dir):
@@ -24,6 +24,7 @@ QUERIES = {
     "op10_chat": chat.query,
     "op11_trie": trie.query,
     "op12_repair": repair.query,
+    "op13_repeats": repeats.query,
     "pipeline": _pipeline,
 }
 
