@@ -76,6 +76,22 @@ def parse(formatted: Column) -> Column:
     return F.flatten(F.transform(blocks, lambda b: F.transform(F.split(body(b), r"<\|im_sep\|>", -1), lambda t: F.struct(role(b).alias("role"), unescape(t).alias("text")))))
 
 
+def masked_texts(formatted: Column, spans: Column) -> Column:
+    """The texts of spans, in order. Spans go in groups of about the root of their number: a place in a string is found by
+    counting from its start, so a group's part of the string is taken first and its spans are looked for in that."""
+    n = F.size(spans)
+    step = F.greatest(F.ceil(F.sqrt(n)).cast("int"), F.lit(1))
+
+    def group(at: Column) -> Column:
+        mine = F.slice(spans, at + 1, step)
+        base, last = F.get(mine, F.lit(0))["start"], F.element_at(mine, -1)
+        return F.struct(base.alias("base"), F.substring(formatted, base + 1, last["start"] + last["length"] - base).alias("part"), mine.alias("spans"))
+
+    texts = lambda g: F.transform(g["spans"], lambda s: F.substring(g["part"], s["start"] - g["base"] + 1, s["length"]))
+    groups = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), step), group)).otherwise(F.array())
+    return F.flatten(F.transform(groups, texts))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     from .common import read
 
@@ -83,7 +99,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     out = format_conversations(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra))
     out = out.withColumn("turns", parse(F.col("formatted")))
-    learnt = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["length"]))), "")
+    learnt = F.array_join(F.transform(masked_texts(F.col("formatted"), F.col("loss_spans")), unescape), "")
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     out = out.withColumn("learnt", learnt)
     return out.select(

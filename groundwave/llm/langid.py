@@ -10,13 +10,14 @@ the share that makes about max_train_rows: the one bound here, a parameter of fi
 Defined results: a null text or one without a letter is `und` with score 0; without a labelled row
 all are `und`; a null id is not held out and not learnt from; ties go to the language first by code
 point; repeated rows get equal results; an empty table gives an empty table; whole texts are scored,
-in slices of bounded memory. Only the named columns are read, so others can't clash.
+their n-grams in slices. Only the named columns are read, so others can't clash.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,10 +51,11 @@ def _texts(batch: pa.RecordBatch, i: int) -> list[str | None]:
 
 
 def _slices(text: str):
-    """Lower-case code points in slices that overlap so that every n-gram lies in one of them."""
-    for at in range(0, max(1, len(text)), _SLICE):
-        part = text[at : at + _SLICE + ORDERS[-1] - 1].lower()
-        yield np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32), at + _SLICE < len(text)
+    """Lower-case code points in slices that overlap so that every n-gram lies in one of them. The whole text is lower-cased
+    before it is cut, as lower case may be longer."""
+    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    for at in range(0, max(1, len(codes)), _SLICE):
+        yield codes[at : at + _SLICE + ORDERS[-1] - 1], at + _SLICE < len(codes)
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_train_rows: int = 2_000_000, max_cells: int = 1 << 24, buckets: int = BUCKETS):
@@ -86,14 +88,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         raise ValueError(f"more than {max_cells // buckets} languages: raise max_cells or lower buckets")
     if not langs:
         return [], np.zeros((buckets, 0), np.float32), np.zeros(0)
-    table = counts.toArrow()
-    code = {k: i for i, k in enumerate(langs)}
     matrix, docs_of = np.zeros((buckets, len(langs))), np.ones(len(langs))
-    for lang, bucket, n in zip(table["lang"].to_pylist(), table["bucket"].to_pylist(), table["n"].to_pylist(), strict=True):
-        if bucket < 0:
-            docs_of[code[lang]] = n
-        else:
-            matrix[bucket, code[lang]] = n
+    for batch in counts.toArrow().to_batches():
+        code = pc.index_in(batch.column("lang"), pa.array(langs)).to_numpy(zero_copy_only=False)
+        bucket, n = batch.column("bucket").to_numpy(), batch.column("n").to_numpy()
+        of_docs = bucket < 0
+        docs_of[code[of_docs]] = n[of_docs]
+        matrix[bucket[~of_docs], code[~of_docs]] = n[~of_docs]
     logp = np.log((matrix + 0.5) / (matrix.sum(0) + 0.5 * buckets))
     return langs, logp.astype(np.float32), np.log(docs_of / docs_of.sum())
 

@@ -8,8 +8,9 @@ grey image of 64 columns with 8-bit samples (binary PGM), one sample for each pa
 Defined results: a null text is an empty one; an empty payload has one row of zeros; a null page has
 an empty sequence; a reference that no payload answers keeps its position with null features; equal
 payloads may be stored more than once and resolve to one row; an empty table gives an empty table. A
-caption stands before or behind the media of its figure, with texts between; no text of a page is lost
-where tags for its end, head or body are missing.
+caption stands before or behind the media of its figure, with texts between, or before a figure inside of it; an
+audio or video without an address takes its first source's; no text of a page is lost where tags for its end,
+head or body are missing, or where a script, style, title or template is never closed.
 Only the named columns are read, so others can't clash.
 """
 
@@ -33,7 +34,10 @@ _MEDIA = {"img", "audio", "video"}
 _SKIP = {"script", "style", "title", "template"}
 #: What may stand in a head; anything else ends it.
 _HEAD = {"meta", "link", "base", "noscript"} | _SKIP
-_BREAKS = {"p", "div", "li", "br", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "td", "th", "section", "article", "figure", "ul", "ol", "table", "nav", "header", "footer", "blockquote"}
+_BREAKS = {
+    "address", "article", "aside", "blockquote", "br", "caption", "dd", "details", "div", "dl", "dt", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr",
+    "legend", "li", "main", "nav", "ol", "optgroup", "option", "p", "pre", "section", "select", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
+}
 
 
 def _spaced(parts: list[str]) -> str:
@@ -49,11 +53,17 @@ class _Figure:
 
 class _Reader(HTMLParser):
     """Collects items. A figure's caption goes to all media of the figure, before or behind it; one without media is a text.
-    A figcaption that nothing closes ends with its first paragraph, or with its figure; one outside of figures is text."""
+    A figcaption that nothing closes ends with its first paragraph, or with its figure; one outside of figures is text.
+    `unclosed` has the places of elements to skip that turned out not to be closed: they are read like any other."""
 
-    def __init__(self):
+    def __init__(self, unclosed: frozenset = frozenset()):
         super().__init__(convert_charrefs=True)
-        self.items, self.text, self.skip, self.head, self.figures = [], [], [], False, []
+        self.items, self.text, self.head, self.figures, self.player = [], [], False, [], None
+        self.skip, self.unclosed = [], unclosed  # open elements to skip, with their places
+
+    def set_cdata_mode(self, *args, **options):
+        if not self.unclosed:  # else a script's tags are seen, as the page goes on behind one that isn't closed
+            super().set_cdata_mode(*args, **options)
 
     def add(self, kind: str, text=None, digest=None, caption=None) -> dict:
         self.items.append({"kind": kind, "text": text, "digest": digest, "caption": caption})
@@ -77,7 +87,9 @@ class _Reader(HTMLParser):
         said = figure.caption or []
         rest = said[1:] if figure.open and not closed else []
         caption = " ".join(said[: len(said) - len(rest)])
-        if caption and figure.media:
+        if not caption and self.figures:  # media without a caption take that of the figure around them
+            self.figures[-1].media += figure.media
+        elif caption and figure.media:
             for item in figure.media:
                 item["caption"] = caption
         elif caption:
@@ -91,20 +103,29 @@ class _Reader(HTMLParser):
         elif self.head and tag not in _HEAD:
             self.head = False
         if tag in _SKIP:
-            self.skip.append(tag)
+            if self.getpos() not in self.unclosed:
+                self.skip.append((tag, self.getpos()))
         elif tag == "body":
             self.skip = []
+        elif self.skip:
+            return
+        elif tag == "source":
+            if self.player and not self.player["digest"]:
+                self.player["digest"] = (dict(attrs).get("src") or "").removeprefix("sha256:") or None
         elif tag in _MEDIA:
             self.flush()
             given = dict(attrs)
             src = given.get("src") or ""
             item = self.add(tag, None, src.removeprefix("sha256:") or None, given.get("alt") or given.get("title") or None)
+            self.player = item if tag != "img" else self.player
             if self.figures:
                 self.figures[-1].media.append(item)
         elif tag == "figure":
             self.flush()
-            if self.figcaption():
+            if (outer := self.figcaption()) and outer.media:
                 self.end_figure(False)
+            elif outer:
+                outer.open = False  # its caption came first and waits for media
             self.figures.append(_Figure(len(self.items)))
         elif tag == "figcaption" and self.figures:
             self.flush()
@@ -118,8 +139,11 @@ class _Reader(HTMLParser):
     def handle_endtag(self, tag):
         if tag == "head":
             self.head = False
-        elif self.skip and tag == self.skip[-1]:
-            self.skip.pop()
+        elif self.skip:
+            while any(t == tag for t, _ in self.skip) and self.skip.pop()[0] != tag:
+                pass
+        elif tag in ("audio", "video"):
+            self.player = None
         elif tag == "figcaption":
             self.flush()
             if self.figcaption():
@@ -143,10 +167,16 @@ class _Reader(HTMLParser):
 
 
 def parse_page(html: str | None) -> list[dict]:
-    """The page's texts and references, in order."""
-    reader = _Reader()
-    reader.feed(html or "")
-    reader.close()
+    """The page's texts and references, in order. If elements to skip are open at its end, it is read again without skipping those (a
+    script hides others from the first reading only, so three readings are the most)."""
+    unclosed: frozenset = frozenset()
+    while True:
+        reader = _Reader(unclosed)
+        reader.feed(html or "")
+        reader.close()
+        if not reader.skip:
+            break
+        unclosed |= {place for _, place in reader.skip}
     return [{"position": i} | x for i, x in enumerate(reader.items)]
 
 

@@ -8,15 +8,16 @@ A source takes all its documents q times, q being the whole part of target / siz
 once more. That part is chosen by length: documents are counted by exact length, and every length gives
 the same share of its count, rounded down. In a seeded order of the lengths, which knows nothing of how
 long they are, the fractions that rounding cut are summed, and a length at which they pass a whole number
-gives one document more, until the words that are missing fit the knapsack's room. A bounded-knapsack
-dynamic programme over the documents that are left, lengths again in the seeded order, fits these last
-words as closely as sums of lengths can. One rule holds at every size, and the memory of the programme is
-bounded by its room. Which documents of a length are taken is decided by a seeded hash of id and text, so
+gives one document more, until the words that are missing fit the knapsack's room. Where only documents
+are left that are longer than what is missing, the one of the nearest length is taken and what it has too much is dealt back in
+the same way, for a few rounds, of which the nearest end counts. A bounded-knapsack dynamic programme over the documents that are left (or
+taken, to give back), lengths again in the seeded order, fits the last words as closely as sums of lengths can. One rule
+holds at every size, and the memory of the programme is bounded by its room. Which documents of a length are taken is decided by a seeded hash of id and text, so
 reruns agree.
 
 Hot lengths: the documents of one source and length are dealt to buckets of about _RANK rows by hash;
 bucket counts decide all but one bucket, and only inside a bucket rows are ranked. Rows without an id are
-told apart by their stored number; equal rows of one id share a bucket.
+told apart by their stored number; a bucket that equal rows of one id have made large is split by that number too.
 
 Defined results: a null text has size 0 and is never taken; sources of size 0 have target 0; a null
 source is a source of its own, the last; equal rows are told apart by the order they are stored in;
@@ -39,6 +40,8 @@ REPEATS = 3
 _RANK = 256
 #: The knapsack's room: words that it fits at most.
 _ROOM = 1 << 16
+#: Rounds of taking and giving back long documents; each ends nearer to the budget or is not used.
+_ROUNDS = 8
 
 
 def word_count(text: Column) -> Column:
@@ -116,20 +119,28 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
         owed += even[i] - take[i]
         if owed >= 1 and rest > room and take[i] < counts[i] and lengths[i] <= rest - room // 2:
             take[i], rest, owed = take[i] + 1, rest - int(lengths[i]), owed - 1
-    for i in order:  # where fractions of short lengths could not make up for those of long ones
-        if rest > room and lengths[i] <= rest - room // 2:
-            n = min(int(counts[i] - take[i]), (rest - room // 2) // int(lengths[i]))
-            take[i], rest = take[i] + n, rest - n * int(lengths[i])
-    left = counts - take
-    if rest > 2 * _ROOM:  # then every length that is left is over three quarters of rest: none of them, the nearest one, or it in place of others
-        open_ = np.flatnonzero(left > 0)
-        one = np.zeros(len(lengths), np.int64)
-        one[open_[np.abs(lengths[open_] - rest).argmin()]] = 1
-        options = [take, take + one, one + fit_counts(lengths, counts - one, budget - int((one * lengths).sum()))]
-        return min(options, key=lambda t: abs(int((t * lengths).sum()) - budget))
-    more = np.zeros(len(lengths), np.int64)
-    more[order] = knapsack(lengths[order], left[order], rest) if rest else 0
-    return take + more
+    best, off, rounds = take, rest, 0
+    while abs(rest) > room and rounds < _ROUNDS:
+        take, rounds = take.copy(), rounds + 1
+        side, sign = (counts - take, 1) if rest > 0 else (take.copy(), -1)  # what may be taken yet, or given back
+        missing = abs(rest)
+        for i in order:  # where fractions of short lengths could not make up for those of long ones
+            if missing > room and lengths[i] <= missing - room // 2:
+                n = min(int(side[i]), (missing - room // 2) // int(lengths[i]))
+                take[i], side[i], missing = take[i] + sign * n, side[i] - n, missing - n * int(lengths[i])
+        rest = sign * missing
+        best, off = (take.copy(), rest) if abs(rest) < abs(off) else (best, off)
+        open_ = np.flatnonzero(side > 0)
+        if missing > room and len(open_):  # every length that is left is longer than what is missing, but for half the room
+            nearest = open_[np.abs(lengths[open_] - missing).argmin()]
+            take[nearest], rest = take[nearest] + sign, rest - sign * int(lengths[nearest])
+            best, off = (take.copy(), rest) if abs(rest) < abs(off) else (best, off)
+    take, rest = best, off
+    if rest and abs(rest) <= 2 * _ROOM:  # what is more can't be met: no document that is left comes nearer
+        more = np.zeros(len(lengths), np.int64)
+        more[order] = knapsack(lengths[order], (counts - take if rest > 0 else take)[order], abs(rest))
+        take += more if rest > 0 else -more
+    return take
 
 
 def plan(sized: DataFrame, repeats: int = REPEATS, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -168,11 +179,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     key = ["source", "size", "bucket"]
     # only lengths of which a part is taken need ranks
     part = rows.where((F.col("extra") > 0) & (F.col("extra") < F.col("n")))
+    large = materialize(part.groupBy(*key).agg(F.count("*").alias("rows")).where(F.col("rows") > 8 * _RANK).select(*[F.col(k).alias("_" + k) for k in key], F.ceil(F.col("rows") / _RANK).alias("splits")), "mix-large")
+    match = F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")) & (F.col("bucket") == F.col("_bucket"))
+    part = part.withColumn("split", F.lit(0).cast("long"))
+    if not large.isEmpty():  # only equal rows of one id make a bucket large
+        part = part.join(large.hint("merge"), match, "left").withColumn("split", F.coalesce(F.pmod(F.xxhash64("row"), "splits"), "split")).drop("_source", "_size", "_bucket", "splits")
+    key.append("split")
     held = part.groupBy(*key).agg(F.count("*").alias("held"), F.first("extra").alias("extra"))
-    until = W.partitionBy("source", "size").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    until = W.partitionBy("source", "size").orderBy("bucket", "split").rowsBetween(W.unboundedPreceding, -1)
     quota = F.greatest(F.lit(0), F.least(F.col("held"), F.col("extra") - F.coalesce(F.sum("held").over(until), F.lit(0))))
     quotas = materialize(held.withColumn("quota", quota).select(*[F.col(k).alias("_" + k) for k in key], "quota"), "mix-quotas")
-    match = F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")) & (F.col("bucket") == F.col("_bucket"))
+    match &= F.col("split") == F.col("_split")
     rank = F.row_number().over(W.partitionBy(*key).orderBy("hash", "id", "row"))
     ranked = part.join(quotas.hint("merge"), match).withColumn("more", (rank <= F.col("quota")).cast("long"))
     whole = rows.where((F.col("extra") <= 0) | (F.col("extra") >= F.col("n"))).withColumn("more", (F.col("extra") > 0).cast("long"))

@@ -31,6 +31,8 @@ from .common import unsliced
 
 WINDOW, END_ID = 4096, 2
 SHARD_BYTES = 8 << 20
+#: What a row adds to its shard besides its text, so that shards of short and empty ones are bounded too.
+ROW_BYTES = 512
 _K1, _B = 1.2, 0.75
 _CACHE = 200_000
 
@@ -214,30 +216,32 @@ def pack_shard(lengths: np.ndarray, index: Bm25, window: int = WINDOW) -> Iterat
 PIECES = "doc_id {id}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
+def shards(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[pa.Table]:
+    """Rows (id, text) in tables of about shard_bytes: the bytes of their texts and ROW_BYTES for each row."""
+    held, size = [], 0
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + ROW_BYTES
+        ends, at = size + np.cumsum(lengths), 0
+        while at < batch.num_rows:
+            to = int(np.searchsorted(ends, shard_bytes)) + 1
+            held.append(batch.slice(at, to - at))
+            if to > batch.num_rows:
+                size = int(ends[-1])
+                break
+            yield pa.Table.from_batches(held)
+            ends, held, at, size = ends - ends[to - 1], [], to, 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Pieces with their ids (little-endian unsigned 32 bit). tokenizer: the vocabulary file's path on every machine."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = PIECES.format(id=rows.schema["doc_id"].dataType.simpleString())
 
-    def shards(batches) -> Iterator[pa.Table]:
-        held, size = [], 0
-        for batch in batches:
-            lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            ends, at = size + np.cumsum(lengths), 0
-            while at < batch.num_rows:
-                to = int(np.searchsorted(ends, shard_bytes)) + 1
-                held.append(batch.slice(at, to - at))
-                if to > batch.num_rows:
-                    size = int(ends[-1])
-                    break
-                yield pa.Table.from_batches(held)
-                ends, held, at, size = ends - ends[to - 1], [], to, 0
-        if held:
-            yield pa.Table.from_batches(held)
-
     def run(batches):
         encoder, sequence = WordEncoder(tokenizer), TaskContext.get().partitionId() << 33
-        for shard in shards(batches):
+        for shard in shards(batches, shard_bytes):
             shard = shard.combine_chunks()
             ids, offsets, codes, words = tokenize(shard.column(1).combine_chunks() if shard.column(1).num_chunks != 1 else shard.column(1).chunk(0), encoder)
             lengths = np.diff(offsets)

@@ -196,8 +196,9 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
                             rows = []
                     yield _batch(rows)
 
-    # an archive is the unit of work; the list is dealt anew so that no task gets many of them
-    return archives.select("path").repartition(max(1, archives.count())).mapInArrow(read, RECORD)
+    # an archive is the unit of work; the list is dealt anew, evenly, to a few tasks for each core at most
+    tasks = min(archives.count(), 8 * archives.sparkSession.sparkContext.defaultParallelism)
+    return archives.select("path").repartition(max(1, tasks)).mapInArrow(read, RECORD)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
