@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import track
+from .spectral import _lists
 
 
 def distance_map(cells: DataFrame, radius: float) -> DataFrame:
@@ -28,7 +32,9 @@ def interpolation_mask(cells: DataFrame, radius: float) -> DataFrame:
     return distance_map(cells, radius).select("slice", "ix", "iy")
 
 
-def migrate(cells: DataFrame, dx: float, dt: float, speed: float, aperture: float, dz: float, nz: int, amp: str = "amp", height: str | None = None, image: DataFrame | None = None, ns: int | None = None) -> DataFrame:
+def migrate(
+    cells: DataFrame, dx: float, dt: float, speed: float, aperture: float, dz: float, nz: int, amp: str = "amp", height: str | None = None, image: DataFrame | None = None, ns: int | None = None, tile: int | None = None
+) -> DataFrame:
     """(ix, iy, amp): semicircle migration onto nz depths, from 0 on in steps of dz.
 
     A trace gives to an image cell its sample at round(2 r / v / dt), r being the way to it, if the angle from the vertical
@@ -39,7 +45,8 @@ def migrate(cells: DataFrame, dx: float, dt: float, speed: float, aperture: floa
     is a right angle less that between the way and the line to the surface above the image point, 0 straight below; ns, the
     samples of a trace, then bounds how far a trace reaches. A null height is the highest.
 
-    Traces reach only cells within the aperture, by offset arithmetic and an equi-join; sums of samples merge natively.
+    The image is dealt to tiles of `tile` x `tile` cells, each with the traces up to the reach around it: a trace is shuffled once for each
+    tile that it reaches, 9 times at most where a tile is as wide as the reach or wider, and a task holds the traces of one tile.
     """
     half = math.radians(aperture / 2)
     far = nz * dz * math.tan(half)
@@ -48,35 +55,84 @@ def migrate(cells: DataFrame, dx: float, dt: float, speed: float, aperture: floa
             raise ValueError("heights need ns, the number of samples")
         far = ns * dt * speed / 2
     reach = math.floor(far / dx)
-    moves = [(i, j, dx * math.hypot(i, j)) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1) if dx * math.hypot(i, j) <= far]
-    table = F.array(*[F.struct(F.lit(i).alias("di"), F.lit(j).alias("dj"), F.lit(d).alias("d")) for i, j, d in moves])
-    below = F.lit(0.0)
-    if height:
-        places = cells if image is None else image
-        tops = cells.select(height).unionByName(places.select(height)).agg(F.max(height)).first()[0]
-        below = F.coalesce(F.lit(float(tops or 0)) - F.col(height), F.lit(0.0))
-    image = (cells if image is None else image).select("ix", "iy", below.alias("_image"))
-    spread = cells.select("ix", "iy", amp, below.alias("_trace"), F.explode(table).alias("o"))
-    spread = spread.select((F.col("ix") + F.col("o.di")).alias("ix"), (F.col("iy") + F.col("o.dj")).alias("iy"), F.col("o.d").alias("d"), "_trace", amp)
-
-    def depth(k):
-        z = k * dz - F.col("_trace")
-        way = F.hypot(F.col("d"), z)
-        if height:
-            rise = F.col("_image") - F.col("_trace")
-            along = F.try_divide(F.col("d") * F.col("d") + z * rise, way * F.hypot(F.col("d"), rise))
-            angle = F.when(F.col("d") == 0, 0.0).otherwise(math.pi / 2 - F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), along))))
-        else:
-            angle = F.atan2(F.col("d"), z)
-        sample = F.get(amp, F.round(2 * way / speed / dt).cast("int"))
-        weight = 0.5 - 0.5 * F.cos(angle / half * math.pi)
-        inside = (angle < half) & sample.isNotNull() & (k >= F.round(F.col("_image") / dz))
-        return F.when(inside, F.struct((sample * weight).alias("v"), F.lit(1).alias("n")))
-
-    rows = spread.join(image, ["ix", "iy"]).select("ix", "iy", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(nz - 1)), depth)).alias("k", "x")).where("x is not null")
-    sums = rows.groupBy("ix", "iy", "k").agg((F.sum("x.v") / F.sum("x.n")).alias("v"))
-    hits = sums.groupBy("ix", "iy").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))
-    return hits.select("ix", "iy", F.transform(F.sequence(F.lit(0), F.lit(nz - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0))).alias(amp))
+    tile = tile or max(16, reach)
+    moves = [(i, j) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1) if dx * math.hypot(i, j) <= far]
+    places = cells if image is None else image
+    below = lambda df: (F.col(height).cast("double") if height else F.lit(0.0)).alias("h")
+    sources = cells.where(F.col(amp).isNotNull()).select(F.col("ix").cast("long").alias("ix"), F.col("iy").cast("long").alias("iy"), below(cells), F.col(amp).cast("array<double>").alias("a"))
+    targets = places.select(F.col("ix").cast("long").alias("ix"), F.col("iy").cast("long").alias("iy"), below(places), F.lit(None).cast("array<double>").alias("a")).dropDuplicates(["ix", "iy"])
+    at = lambda c, d: F.floor((F.col(c) + d) / tile)
+    around = lambda c: F.explode(F.sequence(at(c, -reach), at(c, reach)))
+    rows = sources.withColumn("tx", around("ix")).withColumn("ty", around("iy")).unionByName(targets.withColumns({"tx": at("ix", 0), "ty": at("iy", 0)}))
+    if height:  # depths count from the highest of all: one row
+        rows = rows.crossJoin(F.broadcast(cells.select(height).unionByName(places.select(height)).agg(F.max(height).cast("double").alias("top"))))
+        rows = rows.withColumn("h", F.coalesce(F.col("top") - F.col("h"), F.lit(0.0))).drop("top")
+    kernel = _tile_kernel(amp, moves, dx, dt, speed, half, dz, nz, tile, reach, bool(height))
+    out = rows.groupBy("tx", "ty").applyInArrow(kernel, f"ix long, iy long, {amp} array<double>")
+    x, y = places.schema["ix"].dataType, places.schema["iy"].dataType
+    return out.select(F.col("ix").cast(x).alias("ix"), F.col("iy").cast(y).alias("iy"), amp)
+
+
+def _tile_kernel(amp, moves, dx, dt, speed, half, dz, nz, tile, reach, relief):
+    """The image of one tile: for every move, all cells of the tile at once take the samples of the traces that lie so far away."""
+    rounded = lambda x: np.floor(x + 0.5).astype(np.int64)
+    z_axis = np.arange(nz) * dz
+
+    def run(table: pa.Table) -> pa.Table:
+        ix, iy, h = (table[c].to_numpy() for c in ("ix", "iy", "h"))
+        column = table["a"].combine_chunks()
+        source = column.is_valid().to_numpy(zero_copy_only=False)
+        here = ~source
+        if not here.any() or not source.any():
+            return pa.table({"ix": pa.array([], pa.int64()), "iy": pa.array([], pa.int64()), "v": pa.array([], pa.list_(pa.float64()))}).rename_columns(["ix", "iy", amp])
+        x0, y0 = int(np.floor(ix[here][0] / tile)) * tile, int(np.floor(iy[here][0] / tile)) * tile
+        lists = column.filter(pa.array(source))
+        lengths = pc.list_value_length(lists).to_numpy()
+        n = int(lengths.max())
+        samples = np.full((len(lists), n), np.nan)
+        samples[np.arange(n) < lengths[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+        sx, sy, sh = ix[source] - x0 + reach, iy[source] - y0 + reach, h[source]
+        # traces of one cell come in layers, so that a layer has one at most
+        order = np.lexsort((sy, sx))
+        same = np.concatenate([[False], (sx[order][1:] == sx[order][:-1]) & (sy[order][1:] == sy[order][:-1])])
+        starts = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
+        layer = np.empty(len(same), np.int64)
+        layer[order] = np.arange(len(same)) - starts
+        cx, cy, ch = ix[here] - x0, iy[here] - y0, h[here]
+        sums, counts = np.zeros((len(cx), nz)), np.zeros((len(cx), nz))
+        first = rounded(ch / dz)[:, None] <= np.arange(nz)
+        for i in range(int(layer.max()) + 1):
+            where = np.full((tile + 2 * reach, tile + 2 * reach), -1, np.int64)
+            where[sx[layer == i], sy[layer == i]] = np.flatnonzero(layer == i)
+            for di, dj in moves:
+                trace = where[cx - di + reach, cy - dj + reach]
+                hit = np.flatnonzero(trace >= 0)
+                if not len(hit):
+                    continue
+                trace, d = trace[hit], dx * math.hypot(di, dj)
+                z = z_axis[None, :] - sh[trace][:, None] if relief else z_axis[None, :]
+                way = np.hypot(d, z)
+                if relief and d:
+                    rise = (ch[hit] - sh[trace])[:, None]
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        angle = np.pi / 2 - np.arccos(np.clip((d * d + z * rise) / (way * np.hypot(d, rise)), -1, 1))
+                elif relief:
+                    angle = np.zeros(way.shape)
+                else:
+                    angle = np.arctan2(d, z)
+                at = rounded(2 * way / speed / dt)
+                with np.errstate(invalid="ignore"):
+                    ok = (angle < half) & (at < n) & first[hit]
+                got = samples[trace[:, None], np.broadcast_to(np.minimum(at, n - 1), (len(hit), nz))]
+                ok = ok & ~np.isnan(got)
+                weight = 0.5 - 0.5 * np.cos(angle / half * np.pi)
+                sums[hit] += np.where(ok, got * weight, 0)
+                counts[hit] += ok
+        some = counts.any(1)
+        image = np.divide(sums, counts, out=np.zeros_like(sums), where=counts > 0)[some]
+        return pa.table({"ix": ix[here][some], "iy": iy[here][some], "v": _lists(image)}).rename_columns(["ix", "iy", amp])
+
+    return run
 
 
 def migrate_profile(traces: DataFrame, by: str | list[str], order: str, dx: float, dt: float, speed: float, aperture: float, ns: int, reach: int | None = None, amp: str = "amp") -> DataFrame:

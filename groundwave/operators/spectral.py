@@ -1,8 +1,7 @@
 """Frequency-domain operators. Kernels are numpy functions of a block (traces x samples).
 
-Trace-wise kernels run on Arrow batches without a shuffle; a filter along traces needs a channel of a
-profile at a time, which must fit one task: its response is as long as the profile. A missing sample is
-null outside of kernels and NaN inside.
+Trace-wise kernels run on Arrow batches without a shuffle; `wavenumber` runs those along traces. A missing sample
+is null outside of kernels and NaN inside.
 """
 
 from __future__ import annotations
@@ -54,16 +53,6 @@ def filled(table: pa.Table, amp: str, kernel: Kernel) -> pa.Table:
     return table.set_column(table.schema.get_field_index(amp), amp, _lists(kernel(every)).take(places))
 
 
-def apply_groups(traces: DataFrame, by: str | list[str], order: str, kernel: Kernel, amp: str = "amp") -> DataFrame:
-    """kernel on all traces of a group in order; a missing trace is NaN for the kernel and stays missing; other columns stay as they are."""
-    rows = traces.withColumn(amp, F.col(amp).cast("array<double>"))
-
-    def run(table: pa.Table) -> pa.Table:
-        return filled(table.sort_by(order).combine_chunks(), amp, kernel)
-
-    return rows.groupBy(*([by] if isinstance(by, str) else by)).applyInArrow(run, rows.schema)
-
-
 def amplitude_spectrum(block: np.ndarray) -> np.ndarray:
     """2 |FFT| / n up to the Nyquist frequency, n being the next power of two."""
     n = 1 << (block.shape[1] - 1).bit_length()
@@ -201,33 +190,6 @@ def align_to_column(traces: DataFrame, reference: str, amp: str = "amp") -> Data
     return traces.mapInArrow(run, traces.drop(reference).schema)
 
 
-def pie_slice(angle: float, width: float, taper: float = 10.0) -> Kernel:
-    """Removes wavenumbers within width/2 degrees of angle, with a cosine taper."""
-
-    def kernel(image):
-        ky, kx = np.fft.fftfreq(image.shape[0])[:, None], np.fft.fftfreq(image.shape[1])[None, :]
-        away = np.abs((np.degrees(np.arctan2(ky, kx)) - angle + 90) % 180 - 90)
-        keep = 0.5 - 0.5 * np.cos(np.pi * np.clip((away - width / 2) / taper, 0, 1))
-        keep[0, 0] = 1
-        return np.real(np.fft.ifft2(np.fft.fft2(image) * keep))
-
-    return kernel
-
-
-def filter_slices(slices: DataFrame, kernel: Kernel) -> DataFrame:
-    """kernel on the image (iy, ix) of each slice; empty cells count as 0 and stay empty. A slice must fit one task."""
-    rows = slices.select("slice", "ix", "iy", "v")
-
-    def run(table: pa.Table) -> pa.Table:
-        ix, iy, v = (table[c].to_numpy() for c in ("ix", "iy", "v"))
-        ix, iy = (ix - ix.min()).astype(int), (iy - iy.min()).astype(int)
-        image = np.zeros((iy.max() + 1, ix.max() + 1))
-        image[iy, ix] = v
-        return table.set_column(3, "v", pa.array(kernel(image)[iy, ix]))
-
-    return rows.groupBy("slice").applyInArrow(run, rows.schema)
-
-
 def spline(ns: int, step: float) -> Kernel:
     """Samples at 0, step, 2 step, ... of the cubic spline through ns samples whose third derivative is continuous at the second and the last but one.
 

@@ -644,9 +644,9 @@ f AS (SELECT h.channel, h.n, h.j, h.h, k, sum(a * cos(2 * pi() * j * t / n)) AS
 o AS (SELECT a.channel, a.t, a.k, sum(h * (re * cos(2 * pi() * j * a.t / n) - im * sin(2 * pi() * j * a.t / n))) AS v FROM a JOIN f ON a.channel = f.channel AND a.k = f.k GROUP BY ALL)
 SELECT channel, t + 1 AS trace, count(*) AS n, round(sum(v), 6) AS s, round(sum(v * k), 6) AS w FROM o GROUP BY channel, t""")
 def k_highpass(spark, d):
-    from ..operators import spectral
+    from ..operators import spectral, wavenumber
 
-    return spectral.apply_groups(traces(spark, d), "channel", "trace", spectral.k_highpass(0.02, 0.1)).select("channel", "trace", *sums())
+    return wavenumber.along_traces(traces(spark, d), "channel", "trace", spectral.k_highpass(0.02, 0.1)).select("channel", "trace", *sums())
 
 
 @query(T + f""", ref AS (SELECT amp AS b FROM traces ORDER BY vec_id LIMIT 1), c AS (SELECT vec_id, amp, list_transform(range(-63, 64), lambda l: list_sum(list_transform(range(greatest(1, 1 - l), least(64, 64 - l) + 1), lambda n: amp[n + l] * b[n]))) AS r FROM traces, ref),
@@ -661,15 +661,31 @@ def t0_xcorr(spark, d):
     return spectral.apply(raw(spark, d), spectral.align_to(reference)).select("vec_id", *sums())
 
 
-@query(CELLS + _SLICES.format(agg="sum(abs(v))") + """, q AS (SELECT u, w, CASE WHEN u < 5 THEN u ELSE u - 10 END AS ky, CASE WHEN w < 5 THEN w ELSE w - 10 END AS kx FROM range(0, 10) a(u), range(0, 10) b(w)),
-a AS (SELECT *, abs((degrees(atan2(ky, kx)) - 30 + 90 + 360) % 180 - 90) AS away FROM q), h AS (SELECT u, w, CASE WHEN u = 0 AND w = 0 THEN 1 ELSE 0.5 - 0.5 * cos(pi() * greatest(0, least(1, (away - 10) / 10))) END AS h FROM a),
-f AS (SELECT slice, u, w, h, sum(v * cos(2 * pi() * (u * iy + w * ix) / 10)) AS re, -sum(v * sin(2 * pi() * (u * iy + w * ix) / 10)) AS im FROM v, h GROUP BY ALL)
-SELECT v.slice, v.ix, v.iy, round(sum(h * (re * cos(2 * pi() * (u * iy + w * ix) / 10) - im * sin(2 * pi() * (u * iy + w * ix) / 10))) / 100, 6) AS v FROM v JOIN f ON v.slice = f.slice GROUP BY v.slice, v.ix, v.iy""")
-def pieslice(spark, d):
-    from ..operators import spectral
+_PIE = """WITH c AS (SELECT vec_id % 32 AS ix, vec_id // 32 AS iy, embedding::DOUBLE[] AS amp FROM embeddings), s AS (SELECT i, i * 3.0 AS a, i * 3.0 + 4 AS b FROM range(0, 10) t(i) WHERE i * 3.0 + 4 <= 31.5),
+v AS (SELECT ix, iy, i AS slice, sum(abs(amp[k])) AS v FROM c, range(1, 65) r(k), s WHERE (k - 1) * 0.5 >= a AND (k - 1) * 0.5 < b GROUP BY ALL),
+n AS (SELECT max(iy) + 1 AS ny, pow(2, ceil(log2(max(iy) + 1)))::BIGINT AS h FROM v),
+p AS (SELECT *, 0 AS part FROM v WHERE ix < 16 UNION ALL SELECT *, 1 AS part FROM v WHERE ix BETWEEN 14 AND 27),
+x AS (SELECT part, slice, iy, u, sum(v * cos(2 * pi() * u * ix / 32)) AS re, -sum(v * sin(2 * pi() * u * ix / 32)) AS im FROM p, range(0, 17) q(u) GROUP BY ALL),
+f AS (SELECT part, slice, u, w, sum(re * cos(2 * pi() * w * iy / h) + im * sin(2 * pi() * w * iy / h)) AS re, sum(im * cos(2 * pi() * w * iy / h) - re * sin(2 * pi() * w * iy / h)) AS im FROM x, n, range(0, 4096) q(w) WHERE w < h GROUP BY ALL),
+a AS (SELECT part, slice, u, w, re, im, CASE part WHEN 0 THEN 15 ELSE -55 END AS low, CASE WHEN u = 16 THEN -0.5 ELSE u / 32.0::DOUBLE END AS kx, CASE WHEN w < h // 2 THEN w ELSE w - h END / h::DOUBLE AS ky FROM f, n),
+g AS (SELECT *, CASE WHEN kx = 0 AND ky = 0 THEN NULL WHEN ky = 0 THEN 90 * sign(kx) ELSE degrees(atan(kx / ky)) END AS t FROM a),
+m AS (SELECT *, CASE WHEN t - low BETWEEN 0 AND 30 THEN t - low WHEN t - 180 - low BETWEEN 0 AND 30 THEN t - 180 - low WHEN t + 180 - low BETWEEN 0 AND 30 THEN t + 180 - low END AS o FROM (SELECT *, 0 AS side FROM g UNION ALL SELECT * REPLACE (-t AS t), 1 AS side FROM g WHERE ky = -0.5 AND kx <> -0.5)),
+k AS (SELECT part, slice, u, w, avg(coalesce(0.5 + 0.5 * cos(2 * pi() / 30 * o), 1)) AS k, any_value(re) AS re, any_value(im) AS im FROM m GROUP BY part, slice, u, w),
+y AS (SELECT part, slice, u, r.iy, sum(k * (re * cos(2 * pi() * w * r.iy / h) - im * sin(2 * pi() * w * r.iy / h))) / any_value(h) AS re, sum(k * (im * cos(2 * pi() * w * r.iy / h) + re * sin(2 * pi() * w * r.iy / h))) / any_value(h) AS im FROM k, n, (SELECT DISTINCT iy FROM v) r GROUP BY ALL),
+z AS (SELECT p.part, p.slice, p.ix, p.iy, sum(CASE WHEN u IN (0, 16) THEN 1 ELSE 2 END * (re * cos(2 * pi() * u * p.ix / 32) - CASE WHEN u IN (0, 16) THEN 0 ELSE im END * sin(2 * pi() * u * p.ix / 32))) / 32 AS v FROM p JOIN y ON p.part = y.part AND p.slice = y.slice AND p.iy = y.iy GROUP BY ALL)
+"""
+
 
-    rows = _sliced(spark, d, "sumabs")
-    return spectral.filter_slices(rows, spectral.pie_slice(30, 20)).select("slice", "ix", "iy", F.round("v", 6).alias("v"))
+@query(_PIE + " SELECT v.slice, v.ix, v.iy, round(coalesce(b.v, a.v, v.v), 6) AS v FROM v LEFT JOIN z a ON a.part = 0 AND a.slice = v.slice AND a.ix = v.ix AND a.iy = v.iy LEFT JOIN z b ON b.part = 1 AND b.slice = v.slice AND b.ix = v.ix AND b.iy = v.iy")
+def pieslice(spark, d):
+    """A grid 32 cells wide that grows with the traces; two parts that overlap, each with its angle, and cells in neither."""
+    from ..operators import wavenumber
+
+    placed = raw(spark, d).withColumns({"ix": F.col("vec_id") % 32, "iy": F.floor(F.col("vec_id") / 32)})
+    rows = grid.slices(placed, ["ix", "iy"], DT, grid.slice_table(4, 1, 31.5), "sumabs")
+    box = lambda a, b: [(a, -1.0), (b, -1.0), (b, 1e12), (a, 1e12)]
+    out = wavenumber.pie_slices(rows, 30, polygons=[(box(-0.5, 15.5), 30), (box(13.5, 27.5), -40)])
+    return out.withColumn("v", F.round("v", 6))
 
 
 @query(_PART + """, f AS (SELECT ix, iy FROM g WHERE (ix * 7 + iy * 3) % 11 = 0), c AS (SELECT f.ix + i AS ix, f.iy + j AS iy, (4 * least(abs(i), abs(j)) + 3 * abs(abs(i) - abs(j))) / 4.0::DOUBLE AS d FROM f, range(-7, 8) a(i), range(-7, 8) b(j))

@@ -104,15 +104,6 @@ def section_cut(spark, d):
     return out.select("line", F.col("k").cast("long").alias("k"), *sums())
 
 
-@query(CELLS + _LINES + " SELECT line, k, count(*) AS n, round(sum(v), 6) AS s, round(sum(v * i), 6) AS w FROM m GROUP BY line, k")
-def section_cut_whole(spark, d):
-    """section_cut along the lines of all suppliers."""
-    s = F.col("s_suppkey")
-    lines = table(spark, d, "supplier").select(s.alias("line"), (s % 5).cast("double").alias("x0"), (s % 3).cast("double").alias("y0"), (s % 4 + 5.0).alias("x1"), (s % 5 + 4.0).alias("y1"))
-    out = position.section(position.stations(lines, "line", 0.7), "line", cells(spark, d), smooth=2)
-    return out.select("line", F.col("k").cast("long").alias("k"), *sums())
-
-
 @query(CELLS + f""", t AS (SELECT ix, iy, list(v ORDER BY k) AS amp, floor((2.0 - (ix * 3 + iy) % 7 * 0.1) / 0.05::DOUBLE + 0.5)::INT AS down FROM cells GROUP BY ix, iy),
 x AS (SELECT ix, iy, list_transform(range(10, 18), lambda k: amp[least(k + down, 63) + 1]) AS a FROM t) SELECT ix, iy, {SUMS} FROM x""")
 def topography_slice(spark, d):
@@ -239,14 +230,6 @@ def migrate2d(spark, d):
     return kernels.migrate_profile(traces(spark, d), "channel", "trace", 0.02, DT, 0.1, 60.0, NS).select("vec_id", *sums())
 
 
-@query(T + """, c AS (SELECT a.vec_id, k, sqrt(k * k + ((a.trace - b.trace) * 8 / 10.0::DOUBLE) ** 2) AS p, b.amp FROM traces a JOIN traces b ON a.channel = b.channel, range(0, 64) r(k)),
-l AS (SELECT vec_id, k, CASE WHEN p = 0 THEN 1 ELSE k / p END AS l, CASE WHEN p < 63.5 THEN amp[round(p)::INT + 1] END AS a FROM c)
-SELECT vec_id, count(*) AS n, round(sum(v), 6) AS s, round(sum(v * (k + 1)), 6) AS w FROM (SELECT vec_id, k, coalesce(sum(l * a) FILTER (l >= cos(radians(30)) AND a IS NOT NULL) / nullif(sum(l) FILTER (l >= cos(radians(30)) AND a IS NOT NULL), 0), 0) AS v FROM l GROUP BY ALL) GROUP BY vec_id""")
-def migrate2d_whole(spark, d):
-    """migrate2d over the whole aperture."""
-    return kernels.migrate_profile(traces(spark, d), "channel", "trace", 0.02, DT, 0.1, 60.0, NS).select("vec_id", *sums())
-
-
 @query(E + """, n AS (SELECT *, (nr * 3 % 17) / 10.0::DOUBLE AS z FROM e), w AS (SELECT *, lead(x, 3) OVER o - x AS dx, lead(y, 3) OVER o - y AS dy, list({'x': x, 'y': y, 'z': z}) OVER (PARTITION BY user_id ORDER BY nr ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS p FROM n WINDOW o AS (PARTITION BY user_id ORDER BY nr)),
 f AS (SELECT user_id, nr, regr_slope(q.z, sqrt((q.x - x) ** 2 + (q.y - y) ** 2)) AS m FROM (SELECT user_id, nr, x, y, unnest(p) AS q FROM w) GROUP BY ALL),
 k AS (SELECT w.*, CASE WHEN sqrt(dx * dx + dy * dy) > 0 THEN {'u': dx / sqrt(dx * dx + dy * dy), 'v': dy / sqrt(dx * dx + dy * dy), 'a': atan(m)} END AS d FROM w JOIN f USING (user_id, nr)),

@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import channel, grid, kernels, position, spectral, surface, trace, track
+from ..operators import channel, grid, kernels, position, spectral, surface, trace, track, wavenumber
 
 #: name: function of (traces, parameters, dt, ns). Traces have profile, channel, trace and amp.
 STEPS: dict[str, Callable[[DataFrame, dict[str, float], float, int], DataFrame]] = {}
@@ -94,7 +94,7 @@ def whitening(df, p, dt, ns):
 
 @step("do_khighpass")
 def k_highpass(df, p, dt, ns):
-    return spectral.apply_groups(df, ["profile", "channel"], "trace", spectral.k_highpass(p["dx"], p["kcutoff"]))
+    return wavenumber.along_traces(df, ["profile", "channel"], "trace", spectral.k_highpass(p["dx"], p["kcutoff"]))
 
 
 @step("do_constTraceDist")

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from groundwave.operators import channel, grid, kernels, spectral, trace, track, velocity
+from groundwave.operators import channel, grid, kernels, spectral, trace, track, velocity, wavenumber
 from groundwave.plans import recipe
 from groundwave.sources import segy
 
@@ -132,7 +132,7 @@ def test_autocorrelation_spectrum_by_lags():
 def test_missing_traces_and_samples_stay_missing(spark):
     rows = [(1, i, None if i == 4 else [float(i + k) for k in range(6)]) for i in range(10)]
     df = spark.createDataFrame(rows, "channel int, trace int, amp array<double>")
-    out = {r["trace"]: r["amp"] for r in spectral.apply_groups(df, "channel", "trace", spectral.k_highpass(0.02, 0.1)).collect()}
+    out = {r["trace"]: r["amp"] for r in wavenumber.along_traces(df, "channel", "trace", spectral.k_highpass(0.02, 0.1)).collect()}
     assert len(out) == 10 and out[4] is None and all(x is not None for t, a in out.items() if t != 4 for x in a)
     df = spark.createDataFrame([(1, [1.0, float("nan"), 4.0]), (1, [3.0, 2.0, None])], "channel int, amp array<double>")
     assert channel.sample_stats(df, ["channel"]).first()["mean"] == [2.0, 2.0, 4.0]

@@ -23,7 +23,7 @@ def test_profile_migration_takes_the_whole_aperture(spark):
 
 def test_section_query_cuts_every_suppliers_line(spark):
     folder = "/root/testdata/sf0.01"
-    got = {r["line"] for r in catalogue.QUERIES["section_cut_whole"](spark, folder).select("line").distinct().collect()}
+    got = {r["line"] for r in catalogue.QUERIES["section_cut"](spark, folder).select("line").distinct().collect()}
     assert got == {r["s_suppkey"] for r in spark.read.parquet(f"{folder}/supplier.parquet").collect()}
 
 
