@@ -16,25 +16,34 @@ def _layout(ns: int) -> np.dtype:
     return np.dtype({"names": list(fields), "formats": [f for _, f in fields.values()], "offsets": [o for o, _ in fields.values()], "itemsize": TRACE_HEADER + 4 * ns})
 
 
-def encode(block: np.ndarray, x: np.ndarray, y: np.ndarray, dt: float, inline: np.ndarray | None = None, crossline: np.ndarray | None = None) -> bytes:
-    """A file of the traces of block (traces x samples), dt in ns, written as picoseconds. Missing samples become 0.
-    The header's fields have 16 bits: longer traces or larger steps are an error; more traces than that leave the count of
+def file_header(n: int, ns: int, dt: float) -> bytes:
+    """The header's fields have 16 bits: longer traces or larger steps are an error; more traces than that leave the count of
     traces at 0, which readers don't need."""
-    n, ns = block.shape
     if ns > 32767 or round(dt * 1000) > 32767:
         raise ValueError(f"{ns} samples of {dt} ns do not fit the header of revision 1")
     head = bytearray(FILE_HEADER)
     head[:3200] = b"C 1 GROUND PENETRATING RADAR, COORDINATES TIMES 100".ljust(3200)
     for at, value in ((3212, n if n <= 32767 else 0), (3216, round(dt * 1000)), (3220, ns), (3224, FLOATS), (3500, 256)):
         head[at : at + 2] = int(value).to_bytes(2, "big")
+    return bytes(head)
+
+
+def trace_blocks(block: np.ndarray, x: np.ndarray, y: np.ndarray, dt: float, inline: np.ndarray | None = None, crossline: np.ndarray | None = None, first: int = 1, scale: int = SCALE) -> bytes:
+    """The traces of block (traces x samples) with their headers, numbered from first; dt in ns, written as picoseconds. Missing samples become 0."""
+    n, ns = block.shape
     rows = np.zeros(n, _layout(ns))
-    rows["trace"] = rows["number"] = np.arange(1, n + 1)
-    rows["scale"], rows["ns"], rows["dt"] = -SCALE, ns, round(dt * 1000)
-    rows["x"], rows["y"] = np.round(np.asarray(x) * SCALE), np.round(np.asarray(y) * SCALE)
+    rows["trace"] = rows["number"] = np.arange(first, first + n)
+    rows["scale"], rows["ns"], rows["dt"] = -scale, ns, round(dt * 1000)
+    rows["x"], rows["y"] = np.round(np.asarray(x) * scale), np.round(np.asarray(y) * scale)
     rows["inline"] = 0 if inline is None else inline
     rows["crossline"] = 0 if crossline is None else crossline
     rows["amp"] = np.nan_to_num(block)
-    return bytes(head) + rows.tobytes()
+    return rows.tobytes()
+
+
+def encode(block: np.ndarray, x: np.ndarray, y: np.ndarray, dt: float, inline: np.ndarray | None = None, crossline: np.ndarray | None = None) -> bytes:
+    """A file of the traces of block (traces x samples)."""
+    return file_header(*block.shape, dt) + trace_blocks(block, x, y, dt, inline, crossline)
 
 
 def files(traces: DataFrame, by: list[str], order: str, dt: float) -> DataFrame:
@@ -67,7 +76,7 @@ def read(spark: SparkSession, folder: str, pattern: str = "*.sgy", batch: int =
                     t = found[at : at + batch]
                     offsets = np.arange(len(t) + 1, dtype=np.int32) * ns
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([path] * len(t)), *[pa.array(t[f].astype(np.int32)) for f in ("trace",)], pa.array(t["x"] / SCALE), pa.array(t["y"] / SCALE), pa.array(t["inline"].astype(np.int32)), pa.array(t["crossline"].astype(np.int32)), pa.array(t["dt"] / 1000), pa.ListArray.from_arrays(pa.array(offsets), pa.array(t["amp"].astype(np.float32).ravel()))],
+                        [pa.array([path] * len(t)), *[pa.array(t[f].astype(np.int32)) for f in ("trace",)], pa.array(t["x"] / np.abs(t["scale"].astype(float))), pa.array(t["y"] / np.abs(t["scale"].astype(float))), pa.array(t["inline"].astype(np.int32)), pa.array(t["crossline"].astype(np.int32)), pa.array(t["dt"] / 1000), pa.ListArray.from_arrays(pa.array(offsets), pa.array(t["amp"].astype(np.float32).ravel()))],
                         names=[x.split()[0] for x in SCHEMA.split(", ")],
                     )
 

@@ -11,10 +11,14 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import segy
 
+#: Bytes that are copied at a time.
+_COPY = 8 << 20
+
 
 def write_files(named: DataFrame, folder: str) -> DataFrame:
     """(name, bytes) of the rows (name, content), written to folder by the tasks that hold them.
@@ -23,6 +27,11 @@ def write_files(named: DataFrame, folder: str) -> DataFrame:
     it and a lost one leaves no half file. folder is a URI or path that all executors reach.
     """
 
+    return _write(named, folder, [])
+
+
+def _write(named: DataFrame, folder: str, keep: list[str]) -> DataFrame:
+    """write_files with columns of named in front."""
     if "://" not in folder and not re.match(r"local(\[|$)", named.sparkSession.sparkContext.master):
         raise ValueError(f"{folder} has no scheme: executors would write to their own disks")
 
@@ -30,14 +39,15 @@ def write_files(named: DataFrame, folder: str) -> DataFrame:
         target, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
         target.create_dir(base, recursive=True)
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for i, (name, content) in enumerate(zip(batch.column("name").to_pylist(), batch.column("content"), strict=True)):
                 part = f"{base}/.{name}.{uuid.uuid4().hex}"
                 with target.open_output_stream(part) as out:
                     out.write(content.as_buffer())
                 target.move(part, f"{base}/{name}")
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(content.as_buffer())], pa.int64())], names=["name", "bytes"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(i, 1) for k in keep], pa.array([name]), pa.array([len(content.as_buffer())], pa.int64())], names=[*keep, "name", "bytes"])
 
-    return named.select("name", "content").mapInArrow(run, "name string, bytes long")
+    kinds = [f"{k} {named.schema[k].dataType.simpleString()}" for k in keep]
+    return named.select(*keep, "name", "content").mapInArrow(run, ", ".join([*kinds, "name string", "bytes long"]))
 
 
 def write_segy(traces: DataFrame, folder: str, by: list[str], order: str, dt: float) -> DataFrame:
@@ -46,6 +56,72 @@ def write_segy(traces: DataFrame, folder: str, by: list[str], order: str, dt: fl
     return write_files(segy.files(traces, by, order, dt).select(name.alias("name"), "content"), folder)
 
 
+def write_segy_parts(traces: DataFrame, folder: str, by: list[str], order: str, dt: float, part_bytes: int = 64 << 20, offset: bool = False) -> DataFrame:
+    """(name, bytes): a SEG-Y file for each group (x, y, amp) of any size, and a text beside it that describes it.
+
+    Traces are numbered along their group and dealt to parts of about part_bytes, each written by a task that holds only that; one
+    task a file then copies the parts behind the header, a few MB at a time, and renames the file when it is whole. Parts carry the
+    run's own name and go when their file is there, so a repeated task writes the same and a lost one leaves no half file.
+    offset: coordinates are relative to those of the first trace rounded to 1000 m, which stand in inline and crossline, and have mm.
+    All traces of a group must be equally long; a null trace is zeros, a null coordinate 0.
+    """
+    if "://" not in folder and not re.match(r"local(\[|$)", traces.sparkSession.sparkContext.master):
+        raise ValueError(f"{folder} has no scheme: executors would write to their own disks")
+    run = uuid.uuid4().hex
+    line = W.partitionBy(*by).orderBy(order)
+    whole = line.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    name = F.concat_ws("_", *[F.coalesce(F.col(k).cast("string"), F.lit("none")) for k in by])
+    rows = traces.select(*by, order, F.coalesce(F.col("x").cast("double"), F.lit(0.0)).alias("x"), F.coalesce(F.col("y").cast("double"), F.lit(0.0)).alias("y"), F.col("amp").cast("array<float>").alias("amp"), name.alias("name"))
+    rows = rows.withColumns({"number": F.row_number().over(line).cast("long"), "ns": F.max(F.size("amp")).over(W.partitionBy(*by)).cast("long")})
+    rows = rows.withColumns({c: (F.floor(F.first(v).over(whole) / 1000 + 0.5) * 1000 if offset else F.lit(0)).cast("long") for c, v in (("off_x", "x"), ("off_y", "y"))})
+    step = F.hypot(F.col("x") - F.lag("x").over(line), F.col("y") - F.lag("y").over(line))
+    rows = rows.withColumns({"step": step, "part": F.floor((F.col("number") - 1) / F.greatest(F.lit(1), F.floor(F.lit(part_bytes) / (segy.TRACE_HEADER + 4 * F.col("ns")))))})
+
+    def block(table: pa.Table) -> pa.Table:
+        table = table.sort_by("number").combine_chunks()
+        ns, n = table["ns"][0].as_py(), table.num_rows
+        amp = np.array([a if a is not None else [0.0] * ns for a in table["amp"].to_pylist()], np.float32).reshape(n, ns)
+        x, y = table["x"].to_numpy() - table["off_x"].to_numpy(), table["y"].to_numpy() - table["off_y"].to_numpy()
+        inline, crossline = (table["off_x"].to_numpy(), table["off_y"].to_numpy()) if offset else (None, None)
+        content = segy.trace_blocks(amp, x, y, dt, inline, crossline, table["number"][0].as_py(), 1000 if offset else segy.SCALE)
+        part = table["part"][0].as_py()
+        return pa.table({"file": [table["name"][0].as_py()], "part": pa.array([part], pa.int64()), "name": [f".{table['name'][0].as_py()}.{run}.{part:09d}"], "content": pa.array([content], pa.binary())})
+
+    written = _write(rows.groupBy("name", "part").applyInArrow(block, "file string, part long, name string, content binary"), folder, ["file", "part"])
+    parts = written.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("part", "name"))).alias("parts"))
+    facts = rows.groupBy("name").agg(
+        F.count("*").alias("n"), F.first("ns").alias("ns"), F.min(F.struct("number", "x", "y")).alias("a"), F.max(F.struct("number", "x", "y")).alias("b"), F.avg("step").alias("mean"), F.sum("step").alias("length"),
+    )
+
+    def join(batches):
+        target, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        for batch in batches:
+            for r in batch.to_pylist():
+                half = f"{base}/.{r['file']}.{run}.whole"
+                with target.open_output_stream(half) as out:
+                    out.write(segy.file_header(r["n"], r["ns"], dt))
+                    for p in r["parts"]:
+                        with target.open_input_stream(f"{base}/{p['name']}") as part:
+                            while data := part.read(_COPY):
+                                out.write(data)
+                target.move(half, f"{base}/{r['file']}.sgy")
+                unit = "reduced x and y in mm, offsets in m in inline and crossline" if offset else "x and y in cm"
+                text = f"dt {dt:.4f} ns\nns {r['ns']}\nntraces {r['n']}\nx_start {r['a']['x']:.2f} m\nx_end {r['b']['x']:.2f} m\ny_start {r['a']['y']:.2f} m\ny_end {r['b']['y']:.2f} m\n"
+                text += f"mean_trace_spacing {r['mean'] or 0:.4f} m\nlength_of_profile {r['length'] or 0:.2f} m\n{unit}\n"
+                with target.open_output_stream(f"{base}/{r['file']}.txt") as out:
+                    out.write(text.encode())
+                size = segy.FILE_HEADER + r["n"] * (segy.TRACE_HEADER + 4 * r["ns"])
+                yield pa.RecordBatch.from_arrays([pa.array([r["file"] + ".sgy"]), pa.array([size], pa.int64()), pa.array([[p["name"] for p in r["parts"]]], pa.list_(pa.string()))], names=["name", "bytes", "parts"])
+
+    joined = facts.withColumnRenamed("name", "file").join(parts, "file").mapInArrow(join, "name string, bytes long, parts array<string>")
+    done = joined.collect()  # a row for each file; parts go only when all files are there, so a repeated task finds them
+    target, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+    for r in done:
+        for p in r["parts"]:
+            target.delete_file(f"{base}/{p}")
+    return traces.sparkSession.createDataFrame([(r["name"], r["bytes"]) for r in done], "name string, bytes long")
+
+
 def write_segy_block(cells: DataFrame, folder: str, dt: float, lines: int = 64) -> DataFrame:
     """Grid cells (ix, iy, x, y, amp) as SEG-Y with inline iy + 1 and crossline ix + 1, a file for every `lines` inlines, so that no task holds the whole block. Null traces become zeros of the block's length."""
 
