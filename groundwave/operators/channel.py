@@ -133,11 +133,13 @@ def virtual_channels(traces: DataFrame, channel: str, order: str, amp: str = "am
     return rows.select(F.col("_v").alias(channel), order, trace.blend(F.col("_p.v"), F.col("_q.v"), share).alias(amp), *lines)
 
 
-def best_shift(means: DataFrame, channel: str, reference: int, max_shift: int, amp: str = "mean", by: tuple[str, ...] = ()) -> DataFrame:
+def best_shift(means: DataFrame, channel: str, reference: int | None, max_shift: int, amp: str = "mean", by: tuple[str, ...] = ()) -> DataFrame:
     """(by, channel, shift, r): the shift of the mean trace that correlates best with the reference channel's; the first of equals.
-    Both lie among max_shift zeros on either side, so no sample is lost at any shift. With by, every group has its own reference."""
-    ref = means.where(F.col(channel) == reference).select(*by, F.col(amp).alias("_ref"))
-    rows = means.join(ref, list(by)) if by else means.crossJoin(F.broadcast(ref.limit(1)))
+    Both lie among max_shift zeros on either side, so no sample is lost at any shift. With by, every group has its own reference; without a
+    reference the least channel is it."""
+    known = means if reference is None else means.where(F.col(channel) == reference)
+    ref = known.groupBy(*by).agg(F.min_by(amp, channel).alias("_ref")).where("_ref is not null")
+    rows = means.join(ref, list(by)) if by else means.crossJoin(F.broadcast(ref))  # one row
     zeros = F.array_repeat(F.lit(0.0), max_shift)
     rows = rows.select(*by, channel, F.explode(F.sequence(F.lit(-max_shift), F.lit(max_shift))).alias("shift"), amp, F.concat(zeros, "_ref", zeros).alias("_ref"))
     rows = rows.select(*by, channel, "shift", amp, F.posexplode("_ref").alias("k", "b"))

@@ -33,7 +33,7 @@ def interpolation_mask(cells: DataFrame, radius: float) -> DataFrame:
 
 
 def migrate(
-    cells: DataFrame, dx: float, dt: float, speed: float, aperture: float, dz: float, nz: int, amp: str = "amp", height: str | None = None, image: DataFrame | None = None, ns: int | None = None, tile: int | None = None
+    cells: DataFrame, dx: float, dt: float, speed: float, aperture: float, dz: float, nz: int, amp: str = "amp", height: str | None = None, image: DataFrame | None = None, ns: int | None = None, tile: int | None = None, under_relief: bool = False
 ) -> DataFrame:
     """(ix, iy, amp): semicircle migration onto nz depths, from 0 on in steps of dz.
 
@@ -43,7 +43,8 @@ def migrate(
 
     With a column of heights, depths count from the highest cell; a cell's first depth is at its surface; the angle
     is a right angle less that between the way and the line to the surface above the image point, 0 straight below; ns, the
-    samples of a trace, then bounds how far a trace reaches. A null height is the highest.
+    samples of a trace, then bounds how far a trace reaches. A null height is the highest. under_relief adds to nz the depths that
+    the relief of the traces has.
 
     The image is dealt to tiles of `tile` x `tile` cells, each with the traces up to the reach around it: a trace is shuffled once for each
     tile that it reaches, 9 times at most where a tile is as wide as the reach or wider, and a task holds the traces of one tile.
@@ -65,20 +66,25 @@ def migrate(
     around = lambda c: F.explode(F.sequence(at(c, -reach), at(c, reach)))
     rows = sources.withColumn("tx", around("ix")).withColumn("ty", around("iy")).unionByName(targets.withColumns({"tx": at("ix", 0), "ty": at("iy", 0)}))
     if height:  # depths count from the highest of all: one row
-        rows = rows.crossJoin(F.broadcast(cells.select(height).unionByName(places.select(height)).agg(F.max(height).cast("double").alias("top"))))
+        relief = cells.agg(F.max(height).alias("a"), (F.max(height) - F.min(height)).alias("relief")).crossJoin(places.agg(F.max(height).alias("b")))
+        more = F.floor(F.coalesce("relief", F.lit(0.0)) / dz + 0.5) if under_relief else F.lit(0)
+        rows = rows.crossJoin(F.broadcast(relief.select(F.greatest("a", "b").cast("double").alias("top"), (more + nz).cast("long").alias("nz"))))
         rows = rows.withColumn("h", F.coalesce(F.col("top") - F.col("h"), F.lit(0.0))).drop("top")
-    kernel = _tile_kernel(amp, moves, dx, dt, speed, half, dz, nz, tile, reach, bool(height))
+    else:
+        rows = rows.withColumn("nz", F.lit(nz).cast("long"))
+    kernel = _tile_kernel(amp, moves, dx, dt, speed, half, dz, tile, reach, bool(height))
     out = rows.groupBy("tx", "ty").applyInArrow(kernel, f"ix long, iy long, {amp} array<double>")
     x, y = places.schema["ix"].dataType, places.schema["iy"].dataType
     return out.select(F.col("ix").cast(x).alias("ix"), F.col("iy").cast(y).alias("iy"), amp)
 
 
-def _tile_kernel(amp, moves, dx, dt, speed, half, dz, nz, tile, reach, relief):
+def _tile_kernel(amp, moves, dx, dt, speed, half, dz, tile, reach, relief):
     """The image of one tile: for every move, all cells of the tile at once take the samples of the traces that lie so far away."""
     rounded = lambda x: np.floor(x + 0.5).astype(np.int64)
-    z_axis = np.arange(nz) * dz
 
     def run(table: pa.Table) -> pa.Table:
+        nz = table["nz"][0].as_py()
+        z_axis = np.arange(nz) * dz
         ix, iy, h = (table[c].to_numpy() for c in ("ix", "iy", "h"))
         column = table["a"].combine_chunks()
         source = column.is_valid().to_numpy(zero_copy_only=False)

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import grid, position
+from .shared import cut
 
 #: Cells on one circle allow several triangulations; a fixed number of each cell, far below other differences, decides.
 _TIE = 1e-5
@@ -146,3 +147,41 @@ def smooth_topography(points: DataFrame, by: str, order: str, dx: float, radius:
     surface = position.median_3x3(filled).select("ix", "iy", F.array("v").alias("amp"))
     asked = points.select(by, F.col(order).alias("k"), (F.col(x) / dx - 0.5).alias("x"), (F.col(y) / dx - 0.5).alias("y"))
     return position.section(asked, by, surface, half).select(by, "k", F.get("amp", F.lit(0)).alias(z))
+
+
+def rim(valid: DataFrame) -> DataFrame:
+    """The valid cells that have a cell without a value beside them: the nearest valid cell of any other place is one of these, as
+    a step from it towards that place would be nearer."""
+    beside = F.array(*[F.struct((F.col("ix") + i).alias("ix"), (F.col("iy") + j).alias("iy")) for i, j in ((1, 0), (-1, 0), (0, 1), (0, -1))])
+    reached = valid.select(F.explode(beside).alias("c")).groupBy("c.ix", "c.iy").agg(F.count("*").alias("_n")).where("_n = 4").select("ix", "iy")
+    return valid.join(reached, ["ix", "iy"], "left_anti")
+
+
+def nearest(missing: DataFrame, valid: DataFrame, v: str = "v", tile: int = 16) -> DataFrame:
+    """(ix, iy, v, d): every missing cell with the value of the nearest valid one and its distance; of equally near ones that of the least iy, then ix.
+
+    Rings grow: a cell is compared with the rim cells of its own tile and the eight around it, and is done if one of them is no further away
+    than a tile is wide, as nothing beyond can be nearer. Those left go on with tiles twice as wide, until all have their nearest: a
+    round for each doubling of the greatest distance. valid has one row for each cell; nulls don't count; without valid cells nothing is returned.
+    """
+    valid = valid.where(F.col(v).isNotNull()).select(F.col("ix").cast("long").alias("ix"), F.col("iy").cast("long").alias("iy"), F.col(v).alias("_v"))
+    edge = cut(rim(valid))
+    left = missing.select(F.col("ix").cast("long").alias("ix"), F.col("iy").cast("long").alias("iy")).distinct()
+    done = None
+    size = tile
+    empty = edge.isEmpty()
+    while not empty:
+        at = lambda c, size=size: F.floor(F.col(c) / size)
+        near = lambda c: F.explode(F.array(c - 1, c, c + 1))
+        asked = left.withColumn("tx", near(at("ix"))).withColumn("ty", near(at("iy")))
+        known = edge.select(at("ix").alias("tx"), at("iy").alias("ty"), F.col("ix").alias("_x"), F.col("iy").alias("_y"), "_v")
+        d = (F.col("ix") - F.col("_x")) * (F.col("ix") - F.col("_x")) + (F.col("iy") - F.col("_y")) * (F.col("iy") - F.col("_y"))
+        best = asked.join(known, ["tx", "ty"]).groupBy("ix", "iy").agg(F.min(F.struct(d.alias("d"), F.col("_y").alias("y"), F.col("_x").alias("x"), "_v")).alias("b"))
+        met = cut(left.join(best, ["ix", "iy"], "left").withColumn("_done", F.coalesce(F.col("b.d") <= size * size, F.lit(False))))
+        found = met.where("_done").select("ix", "iy", F.col("b._v").alias(v), F.sqrt("b.d").alias("d"))
+        done = found if done is None else done.unionByName(found)
+        left = met.where(~F.col("_done")).select("ix", "iy")
+        empty, size = left.isEmpty(), size * 2
+    if done is None:
+        return left.limit(0).select("ix", "iy", F.lit(None).cast(valid.schema["_v"].dataType).alias(v), F.lit(None).cast("double").alias("d"))
+    return done

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .grid import in_polygon
 from .spectral import Kernel, _block, _lists
 
 #: Numbers that a block of an image's spectrum has at most, unless one column has more.
@@ -48,18 +49,6 @@ def along_traces(traces: DataFrame, by: str | list[str], order: str, kernel: Ker
     return out.select(*[F.col("_amp").alias(c) if c == amp else F.col("_row")[c].alias(c) for c in columns])
 
 
-def inside(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:
-    """Whether a point lies in a ring of corners (even-odd rule; of the edges the lower and left ones belong to it)."""
-    crossings = [
-        F.when(((y0 > y) != (y1 > y)) & (x < (x1 - x0) * (y - y0) / (y1 - y0) + x0), 1).otherwise(0)
-        for (x0, y0), (x1, y1) in zip(ring, ring[1:] + ring[:1], strict=True) if y0 != y1
-    ]
-    total = F.lit(0)
-    for c in crossings:
-        total = total + c
-    return total % 2 == 1
-
-
 def pie_mask(kx: np.ndarray, ky: np.ndarray, angle: float, opening: float) -> np.ndarray:
     """Factors at wavenumbers ky (rows) and kx (columns): 0.5 + 0.5 cos(360 / opening (a - least)) where a, the angle of
     kx / ky in degrees, lies within half the opening of angle, from least on; 1 elsewhere and at wavenumber 0. So the middle of
@@ -145,7 +134,7 @@ def pie_slices(cells: DataFrame, opening: float, angle: float = 0.0, polygons: l
     """
     parts = polygons or [(None, angle)]
     kept = cells.select(F.col("slice").cast("long").alias("slice"), F.col(ix).cast("long").alias("_ix"), F.col(iy).cast("long").alias("_iy"), F.col(v).cast("double").alias("_v"))
-    of = [F.when(inside(F.col("_ix").cast("double"), F.col("_iy").cast("double"), ring) if ring else F.lit(True), F.lit(i)) for i, (ring, _) in enumerate(parts)]
+    of = [F.when(in_polygon(F.col("_ix").cast("double"), F.col("_iy").cast("double"), ring) if ring else F.lit(True), F.lit(i)) for i, (ring, _) in enumerate(parts)]
     kept = kept.withColumn("_parts", F.array_compact(F.array(*of)))
     bounds = kept.agg(F.min("_ix").alias("_x0"), (F.max("_ix") - F.min("_ix") + 1).alias("nx"), F.min("_iy").alias("_y0"), (F.max("_iy") - F.min("_iy") + 1).alias("ny"))
     kept = kept.crossJoin(F.broadcast(bounds))  # one row

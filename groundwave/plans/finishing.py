@@ -162,7 +162,7 @@ def line_beyond_ends(spark, d):
     return track.interpolate(rows, "user_id", "place", "v", edges="line").withColumn("v", F.round(F.col("v") + 1e-8, 5))
 
 
-_FIXES = T + """, f AS (SELECT event_id % 3 AS profile, event_id % 60 * 2 AS trace, avg(value) AS x, avg(event_id * 13 % 101 / 10.0) AS y, avg(event_id % 7) AS z FROM events WHERE event_id % 4 = 1 GROUP BY ALL),
+_FIXES = T + """, f AS (SELECT event_id % 3 AS profile, event_id % 30 * 2 + event_id % 3 AS trace, avg(value) AS x, avg(event_id * 13 % 101 / 10.0) AS y, avg(event_id % 7) AS z FROM events GROUP BY ALL),
 c AS (SELECT channel % 3 AS profile, channel, trace, vec_id FROM traces), k AS (SELECT *, lag(trace) OVER w AS lt, lag(x) OVER w AS lx, lag(y) OVER w AS ly, lag(z) OVER w AS lz, lead(trace) OVER w AS ht, lead(x) OVER w AS hx, lead(y) OVER w AS hy, lead(z) OVER w AS hz FROM f WINDOW w AS (PARTITION BY profile ORDER BY trace)),
 p AS (SELECT c.*, a.trace AS t0, a.x AS x0, a.y AS y0, a.z AS z0, b.trace AS t1, b.x AS x1, b.y AS y1, b.z AS z1 FROM c ASOF LEFT JOIN f a ON c.profile = a.profile AND c.trace >= a.trace ASOF LEFT JOIN f b ON c.profile = b.profile AND c.trace <= b.trace),
 q AS (SELECT vec_id, profile, channel, trace, x0 + (x1 - x0) * coalesce((trace - t0) / nullif(t1 - t0, 0)::DOUBLE, 0) AS x, y0 + (y1 - y0) * coalesce((trace - t0) / nullif(t1 - t0, 0)::DOUBLE, 0) AS y, z0 + (z1 - z0) * coalesce((trace - t0) / nullif(t1 - t0, 0)::DOUBLE, 0) AS z
@@ -171,7 +171,7 @@ q AS (SELECT vec_id, profile, channel, trace, x0 + (x1 - x0) * coalesce((trace -
 
 def _placed(spark, d):
     e, n = table(spark, d, "events"), F.col("event_id")
-    fixes = e.where("event_id % 4 = 1").select((n % 3).alias("profile"), (n % 60 * 2).alias("trace"), F.col("value").alias("x"), (n * 13 % 101 / 10.0).alias("y"), (n % 7).cast("double").alias("z"))
+    fixes = e.select((n % 3).alias("profile"), (n % 30 * 2 + n % 3).alias("trace"), F.col("value").alias("x"), (n * 13 % 101 / 10.0).alias("y"), (n % 7).cast("double").alias("z"))
     return placing.place(traces(spark, d).withColumn("profile", F.col("channel") % 3), fixes)
 
 

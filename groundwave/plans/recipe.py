@@ -2,16 +2,21 @@
 
 A line is `key value...`; a key that begins with do_ names a step, its value is the step's place (0: off), and the
 lines below it are its parameters. Keys may carry a unit, as tmax[ns], and are known by the usual names of profile and
-radargram settings; values are numbers, texts or several numbers. A step takes a parameter that it lacks from the other
-steps. Places must be 1..n, each once.
+radargram settings; values are numbers, texts or several numbers. A step takes a parameter that it lacks from those above all
+steps, and from another step only where SHARED says so. Places must be 1..n, each once.
+
+Every step has a scope: what it looks at besides the trace itself. Making the plan starts no job: what a step has to know of the whole
+survey is a table of one row that is joined. Neighbouring steps of scope `trace` become one: expressions by Spark, transforms by being chained in
+one pass over Arrow batches. Neighbouring steps of scope `channel` that are windows share one exchange.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import ChainMap
 from collections.abc import Callable
+from itertools import groupby
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -20,20 +25,48 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..operators import channel, grid, kernels, position, spectral, surface, trace, track, wavenumber
 
-#: name: function of (traces, parameters, dt, ns). Traces have profile, channel, trace and amp.
-STEPS: dict[str, Callable[[DataFrame, dict[str, float], float, int], DataFrame]] = {}
+#: What a step looks at besides the trace itself.
+SCOPES = ("trace", "channel", "profile", "survey")
+
+
+class Step(NamedTuple):
+    """run(traces, parameters, dt, ns) gives traces with profile, channel, trace and amp; kernel(parameters, dt, ns) is a transform of each trace that stands for run, or None."""
+
+    scope: str
+    run: Callable
+    kernel: Callable = lambda p, dt, ns: None
+
+
+STEPS: dict[str, Step] = {}
+#: (step, parameter): the step that it may come from if it is not given.
+SHARED = {("do_khighpass", "dx"): "do_constTraceDist", ("do_migration2d_vz", "dx"): "do_constTraceDist"}
+
 
+class Parameters(dict):
+    """A step's parameters; one that is needed and not there is an error that names both."""
 
-def step(name: str):
+    def __init__(self, step: str, values: dict):
+        super().__init__(values)
+        self.step = step
+
+    def __missing__(self, key):
+        raise ValueError(f"{self.step} needs {key}")
+
+
+def step(name: str, scope: str):
     def add(f):
-        STEPS[name] = f
+        STEPS[name] = Step(scope, f)
         return f
 
     return add
 
 
 def on_amp(name: str, expression: Callable):
-    STEPS[name] = lambda df, p, dt, ns: df.withColumn("amp", expression(F.col("amp"), p, dt, ns))
+    STEPS[name] = Step("trace", lambda df, p, dt, ns: df.withColumn("amp", expression(F.col("amp"), p, dt, ns)))
+
+
+def on_block(name: str, kernel: Callable, otherwise: Callable | None = None):
+    STEPS[name] = Step("trace", otherwise, kernel)
 
 
 on_amp("do_amplitudeOffset", lambda a, p, dt, ns: trace.dc_removal(a, dt, p["tstart"], p["tend"], ns))
@@ -47,25 +80,24 @@ on_amp("do_t0CorrectionThreshold", lambda a, p, dt, ns: trace.t0_threshold(a, p[
 on_amp("do_applygain", lambda a, p, dt, ns: trace.gain(a, trace.gain_curve([p[f"g{i}"] for i in range(1, 6)], ns)))
 
 
-@step("do_reduceNumberOfSamples")
-def samples(df, p, dt, ns):
-    """Every n-th sample; n under 1: samples at steps of n from a cubic spline."""
-    if p["n"] >= 1:
-        return df.withColumn("amp", trace.decimate(F.col("amp"), int(p["n"])))
-    return spectral.apply(df.withColumn("amp", F.col("amp").cast("array<double>")), spectral.spline(ns, p["n"]))
+# every n-th sample; n under 1: samples at steps of n from a cubic spline
+on_block("do_reduceNumberOfSamples", lambda p, dt, ns: spectral.spline(ns, p["n"]) if p["n"] < 1 else None, lambda df, p, dt, ns: df.withColumn("amp", trace.decimate(F.col("amp"), int(p["n"]))))
+on_block("do_bandpass", lambda p, dt, ns: spectral.bandpass(dt, p["fstart"], p["fend"]))
+on_block("do_makeAmpSpec", lambda p, dt, ns: spectral.amplitude_spectrum)
+on_block("do_Envelope", lambda p, dt, ns: spectral.envelope)
 
 
-@step("do_badTraceRemoval")
+@step("do_badTraceRemoval", "channel")
 def bad_traces(df, p, dt, ns):
     return channel.replace_bad(df, ["profile", "channel"], "trace", p["minfactor"], p["maxfactor"]).drop("bad")
 
 
-@step("do_traceInterpolation")
+@step("do_traceInterpolation", "channel")
 def fill(df, p, dt, ns):
     return track.interpolate(df, ["profile", "channel"], "trace", "amp", gap=p["gap"], arrays=True, edges="line")
 
 
-@step("do_removeMeanMedianTrace")
+@step("do_removeMeanMedianTrace", "channel")
 def background(df, p, dt, ns):
     """meanmedian 1 (as if it is not given): the mean trace, else the median trace."""
     if p.get("meanmedian", 1) != 1:
@@ -77,27 +109,22 @@ def background(df, p, dt, ns):
     return channel.remove_background(df, ["profile", "channel"])
 
 
-@step("do_bandpass")
-def bandpass(df, p, dt, ns):
-    return spectral.apply(df, spectral.bandpass(dt, p["fstart"], p["fend"]))
-
-
-@step("do_medfilt_x")
+@step("do_medfilt_x", "channel")
 def median_of_traces(df, p, dt, ns):
     return position.median_of_traces(df, ["profile", "channel"], "trace", int(p["numsamp_x"]) | 1, math.ceil(p.get("tstart_x", 0) / dt))
 
 
-@step("do_spectralWhitening")
+@step("do_spectralWhitening", "channel")
 def whitening(df, p, dt, ns):
     return spectral.whitened(df, ["profile", "channel"], dt, p["fmin"], p["fmax"], p["alpha"])
 
 
-@step("do_khighpass")
+@step("do_khighpass", "channel")
 def k_highpass(df, p, dt, ns):
     return wavenumber.along_traces(df, ["profile", "channel"], "trace", spectral.k_highpass(p["dx"], p["kcutoff"]))
 
 
-@step("do_constTraceDist")
+@step("do_constTraceDist", "profile")
 def constant_spacing(df, p, dt, ns):
     """Mean traces of steps of dx along the profile (column inline, or the way along x and y). Steps run from 0 to the last edge, which
     belongs to the step before it; a step without a trace is a missing trace. Places are means, and follow a line through
@@ -120,7 +147,7 @@ def constant_spacing(df, p, dt, ns):
     return out.withColumn("inline", (F.col("trace") - 1) * dx)
 
 
-@step("do_channelshift")
+@step("do_channelshift", "survey")
 def channel_shift(df, p, dt, ns):
     """Channels moved to fit channel 1. OneOrAll 1: by the given shiftsamples (one for each channel), or by those found on the reference
     profile; 2: by those found on each profile. Without OneOrAll: on the reference profile, if one is given (not 0), else on all together."""
@@ -137,61 +164,49 @@ def channel_shift(df, p, dt, ns):
     return channel.shifted(df, channel.best_shift(channel.sample_stats(known, ["channel"]), "channel", 1, int(p["maxshift"])), "channel")
 
 
-@step("do_crossprofileshift")
+@step("do_crossprofileshift", "survey")
 def profile_shift(df, p, dt, ns):
     """Every profile moved to fit the first one, by the mean traces of channel 1."""
-    first = df.agg(F.min("profile").alias("p")).first()["p"]
     means = channel.sample_stats(df.where("channel = 1"), ["profile"])
-    return channel.shifted(df, channel.best_shift(means, "profile", first, int(p["maxshift_cps"])), "profile")
+    return channel.shifted(df, channel.best_shift(means, "profile", None, int(p["maxshift_cps"])), "profile")
 
 
-@step("do_t0CorrectionReferencetrace")
+@step("do_t0CorrectionReferencetrace", "survey")
 def reference_trace(df, p, dt, ns):
-    """Every trace moved to fit one trace, then its time zero cut; the reference is one row, found when the plan is made. A profile that
-    is not in the survey (0, if it is not set) is an error."""
-    found = df.where((F.col("profile") == p["profile"]) & (F.col("channel") == p["channel"]) & (F.col("trace") == p["trace"])).select("amp").first()
-    if found is None:
-        raise ValueError("the reference trace is not in the survey")
-    moved = spectral.apply(df.withColumn("amp", F.col("amp").cast("array<double>")), spectral.align_to(found["amp"]))
+    """Every trace moved to fit one trace, then its time zero cut; the reference is one row that is joined. One that is not in the
+    survey (a profile 0, if it is not set) is an error of the run."""
+    found = df.where((F.col("profile") == p["profile"]) & (F.col("channel") == p["channel"]) & (F.col("trace") == p["trace"])).agg(F.first("amp").alias("_ref"))
+    found = found.select(F.coalesce("_ref", F.raise_error(F.lit("the reference trace is not in the survey")).cast(df.schema["amp"].dataType)).alias("_ref"))
+    moved = spectral.align_to_column(df.withColumn("amp", F.col("amp").cast("array<double>")).crossJoin(F.broadcast(found)), "_ref")
     return moved.withColumn("amp", trace.t0_shift(F.col("amp"), dt, p["t0"]))
 
 
-@step("do_turnProfiles")
+@step("do_turnProfiles", "channel")
 def turn(df, p, dt, ns):
     return track.turn(df, ["profile", "channel"], "trace").drop("turned")
 
 
-@step("do_exchange_x_y")
+@step("do_exchange_x_y", "trace")
 def exchange(df, p, dt, ns):
     return df.withColumns({"x": F.col("y"), "y": F.col("x")})
 
 
-@step("do_helmertTransformation")
+@step("do_helmertTransformation", "trace")
 def similarity(df, p, dt, ns):
     """x and y under the similarity with parameters a, b, tx and ty (see functions.geo.similarity)."""
     x, y = geo.transformed(F.col("x"), F.col("y"), (p["a"], p["b"], p["tx"], p["ty"]))
     return df.withColumns({"x": x, "y": y})
 
 
-@step("do_makeAmpSpec")
-def spectrum(df, p, dt, ns):
-    return spectral.apply(df.withColumn("amp", F.col("amp").cast("array<double>")), spectral.amplitude_spectrum)
-
-
-@step("do_Envelope")
-def envelope(df, p, dt, ns):
-    return spectral.apply(df.withColumn("amp", F.col("amp").cast("array<double>")), spectral.envelope)
-
-
-@step("do_TopoMigration3D")
+@step("do_TopoMigration3D", "survey")
 def migration(df, p, dt, ns):
     """Of grid cells (ix, iy, amp), and z, their heights, if there are any. Depths: as deep as the trace's time goes, and the relief; or nz."""
-    relief = df.agg(F.max("z") - F.min("z")).first()[0] or 0 if "z" in df.columns else 0
-    depths = int(p["nz"]) if "nz" in p else math.floor(ns * dt / 2 * p["v"] / p["dz"] + 0.5) + math.floor(relief / p["dz"] + 0.5)
-    return kernels.migrate(df, p["dx"], dt, p["v"], p["aperture"], p["dz"], depths, height="z" if "z" in df.columns else None, ns=ns)
+    relief = "z" in df.columns
+    depths = int(p["nz"]) if "nz" in p else math.floor(ns * dt / 2 * p["v"] / p["dz"] + 0.5)
+    return kernels.migrate(df, p["dx"], dt, p["v"], p["aperture"], p["dz"], depths, height="z" if relief else None, ns=ns, under_relief=relief and "nz" not in p)
 
 
-@step("do_migration2d_vz")
+@step("do_migration2d_vz", "channel")
 def profile_migration(df, p, dt, ns):
     """Our own sum along hyperbolas of one speed; traces dx apart."""
     if not isinstance(p["v"], float):
@@ -199,32 +214,32 @@ def profile_migration(df, p, dt, ns):
     return kernels.migrate_profile(df, ["profile", "channel"], "trace", p["dx"], dt, p["v"], p["aperture"], ns)
 
 
-@step("do_linearInterpolation")
+@step("do_linearInterpolation", "survey")
 def fill_linear(df, p, dt, ns):
     """Of grid cells (ix, iy, amp): gaps within radius (in cells) of a trace."""
     cells = df.select("ix", "iy", "amp")
     return cells.unionByName(surface.linear_traces(surface.gaps(cells, p["radius"]), cells, p["radius"]))
 
 
-@step("do_IDW_Interpolation")
+@step("do_IDW_Interpolation", "survey")
 def fill_idw(df, p, dt, ns):
     """Of grid cells (ix, iy, amp): gaps within radius (in cells) of a trace."""
     cells = df.select("ix", "iy", "amp")
     return cells.unionByName(surface.idw_traces(surface.gaps(cells, p["radius"]), cells, p["radius"], p["power"]))
 
 
-@step("do_Coherence")
+@step("do_Coherence", "survey")
 def coherence(df, p, dt, ns):
     """Of grid cells (ix, iy, amp), along the trace."""
     return grid.coherence_cube(df, dt, p["nwavelength"])
 
 
-@step("do_DCremoval")
+@step("do_DCremoval", "trace")
 def whole_offset(df, p, dt, ns):
     return df.withColumn("amp", trace.dc_removal(F.col("amp"), dt, 0, (ns - 1) * dt, ns))
 
 
-@step("do_t0correction")
+@step("do_t0correction", "channel")
 def first_trace(df, p, dt, ns):
     """Every trace of a profile's channel moved to fit the first one, then its time zero cut."""
     first = df.groupBy("profile", "channel").agg(F.min_by("amp", "trace").alias("_ref"))
@@ -273,14 +288,37 @@ def parse(text: str) -> tuple[list[str], dict[str, dict]]:
     return sorted(on, key=on.get), parameters
 
 
+def plan(text: str) -> list[tuple[str, list[str]]]:
+    """The steps in order, neighbours of one scope together."""
+    return [(scope, list(names)) for scope, names in groupby(parse(text)[0], lambda name: STEPS[name].scope)]
+
+
 def run(traces: DataFrame, text: str, dt: float, ns: int) -> DataFrame:
+    """The recipe of text on traces of ns samples dt apart; no job is started."""
     steps, parameters = parse(text)
+    waiting: list[spectral.Kernel] = []
+
+    def chained(df: DataFrame) -> DataFrame:
+        """df with the transforms that wait, in one pass."""
+        kernels_, waiting[:] = list(waiting), []
+
+        def every(block):
+            for kernel in kernels_:
+                block = kernel(block)
+            return block
+
+        return spectral.apply(df.withColumn("amp", F.col("amp").cast("array<double>")), every) if kernels_ else df
+
     for name in steps:
-        own = ChainMap(parameters[name], *[p for k, p in parameters.items() if k != name])
-        traces = STEPS[name](traces, own, dt, ns)
+        given = {k: v for (n, k), other in SHARED.items() if n == name for v in [parameters.get(other, {}).get(k)] if v is not None}
+        own = Parameters(name, parameters[""] | given | parameters[name])
+        if kernel := STEPS[name].kernel(own, dt, ns):
+            waiting.append(kernel)
+        else:
+            traces = STEPS[name].run(chained(traces), own, dt, ns)
         if name == "do_cutTWT":
             ns = min(ns, int(own["tmax"] / dt + 1e-9) + 1)
         if name == "do_reduceNumberOfSamples":
             n = own["n"] if own["n"] < 1 else int(own["n"])
             ns, dt = int((ns - 1) / n + 1e-9) + 1, dt * n
-    return traces
+    return chained(traces)
