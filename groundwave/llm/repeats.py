@@ -285,18 +285,19 @@ def find(docs: DataFrame, text_col: str = "text", length: int = LENGTH, large: i
     texts = materialize_buckets(long.groupBy("key").agg(F.first("text").alias("text"), (F.count("*") > 1).alias("copied")), "repeats-texts", "key")
     kinds = "key binary, copied boolean, at int, x long, y long"
     sampled = materialize(texts.mapInArrow(_sample(length), kinds), "repeats-samples")
-    often = sampled.groupBy("x").agg(F.count("*").alias("n")).where("n > 1").select("x")
-    # neither side is small for certain: always a shuffled join, whose hot keys adaptive execution splits
+    # neither side is small for certain: always shuffled joins. The counts are tables of their own, as adaptive execution splits hot keys
+    # only where both sides are shuffled for the join alone
+    often = materialize(sampled.groupBy("x").agg(F.count("*").alias("n")).where("n > 1").select("x"), "repeats-often")
     named = sampled.join(often.hint("merge"), "x", "left_semi").select("key", "copied", "at", "x", "y")
     lined = named.repartition("key").sortWithinPartitions("key", "at").mapInArrow(_triples(length), f"{kinds}, triple binary")
     lined = materialize(lined, "repeats-triples")
-    settled = lined.where("triple IS NOT NULL").groupBy("triple").agg(F.count("*").alias("n"), F.min(F.struct("key", "at")).alias("one")).where("n > 1").select("triple", "one")
+    settled = materialize(lined.where("triple IS NOT NULL").groupBy("triple").agg(F.count("*").alias("n"), F.min(F.struct("key", "at")).alias("one")).where("n > 1").select("triple", "one"), "repeats-settled")
     marked = materialize(lined.join(settled.hint("merge"), "triple", "left").select("key", "copied", "at", "x", "y", F.col("one").isNotNull().alias("settled"), (F.col("one") == F.struct("key", "at")).alias("stands")), "repeats-marked")
 
     reach, _, _ = cover(length)
     whole = marked.where("settled AND NOT copied").select("key", (F.col("at") - (reach - 1)).cast("long").alias("start"), (F.col("at") + length).cast("long").alias("end"))
     members = marked.where("NOT settled OR stands").withColumn("open", ~F.col("settled") & ~F.col("copied"))
-    groups = members.groupBy("x", "y").agg(F.count("*").alias("members"), F.max("open").alias("any")).where("members > 1 AND any").select("x", "y", "members")
+    groups = materialize(members.groupBy("x", "y").agg(F.count("*").alias("members"), F.max("open").alias("any")).where("members > 1 AND any").select("x", "y", "members"), "repeats-groups")
     wanted = members.join(groups.hint("merge"), ["x", "y"]).groupBy("key").agg(F.collect_list(F.struct("x", "y", "members", "at", "open")).alias("wanted"))
     contexts = texts.join(wanted.hint("merge"), "key").select("key", "text", "wanted").mapInArrow(_contexts(length), "x long, y long, members long, key binary, at int, open boolean, left binary, right binary")
     contexts = materialize(contexts, "repeats-contexts", "zstd")
