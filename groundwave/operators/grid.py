@@ -110,37 +110,55 @@ def coherence(cells: DataFrame, first: int, n: int, amp: str = "amp") -> DataFra
     return rows.join(shifted, ["ix", "iy"]).groupBy("ix", "iy").agg(F.avg(1 - correlation(F.col("a"), F.col("b"))).alias("v"), F.count("*").alias("n"))
 
 
-def coherence_cube(cells: DataFrame, dt: float, wavelengths: float = 1.0, length: float = 0.25, speed: float = 0.1, amp: str = "amp") -> DataFrame:
+def coherence_cube(cells: DataFrame, dt: float, wavelengths: float = 1.0, length: float = 0.25, speed: float = 0.1, amp: str = "amp", tile: int = 32) -> DataFrame:
     """(ix, iy, amp): at every sample the mean of 1 - r with the up to four neighbours that have a trace, over the samples
     of a window that slides along the trace: round(wavelengths length / speed / dt) steps long, its middle (the later of two) is the
-    sample. Null where no window lies, and where nothing varies."""
+    sample. Null where no window lies, and where nothing varies. Cells have one trace each; one without a neighbour is left out.
+
+    Cells are dealt to tiles with a border of one cell, so a trace is shuffled about once, and a task holds one tile.
+    """
     from .spectral import _block, _lists
 
     steps = math.floor(wavelengths * length / speed / dt + 0.5)
-
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                a, b = (np.lib.stride_tricks.sliding_window_view(_block(batch.column(c)), steps + 1, axis=1) for c in ("a", "b"))
-                a, b = a - a.mean(2, keepdims=True), b - b.mean(2, keepdims=True)
-                scale = np.sqrt((a * a).sum(2) * (b * b).sum(2))
-                out = np.full((batch.num_rows, a.shape[1] + steps), np.nan)
-                # a window from sample t (1-based) belongs to sample t + steps / 2, rounded up
-                first = math.floor(1 + steps / 2 + 0.5) - 1
-                r = np.divide((a * b).sum(2), scale, out=np.full(scale.shape, np.nan), where=scale > 1e-300)
-                out[:, first : first + r.shape[1]] = 1 - r
-                yield pa.RecordBatch.from_arrays([batch.column("ix"), batch.column("iy"), _lists(out)], names=["ix", "iy", "v"])
-
-    rows = cells.where(F.col(amp).isNotNull()).select("ix", "iy", F.col(amp).cast("array<double>").alias("a"))
-    shifted = near_cells(rows.withColumnRenamed("a", "b"), [(1, 0), (-1, 0), (0, 1), (0, -1)]).select("ix", "iy", "b")
-    pairs = rows.join(shifted, ["ix", "iy"])
-    found = pairs.mapInArrow(run, pairs.select("ix", "iy", F.col("a").alias("v")).schema).groupBy("ix", "iy").agg(F.collect_list("v").alias("v"))
-
-    def mean(k: Column) -> Column:
-        here = F.filter(F.transform("v", lambda t: F.get(t, k)), lambda x: x.isNotNull())
-        return F.try_divide(F.aggregate(here, F.lit(0.0), lambda acc, x: acc + x), F.size(here))
-
-    return found.select("ix", "iy", F.transform(F.sequence(F.lit(0), F.size(F.element_at("v", 1)) - 1), mean).alias(amp))
+    # a window from sample t (1-based) belongs to sample t + steps / 2, rounded up
+    first = math.floor(1 + steps / 2 + 0.5) - 1
+
+    def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        a, b = (np.lib.stride_tricks.sliding_window_view(x, steps + 1, axis=1) for x in (a, b))
+        a, b = a - a.mean(2, keepdims=True), b - b.mean(2, keepdims=True)
+        scale = np.sqrt((a * a).sum(2) * (b * b).sum(2))
+        return 1 - np.divide((a * b).sum(2), scale, out=np.full(scale.shape, np.nan), where=scale > 1e-300)
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        tx, ty = (int(k.as_py()) for k in key)
+        x, y, block = table["ix"].to_numpy() - tx * tile + 1, table["iy"].to_numpy() - ty * tile + 1, _block(table["a"].combine_chunks())
+        place = np.full((tile + 2, tile + 2), -1)
+        place[x, y] = np.arange(len(x))
+        own = np.flatnonzero((x >= 1) & (x <= tile) & (y >= 1) & (y <= tile) & (place[x, y] == np.arange(len(x))))
+        sums, counts, met = np.zeros((len(own), block.shape[1])), np.zeros((len(own), block.shape[1])), np.zeros(len(own), bool)
+        if block.shape[1] > steps:
+            for i, j in ((1, 0), (-1, 0), (0, 1), (0, -1)):
+                beside = place[x[own] + i, y[own] + j]
+                hit = np.flatnonzero(beside >= 0)
+                met[hit] = True
+                for at in range(0, len(hit), 256):
+                    some = hit[at : at + 256]
+                    r = apart(block[own[some]], block[beside[some]])
+                    span = slice(first, first + r.shape[1])
+                    sums[some, span] += np.nan_to_num(r)
+                    counts[some, span] += ~np.isnan(r)
+        else:
+            for i, j in ((1, 0), (-1, 0), (0, 1), (0, -1)):
+                met |= place[x[own] + i, y[own] + j] >= 0
+        out = np.divide(sums, counts, out=np.full(sums.shape, np.nan), where=counts > 0)[met]
+        own = own[met]
+        return pa.table({"ix": table["ix"].to_numpy()[own], "iy": table["iy"].to_numpy()[own], amp: _lists(out)})
+
+    rows = cells.where(F.col(amp).isNotNull()).select(F.col("ix").cast("long").alias("ix"), F.col("iy").cast("long").alias("iy"), F.col(amp).cast("array<double>").alias("a"))
+    tiles_of = lambda c: F.explode(F.sequence(F.floor((F.col(c) - 1) / tile), F.floor((F.col(c) + 1) / tile)))
+    found = rows.withColumn("tx", tiles_of("ix")).withColumn("ty", tiles_of("iy")).groupBy("tx", "ty").applyInArrow(run, f"ix long, iy long, {amp} array<double>")
+    kinds = cells.schema
+    return found.select(F.col("ix").cast(kinds["ix"].dataType).alias("ix"), F.col("iy").cast(kinds["iy"].dataType).alias("iy"), amp)
 
 
 def without_places(df: DataFrame, *columns: str) -> DataFrame:

@@ -185,3 +185,33 @@ def nearest(missing: DataFrame, valid: DataFrame, v: str = "v", tile: int = 16)
     if done is None:
         return left.limit(0).select("ix", "iy", F.lit(None).cast(valid.schema["_v"].dataType).alias(v), F.lit(None).cast("double").alias("d"))
     return done
+
+
+def linear_or_nearest(missing: DataFrame, valid: DataFrame, radius: float, v: str = "v") -> DataFrame:
+    """(ix, iy, v) of all missing cells: on a triangle of valid cells within radius its plane, elsewhere the value of the nearest one."""
+    inside = cut(linear(missing, valid, radius, v).select("ix", "iy", v))
+    outside = nearest(missing.join(inside, ["ix", "iy"], "left_anti"), valid, v)
+    return inside.unionByName(outside.select("ix", "iy", v))
+
+
+def area_topography(points: DataFrame, asked: DataFrame, dx: float, radius: float, x: str = "x", y: str = "y", z: str = "z") -> DataFrame:
+    """asked (x, y and other columns) with z from heights of an area: means in cells of dx; a place takes the height of its cell, which is interpolated
+    on triangles within radius where the cell has none, and beyond them the nearest one's. Places without coordinates have a null."""
+    cell = lambda c: F.floor(F.col(c) / dx).cast("long")
+    known = cut(points.where(F.col(z).isNotNull() & F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(cell(x).alias("ix"), cell(y).alias("iy")).agg(F.avg(z).cast("double").alias("v")))
+    rows = asked.drop(z).withColumns({"ix": cell(x), "iy": cell(y)})
+    wanted = rows.where("ix is not null and iy is not null").select("ix", "iy").distinct()
+    heights = known.unionByName(linear_or_nearest(wanted.join(known, ["ix", "iy"], "left_anti"), known, radius))
+    return rows.join(heights.withColumnRenamed("v", z), ["ix", "iy"], "left").drop("ix", "iy")
+
+
+def line_topography(heights: DataFrame, asked: DataFrame, by: str, at: str, z: str = "z") -> DataFrame:
+    """asked (by, at and other columns) with z on the lines between the heights (by, at, z) of its own profile; null before the first and behind
+    the last one. Several heights of one place count as their mean."""
+    from . import track
+
+    mean = heights.where(F.col(at).isNotNull() & F.col(z).isNotNull()).groupBy(by, F.col(at).cast("double").alias("_at")).agg(F.avg(z).alias("_z"))
+    rows = asked.drop(z).withColumn("_at", F.col(at).cast("double"))
+    places = rows.where("_at is not null").select(by, "_at").union(mean.select(by, "_at")).distinct().join(mean, [by, "_at"], "left")
+    filled = track.interpolate(places, by, "_at", "_z").select(by, "_at", F.col("_z").alias(z))
+    return rows.join(filled, [by, "_at"], "left").drop("_at")

@@ -166,9 +166,19 @@ def channel_shift(df, p, dt, ns):
 
 @step("do_crossprofileshift", "survey")
 def profile_shift(df, p, dt, ns):
-    """Every profile moved to fit the first one, by the mean traces of channel 1."""
-    means = channel.sample_stats(df.where("channel = 1"), ["profile"])
-    return channel.shifted(df, channel.best_shift(means, "profile", None, int(p["maxshift_cps"])), "profile")
+    """Every profile moved to fit the first one, by the mean traces of channel 1; with a shiftfile by the shifts stored in it."""
+    return channel.shifted(df, found_shifts(df, int(p["maxshift_cps"])) if "shiftfile" not in p else stored_shifts(df, str(p["shiftfile"])), "profile")
+
+
+def found_shifts(df: DataFrame, most: int) -> DataFrame:
+    """(profile, shift, r) of do_crossprofileshift, to be looked at or stored as lines of profile and shift (`sinks.write_lists`)."""
+    return channel.best_shift(channel.sample_stats(df.where("channel = 1"), ["profile"]), "profile", None, most)
+
+
+def stored_shifts(df: DataFrame, path: str) -> DataFrame:
+    """(profile, shift) of a stored list; others than pairs of numbers are left out."""
+    rows = df.sparkSession.read.schema("profile double, shift double").option("sep", "\t").option("mode", "PERMISSIVE").csv(path)
+    return rows.where("profile is not null and shift is not null").select(F.col("profile").cast(df.schema["profile"].dataType).alias("profile"), F.col("shift").cast("int").alias("shift"))
 
 
 @step("do_t0CorrectionReferencetrace", "survey")

@@ -77,3 +77,13 @@ def nearest_outside(spark, d):
     rows, strip = _grid(spark, d), F.col("ix").between(12, 20)
     out = surface.nearest(rows.where(~strip), rows.where(strip), tile=4)
     return out.select("ix", "iy", F.round("v", 6).alias("v"), F.round("d", 6).alias("d"))
+
+
+@query("""WITH h AS (SELECT event_id % 20 AS p, (event_id * 7 % 1999)::DOUBLE AS h, avg(value) AS z FROM events GROUP BY ALL), a AS (SELECT event_id AS nr, event_id % 20 AS p, (event_id * 11 % 2003)::DOUBLE AS s FROM events)
+SELECT a.nr, round(CASE WHEN b.h = a.s THEN b.z ELSE b.z + (c.z - b.z) * (a.s - b.h) / (c.h - b.h) END + 1e-8, 5) AS z FROM a ASOF LEFT JOIN h b ON a.p = b.p AND a.s >= b.h ASOF LEFT JOIN h c ON a.p = c.p AND a.s <= c.h""")
+def line_topography(spark, d):
+    """Heights at places along each profile, for other places along it; both from all events."""
+    n, rows = F.col("event_id"), table(spark, d, "events")
+    heights = rows.select((n % 20).alias("p"), (n * 7 % 1999).alias("s"), F.col("value").alias("z"))
+    asked = rows.select(n.alias("nr"), (n % 20).alias("p"), (n * 11 % 2003).alias("s"))
+    return surface.line_topography(heights, asked, "p", "s").select("nr", F.round(F.col("z") + 1e-8, 5).alias("z"))

@@ -106,3 +106,24 @@ def read_cpdt(spark: SparkSession, folder: str) -> DataFrame:
     """(path, trace, cu_ms, pc_ms, wheel) of .cpdt logs: time of the control unit (recorded in 1/1024 s) and of the computer in ms, wheel count."""
     columns = {"trace": lambda r: r["trace"], "cu_ms": lambda r: np.floor(r["cu"].astype(float) / 1024 * 1000 + 0.5), "pc_ms": lambda r: _clock(r, "pc_"), "wheel": lambda r: r["wheel"]}
     return _records(spark, folder, "*.cpdt", _CPDT, columns, "trace long, cu_ms long, pc_ms long, wheel long")
+
+
+def read_clock(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, trace, cu_ms, pulse) of .cpdt logs: the control unit's time from the log's second trace on, which stands at 20 ms, the first at 0;
+    pulse marks the trace behind a record without a trace number, which the receiver's pulse leaves."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.cpdt").load(folder).select("path", "content")
+
+    def decode(batches):
+        for batch in batches:
+            for path, content in zip(*batch.columns, strict=True):
+                raw = content.as_buffer()
+                rows = np.frombuffer(raw, _CPDT, max(0, len(raw) - _HEAD) // _CPDT.itemsize, min(_HEAD, len(raw)))
+                pulse = np.zeros(len(rows), bool)
+                pulse[1:] = rows["trace"][:-1] == 0
+                kept = rows["trace"] > 0
+                clock = np.floor(rows["cu"][kept].astype(float) / 1024 * 1000 + 0.5).astype(np.int64)
+                clock = clock - (clock[1] if len(clock) > 1 else 0) + 20
+                clock[:1] = 0
+                yield pa.RecordBatch.from_arrays([pa.array([path.as_py()] * len(clock), pa.string()), pa.array(rows["trace"][kept].astype(np.int64)), pa.array(clock), pa.array(pulse[kept])], names=["path", "trace", "cu_ms", "pulse"])
+
+    return files.mapInArrow(decode, "path string, trace long, cu_ms long, pulse boolean")

@@ -145,3 +145,49 @@ def test_positions_of_pulses_are_written_and_read_back(spark, tmp_path):
     sinks.write_lists(out, f"file://{tmp_path}", "profile", "trace", ["trace", "x", "y", "z"]).collect()
     back = logs.read_list(spark, f"{tmp_path}/*.pos", "pos").collect()
     assert sorted((r["trace"], r["x"], r["y"], r["z"]) for r in back) == sorted((float(r["trace"]), round(r["x"], 4), round(r["y"], 4), r["z"]) for r in rows)
+
+
+def test_coherence_by_tiles(spark):
+    from groundwave.operators import grid
+
+    rng = np.random.default_rng(4)
+    have = {(x, y): rng.normal(size=30) for x in range(-5, 9) for y in range(7) if rng.random() < 0.7} | {(50, 50): rng.normal(size=30), (60, 60): np.ones(30), (61, 60): rng.normal(size=30)}
+    df = spark.createDataFrame([(x, y, a.tolist()) for (x, y), a in have.items()], "ix int, iy int, amp array<double>")
+    got = {(r["ix"], r["iy"]): r["amp"] for r in grid.coherence_cube(df, 0.5, tile=3).collect()}
+    beside = lambda x, y: [have[c] for c in ((x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1)) if c in have]
+    assert got.keys() == {c for c in have if beside(*c)}
+    for (x, y), out in got.items():
+        for k in range(30):
+            a = k - 3  # five steps, six samples; the later of the two in the middle
+            r = [1 - np.corrcoef(have[(x, y)][a : a + 6], b[a : a + 6])[0, 1] for b in beside(x, y) if a >= 0 and a + 6 <= 30 and have[(x, y)].std() and b.std()]
+            assert out[k] is None if not r else np.isclose(out[k], np.mean(r)), (x, y, k)
+
+
+def test_heights_of_an_area_and_of_lines(spark):
+    points = spark.createDataFrame([(0.5, 0.5, 1.0), (4.5, 0.5, 5.0), (0.5, 4.5, 9.0), (0.7, 0.6, 3.0), (2.0, None, 8.0), (1.0, 1.0, None)], "x double, y double, z double")
+    asked = spark.createDataFrame([(1, 0.1, 0.2, 7.0), (2, 1.5, 1.5, 7.0), (3, 90.0, 0.5, 7.0), (4, -3.0, 6.0, 7.0), (5, None, 1.0, 7.0)], "k int, x double, y double, z double")
+    got = {r["k"]: r["z"] for r in surface.area_topography(points, asked, 1.0, 6.0).collect()}
+    assert got[1] == 2.0 and math.isclose(got[2], 2 + 0.75 + 1.75) and got[3] == 5.0 and got[4] == 9.0 and got[5] is None
+    lines = spark.createDataFrame([(1, 0.0, 1.0), (1, 10.0, 2.0), (1, 10.0, 4.0), (2, 0.0, 0.0), (None, 1.0, 6.0)], "p int, s double, z double")
+    places = spark.createDataFrame([(1, 1, 5.0), (2, 1, 10.0), (3, 1, 11.0), (4, 2, 0.0), (5, 3, 1.0), (6, 1, None)], "k int, p int, s double")
+    assert {r["k"]: r["z"] for r in surface.line_topography(lines, places, "p", "s").collect()} == {1: 2.0, 2: 3.0, 3: None, 4: 0.0, 5: None, 6: None}
+
+
+def test_shifts_of_profiles_are_stored_and_used(spark, tmp_path):
+    base = np.exp(-((np.arange(40) - 15.0) ** 2) / 6)
+    df = spark.createDataFrame([(p, 1, t, np.roll(base, 2 * p).tolist()) for p in (1, 2, 3) for t in (1, 2)], "profile int, channel int, trace int, amp array<double>")
+    text = "do_crossprofileshift 1\nmaxshift_cps 6"
+    sinks.write_lists(recipe.found_shifts(df, 6).withColumn("all", F.lit("shifts")), f"file://{tmp_path}", "all", "profile", ["profile", "shift"], suffix=".txt").collect()
+    assert (tmp_path / "shifts.txt").read_text() == "1\t0\n2\t-2\n3\t-4\n"
+    key = lambda out: sorted((r["profile"], r["trace"], tuple(r["amp"])) for r in out.collect())
+    again = recipe.run(df, f"{text}\nshiftfile {tmp_path}/shifts.txt", 0.5, 40)
+    assert key(again) == key(recipe.run(df, text, 0.5, 40)) and {int(np.argmax(a)) for _, _, a in key(again)} == {17}
+
+
+def test_pulses_of_a_control_units_log(spark, tmp_path):
+    rows = np.zeros(6, logs._CPDT)
+    rows["trace"], rows["cu"] = [1, 2, 0, 3, 4, -1], [100, 1024, 5, 2048, 3072, 9]
+    (tmp_path / "a.cpdt").write_bytes(b"\0" * 16 + rows.tobytes())
+    (tmp_path / "b.cpdt").write_bytes(b"\0" * 10)
+    got = [tuple(r)[1:] for r in logs.read_clock(spark, str(tmp_path)).collect()]
+    assert got == [(1, 0, False), (2, 20, False), (3, 1020, True), (4, 2020, False)]
