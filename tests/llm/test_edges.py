@@ -5,12 +5,13 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from groundwave.llm import chat, langid, media, mixing, packing, pii, pipeline, quality, shards, similar, simhash, warc
+from groundwave.llm import chat, langid, media, mixing, packing, pii, pipeline, quality, repair, repeats, shards, similar, simhash, trie, warc
 from groundwave.llm.common import shared_folder
 
 #: Names the operators use inside themselves, and those of their results.
 CLASHES = """id row fp _id _text _copy text_key base spans extra component root node lang_pred score size source_size target times doc
-_pii_key _pii_spans _pii_extra hash n_bytes shard depth host key kept bits mask digest media html items position start length _r""".split()
+_pii_key _pii_spans _pii_extra hash n_bytes shard depth host key kept bits mask digest media html items position start length _r
+conv pos seq audit blank initial copied at x y triple parent n found removed spans_ block sum_leaf""".split()
 WORDS = "the cat sat on a mat and saw der hund la casa blanca with some more words to say"
 
 
@@ -57,8 +58,8 @@ def test_last_stage_packs_every_row(spark, awkward):
 @pytest.mark.parametrize("operator", [
     lambda d: pii.detect(d), lambda d: langid.predict(d, langid.fit(d)), lambda d: simhash.classes(d), lambda d: mixing.mix(d), lambda d: quality.judge(d),
     lambda d: shards.assign(d, "doc_id", "text", 4096), lambda d: media.resolve(media.parse(media.pages_of(d, "doc_id", "text"), "id", "html"), media.features(media.store(d, "text"))).where("kind = 'img'"),
-    lambda d: packing.pack(d, packing.default_tokenizer()).where("start = 0"),
-], ids=["pii", "langid", "simhash", "mixing", "quality", "shards", "media", "packing"])
+    lambda d: packing.pack(d, packing.default_tokenizer()).where("start = 0"), lambda d: repeats.cut_repeats(d, length=50),
+], ids=["pii", "langid", "simhash", "mixing", "quality", "shards", "media", "packing", "repeats"])
 def test_operators_return_every_row(awkward, operator):
     assert operator(awkward).count() == awkward.count()
     assert operator(awkward.select([F.lit(None).cast(t).alias(c) for c, t in awkward.dtypes])).count() == awkward.count()
@@ -79,6 +80,19 @@ def test_archives_and_chats_of_awkward_tables(spark, awkward):
         assert said.count() == df.select("doc_id").distinct().count()
 
 
+def test_tries_and_repairs_of_awkward_tables(spark, awkward):
+    nulls = awkward.select([F.lit(None).cast(t).alias(c) for c, t in awkward.dtypes])
+    for df in (awkward, nulls, awkward.limit(0)):
+        turns = df.select(F.col("doc_id").alias("conv_id"), F.col("n_chars").alias("turn"), F.col("lang").alias("role"), "text", *[c for c in CLASHES if c not in ("conv_id", "turn", "role", "text")])
+        root = trie.prefix_trie(turns).where("depth = 0").collect()
+        named = df.where("doc_id is not null").select("doc_id").distinct().count()
+        assert [r["n_convs"] for r in root] == ([named] if named else [])
+        fixed = repair.repair(turns).collect()
+        assert len(fixed) == df.select("doc_id").distinct().count()
+        left = repair.repaired_turns(turns).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "role"))), lambda t: F.substring(t["role"], 1, 1)), "").alias("r")).collect()
+        assert all(r["r"].removeprefix("s").replace("ua", "") == "" for r in left)
+
+
 def test_copies_without_an_id_and_texts_under_one_id(spark, awkward):
     for module in (simhash, similar):
         out = module.deduplicate(awkward)
