@@ -28,8 +28,9 @@ def remove_background(traces: DataFrame, by: list[str], amp: str = "amp") -> Dat
 
 
 def remove_median_background(traces: DataFrame, by: list[str], amp: str = "amp") -> DataFrame:
-    """Minus the median trace of the channel."""
-    rows = traces.select(*by, F.posexplode(amp).alias("k", "v")).groupBy(*by, "k").agg(F.percentile("v", 0.5).alias("m")).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("k", "m"))).alias("x"))
+    """Minus the median trace of the channel; missing samples (null or NaN) do not count. The exact median holds the distinct values of one
+    sample of a channel in one task."""
+    rows = traces.select(*by, F.posexplode(amp).alias("k", "v")).withColumn("v", F.when(~F.isnan("v"), F.col("v"))).groupBy(*by, "k").agg(F.percentile("v", 0.5).alias("m")).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("k", "m"))).alias("x"))
     stats = rows.select(*by, F.transform("x", lambda r: r["m"]).alias("_median"))
     return traces.join(stats, by).withColumn(amp, F.zip_with(amp, "_median", lambda a, m: a - m)).drop("_median")
 

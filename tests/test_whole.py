@@ -35,3 +35,11 @@ def test_background_is_the_median_if_asked_for(spark):
         for r in recipe.run(df, f"{step}{n}", 0.5, 6).collect():
             i = r["trace"]
             assert np.allclose(r["amp"], amp[i] - np.median(amp[max(0, i - 2) : i + 3] if n else amp, axis=0))
+
+
+def test_median_background_leaves_nan_out(spark):
+    from groundwave.operators import channel
+
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (1, [3.0, float("nan")]), (1, [8.0, 4.0])], "channel int, amp array<double>")
+    got = sorted((r["amp"] for r in channel.remove_median_background(df, ["channel"]).collect()), key=lambda a: a[0])
+    assert got[0] == [-2.0, -1.0] and got[2] == [5.0, 1.0] and np.isnan(got[1][1])
