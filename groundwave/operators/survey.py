@@ -19,7 +19,8 @@ def pps_positions(clock: DataFrame, fixes: DataFrame, limit: float, by: str = "p
     behind the last pulse's; the first one has nothing before it and doesn't count. From a pulse's trace the first row with a
     positioning time of 0 ms, or 98 to 102 ms, gives the offset of the control unit's clock (`track.pps_sync`); the median of a file's offsets
     of less than `limit` traces moves all its positioning times, and coordinates are interpolated at the moved times, on the line
-    of the two nearest beyond the ends. Of fixes of one time the first trace's counts. Files without an offset go.
+    of the two nearest beyond the ends. Of fixes of one time the first trace's counts; those without a coordinate are places to find only. Files
+    without an offset go.
     """
     w = W.partitionBy(by).orderBy("trace")
     rows = clock.select(by, "trace", "cu_ms", "pulse").join(fixes.select(by, "trace", "pos_ms"), [by, "trace"], "full")
@@ -28,11 +29,12 @@ def pps_positions(clock: DataFrame, fixes: DataFrame, limit: float, by: str = "p
     rows = rows.withColumn("pulse", F.coalesce(F.col("pulse") & (F.col("cu_ms") > warm_up) & (F.col("trace") - before > 1), F.lit(False)))
     offset = track.pps_sync(rows, by, "trace", "pulse", "ms", "cu_ms", limit).groupBy(by).agg(F.first("median_offset").alias("_offset"))
     asked = fixes.join(offset, by).withColumn("_at", (F.col("pos_ms") - F.col("_offset")).cast("double")).where("_at is not null")
-    known = fixes.groupBy(by, F.col("pos_ms").cast("double").alias("_at")).agg(F.min_by(F.struct(*PLACES), "trace").alias("_p")).select(by, "_at", "_p.*")
+    whole = fixes.where(" AND ".join(f"{c} IS NOT NULL" for c in PLACES))
+    known = whole.groupBy(by, F.col("pos_ms").cast("double").alias("_at")).agg(F.min_by(F.array(*[F.col(c).cast("double") for c in PLACES]), "trace").alias("_p"))
     times = known.select(by, "_at").union(asked.select(by, "_at")).distinct().join(known, [by, "_at"], "left")
-    for c in PLACES:
-        times = track.interpolate(times, by, "_at", c, edges="line")
-    return asked.drop(*PLACES).join(times, [by, "_at"]).drop("_at", "_offset")
+    times = track.interpolate(times, by, "_at", "_p", edges="line", arrays=True)
+    out = asked.drop(*PLACES).join(times, [by, "_at"])
+    return out.withColumns({c: F.get("_p", F.lit(i)) for i, c in enumerate(PLACES)}).drop("_at", "_offset", "_p")
 
 
 def sample_slices(traces: DataFrame, dt: float, tmax: float, xs: tuple[float, float, int], ys: tuple[float, float, int], more: int = 0) -> DataFrame:
