@@ -19,6 +19,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -62,7 +63,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.letters, self.known = self.tokenizer.model, _byte_letters(), {}
+        self.model, self.letters, self.known, self.older = self.tokenizer.model, _byte_letters(), {}, {}
         rules = json.loads(self.tokenizer.to_str())
         steps = [rules["normalizer"], rules["pre_tokenizer"]]
         tokens = [t["content"] for t in rules["added_tokens"]]
@@ -82,12 +83,12 @@ class WordEncoder:
         return self.whole(word)
 
     def words(self, words: list[str]) -> list[list[int]]:
-        if len(self.known) > _CACHE:
-            self.known.clear()
-        known, out = self.known, []
+        if len(self.known) > _CACHE:  # words that come again are kept longer than others
+            self.known, self.older = {}, self.known
+        known, older, out = self.known, self.older, []
         for w in words:
             if (ids := known.get(w)) is None:
-                ids = known[w] = self.word(w)
+                ids = known[w] = older.get(w) or self.word(w)
             out.append(ids)
         return out
 
@@ -118,16 +119,18 @@ def tokenize(texts: pa.Array, encoder: WordEncoder) -> tuple[np.ndarray, np.ndar
         used = np.flatnonzero(np.bincount(parts, minlength=words))
         at = np.searchsorted(part_owner, wholes)
         parts, part_owner = np.insert(parts, at, words + np.arange(len(wholes))), np.insert(part_owner, at, wholes)
-    ids_of: list[list[int]] = [[]] * words
-    for code, ids in zip(used.tolist(), encoder.words(coded.dictionary.take(pa.array(used)).to_pylist()), strict=True):
-        ids_of[code] = ids
-    ids_of += [encoder.whole(texts[int(i)].as_py()) for i in wholes] + [[END_ID]]
+    found = encoder.words(coded.dictionary.take(pa.array(used)).to_pylist())
+    found += [encoder.whole(texts[int(i)].as_py()) for i in wholes] + [[END_ID]]
     part_offsets = np.searchsorted(part_owner, np.arange(n + 1))
-    sizes = np.fromiter(map(len, ids_of), np.int64, len(ids_of))
-    table = np.fromiter((x for ids in ids_of for x in ids), np.uint32, int(sizes.sum()))
+    each = np.fromiter(map(len, found), np.int64, len(found))
+    table = np.fromiter(chain.from_iterable(found), np.uint32, int(each.sum()))
+    # codes of words, then of whole texts, then the end; words of whole texts alone have no ids
+    code = np.append(used, np.arange(words, words + len(wholes) + 1))
+    sizes, first = np.zeros(words + len(wholes) + 1, np.int64), np.zeros(words + len(wholes) + 1, np.int64)
+    sizes[code], first[code] = each, np.cumsum(each) - each
     # an end code after every document's words
-    ended = np.insert(parts, part_offsets[1:], len(ids_of) - 1)
-    starts, lens = (np.cumsum(sizes) - sizes)[ended], sizes[ended]
+    ended = np.insert(parts, part_offsets[1:], len(sizes) - 1)
+    starts, lens = first[ended], sizes[ended]
     ids = table[_ranges(starts, lens)]
     ends = np.concatenate(([0], np.cumsum(lens)))
     return ids, ends[part_offsets + np.arange(n + 1)], codes, np.searchsorted(owner, np.arange(n + 1))
