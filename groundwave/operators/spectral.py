@@ -161,7 +161,7 @@ def _aligned(a: np.ndarray, ref: np.ndarray) -> np.ndarray:
     down = n - 1
     while down > 0 and r[down] <= r[down - 1]:
         down -= 1
-    lag = (down if down != n - 1 else at) - (n - 1)
+    lag = (at if at != n - 1 else down) - (n - 1)
     out = np.zeros(n)
     if lag >= 0:
         out[: n - lag] = a[lag:]
@@ -171,7 +171,8 @@ def _aligned(a: np.ndarray, ref: np.ndarray) -> np.ndarray:
 
 
 def align_to(reference: list[float]) -> Kernel:
-    """Each trace shifted by the lag at which it fits the reference best, climbing from lag 0 first to later, then to earlier lags; zeros are shifted in."""
+    """Each trace shifted by the lag at which it fits the reference best, climbing from lag 0: to the hill on the side
+    of traces that come late, or, if there is none, of those that come early; zeros are shifted in."""
     ref = np.asarray(reference)
     return lambda block: np.array([_aligned(a, ref) for a in block]).reshape(block.shape)
 

@@ -21,7 +21,7 @@ def mean(values: Column) -> Column:
 
 def dc_removal(amp: Column, dt: float, start: float, end: float, ns: int) -> Column:
     """Minus the mean of the samples with start <= t <= end; the end is clamped to the trace."""
-    first, last = math.ceil(start / dt), min(math.floor(end / dt), ns - 1)
+    first, last = math.ceil(start / dt - 1e-9), min(math.floor(end / dt + 1e-9), ns - 1)
     level = mean(F.slice(amp, first + 1, last - first + 1))
     return F.zip_with(amp, F.array_repeat(level, F.size(amp)), lambda x, m: x - m)
 
@@ -80,8 +80,8 @@ def attenuation(amp: Column, dt: float, sigma: float, eps: float) -> Column:
 
 
 def t0_threshold(amp: Column, threshold: float) -> Column:
-    """Without what lies before the first sample over (or, if negative, under) the threshold, zeros at the end; unchanged if no sample does."""
-    hit = F.filter(F.sequence(F.lit(1), F.size(amp)), lambda i: F.element_at(amp, i) >= threshold if threshold >= 0 else F.element_at(amp, i) <= threshold)
+    """Without what lies before the first sample over (or, if negative, under) the threshold, zeros at the end; unchanged if no sample does, or only the last."""
+    hit = F.filter(F.sequence(F.lit(1), F.size(amp)), lambda i: (i < F.size(amp)) & (F.element_at(amp, i) >= threshold if threshold >= 0 else F.element_at(amp, i) <= threshold))
     first = F.coalesce(F.get(hit, F.lit(0)), F.lit(1))
     return F.concat(F.slice(amp, first, F.size(amp) - first + 1), F.array_repeat(F.lit(0.0), first - 1))
 

@@ -101,7 +101,7 @@ def attenuation(spark, d):
     return raw(spark, d).select("vec_id", trace.attenuation(F.col("amp"), DT, 0.005, 9).alias("a")).select("vec_id", *sums("a"))
 
 
-@query(T + f""", f AS (SELECT vec_id, amp, coalesce(list_filter(range(1, 65), lambda i: amp[i] >= 0.1)[1], 1) AS k FROM traces),
+@query(T + f""", f AS (SELECT vec_id, amp, coalesce(list_filter(range(1, 64), lambda i: amp[i] >= 0.1)[1], 1) AS k FROM traces),
 x AS (SELECT vec_id, list_concat(amp[k:], list_transform(range(1, k), lambda i: 0.0::DOUBLE)) AS a FROM f) SELECT vec_id, {SUMS} FROM x""")
 def t0_threshold(spark, d):
     return raw(spark, d).select("vec_id", trace.t0_threshold(F.col("amp"), 0.1).alias("a")).select("vec_id", *sums("a"))
@@ -651,7 +651,7 @@ def k_highpass(spark, d):
 
 @query(T + f""", ref AS (SELECT amp AS b FROM traces ORDER BY vec_id LIMIT 1), c AS (SELECT vec_id, amp, list_transform(range(-63, 64), lambda l: list_sum(list_transform(range(greatest(1, 1 - l), least(64, 64 - l) + 1), lambda n: amp[n + l] * b[n]))) AS r FROM traces, ref),
 u AS (SELECT *, coalesce(list_filter(range(64, 127), lambda i: r[i] > r[i + 1])[1], 127) AS up, coalesce(list_filter(list_reverse(range(2, 65)), lambda i: r[i] > r[i - 1])[1], 1) AS down FROM c),
-g AS (SELECT vec_id, amp, CASE WHEN down <> 64 THEN down ELSE up END - 64 AS lag FROM u),
+g AS (SELECT vec_id, amp, CASE WHEN up <> 64 THEN up ELSE down END - 64 AS lag FROM u),
 x AS (SELECT vec_id, list_transform(range(1, 65), lambda i: CASE WHEN i + lag BETWEEN 1 AND 64 THEN amp[i + lag] ELSE 0 END) AS a FROM g) SELECT vec_id, {SUMS} FROM x""")
 def t0_xcorr(spark, d):
     from ..operators import spectral
