@@ -1,19 +1,31 @@
-"""Where lineage is cut."""
+"""The folder that driver and executors share, and where lineage is cut."""
 
 from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_own: list[str] = []
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in spark.checkpoint.dir. Only a local master may leave that unset: it gets one of its own."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: driver and executors need a folder that they share")
+        if not _own:
+            _own.append("file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        path = _own[0]
+    return f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in the folder that driver and executors share: spark.checkpoint.dir. Only a local master may leave it unset."""
+    """df as a checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        path = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if not path and not re.match(r"local(\[|$)", context.master):
-            raise ValueError("spark.checkpoint.dir is not set: driver and executors need a folder that they share")
-        context.setCheckpointDir(path or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        context.setCheckpointDir(folder(df.sparkSession, "checkpoints"))
     return df.checkpoint()

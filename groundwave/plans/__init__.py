@@ -1,5 +1,5 @@
 """Recipes and the query catalogue; importing the package registers every survey query."""
 
-from . import catalogue, fieldwork, finishing, whole
+from . import catalogue, fieldwork, files, finishing, whole
 
-__all__ = ["catalogue", "fieldwork", "finishing", "whole"]
+__all__ = ["catalogue", "fieldwork", "files", "finishing", "whole"]
