@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import surface, survey
+from ..operators import surface, survey, trace
 from .catalogue import _PART, DT, SUMS, T, _grid, query, raw, sums, table, traces
 
 _CLOCKS = """WITH e AS (SELECT event_id % 3 AS profile, event_id // 3 + 1 AS trace, value AS x, event_id * 13 % 101 / 10.0::DOUBLE AS y, (event_id % 7)::DOUBLE AS z FROM events),
@@ -49,13 +49,13 @@ b AS (SELECT *, floor((x - 0.03::DOUBLE) / 2)::BIGINT AS ix, floor((y + 2.01::DO
 f AS (SELECT profile, channel, real, ix, iy, k, min_by(v, trace) AS v FROM b WHERE ix BETWEEN 0 AND 39 AND iy BETWEEN 0 AND 19 GROUP BY ALL),
 l AS (SELECT *, 100 * coalesce((v - avg(v) OVER w) / nullif(stddev_samp(v) OVER w, 0), 0) AS z FROM f WINDOW w AS (PARTITION BY profile, channel, k)),
 o AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY ix, iy, k ORDER BY profile DESC, real DESC, channel DESC) = 1)
-SELECT ix, iy, any_value(channel) AS channel, any_value(profile) AS profile, count(*) AS n, round(sum(z), 5) AS s, round(sum(z * k), 5) AS w FROM o GROUP BY ix, iy""")
+SELECT ix, iy, any_value(channel) AS channel, any_value(profile) AS profile, count(*) AS n, round(sum(z) + 1e-6, 3) AS s, round(sum(z * k) + 1e-6, 3) AS w FROM o GROUP BY ix, iy""")
 def sample_slices(spark, d):
     c, t = F.col("channel"), F.col("trace")
     placed = traces(spark, d).withColumns({"profile": t % 3, "x": t * 0.7 + c * 0.1, "y": c * 1.3 + t % 3 * 0.2})
     out = survey.sample_slices(placed, DT, 3.5, (0.03, 2.0, 40), (-2.01, 0.9, 20), more=1)
-    n, s, w = sums()
-    return out.select(F.col("ix").cast("long").alias("ix"), F.col("iy").cast("long").alias("iy"), "channel", "profile", n, F.round(s, 5).alias("s"), F.round(w, 5).alias("w"))
+    weighted = trace.total(F.transform("amp", lambda x, i: x * (i + 1)))
+    return out.select(F.col("ix").cast("long").alias("ix"), F.col("iy").cast("long").alias("iy"), "channel", "profile", F.size("amp").cast("long").alias("n"), F.round(trace.total(F.col("amp")) + 1e-6, 3).alias("s"), F.round(weighted + 1e-6, 3).alias("w"))
 
 
 @query(T + f""", t AS (SELECT vec_id % 4 AS rectangle, vec_id % 23 * 0.3::DOUBLE AS x, vec_id % 37 * 0.2::DOUBLE AS y, amp FROM traces), u AS (SELECT *, 0.8::DOUBLE * x - 0.6::DOUBLE * y + 1.013::DOUBLE AS u, 0.6::DOUBLE * x + 0.8::DOUBLE * y - 2.027::DOUBLE AS v FROM t),
