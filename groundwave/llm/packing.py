@@ -17,6 +17,7 @@ an empty table gives an empty table. Only the named columns are read, so others
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from itertools import chain
@@ -55,6 +56,10 @@ _WORD_RULES = [
 ]
 
 
+#: The split rule of _WORD_RULES on lower-case ASCII words.
+_ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+
+
 class WordEncoder:
     """Ids of white-space words, with a bounded memory of words met before. A vocabulary of other rules than _WORD_RULES
     encodes whole texts."""
@@ -64,6 +69,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.letters, self.known, self.older = self.tokenizer.model, _byte_letters(), {}, {}
+        self.pieces: dict[str, list[int]] = {}
         rules = json.loads(self.tokenizer.to_str())
         steps = [rules["normalizer"], rules["pre_tokenizer"]]
         tokens = [t["content"] for t in rules["added_tokens"]]
@@ -73,10 +79,21 @@ class WordEncoder:
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def piece(self, piece: str) -> list[int]:
+        """Ids of an ASCII piece that the rules don't split."""
+        if (ids := self.pieces.get(piece)) is None:
+            ids = [t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, piece.encode())))]
+            if len(self.pieces) < _CACHE:
+                self.pieces[piece] = ids
+        return ids
+
     def word(self, word: str) -> list[int]:
+        if word.isascii():
+            low = word.lower()
+            if word.isalpha():
+                return [t.id for t in self.model.tokenize(low)]
+            return list(chain.from_iterable(map(self.piece, _ASCII_PIECES.findall(low))))
         if word.isalpha():
-            if word.isascii():
-                return [t.id for t in self.model.tokenize(word.lower())]
             low = word.lower()
             if max(low) < "ɐ" and low.isalpha() and unicodedata.is_normalized("NFC", word):
                 return [t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, low.encode())))]

@@ -101,3 +101,12 @@ def test_pages_lose_no_content():
     assert items("<figure><img src=a><figcaption>A<figure><img src=b><figcaption>B") == [("img", None, "a", "A"), ("img", None, "b", "B")]
     assert items("<figure><figure><img src=a></figure><figure><img src=b><figcaption>own</figcaption></figure><figcaption>both</figcaption></figure>") == [("img", None, "a", "both"), ("img", None, "b", "own")]
     assert items("a<hr>b<pre>c</pre><dl><dt>d<dd>e</dl><select><option>f<option>g</select>") == text(*"abcdefg")
+
+
+def test_ascii_words_are_encoded_by_pieces():
+    import random
+
+    encoder, rng = packing.WordEncoder(packing.default_tokenizer()), random.Random(5)
+    letters = [chr(c) for c in range(1, 128) if not chr(c).isspace() or c in (28, 29, 30, 31)]
+    words = ["".join(rng.choice(letters if rng.random() < 0.5 else "aB'sTreVmlLd019.,-_") for _ in range(rng.randint(1, 14))) for _ in range(5_000)]
+    assert all(encoder.word(w) == encoder.whole(w) for w in words if "<|" not in w)
