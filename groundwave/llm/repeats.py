@@ -325,3 +325,30 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def query(spark, sf_dir: str) -> DataFrame:
     return cut_repeats(read(spark, sf_dir, "documents"))
+
+
+#: All strings of 400 bytes as hexadecimal digits, told apart by a 64-bit hash, cut from pieces of 500 places so that none is counted far into.
+ORACLE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents
+), c AS (
+  SELECT r, n, j, substr(h, 1000 * j + 1, 1800) AS c FROM (SELECT r, h, n, unnest(range(0, (n - 399 + 499) // 500)) AS j FROM d WHERE n >= 400)
+), p AS (
+  SELECT r, 500 * j + o AS i, hash(substr(c, 2 * o + 1, 800)) AS m FROM (SELECT r, j, c, unnest(range(0, least(500, n - 399 - 500 * j))) AS o FROM c)
+), q AS (
+  SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM p WHERE m IN (SELECT m FROM p GROUP BY m HAVING count(*) > 1)
+), g AS (
+  SELECT r, i, count(*) FILTER (before IS NULL OR i > before + 400) OVER (PARTITION BY r ORDER BY i) AS run FROM q
+), runs AS (
+  SELECT r, run, min(i) AS a, max(i) + 400 AS b FROM g GROUP BY r, run
+), gaps AS (
+  SELECT r, coalesce(lag(b) OVER w, 0) AS a, a AS b FROM runs WINDOW w AS (PARTITION BY r ORDER BY a)
+  UNION ALL SELECT d.r, coalesce(max(runs.b), 0), any_value(d.n) FROM d LEFT JOIN runs ON runs.r = d.r GROUP BY d.r
+), kept AS (
+  SELECT r, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS h FROM gaps JOIN d USING (r) GROUP BY r
+), sums AS (
+  SELECT r, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM runs GROUP BY r
+)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(s.n_removed, 0)::BIGINT AS n_removed, coalesce(s.n_spans, 0)::BIGINT AS n_spans, sha256(unhex(k.h)) AS kept_sha256
+FROM d JOIN kept k USING (r) LEFT JOIN sums s USING (r)
+"""
