@@ -284,3 +284,30 @@ def query(spark, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), F.col("caption").cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32",
         "media_bytes", F.col("digest").alias("media_sha256"), "feature",
     )
+
+
+#: Payloads and media as hexadecimal digits; bytes are counted from pieces of 512, so that none is looked for far into.
+ORACLE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS t, strlen(coalesce(text, ''))::BIGINT AS n FROM documents
+), p AS (
+  SELECT r, doc_id, n, greatest(1, (n + 63) // 64) AS rows, t || repeat('00', greatest(1, (n + 63) // 64) * 64 - n) AS h FROM d
+), m AS (
+  SELECT *, hex(encode('P5' || chr(10) || '64 ' || rows || chr(10) || '255' || chr(10))) || h AS media FROM p
+), c AS (
+  SELECT r, substr(h, 1024 * j + 1, 1024) AS c FROM (SELECT r, h, unnest(range(0, (rows + 7) // 8)) AS j FROM p)
+), b AS (
+  SELECT r, (strpos('0123456789ABCDEF', substr(c, 2 * o + 1, 1)) - 1) * 16 + strpos('0123456789ABCDEF', substr(c, 2 * o + 2, 1)) - 1 AS v FROM (SELECT r, c, unnest(range(0, length(c) // 2)) AS o FROM c)
+), s AS (
+  SELECT r, avg(v) AS mean, avg(v * v) AS square, concat_ws(',', count(*) FILTER (v // 32 = 0), count(*) FILTER (v // 32 = 1), count(*) FILTER (v // 32 = 2), count(*) FILTER (v // 32 = 3), count(*) FILTER (v // 32 = 4),
+    count(*) FILTER (v // 32 = 5), count(*) FILTER (v // 32 = 6), count(*) FILTER (v // 32 = 7)) AS bins FROM b GROUP BY r
+), l AS (
+  SELECT r, list_transform(range(0, 64), lambda i: CAST((strpos('0123456789ABCDEF', substr(e, 2 * i + 1, 1)) - 1) * 16 + strpos('0123456789ABCDEF', substr(e, 2 * i + 2, 1)) - 1 AS BIGINT)) AS bytes FROM (SELECT r, right(h, 128) AS e FROM p)
+), k AS (
+  SELECT r, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, CAST(3988292384 AS BIGINT)) ELSE x // 2 END)), CAST(4294967295 AS BIGINT)) AS crc FROM l
+)
+SELECT m.doc_id, m.n AS n_bytes, m.rows * 64 AS payload_bytes, sha256(unhex(m.h)) AS payload_sha256, k.crc AS tail_crc32, length(m.media) // 2 AS media_bytes, sha256(unhex(m.media)) AS media_sha256,
+  'h' || m.rows || ';mean' || printf('%.6f', s.mean) || ';std' || printf('%.6f', sqrt(greatest(0, s.square - s.mean * s.mean))) || ';' || s.bins AS feature
+FROM m JOIN s USING (r) JOIN k USING (r)
+"""

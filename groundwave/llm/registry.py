@@ -28,4 +28,4 @@ QUERIES = {
     "pipeline": _pipeline,
 }
 
-ORACLES = {"op2_warc": warc.ORACLE, "op7_quality": quality.ORACLE, "op8_shards": shards.ORACLE, "op10_chat": chat.ORACLE, "op11_trie": trie.ORACLE, "op12_repair": repair.ORACLE, "op13_repeats": repeats.ORACLE}
+ORACLES = {"op2_warc": warc.ORACLE, "op7_quality": quality.ORACLE, "op8_shards": shards.ORACLE, "op9_media": media.ORACLE, "op10_chat": chat.ORACLE, "op11_trie": trie.ORACLE, "op12_repair": repair.ORACLE, "op13_repeats": repeats.ORACLE}
