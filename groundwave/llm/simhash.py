@@ -59,16 +59,26 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, rows.select("id", F.lit(0).cast("long").alias("fp")).schema)
 
 
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of numbers, or of rows of words."""
+    bits = np.bitwise_count(a ^ b)
+    return bits.astype(np.int64) if bits.ndim == 1 else bits.sum(1, dtype=np.int64)
+
+
 class BKTree:
-    """A BK-tree over distinct 64-bit numbers, built and searched level by level in numpy."""
+    """A BK-tree over 64-bit numbers or rows of them, built and searched level by level in numpy; with roots (for each
+    item the first of its tree) one for each root."""
 
-    def __init__(self, items: np.ndarray):
+    def __init__(self, items: np.ndarray, roots: np.ndarray | None = None):
         self.items, n = items, len(items)
         self.first, self.count = np.zeros(n, np.int64), np.zeros(n, np.int64)
         edges_parent, edges_dist, edges_child = [], [], []
         at, parent = np.arange(1, n), np.zeros(max(0, n - 1), np.int64)
+        if roots is not None:
+            at = np.flatnonzero(roots != np.arange(n))
+            parent = roots[at]
         while len(at):
-            dist = np.bitwise_count(items[at] ^ items[parent]).astype(np.int64)
+            dist = _distance(items[at], items[parent])
             order = np.lexsort((at, dist, parent))
             at, parent, dist = at[order], parent[order], dist[order]
             new = np.ones(len(at), bool)
@@ -87,13 +97,15 @@ class BKTree:
         else:
             self.dist = self.child = np.zeros(0, np.int64)
 
-    def within(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """(index into queries, index into items) of all pairs within radius."""
+    def within(self, queries: np.ndarray, radius: int, roots: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(index into queries, index into items) of all pairs within radius; roots are those of the queries' trees."""
         found_q, found_i = [], []
         q, node = np.arange(len(queries)), np.zeros(len(queries) if len(self.items) else 0, np.int64)
         q = q[: len(node)]
+        if roots is not None:
+            node = roots
         while len(node):
-            dist = np.bitwise_count(queries[q] ^ self.items[node]).astype(np.int64)
+            dist = _distance(queries[q], self.items[node])
             hit = dist <= radius
             found_q.append(q[hit])
             found_i.append(node[hit])

@@ -1,10 +1,17 @@
-"""Near copies by the similarity of word shingles: MinHash bands find pairs, exact Jaccard similarity decides.
+"""Near copies by the similarity of word shingles: SimHash fingerprints, BK-trees in shards of their bits and connected classes as
+in `simhash`; exact Jaccard similarity decides.
 
-Texts of equal words are one node. A node has 160 minima of its shingles' hashes in 32 bands of 5; nodes
-that agree in a band share a bucket. A pair of similarity 0.8 misses all bands with a chance of 3e-6, and
-less if it is more similar. The nodes of a bucket are first compared with the one of them that has the most company
+Texts of equal words are one node. Sets of similarity 0.8 differ in 15 % of the bits of a fingerprint, so blocks of bits can't be
+made to agree with certainty, as for two bits of 64. Fingerprints are longer instead: a node goes to a shard by each of so many blocks that
+a pair of similarity 0.8 misses all of them with a chance of 3e-6, and less if it is more similar. Blocks are as wide as
+leaves about 128 nodes in a shard, whatever the number of documents. Each shard's task builds BK-trees over
+128 bits that are in no block and links the nodes within 40 bits (a pair of 0.8 is over it with a chance of 1.3e-6, texts that have nothing in common
+are within it with one of 1.3e-5). Pairs of four and five shingles, of which single bits say little, meet by the four shingles themselves.
+
+The classes of a shard are the buckets in which sets are compared. The nodes of a bucket are first compared with the one of them that has the most company
 over all its buckets: the middle of a large group of near copies, which so costs a comparison each and not one for
-each pair. Buckets that are one class then are done, and in the small ones that are not all pairs are compared.
+each pair. Buckets that are one class then are done, and in the small ones that are not all pairs are compared. A shard of over 1024
+nodes is a bucket as a whole.
 
 Of large buckets that are still open, which texts share that have a passage in common or are copies with many changes,
 the nodes get new buckets by an exact rule: with their shingles in order of how many of these nodes have them, two sets of
@@ -24,6 +31,7 @@ smallest id is sought, an empty table gives an empty table.
 
 from __future__ import annotations
 
+import math
 from itertools import repeat
 
 import numpy as np
@@ -34,14 +42,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import join_lookup, materialize
-from .simhash import SEED, components, keep_one
+from .simhash import SEED, BKTree, components, keep_one
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 32, 5
-_RNG = np.random.default_rng(SEED)
-_FACTORS = _RNG.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_OFFSETS = _RNG.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
-_BLOCK = 1 << 10
+#: Chance that a pair of just the similarity shares no shard.
+MISS = 3e-6
+#: Words of a fingerprint that BK-trees compare, and the differing bits they allow at similarity 0.8.
+_COMPARED, RADIUS = 2, 40
+#: Nodes of a shard, about; a shard of more than _LARGE is not searched but compared as it is.
+_SHARD, _LARGE = 128, 1024
+_VISITS = 1 << 18
+_BLOCK = 1 << 8
 #: In open buckets of at most so many nodes all pairs are compared.
 _SMALL = 32
 #: Words of 64 bits in a parity sketch.
@@ -66,33 +77,170 @@ def shingles(words: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, len(words) - shingle + 1))
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """A number for each band; equal if all of the band's minima are."""
-    low = np.full(BANDS * ROWS, 2**32 - 1, np.uint32)
-    short = (hashes >> np.uint64(32)).astype(np.uint32)
-    for at in range(0, len(short), _BLOCK):
-        np.minimum(low, (_FACTORS[:, None] * short[at : at + _BLOCK] + _OFFSETS[:, None]).min(1), out=low)
-    return np.array([xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(low.reshape(BANDS, ROWS))], np.uint64)
+def apart(similarity: float) -> float:
+    """The share of bits that differ between fingerprints of two sets of the similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def radius(similarity: float) -> int:
+    """Of the compared bits those that may differ: RADIUS at 0.8, as many standard deviations over the mean elsewhere."""
+    bits = 64 * _COMPARED
+    far = lambda p: (bits * p, math.sqrt(bits * p * (1 - p)))
+    (mean, spread), (at, width) = far(apart(SIMILARITY)), far(apart(similarity))
+    return math.ceil(at + width * (RADIUS - mean) / spread)
+
+
+def shape(n: int, similarity: float = SIMILARITY) -> tuple[int, int]:
+    """Width and number of the blocks of bits for n nodes."""
+    width = max(8, math.ceil(math.log2(max(1, n) / _SHARD)))
+    return width, math.ceil(math.log(MISS) / math.log1p(-((1 - apart(similarity)) ** width)))
+
+
+def fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
+    """SimHash of a set: a bit is 1 if set in over half of the shingles' hashes, of which every word has its own; where it is set
+    in just half, the least shingle's decides."""
+    salts = np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    counts = np.zeros(64 * words, np.int64)
+    for at in range(0, len(hashes), _BLOCK - 1):
+        x = hashes[at : at + _BLOCK - 1, None] + salts
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        bits = np.unpackbits((x ^ (x >> np.uint64(31))).view(np.uint8), axis=1, bitorder="little")
+        if not at:
+            counts += bits[0]  # twice the counts are compared, so this parts ties only
+        counts += 2 * bits.sum(0, dtype=np.uint8).astype(np.int64)
+    return np.packbits(counts > len(hashes), bitorder="little").view(np.uint64)
 
 
-def prints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, key, n, bands): key of the words, number of distinct shingles, bands."""
+def subsets(hashes: np.ndarray) -> list[int]:
+    """A number for the set of four shingles, or for those within one of five."""
+    if not 4 <= len(hashes) <= 5:
+        return []
+    parts = [hashes] if len(hashes) == 4 else [np.delete(hashes, i) for i in range(5)]
+    return [xxhash.xxh64_intdigest(part.tobytes(), SEED) for part in parts]
+
+
+def prints(docs: DataFrame, id_col: str, text_col: str, shingle: int, words: int) -> DataFrame:
+    """(id, key, n, fp, fours, c0, c1): key of the words, number of distinct shingles, fingerprint, numbers of subsets(), compared bits."""
 
     def run(batches):
         for batch in batches:
-            keys, sizes, found = [], [], []
+            keys, sizes, fps, fours = [], [], [], []
             for x in batch.column(1):
-                words = _words(x.as_py())
-                grams = shingles(words, shingle)
-                keys.append(_key(words))
+                split = _words(x.as_py())
+                grams = shingles(split, shingle)
+                keys.append(_key(split))
                 sizes.append(len(grams))
-                found.append(bands(grams).view(np.int64).tolist() if len(grams) else [])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(found, pa.list_(pa.int64()))], names=["id", "key", "n", "bands"]
-            )
+                fps.append(fingerprint(grams, words).tobytes() if len(grams) else b"")
+                fours.append(np.array(subsets(grams), np.uint64).view(np.int64))
+            columns = [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(fps, pa.binary()), pa.array(fours, pa.list_(pa.int64()))]
+            compared = np.frombuffer(b"".join(fp[: 8 * _COMPARED].ljust(8 * _COMPARED, b"\0") for fp in fps), np.int64).reshape(-1, _COMPARED)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *map(pa.array, compared.T)], names=["id", "key", "n", "fp", "fours", *_names("c", _COMPARED)])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, rows.select("id", F.lit(0).cast("long").alias("key"), F.lit(0).alias("n"), F.array(F.lit(0).cast("long")).alias("bands")).schema)
+    kinds = [F.lit(0).cast("long").alias("key"), F.lit(0).alias("n"), F.lit(b"").alias("fp"), F.array(F.lit(0).cast("long")).alias("fours")]
+    kinds += [F.lit(0).cast("long").alias(c) for c in _names("c", _COMPARED)]
+    return rows.mapInArrow(run, rows.select("id", *kinds).schema)
+
+
+def _spread(width: int, blocks: int):
+    """(shard, c0, c1) for every block of a node's fingerprint, with the bits that are compared: they stand for the node."""
+
+    def run(batches):
+        weights = np.int64(1) << np.arange(width, dtype=np.int64)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                fps = batch.column(0).slice(lo, 512).to_pylist()
+                n, fps = len(fps), np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1)
+                bits = np.unpackbits(fps[:, 8 * _COMPARED :], axis=1, bitorder="little")[:, : width * blocks].reshape(n, blocks, width)
+                shards = (bits @ weights) | np.arange(blocks, dtype=np.int64) << width
+                compared = np.ascontiguousarray(fps[:, : 8 * _COMPARED]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (shards.ravel(), *np.repeat(compared, blocks, axis=0).T)], names=["shard", *_names("c", _COMPARED)])
+
+    return run
+
+
+def local_classes(shard: np.ndarray, items: np.ndarray, radius: int) -> np.ndarray:
+    """For each item, sorted by shard, the first of its class: links are those within radius in its shard, found in the shard's BK-tree."""
+    n = len(items)
+    new = np.concatenate([[True], shard[1:] != shard[:-1]])
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    items = items.view(np.uint64)  # of signed numbers bitwise_count takes the absolute value
+    tree = BKTree(items, first)
+    size = np.bincount(first, minlength=n)[first]
+    cuts = np.flatnonzero(np.diff(np.cumsum(size) // _VISITS)) + 1  # a pass makes about so many visits
+    pairs = []
+    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), n], strict=True):
+        q, i = tree.within(items[lo:hi], radius, first[lo:hi])
+        apart = q + lo != i
+        pairs.append((q[apart] + lo, i[apart]))
+    a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    root = np.arange(n)
+    while True:
+        least = root.copy()
+        np.minimum.at(least, a, root[b])
+        least = least[least]
+        if (least == root).all():
+            return root
+        root = least
+
+
+def _buckets(radius: int):
+    """(bucket, c0, c1) of the classes of every shard, the rows of which come one behind the other; equal classes have equal buckets."""
+    mix = np.uint64(0x9E3779B97F4A7C15)
+
+    def rows(bucket, items):
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (bucket.view(np.int64), *items.T)], names=["bucket", *_names("c", _COMPARED)])
+
+    def search(shard, items):
+        root = local_classes(shard, items, radius)
+        member = np.flatnonzero(np.bincount(root, minlength=len(root))[root] > 1)
+        if len(member):
+            code = np.zeros(len(member), np.uint64)
+            for word in items[member].view(np.uint64).T:
+                code = (code ^ word) * mix
+                code = (code ^ (code >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            total = np.zeros(len(root), np.uint64)
+            np.add.at(total, root[member], code)
+            yield rows(total[root[member]], items[member])
+
+    def run(batches):
+        shard, items = np.zeros(0, np.int64), np.zeros((0, _COMPARED), np.int64)
+        large = None  # the shard at the end, if it has proved large
+
+        def as_it_is(shard, items):
+            return rows((shard.view(np.uint64) + np.uint64(1)) * mix, items)
+
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            shard, items = np.append(shard, columns[0]), np.concatenate([items, np.stack(columns[1:], axis=1)])
+            if not len(shard):
+                continue
+            if large is not None:
+                n = int(np.searchsorted(shard != large, True))
+                if n:
+                    yield as_it_is(shard[:n], items[:n])
+                shard, items = shard[n:], items[n:]
+                if not len(shard):
+                    continue
+                large = None
+            new = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
+            size = np.diff(new, append=len(shard))
+            wide = np.repeat(size > _LARGE, size)
+            if wide.any():
+                yield as_it_is(shard[wide], items[wide])
+            if size[-1] > _LARGE:
+                large = shard[-1]
+            done = ~wide
+            done[new[-1] :] = False  # the last shard may go on in the next batch
+            yield from search(shard[done], items[done]) if done.any() else ()
+            keep = np.zeros(len(shard), bool)
+            keep[new[-1] :] = large is None
+            shard, items = shard[keep], items[keep]
+        if len(shard):
+            yield from search(shard, items)
+
+    return run
 
 
 def _keyed(batches):
@@ -107,8 +255,8 @@ def sketch(grams: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def _names(letter: str) -> list[str]:
-    return [f"{letter}{i}" for i in range(_SKETCH)]
+def _names(letter: str, n: int = _SKETCH) -> list[str]:
+    return [f"{letter}{i}" for i in range(n)]
 
 
 def _sets(shingle: int):
@@ -211,11 +359,16 @@ def _by_prefix(sets: DataFrame, similarity: float) -> DataFrame:
     return materialize(buckets.withColumn("size", size).where("size > 1").drop("size"), "similar-prefixes")
 
 
-def links(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(node, root) of every node (key, n, bands) that another one is like; texts has the column text."""
-    spread = nodes.select("key", "n", F.explode("bands").alias("bucket"))
-    met = spread.withColumn("size", F.count("*").over(W.partitionBy("bucket"))).where("size > 1").select("bucket", "key", "n")
-    buckets = materialize(met, "similar-buckets")
+def links(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float, width: int, blocks: int) -> DataFrame:
+    """(node, root) of every node (key, n, fp, fours, c0, c1) that another one is like; texts has the column text."""
+    compared = _names("c", _COMPARED)
+    kinds = ", ".join(f"{c} long" for c in compared)
+    nodes = nodes.where("n > 0")
+    spread = nodes.select("fp").mapInArrow(_spread(width, blocks), f"shard long, {kinds}")
+    met = spread.repartition("shard").sortWithinPartitions("shard").mapInArrow(_buckets(radius(similarity)), f"bucket long, {kinds}").distinct()
+    named = met.join(nodes.select("key", "n", *compared).hint("merge"), compared).select("bucket", "key", "n")
+    fours = nodes.select(F.explode("fours").alias("bucket"), "key", "n").withColumn("size", F.count("*").over(W.partitionBy("bucket"))).where("size > 1").drop("size")
+    buckets = materialize(named.unionByName(fours), "similar-buckets")
     wanted = materialize(buckets.select("key").distinct(), "similar-wanted")
     # up to a million keys of 8 bytes are broadcast, so that texts stay where they are read; beyond, texts are shuffled
     mine = join_lookup(texts.mapInArrow(_keyed, "key long, text string"), wanted, ["key"], "left_semi", 1_000_000)
@@ -230,9 +383,12 @@ def links(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(id, component): component is the smallest id that links of the similarity reach."""
-    found = materialize(prints(docs, id_col, text_col, shingle), "similar-prints")
-    nodes = materialize(found.groupBy("key").agg(F.min("id").alias("least"), F.min("n").alias("n"), F.min("bands").alias("bands")), "similar-nodes")
-    roots = links(nodes, docs.select(F.col(text_col).alias("text")), shingle, similarity)
+    width, blocks = shape(docs.count(), similarity)
+    words = _COMPARED + -(-width * blocks // 64)
+    found = materialize(prints(docs, id_col, text_col, shingle, words), "similar-prints")
+    same = [F.min(c).alias(c) for c in ("n", "fp", "fours", *_names("c", _COMPARED))]
+    nodes = materialize(found.groupBy("key").agg(F.min("id").alias("least"), *same), "similar-nodes")
+    roots = links(nodes, docs.select(F.col(text_col).alias("text")), shingle, similarity, width, blocks)
     linked = nodes.select("key", "least").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = linked.groupBy("root").agg(F.min("least").alias("component"))
     table = materialize(linked.join(least, "root").select("key", "component"), "similar-table")

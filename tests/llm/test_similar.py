@@ -1,9 +1,11 @@
 """The pipeline's near-duplicate stage against brute force over all pairs."""
 
+import collections
 import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from groundwave.llm import pipeline
 from groundwave.llm import similar
@@ -84,3 +86,82 @@ def test_large_open_groups_by_brute_force(spark):
     want = brute(rows)
     assert {r["id"]: r["component"] for r in similar.classes(spark.createDataFrame(rows, SCHEMA)).collect()} == want
     assert 50 < len(set(want.values())) < 500
+
+
+def test_bits_differ_as_the_angle_says():
+    rng = np.random.default_rng(3)
+    words = 40
+    for n, m, both in ((9, 9, 8), (10, 8, 8), (45, 45, 40), (450, 450, 400), (50, 40, 40)):  # all of similarity 0.8
+        share = []
+        for _ in range(40):
+            x = rng.integers(0, 2**64, n + m - both, dtype=np.uint64)
+            one, two = (similar.fingerprint(np.sort(y), words) for y in (x[:n], x[n - both :]))
+            share.append(np.bitwise_count(one ^ two).sum() / (64 * words))
+        assert np.mean(share) < similar.apart(0.8) + 0.01
+
+
+def test_shards_miss_no_pair_of_the_similarity():
+    for n in (100, 10**5, 10**7):
+        width, blocks = similar.shape(n)
+        assert (1 - (1 - similar.apart(0.8)) ** width) ** blocks <= similar.MISS and n / 2**width <= similar._SHARD
+
+
+def test_classes_of_a_shard_by_all_pairs():
+    rng = np.random.default_rng(4)
+    shard = np.sort(rng.integers(0, 40, 2000))
+    items = rng.integers(-(2**63), 2**63, (2000, 2))
+    near = rng.integers(0, 2000, 600)
+    items[near] = items[rng.integers(0, 2000, 600)] ^ (np.int64(1) << rng.integers(0, 63, (600, 2)))
+    items[:30] = items[0]
+    want = np.arange(2000)
+    close = (np.bitwise_count((items[:, None] ^ items[None]).view(np.uint64)).sum(2) <= similar.RADIUS) & (shard[:, None] == shard)
+    for _ in range(2000):
+        least = np.where(close, want, 2000).min(1)
+        if (least == want).all():
+            break
+        want = least
+    got = similar.local_classes(shard, items, similar.RADIUS)
+    assert (got == want).all() and (got != np.arange(2000)).any()
+
+
+def test_shards_cut_by_batches_and_large_ones():
+    rng = np.random.default_rng(6)
+    size = [1, 3, similar._LARGE + 500, 40, 3 * similar._LARGE, 2]
+    shard = np.repeat(np.arange(len(size)), size)
+    items = rng.integers(-(2**63), 2**63, (len(shard), 2))
+    items[1:4, 0] = items[1, 0]
+    items[1:4, 1] = items[1, 1] ^ np.arange(3)
+    items[-2:, 1] = items[-1, 1]
+    items[-2:, 0] = items[-1, 0] ^ np.arange(2)
+    batches = [pa.RecordBatch.from_arrays([pa.array(x[at : at + 700]) for x in (shard, *items.T)], names=["shard", "c0", "c1"]) for at in range(0, len(shard), 700)]
+    found = collections.defaultdict(set)
+    for batch in similar._buckets(similar.RADIUS)(iter(batches)):
+        for r in batch.to_pylist():
+            found[r["bucket"]].add((r["c0"], r["c1"]))
+    want = [set(map(tuple, items[shard == s].tolist())) for s in (1, 2, 4, 5)]
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, want))
+
+
+def test_pairs_come_from_fingerprints(spark, monkeypatch):
+    """The stage's candidates are those of SimHash shards and their BK-trees: with a radius below any distance only equal texts meet."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(60):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(60 + i)]
+        rows += [(i, " ".join(words)), (100 + i, " ".join([*words[:-1], "else"])), (200 + i, " ".join(words).upper())]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert len(pipeline.near_duplicates(spark, df, "").collect()) == 60
+    monkeypatch.setattr(similar, "radius", lambda similarity: -1)
+    assert len(pipeline.near_duplicates(spark, df, "").collect()) == 120
+
+
+def test_short_texts_that_one_word_parts(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(2000):  # four shingles and five of which four are the same
+        words = [f"w{rng.randrange(10**6)}" for _ in range(8)]
+        rows += [(i, " ".join(words)), (10_000 + i, " ".join([*words, "end"] if i % 2 else ["start", *words]))]
+    rows += [(20_000 + i, f"a b c d e f g h x{i}") for i in range(1200)] + [(None, "a b c d e f g h"), (30_000, "A b c d e f g h")]
+    got = {r["id"]: r["component"] for r in similar.classes(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[i] == got[10_000 + i] == i for i in range(2000))
+    assert {got[20_000 + i] for i in range(1200)} == {20_000} == {got[30_000], got[None]}
