@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_lookup, materialize, whole_row
+from .common import join_lookup, materialize, scratch, whole_row
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 _BLOCK = 1 << 16
@@ -246,8 +246,9 @@ def keep_one(docs: DataFrame, id_col: str, find: Callable[[DataFrame], DataFrame
     rows = materialize(docs.select(whole_row(docs).alias("doc"), F.monotonically_increasing_id().alias("row")), "rows", "zstd")
     name = F.col("doc")[id_col]
     ids = rows.select("row", name.isNull().alias("nameless"), name.alias("name"))
-    met = ids.join(find(rows).select(F.col("id").alias("row"), "component").hint("merge"), "row")
-    keep = materialize(met.groupBy("component").agg(F.min(F.struct("nameless", "name", "row")).alias("least")).select("least.row"), "keep")
+    with scratch():  # of what find writes only keep lasts
+        met = ids.join(find(rows).select(F.col("id").alias("row"), "component").hint("merge"), "row")
+        keep = materialize(met.groupBy("component").agg(F.min(F.struct("nameless", "name", "row")).alias("least")).select("least.row"), "keep", outer=True)
     # the rows kept grow with the corpus: always a shuffled join, at any size
     return rows.join(keep.hint("merge"), "row", "left_semi").select("doc.*")
 

@@ -8,16 +8,16 @@ leaves about 128 nodes in a shard, whatever the number of documents. Each shard'
 128 bits that are in no block and links the nodes within 40 bits (a pair of 0.8 is over it with a chance of 1.3e-6, texts that have nothing in common
 are within it with one of 1.3e-5). Pairs of four and five shingles, of which single bits say little, meet by the four shingles themselves.
 
-The classes of a shard are the buckets in which sets are compared. The nodes of a bucket are first compared with the one of them that has the most company
-over all its buckets: the middle of a large group of near copies, which so costs a comparison each and not one for
-each pair. Buckets that are one class then are done, and in the small ones that are not all pairs are compared. A shard of over 1024
-nodes is a bucket as a whole.
+A task hands on a star of each class of its shards, as in `simhash`, and stars that meet are joined to groups, so a node is in one group, in however many shards
+it has met others. A shard of over 1024 nodes is a star as a whole. Groups only hold what may be alike: in those of up to 32 nodes all pairs of sets are compared in one task.
+The nodes of a larger group are first compared with the one of them that has the most company over all its shards: the middle of
+a large group of near copies, which so costs a comparison each and not one for each pair. Groups that are one class then are done.
 
-Of large buckets that are still open, which texts share that have a passage in common or are copies with many changes,
-the nodes get new buckets by an exact rule: with their shingles in order of how many of these nodes have them, two sets of
+Of large groups that are still open, which texts share that have a passage in common or are copies with many changes,
+the nodes get buckets by an exact rule: with their shingles in order of how many of these nodes have them, two sets of
 similarity s or more share one of their first n - ceil(s n) + 1, n being the size of each. Rare shingles come first, so texts
-with many changes of their own meet nobody there. These buckets are worked off in the same way, and where they are still
-large and open, from their first nodes on, 16 times as many each round, until each is one class or all of its
+with many changes of their own meet nobody there. These buckets are worked off by the one with the most company, in small ones all pairs are compared,
+and where they are still large and open, from their first nodes on, 16 times as many each round, until each is one class or all of its
 pairs were compared.
 
 A parity sketch of 512 bits says for each bit whether an odd number of a set's shingles fall on it: the bits in which two
@@ -53,7 +53,7 @@ _COMPARED, RADIUS = 2, 40
 _SHARD, _LARGE = 128, 1024
 _VISITS = 1 << 18
 _BLOCK = 1 << 8
-#: In open buckets of at most so many nodes all pairs are compared.
+#: In groups and open buckets of at most so many nodes all pairs are compared.
 _SMALL = 32
 #: Words of 64 bits in a parity sketch.
 _SKETCH = 8
@@ -120,8 +120,20 @@ def subsets(hashes: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(part.tobytes(), SEED) for part in parts]
 
 
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def codes(items: np.ndarray) -> np.ndarray:
+    """A number for the compared bits of each item."""
+    code = np.zeros(len(items), np.uint64)
+    for word in items.view(np.uint64).T:
+        code = (code ^ word) * _MIX
+        code = (code ^ (code >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return code
+
+
 def prints(docs: DataFrame, id_col: str, text_col: str, shingle: int, words: int) -> DataFrame:
-    """(id, key, n, fp, fours, c0, c1): key of the words, number of distinct shingles, fingerprint, numbers of subsets(), compared bits."""
+    """(id, key, n, fp, fours, code): key of the words, number of distinct shingles, fingerprint, numbers of subsets(), code of the compared bits."""
 
     def run(batches):
         for batch in batches:
@@ -135,11 +147,10 @@ def prints(docs: DataFrame, id_col: str, text_col: str, shingle: int, words: int
                 fours.append(np.array(subsets(grams), np.uint64).view(np.int64))
             columns = [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(fps, pa.binary()), pa.array(fours, pa.list_(pa.int64()))]
             compared = np.frombuffer(b"".join(fp[: 8 * _COMPARED].ljust(8 * _COMPARED, b"\0") for fp in fps), np.int64).reshape(-1, _COMPARED)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *map(pa.array, compared.T)], names=["id", "key", "n", "fp", "fours", *_names("c", _COMPARED)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(codes(compared).view(np.int64))], names=["id", "key", "n", "fp", "fours", "code"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kinds = [F.lit(0).cast("long").alias("key"), F.lit(0).alias("n"), F.lit(b"").alias("fp"), F.array(F.lit(0).cast("long")).alias("fours")]
-    kinds += [F.lit(0).cast("long").alias(c) for c in _names("c", _COMPARED)]
+    kinds = [F.lit(0).cast("long").alias("key"), F.lit(0).alias("n"), F.lit(b"").alias("fp"), F.array(F.lit(0).cast("long")).alias("fours"), F.lit(0).cast("long").alias("code")]
     return rows.mapInArrow(run, rows.select("id", *kinds).schema)
 
 
@@ -187,7 +198,6 @@ def local_classes(shard: np.ndarray, items: np.ndarray, radius: int) -> np.ndarr
 
 def _buckets(radius: int):
     """(bucket, c0, c1) of the classes of every shard, the rows of which come one behind the other; equal classes have equal buckets."""
-    mix = np.uint64(0x9E3779B97F4A7C15)
 
     def rows(bucket, items):
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (bucket.view(np.int64), *items.T)], names=["bucket", *_names("c", _COMPARED)])
@@ -196,12 +206,8 @@ def _buckets(radius: int):
         root = local_classes(shard, items, radius)
         member = np.flatnonzero(np.bincount(root, minlength=len(root))[root] > 1)
         if len(member):
-            code = np.zeros(len(member), np.uint64)
-            for word in items[member].view(np.uint64).T:
-                code = (code ^ word) * mix
-                code = (code ^ (code >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
             total = np.zeros(len(root), np.uint64)
-            np.add.at(total, root[member], code)
+            np.add.at(total, root[member], codes(items[member]))
             yield rows(total[root[member]], items[member])
 
     def run(batches):
@@ -209,7 +215,7 @@ def _buckets(radius: int):
         large = None  # the shard at the end, if it has proved large
 
         def as_it_is(shard, items):
-            return rows((shard.view(np.uint64) + np.uint64(1)) * mix, items)
+            return rows((shard.view(np.uint64) + np.uint64(1)) * _MIX, items)
 
         for batch in batches:
             columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
@@ -243,6 +249,27 @@ def _buckets(radius: int):
     return run
 
 
+def _stars(radius: int):
+    """(a, b, size): the code of every node of a class of a shard, that of the class's hub, which is one of it, and how many they are."""
+    buckets = _buckets(radius)
+
+    def run(batches):
+        hubs: dict[int, int] = {}  # large shards come in several batches
+        for batch in buckets(batches):
+            if not batch.num_rows:
+                continue
+            bucket, *items = (c.to_numpy() for c in batch.columns)
+            code = codes(np.stack(items, axis=1)).view(np.int64)
+            order = np.lexsort((code, bucket))
+            bucket, code = bucket[order], code[order]
+            new = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            size = np.diff(new, append=len(bucket))
+            hub = np.array([hubs.setdefault(x, y) for x, y in zip(bucket[new].tolist(), code[new].tolist(), strict=True)], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (code, np.repeat(hub, size), np.repeat(size, size))], names=["a", "b", "size"])
+
+    return run
+
+
 def _keyed(batches):
     for batch in batches:
         keys = np.array([_key(_words(x.as_py())) for x in batch.column(0)], np.uint64)
@@ -269,6 +296,41 @@ def _sets(shingle: int):
     return run
 
 
+def _similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similarity * (len(x) + len(y) - both) - 1e-9
+
+
+def _group_classes(shingle: int, similarity: float):
+    """(node, root): classes of every group by all of its pairs, a group's rows (group, key, text) coming one behind the other."""
+
+    def classes(keys, texts):
+        sets = [shingles(_words(x), shingle) for x in texts]
+        root = list(range(len(sets)))
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets[:i]):
+                if root[i] != root[j] and min(len(x), len(y)) >= similarity * max(len(x), len(y)) - 1e-9 and _similar(x, y, similarity):
+                    low, high = sorted((root[i], root[j]))
+                    root = [low if r == high else r for r in root]
+        return [(keys[i], keys[r]) for i, r in enumerate(root) if i != r]
+
+    def run(batches):
+        group, keys, texts = None, [], []
+        for batch in batches:
+            found = []
+            for g, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if g != group:
+                    found += classes(keys, texts)
+                    group, keys, texts = g, [], []
+                keys.append(key)
+                texts.append(text)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["node", "root"])
+        found = classes(keys, texts)
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["node", "root"])
+
+    return run
+
+
 def _alike(similarity: float):
     def run(batches):
         for batch in batches:
@@ -277,10 +339,7 @@ def _alike(similarity: float):
                 at = column.offsets.to_numpy()
                 flat = column.values.to_numpy(zero_copy_only=False)
                 sets.append([flat[i:j] for i, j in zip(at[:-1], at[1:], strict=True)])
-            hit = []
-            for x, y in zip(*sets, strict=True):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                hit.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            hit = [_similar(x, y, similarity) for x, y in zip(*sets, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hit, pa.bool_())], names=["a", "b", "alike"])
 
     return run
@@ -314,7 +373,9 @@ class _Search:
         pairs = materialize(pairs, "similar-pairs")
         if pairs.isEmpty():
             return
-        one, two = (self.sets.select(F.col("key").alias(k), F.col("grams").alias(g)) for k, g in (("a", "x"), ("b", "y")))
+        ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "similar-ends")
+        sets = join_lookup(self.sets, ends, ["key"], "left_semi")  # so that others are not shuffled
+        one, two = (sets.select(F.col("key").alias(k), F.col("grams").alias(g)) for k, g in (("a", "x"), ("b", "y")))
         full = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b")
         done = materialize(full.select("a", "b", "x", "y").mapInArrow(_alike(self.similarity), "a long, b long, alike boolean"), "similar-tested")
         self.tested = done.select("a", "b") if self.tested is None else self.tested.unionByName(done.select("a", "b"))
@@ -324,11 +385,9 @@ class _Search:
             self.roots = components(self.edges)
 
     def work(self, buckets: DataFrame, whole: bool) -> DataFrame:
-        """Compare in buckets (bucket, key, n) of two nodes or more; the large ones that stay open (none, if whole)."""
-        company = buckets.groupBy("bucket").agg(F.count("*").alias("size"))
-        company = buckets.join(company.hint("merge"), "bucket").groupBy("key").agg(F.sum("size").alias("company"))
+        """Compare in buckets (bucket, key, n, company) of two nodes or more; the large ones that stay open (none, if whole)."""
         order = W.partitionBy("bucket").orderBy(F.desc("company"), F.xxhash64("key", "bucket"), "key")
-        known = company.join(self.sets.select("key", *_names("s")).hint("merge"), "key")
+        known = self.sets.select("key", *_names("s"))
         ranked = buckets.join(known.hint("merge"), "key").withColumn("rank", F.row_number().over(order) - 1).drop("company")
         rows = self.open_buckets(materialize(ranked, "similar-ranked"))
         self.compare(rows, 0, 0)
@@ -347,7 +406,7 @@ class _Search:
 
 
 def _by_prefix(sets: DataFrame, similarity: float) -> DataFrame:
-    """(bucket, key, n): sets of the similarity share a bucket, as they share one of their rarest shingles."""
+    """(bucket, key, n, company): sets of the similarity share a bucket, as they share one of their rarest shingles."""
     each = materialize(sets.select("key", F.size("grams").alias("n"), F.explode("grams").alias("gram")), "similar-grams")
     shared = each.groupBy("gram").agg(F.count("*").alias("sets")).where("sets > 1")
     rows = each.join(shared.hint("merge"), "gram").groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("sets", "gram"))).alias("grams"))
@@ -356,29 +415,48 @@ def _by_prefix(sets: DataFrame, similarity: float) -> DataFrame:
     rows = rows.withColumn("first", first.cast("int")).where("first > 0")
     buckets = rows.select("key", "n", F.explode(F.slice("grams", 1, F.col("first"))).alias("g")).select(F.col("g.gram").alias("bucket"), "key", "n")
     size = F.count("*").over(W.partitionBy("bucket"))
-    return materialize(buckets.withColumn("size", size).where("size > 1").drop("size"), "similar-prefixes")
+    buckets = materialize(buckets.withColumn("size", size).where("size > 1"), "similar-prefixes")
+    company = buckets.groupBy("key").agg(F.sum("size").alias("company"))
+    return buckets.drop("size").join(company.hint("merge"), "key")
+
+
+def groups(nodes: DataFrame, similarity: float, width: int, blocks: int) -> DataFrame:
+    """(key, n, group, size, company) of the nodes (key, n, fp, fours, code) that may be like others: each is in one group, of size nodes."""
+    spread = nodes.select("fp").mapInArrow(_spread(width, blocks), "shard long, " + ", ".join(f"{c} long" for c in _names("c", _COMPARED)))
+    stars = spread.repartition("shard").sortWithinPartitions("shard").mapInArrow(_stars(radius(similarity)), "a long, b long, size long")
+    fours = nodes.select(F.explode("fours").alias("four"), "code")
+    hubs = fours.groupBy("four").agg(F.min("code").alias("b"), F.count("*").alias("size")).where("size > 1")
+    stars = stars.unionByName(fours.join(hubs.hint("merge"), "four").select(F.col("code").alias("a"), "b", "size"))
+    # a node has a hub a block at most, and few in all if those of its shards are the same
+    met = materialize(stars.groupBy("a").agg(F.collect_set("b").alias("hubs"), F.sum("size").alias("company")), "similar-met")
+    least = F.array_min("hubs").alias("b")
+    roots = components(met.select("a", least).unionByName(met.select(F.explode("hubs").alias("a"), least)))
+    known = met.select(F.col("a").alias("code"), "company").join(roots.withColumnRenamed("node", "code").hint("merge"), "code", "left")
+    # nodes of one code are a group, with or without others
+    rows = nodes.select("key", "n", "code").join(known.hint("merge"), "code", "left").select("key", "n", F.coalesce("root", "code").alias("group"), F.coalesce("company", F.lit(0)).alias("company"))
+    rows = materialize(rows, "similar-rows")
+    sizes = rows.groupBy("group").agg(F.count("*").alias("size")).where("size > 1")
+    return materialize(rows.join(sizes.hint("merge"), "group"), "similar-groups")
 
 
 def links(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float, width: int, blocks: int) -> DataFrame:
-    """(node, root) of every node (key, n, fp, fours, c0, c1) that another one is like; texts has the column text."""
-    compared = _names("c", _COMPARED)
-    kinds = ", ".join(f"{c} long" for c in compared)
-    nodes = nodes.where("n > 0")
-    spread = nodes.select("fp").mapInArrow(_spread(width, blocks), f"shard long, {kinds}")
-    met = spread.repartition("shard").sortWithinPartitions("shard").mapInArrow(_buckets(radius(similarity)), f"bucket long, {kinds}").distinct()
-    named = met.join(nodes.select("key", "n", *compared).hint("merge"), compared).select("bucket", "key", "n")
-    fours = nodes.select(F.explode("fours").alias("bucket"), "key", "n").withColumn("size", F.count("*").over(W.partitionBy("bucket"))).where("size > 1").drop("size")
-    buckets = materialize(named.unionByName(fours), "similar-buckets")
-    wanted = materialize(buckets.select("key").distinct(), "similar-wanted")
+    """(node, root) of every node (key, n, fp, fours, code) that another one is like; texts has the column text."""
+    found = groups(nodes.where("n > 0"), similarity, width, blocks)
     # up to a million keys of 8 bytes are broadcast, so that texts stay where they are read; beyond, texts are shuffled
-    mine = join_lookup(texts.mapInArrow(_keyed, "key long, text string"), wanted, ["key"], "left_semi", 1_000_000)
-    sets = materialize(mine.groupBy("key").agg(F.min("text").alias("text")).mapInArrow(_sets(shingle), "key long, grams array<long>, " + ", ".join(f"{s} long" for s in _names("s"))), "similar-sets")
-    search = _Search(sets, similarity)
-    large = search.work(buckets, False)
+    mine = join_lookup(texts.mapInArrow(_keyed, "key long, text string"), found.select("key"), ["key"], "left_semi", 1_000_000)
+    mine = materialize(mine.groupBy("key").agg(F.min("text").alias("text")).join(found.select("key", "group", "size").hint("merge"), "key"), "similar-texts", "zstd")
+    small = mine.where(F.col("size") <= _SMALL).select("group", "key", "text").repartition("group").sortWithinPartitions("group")
+    roots = materialize(small.mapInArrow(_group_classes(shingle, similarity), "node long, root long"), "similar-roots")
+    large = found.where(F.col("size") > _SMALL)
+    if large.isEmpty():
+        return roots
+    sets = mine.where(F.col("size") > _SMALL).select("key", "text").mapInArrow(_sets(shingle), "key long, grams array<long>, " + ", ".join(f"{s} long" for s in _names("s")))
+    search = _Search(materialize(sets, "similar-sets"), similarity)
+    large = search.work(large.select(F.col("group").alias("bucket"), "key", "n", "company"), False)
     if not large.isEmpty():
         keys = materialize(large.select("key").distinct(), "similar-large")
-        search.work(_by_prefix(sets.join(keys.hint("merge"), "key", "left_semi"), similarity), True)
-    return search.roots
+        search.work(_by_prefix(search.sets.join(keys.hint("merge"), "key", "left_semi"), similarity), True)
+    return roots.unionByName(search.roots)
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -386,7 +464,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     width, blocks = shape(docs.count(), similarity)
     words = _COMPARED + -(-width * blocks // 64)
     found = materialize(prints(docs, id_col, text_col, shingle, words), "similar-prints")
-    same = [F.min(c).alias(c) for c in ("n", "fp", "fours", *_names("c", _COMPARED))]
+    same = [F.min(c).alias(c) for c in ("n", "fp", "fours", "code")]
     nodes = materialize(found.groupBy("key").agg(F.min("id").alias("least"), *same), "similar-nodes")
     roots = links(nodes, docs.select(F.col(text_col).alias("text")), shingle, similarity, width, blocks)
     linked = nodes.select("key", "least").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))

@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from groundwave.llm import pipeline
+from groundwave.llm import common, pipeline
 from groundwave.llm import similar
 
 SCHEMA = "doc_id long, text string"
@@ -165,3 +165,32 @@ def test_short_texts_that_one_word_parts(spark):
     got = {r["id"]: r["component"] for r in similar.classes(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert all(got[i] == got[10_000 + i] == i for i in range(2000))
     assert {got[20_000 + i] for i in range(1200)} == {20_000} == {got[30_000], got[None]}
+
+
+def test_a_large_group_meets_once_and_what_a_stage_writes_goes(spark, monkeypatch, tmp_path):
+    """A node is in one row of the tables of pairs to come, in however many shards it meets others; but for the rows and the ids that stay, tables are deleted."""
+    rng = random.Random(13)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    rows = [(i, " ".join([*base[: i % 150], f"own{i}", *base[i % 150 + 1 :]])) for i in range(400)]
+    counts, write = {}, similar.materialize
+
+    def counted(df, name, *args, **options):
+        out = write(df, name, *args, **options)
+        counts[name] = max(counts.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(similar, "materialize", counted)
+    monkeypatch.setattr(common, "shared_folder", lambda spark: f"file://{tmp_path}")
+    assert [r["doc_id"] for r in pipeline.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "").collect()] == [0]
+    assert max(counts.values()) <= 400
+    assert sorted(p.name.split("-")[0] for p in tmp_path.iterdir()) == ["keep", "rows"]
+
+
+def test_stars_of_a_large_shard_meet_across_batches():
+    rng = np.random.default_rng(7)
+    n = 3 * similar._LARGE
+    items = rng.integers(-(2**63), 2**63, (n, 2))
+    batches = [pa.RecordBatch.from_arrays([pa.array(x[at : at + 700]) for x in (np.zeros(n, np.int64), *items.T)], names=["shard", "c0", "c1"]) for at in range(0, n, 700)]
+    stars = [r for batch in similar._stars(similar.RADIUS)(iter(batches)) for r in batch.to_pylist()]
+    assert {r["a"] for r in stars} == set(similar.codes(items).view(np.int64).tolist()) and len(stars) == n
+    assert len({r["b"] for r in stars}) == 1
