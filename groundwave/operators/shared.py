@@ -12,7 +12,7 @@ _own: list[str] = []
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder's path in spark.checkpoint.dir. Only a local master may leave that unset: it gets one of its own."""
+    """A new folder's URI in spark.checkpoint.dir. Only a local master may leave that unset: it gets one of its own."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
@@ -20,7 +20,16 @@ def folder(spark: SparkSession, name: str) -> str:
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         path = _own[0]
-    return f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{located(spark, path)}/{name}-{uuid.uuid4().hex}"
+
+
+def located(spark: SparkSession, path: str) -> str:
+    """The URI of a folder, made if it is not there, that tasks open without Spark: a path without a scheme lies in Spark's default
+    file system, a mount (viewfs) where it points."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(where)
+    return re.sub(r"^(\w+):/(?!/)", r"\1:///", system.resolvePath(where).toString()).rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:

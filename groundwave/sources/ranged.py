@@ -49,8 +49,10 @@ class Range(InputPartition):
     end: int
 
 
-def _system(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+def store(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it; like Spark, without decoding a local one's characters."""
+    local = re.match(r"(file:(//)?)?(?=/)", path)
+    return (fs.LocalFileSystem(), path[local.end() :]) if local or "://" not in path else fs.FileSystem.from_uri(path)
 
 
 def _fields(system: fs.FileSystem, path: str, suffix: str) -> dict[str, float]:
@@ -93,7 +95,7 @@ class TraceReader(DataSourceReader):
         self.start = int(options["start"]) if "start" in options else None
 
     def partitions(self):
-        system, base = _system(self.folder)
+        system, base = store(self.folder)
         suffix, scheme = SUFFIXES[self.kind][0], self.folder[: self.folder.index("://")] if "://" in self.folder else ""
         found = system.get_file_info(fs.FileSelector(base)) if system.get_file_info(base).type == fs.FileType.Directory else [system.get_file_info(base)]
         out = []
@@ -106,7 +108,7 @@ class TraceReader(DataSourceReader):
     def read(self, part: Range):
         if not part.path:
             return
-        system, path = _system(part.path)
+        system, path = store(part.path)
         with system.open_input_file(path) as file:
             head = file.read_at(min(_HEAD, part.size), 0)
             if self.kind == "dt1" and part.size < 128 or self.kind.startswith("segy") and part.size < 3600:

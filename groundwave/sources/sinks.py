@@ -9,12 +9,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import segy
+from .ranged import store
 
 #: Bytes that are copied at a time.
 _COPY = 8 << 20
@@ -30,13 +30,17 @@ def write_files(named: DataFrame, folder: str) -> DataFrame:
     return _write(named, folder, [])
 
 
+def _shared(rows: DataFrame, folder: str) -> None:
+    if not re.match(r"\w[\w+.-]*:/", folder) and not re.match(r"local(\[|$)", rows.sparkSession.sparkContext.master):
+        raise ValueError(f"{folder} has no scheme: executors would write to their own disks")
+
+
 def _write(named: DataFrame, folder: str, keep: list[str]) -> DataFrame:
     """write_files with columns of named in front."""
-    if "://" not in folder and not re.match(r"local(\[|$)", named.sparkSession.sparkContext.master):
-        raise ValueError(f"{folder} has no scheme: executors would write to their own disks")
+    _shared(named, folder)
 
     def run(batches):
-        target, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        target, base = store(folder)
         target.create_dir(base, recursive=True)
         for batch in batches:
             for i, (name, content) in enumerate(zip(batch.column("name").to_pylist(), batch.column("content"), strict=True)):
@@ -65,8 +69,7 @@ def write_segy_parts(traces: DataFrame, folder: str, by: list[str], order: str,
     offset: coordinates are relative to those of the first trace rounded to 1000 m, which stand in inline and crossline, and have mm.
     All traces of a group must be equally long; a null trace is zeros, a null coordinate 0.
     """
-    if "://" not in folder and not re.match(r"local(\[|$)", traces.sparkSession.sparkContext.master):
-        raise ValueError(f"{folder} has no scheme: executors would write to their own disks")
+    _shared(traces, folder)
     run = uuid.uuid4().hex
     line = W.partitionBy(*by).orderBy(order)
     whole = line.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
@@ -94,7 +97,7 @@ def write_segy_parts(traces: DataFrame, folder: str, by: list[str], order: str,
     )
 
     def join(batches):
-        target, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        target, base = store(folder)
         for batch in batches:
             for r in batch.to_pylist():
                 half = f"{base}/.{r['file']}.{run}.whole"
@@ -115,7 +118,7 @@ def write_segy_parts(traces: DataFrame, folder: str, by: list[str], order: str,
 
     joined = facts.withColumnRenamed("name", "file").join(parts, "file").mapInArrow(join, "name string, bytes long, parts array<string>")
     done = joined.collect()  # a row for each file; parts go only when all files are there, so a repeated task finds them
-    target, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+    target, base = store(folder)
     for r in done:
         for p in r["parts"]:
             target.delete_file(f"{base}/{p}")

@@ -1,9 +1,15 @@
 """Files in byte ranges, in parts and in sets."""
 
+import os
+import subprocess
+import sys
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from groundwave.operators import shared
 from groundwave.sources import blocks, filesets, mala, ranged, segy, sinks
 
 
@@ -117,3 +123,36 @@ def test_headers_and_geometry_by_name(spark, tmp_path):
     traces = spark.createDataFrame([("L1.DT1", 0.5), ("L2.DT1", 0.5), ("L3.DT1", 0.5)], "name string, position double")
     got = {r["name"]: (r["x"], r["y"]) for r in filesets.by_geometry(traces, geometry).collect()}
     assert got == {"L1.DT1": (3.0, 9.5), "L2.DT1": (5.5, 2.0), "L3.DT1": (None, None)}
+
+
+@pytest.mark.parametrize("form", ["{}", "file:{}", "file://{}", "viewfs://mounted/in"])
+def test_the_shared_folder_opens_without_spark(spark, tmp_path, form):
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.mounted.link./in", f"file://{tmp_path}")
+    given = SimpleNamespace(conf={"spark.checkpoint.dir": form.format(tmp_path / "new")} if "viewfs" not in form else {"spark.checkpoint.dir": form}, sparkContext=spark.sparkContext)
+    path = shared.folder(given, "out")
+    assert path.startswith(f"file://{tmp_path}")
+    rows = spark.createDataFrame([("a.dt1", bytes(8) + np.float32(2).tobytes() + bytes(116) + b"\1\0\2\0")], "name string, content binary")
+    assert [tuple(r) for r in sinks.write_files(rows, path).collect()] == [("a.dt1", 132)]
+    assert [r["amp"] for r in ranged.read(spark, path, "dt1").collect()] == [r["amp"] for r in blocks.read_dt1(spark, path).collect()] == [[1.0, 2.0]]
+
+
+#: A cluster of two executors whose shared folder is a path without a scheme: rows of each query through files.
+_CLUSTER = """
+import sys
+from pyspark.sql import SparkSession
+from groundwave.plans import files, catalogue
+conf = {"spark.master": "local-cluster[2,2,1024]", "spark.executor.memory": "600m", "spark.driver.memory": "1g", "spark.driver.host": "127.0.0.1", "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.sql.shuffle.partitions": "4", "spark.checkpoint.dir": sys.argv[1]}
+spark = SparkSession.builder.config(map=conf).getOrCreate()
+for name in sys.argv[2:]:
+    print(name, catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").count())
+spark.stop()
+"""
+
+
+def test_queries_through_files_on_a_cluster_with_a_plain_shared_path(tmp_path):
+    traces = ["read_dt1", "read_dzt", "read_dzt_ranges", "read_iprb_ranges", "read_rd3", "read_rd3_ranges", "read_rd7", "read_segy16", "segy_in_parts"]
+    events = ["geojson_lines", "position_lists", "position_logs", "receiver_logs"]
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", _CLUSTER, str(tmp_path / "shared"), *traces, *events], env=os.environ | {"PYTHONPATH": here}, cwd=tmp_path, capture_output=True, text=True, timeout=600)
+    assert dict(line.split() for line in done.stdout.splitlines()) == {**dict.fromkeys(traces, "500"), **dict.fromkeys(events, "1000"), "receiver_logs": "999"}, done.stderr[-2000:]
