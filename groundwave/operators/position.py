@@ -40,6 +40,28 @@ def from_markers(df: DataFrame, by: str, order: str, marker: Column, start: tupl
     return df.withColumns({c: a + (b - a) * share for c, a, b in zip(("x", "y"), start, end, strict=True)}).drop("_m", "_last")
 
 
+def nearest_marker(points: DataFrame, markers: DataFrame, by: str, at: str, key: str, decimals: int = 6) -> DataFrame:
+    """(key, marker, dx): the nearest of the markers (by, at, marker) of a point's group and its distance, rounded; of equally near ones
+    the least, also where a point has no place. Points of groups without markers are left out, a key's rows give one.
+
+    A place of a group is one row, with its least marker, so that only the markers beside a place are compared and not all pairs
+    of a group. A group's places must fit one task; places of markers lie further apart than distances are rounded.
+    """
+    known = markers.where(F.col("marker").isNotNull()).groupBy(by, at).agg(F.min("marker").alias("_m"))
+    places = points.select(by, at).withColumn("_m", F.lit(None).cast(known.schema["_m"].dataType)).unionByName(known)
+    places = places.groupBy(by, at).agg(F.min("_m").alias("_m")).where(F.col(by).isNotNull())
+    w = W.partitionBy(by)
+    place = F.when(F.col(at).isNotNull() & F.col("_m").isNotNull(), F.struct(F.col(at).alias("at"), F.col("_m").alias("m")))
+    places = places.withColumn("_p", place).withColumn("_least", F.min("_m").over(w)).where("_least is not null")
+    before, _, behind, _ = track.neighbours(by, "_p", at)
+    away = lambda p: F.when(p.isNotNull(), F.struct(F.round(F.abs(F.col(at) - p["at"]), decimals).alias("dx"), p["m"].alias("marker")))
+    places = places.withColumns({"_b": before, "_a": behind})
+    near = F.when(F.col(at).isNull(), F.struct(F.lit(None).cast("double").alias("dx"), F.col("_least").alias("marker"))).otherwise(F.least(away(F.col("_b")), away(F.col("_a"))))
+    places = places.select(F.col(by).alias("_by"), F.col(at).alias("_at"), near.alias("_near"))
+    rows = points.join(places, (F.col(by) == F.col("_by")) & F.col(at).eqNullSafe(F.col("_at")))
+    return rows.groupBy(key).agg(F.min_by("_near.marker", "_near").alias("marker"), F.min("_near.dx").alias("dx"))
+
+
 def drift(df: DataFrame, number: str, value: str, start: tuple[float, float], end: tuple[float, float]) -> DataFrame:
     """value plus an offset that runs linearly from start at profile 1 to end at the last one; each is a pair for odd and even profiles."""
     last = F.broadcast(df.agg(F.max(number).alias("_n")))

@@ -1,8 +1,11 @@
 """Queries on rows that only larger or odd tables hold, against their SQL in DuckDB."""
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from groundwave.operators import position
 from groundwave.plans import catalogue
 from tests.test_catalogue import canonical
 
@@ -37,3 +40,24 @@ def test_points_on_the_edges_of_the_grid(differ):
     values = ", ".join(f"({x}::double, {y}::double, {v}::double)" for x, y, v in [*points, ("null", 1.0, 0.5), (1.0, "null", 0.5)])
     got, want = differ("bin_mean_2d", lineitem=f"select * from (values {values}) t(l_quantity, l_extendedprice, l_discount)")
     assert len(want) == 9 and got == want
+
+
+def test_nearest_markers_on_both_sides_and_without_any(differ):
+    """Ties between sides and places, an area without a marker, keys without a place or an area, keys that come twice."""
+    rows = "select i::bigint as c_custkey, case when i % 8 = 7 then 3 when i % 11 < 8 then i // 10 % 2 end::int as c_nationkey from range(700) t(i) where i % 8 <> 7 or i % 10 <> 0"
+    got, want = differ("nearest_marker", customer=f"{rows} union all select null, 1 union all select 33, 0 union all select 33, 1")
+    assert len(want) > 300 and got == want
+
+
+def test_nearest_marker_compares_no_pairs(spark):
+    """20,000 points and 20,000 markers of one group: 4e8 pairs."""
+    ids = spark.range(20_000)
+    points = ids.select("id", F.lit(1).alias("g"), (F.col("id") * 7919 % 20_011 / 10.0).alias("x"))
+    markers = ids.select(F.col("id").alias("marker"), F.lit(1).alias("g"), (F.col("id") * 104_729 % 20_011 / 10.0 + 0.05).alias("x"))
+    out = position.nearest_marker(points, markers, "g", "x", "id")
+    x, m = (np.array([r[0] for r in t.orderBy(k).select("x").collect()]) for t, k in ((points, "id"), (markers, "marker")))
+    got = {r["id"]: (r["marker"], r["dx"]) for r in out.collect()}
+    assert len(got) == 20_000
+    for i in range(0, 20_000, 97):
+        d = np.round(np.abs(x[i] - m), 6)
+        assert got[i] == (int(np.flatnonzero(d == d.min())[0]), d.min())
