@@ -7,6 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import track
+from .shared import cut
+
+#: Samples of a grid that are broadcast at most: 16 MB.
+HELD = 1 << 21
 
 
 def steady(df: DataFrame, by: str, order: str, values: list[str], m: int, limit: float) -> DataFrame:
@@ -101,18 +105,34 @@ def stations(lines: DataFrame, key: str, step: float) -> DataFrame:
     return rows.select(key, "k", (F.col("x0") + (F.col("x1") - F.col("x0")) * share).alias("x"), (F.col("y0") + (F.col("y1") - F.col("y0")) * share).alias("y"))
 
 
+def _total(traces: Column) -> Column:
+    """The sums of several traces' samples; missing samples do not count."""
+    plus = lambda a, b: F.coalesce(a + b, a, b)
+    return F.aggregate(F.slice(traces, F.lit(2), F.size(traces)), F.get(traces, F.lit(0)), lambda t, a: F.zip_with(t, a, plus))
+
+
 def section(points: DataFrame, key: str, cells: DataFrame, smooth: int = 0, amp: str = "amp") -> DataFrame:
-    """(key, k, amp): the grid's traces at points, bilinear between cells (cell centres at whole coordinates), then the mean of `smooth` points to each side. Points that miss a cell are left out."""
+    """(key, k, amp): the grid's traces at points, bilinear between cells (cell centres at whole coordinates), then the mean of `smooth` points to each side. Points that miss a cell are left out.
+
+    Cells are counted and, up to HELD samples, broadcast to the points, which are shuffled once, by key, before they are joined with traces;
+    beyond that both sides are shuffled. Points are never broadcast: how many there are is not known from the tables that they come from.
+    """
     fx, fy = F.col("x") - F.floor("x"), F.col("y") - F.floor("y")
     corner = lambda i, j, w: F.struct((F.floor("x") + i).alias("ix"), (F.floor("y") + j).alias("iy"), w.alias("w"))
     corners = F.filter(F.array(corner(0, 0, (1 - fx) * (1 - fy)), corner(1, 0, fx * (1 - fy)), corner(0, 1, (1 - fx) * fy), corner(1, 1, fx * fy)), lambda c: c["w"] > 0)
+    grid = cut(cells.select("ix", "iy", F.col(amp).alias("_a")).where(F.size("_a") > 0))
+    held = (grid.agg(F.sum(F.size("_a"))).first()[0] or 0) <= HELD
+    if held:
+        points = points.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), *([key] if smooth else [key, "k"]))
     asked = points.withColumn("_c", corners).select(key, "k", F.size("_c").alias("_n"), F.explode("_c").alias("c")).select(key, "k", "_n", "c.ix", "c.iy", "c.w")
-    rows = asked.join(cells.select("ix", "iy", F.col(amp).alias("_a")), ["ix", "iy"]).select(key, "k", "_n", "w", F.posexplode("_a").alias("i", "a"))
-    rows = rows.groupBy(key, "k", "i").agg(F.sum(F.col("a") * F.col("w")).alias("a"), F.count("*").alias("_c"), F.max("_n").alias("_n")).where("_c = _n")
+    rows = asked.join(F.broadcast(grid) if held else grid.hint("merge"), ["ix", "iy"]).select(key, "k", "_n", F.transform("_a", lambda a: a * F.col("w")).alias("_a"))
+    rows = rows.groupBy(key, "k").agg(F.collect_list("_a").alias("_s"), F.max("_n").alias("_n")).where(F.size("_s") == F.col("_n"))
+    rows = rows.select(key, "k", F.slice(_total(F.col("_s")), F.lit(1), F.array_min(F.transform("_s", F.size))).alias(amp))
     if smooth:
-        rows = rows.withColumn("a", F.avg("a").over(W.partitionBy(key, "i").orderBy("k").rowsBetween(-smooth, smooth)))
-    rows = rows.groupBy(key, "k").agg(F.array_sort(F.collect_list(F.struct("i", "a"))).alias("_s"))
-    return rows.select(key, "k", F.transform("_s", lambda s: s["a"]).alias(amp))
+        rows = rows.withColumn("_w", F.collect_list(amp).over(W.partitionBy(key).orderBy("k").rowsBetween(-smooth, smooth)))
+        known = F.transform("_w", lambda t: F.transform(t, lambda a: F.when(a.isNotNull(), 1.0)))
+        rows = rows.withColumn(amp, F.slice(F.zip_with(_total(F.col("_w")), _total(known), lambda a, n: a / n), F.lit(1), F.size(amp)))
+    return rows.select(key, "k", amp)
 
 
 def follow_topography(amp: Column, z: Column, top: float, step: float, first: int, n: int) -> Column:
